@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import chat_expand, quality_rules, token_files, url_cascade
+from factloom.llm import chat_expand, decontaminate, jaccard_join, quality_rules, token_files, url_cascade
 from factloom.llm.oracles import ORACLE_SQL  # noqa: F401
 
 
@@ -24,6 +24,14 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(folder, index)
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_report(_table(spark, sf_dir, "documents"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     return url_cascade.judge_urls(pages, url_cascade.named_hosts(pages))
@@ -42,6 +50,8 @@ def op10_chat_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_jaccard_join": op2_jaccard_join,
+    "op6_decontaminate": op6_decontaminate,
     "op8_url_cascade": op8_url_cascade,
     "op9_quality_rules": op9_quality_rules,
     "op10_chat_expand": op10_chat_expand,
