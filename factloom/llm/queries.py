@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import chat_expand, decontaminate, jaccard_join, quality_rules, token_files, url_cascade
+from factloom.llm import chat_expand, decontaminate, html_extract, jaccard_join, piece_lattice, quality_rules, token_counts, token_files, url_cascade
 from factloom.llm.oracles import ORACLE_SQL  # noqa: F401
 
 
@@ -28,10 +28,23 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_report(_table(spark, sf_dir, "documents"))
 
 
+def op3_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("piece_bpe_32k.model")
+    return piece_lattice.digest(piece_lattice.decode(piece_lattice.encode(_table(spark, sf_dir, "documents"), path), path))
+
+
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op8_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     return url_cascade.judge_urls(pages, url_cascade.named_hosts(pages))
@@ -51,7 +64,10 @@ def op10_chat_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_jaccard_join": op2_jaccard_join,
+    "op3_piece_lattice": op3_piece_lattice,
+    "op4_html_extract": op4_html_extract,
     "op6_decontaminate": op6_decontaminate,
+    "op7_token_counts": op7_token_counts,
     "op8_url_cascade": op8_url_cascade,
     "op9_quality_rules": op9_quality_rules,
     "op10_chat_expand": op10_chat_expand,
