@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import chat_expand, decontaminate, html_extract, jaccard_join, piece_lattice, quality_rules, token_counts, token_files, url_cascade
+from factloom.llm import chat_expand, decontaminate, html_extract, jaccard_join, ngram_lm, piece_lattice, quality_rules, token_counts, token_files, url_cascade
 from factloom.llm.oracles import ORACLE_SQL  # noqa: F401
 
 
@@ -37,6 +37,10 @@ def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(_table(spark, sf_dir, "pages"))
 
 
+def op5_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.train_and_score(_table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -66,6 +70,7 @@ QUERIES = {
     "op2_jaccard_join": op2_jaccard_join,
     "op3_piece_lattice": op3_piece_lattice,
     "op4_html_extract": op4_html_extract,
+    "op5_ngram_lm": op5_ngram_lm,
     "op6_decontaminate": op6_decontaminate,
     "op7_token_counts": op7_token_counts,
     "op8_url_cascade": op8_url_cascade,
