@@ -1,11 +1,19 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again as the next one's input.
+
+Quality rules drop what the base rule or the adaptive thresholds reject; the n-gram Jaccard join keeps one document of
+each group of near copies; decontamination drops documents that hold benchmark passages; SentencePiece encodes every
+text and decodes it again. The first three return the columns of ``documents``, the last doc_id, n_pieces, ids and the
+decoded text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from factloom.llm import quality_rules
+from factloom.llm import decontaminate, jaccard_join, piece_lattice, quality_rules
 from factloom.llm.common import shared_dir
+from factloom.llm.queries import tokenizer_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,7 +21,29 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_rules.apply_rules(docs)
 
 
-STAGES = [("quality_rules", quality_stage)]
+def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, that of the smallest doc_id."""
+    return jaccard_join.keep_one(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a twentieth or more of their words in benchmark passages go."""
+    return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's piece ids and the text that they decode to."""
+    path = tokenizer_path("piece_bpe_32k.model")
+    decoded = piece_lattice.decode(piece_lattice.encode(docs, path), path)
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "text")
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("jaccard_join", near_copy_stage),
+    ("decontaminate", decontamination_stage),
+    ("piece_lattice", piece_stage),
+]
 
 #: SQL can't express the stages after the first; they are tested against brute force.
 ORACLE_SQL: str | None = None
