@@ -1,10 +1,174 @@
-"""The registered queries over the driver tables and their DuckDB SQL."""
+"""The registered queries over the driver tables; their DuckDB SQL is in ``oracles``."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from factloom.functions import text as T
+from factloom.operators import claims, facts, numbers, overlap, relations
+from factloom.plans.oracles import ORACLE_SQL  # noqa: F401
+from factloom.sources import games as G
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.table(spark, sf_dir, "documents")
+
+
+@query
+def cells_melt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All game tables as cells."""
+    return G.game_cells(spark, sf_dir).drop("is_int", "str")
+
+
+@query
+def game_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The generated texts that the checks run on."""
+    return G.game_texts(spark, sf_dir).select("id", "e", "output", "reference")
+
+
+@query
+def doc_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X1 over all documents."""
+    found = _docs(spark, sf_dir).select("doc_id", F.posexplode(T.numbers(F.col("text"))).alias("pos", "number"))
+    return found.withColumn("pos", F.col("pos") + 1)
+
+
+@query
+def doc_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X5 over all documents."""
+    s = T.sentences(F.col("text"))
+    return _docs(spark, sf_dir).select("doc_id", T.bind(s, lambda x: F.struct(F.size(x).cast("long").alias("n_sentences"), F.aggregate(x, F.lit(0).cast("long"), lambda a, y: a + F.length(y)).alias("n_chars"))).alias("s")).select("doc_id", "s.*")
+
+
+@query
+def doc_tokens_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 most frequent tokens per language."""
+    counts = _docs(spark, sf_dir).select("lang", F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("lang", "token").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "token"))
+    return counts.withColumn("k", rank).filter("k <= 20").drop("k")
+
+
+@query
+def claim_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X6 over all documents."""
+    units = _docs(spark, sf_dir).select("doc_id", F.explode(T.claim_units(F.col("text"))).alias("u"))
+    return units.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_units"), F.sum(F.length("u")).alias("n_chars"))
+
+
+@query
+def game_team_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result of every game."""
+    return facts.team_facts(G.game_cells(spark, sf_dir))
+
+
+@query
+def game_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaders per city and game."""
+    found = facts.leaders(facts.player_rows(G.game_cells(spark, sf_dir)))
+    return found.withColumn("players", F.array_join("players", ","))
+
+
+@query
+def game_topk_scorers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next two scorers of each city after its leaders."""
+    rows = facts.player_rows(G.game_cells(spark, sf_dir))
+    best = F.max("PTS").over(Window.partitionBy("ex_id", "city"))
+    rest = rows.withColumn("best", best).filter("PTS < best")
+    rank = F.row_number().over(Window.partitionBy("ex_id", "city").orderBy(F.desc("PTS"), "player"))
+    return rest.withColumn("rank", rank).filter("rank <= 2").select("ex_id", "city", "player", F.col("PTS").alias("pts"), "rank")
+
+
+@query
+def surname_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Player aliases."""
+    return facts.player_aliases(facts.player_rows(G.game_cells(spark, sf_dir)))
+
+
+@query
+def derived_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4, J8."""
+    return numbers.derived_numbers(G.game_cells(spark, sf_dir))
+
+
+def _number_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numbers.score_items(G.game_texts(spark, sf_dir), G.game_cells(spark, sf_dir))
+
+
+@query
+def number_support_item(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1: number support of each text."""
+    items = _number_items(spark, sf_dir).withColumn("n_unsupported", F.size("unsupported").cast("long")).drop("unsupported")
+    return items.withColumn("support_rate", F.round("support_rate", 9)).withColumn("exact_rate", F.round("exact_rate", 9))
+
+
+def _rounded(df: DataFrame, digits: int = 9) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+@query
+def number_support_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2: number support of the run."""
+    return _rounded(numbers.score_run(_number_items(spark, sf_dir)))
+
+
+@query
+def part_number_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1 on single-row tables."""
+    items = numbers.score_items(G.part_texts(spark, sf_dir), G.part_cells(spark, sf_dir))
+    n = F.size("unsupported")
+    return items.agg(F.count(F.lit(1)).alias("items"), F.count_if(n == 0).alias("fully_supported"), F.sum(n).alias("n_unsupported"))
+
+
+def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.claims(G.game_texts(spark, sf_dir), facts.context(G.game_cells(spark, sf_dir)))
+
+
+@query
+def winner_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V2: the first sentence of each text claims a winner."""
+    return _claims(spark, sf_dir).filter("type = 'winner' AND pos = 0").select("id", "claimed", "expected", "correct")
+
+
+@query
+def relation_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V2, V3: all relational claims."""
+    return _claims(spark, sf_dir)
+
+
+@query
+def premise_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V4: the fact line of every table row."""
+    return claims.row_facts(G.game_cells(spark, sf_dir)).select("ex_id", "sec_idx", "row_idx", "fact")
+
+
+@query
+def result_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V4: the result line of every decided game."""
+    return claims.result_facts(G.game_cells(spark, sf_dir)).select("ex_id", "fact")
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.game_texts(spark, sf_dir).select("id", "output", F.array("reference").alias("references"))
+
+
+@query
+def bleu_item_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A8."""
+    return overlap.bleu_items(_pairs(spark, sf_dir))
+
+
+@query
+def bleu_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A9."""
+    return overlap.bleu_run(overlap.bleu_items(_pairs(spark, sf_dir)))
