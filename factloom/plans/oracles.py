@@ -119,7 +119,7 @@ ORACLE_SQL: dict[str, str] = {
 def _bleu_items(hyp: str, ref: str) -> str:
     """CTEs items(id, bleu_*) for one reference per item; hyp and ref: columns of texts."""
     grams = lambda c: f"SELECT id, n, array_to_string(t[i:i + n - 1], chr(31)) AS gram, count(*) AS c FROM (SELECT id, t, n, unnest(range(1, len(t) - n + 2)) AS i FROM (SELECT id, {_tokens(c)} AS t FROM texts), (SELECT unnest([1, 2, 3, 4]) AS n)) GROUP BY ALL"
-    match = ", ".join(f"coalesce(sum(least(h.c, r.c)) FILTER (h.n = {n}), 0)::BIGINT AS bleu_match_{n}" for n in range(1, 5))
+    match = ", ".join(f"coalesce(sum(CASE WHEN r.c IS NULL THEN 0 ELSE least(h.c, r.c) END) FILTER (h.n = {n}), 0)::BIGINT AS bleu_match_{n}" for n in range(1, 5))
     total = ", ".join(f"greatest(0, hl - {n} + 1)::BIGINT AS bleu_total_{n}" for n in range(1, 5))
     return f"""hg AS ({grams(hyp)}), rg AS ({grams(ref)}), matched AS (SELECT h.id, {match} FROM hg h LEFT JOIN rg r USING (id, n, gram) GROUP BY h.id),
       lens AS (SELECT id, len({_tokens(hyp)})::BIGINT AS hl, len({_tokens(ref)})::BIGINT AS rl FROM texts),
