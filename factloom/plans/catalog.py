@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factloom.functions import numeric as V
 from factloom.functions import text as T
-from factloom.operators import claims, facts, numbers, overlap, relations
+from factloom.operators import align, claims, facts, features, numbers, overlap, prompts, relations, runs, serialise, stats
 from factloom.plans.oracles import ORACLE_SQL  # noqa: F401
 from factloom.sources import games as G
+from factloom.sources import loaders
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -172,3 +174,223 @@ def bleu_item_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bleu_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A9."""
     return overlap.bleu_run(overlap.bleu_items(_pairs(spark, sf_dir)))
+
+
+@query
+def parent_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10, V6: PARENT of each text."""
+    return _rounded(overlap.parent_items(_pairs(spark, sf_dir), G.game_cells(spark, sf_dir)))
+
+
+@query
+def md_serialise_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X16 on single-row tables."""
+    return serialise.to_markdown(G.part_cells(spark, sf_dir))
+
+
+@query
+def md_serialise_game(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X16 on two sections."""
+    return serialise.to_markdown(G.game_cells(spark, sf_dir))
+
+
+@query
+def factsheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V9: sheets of all games; one-team games get labelled lines."""
+    return serialise.to_factsheet(G.game_cells(spark, sf_dir))
+
+
+@query
+def prompt_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """messages of every part's table."""
+    found = prompts.messages(serialise.to_markdown(G.part_cells(spark, sf_dir)), "e2e/strict_v1").select("ex_id", F.posexplode("messages").alias("pos", "m"))
+    return found.select("ex_id", "pos", "m.role", F.length("m.content").alias("n_chars"), F.md5(F.col("m.content").cast("binary")).alias("digest"))
+
+
+@query
+def extract_final(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text after the last marker."""
+    raw = _docs(spark, sf_dir).select("doc_id", F.concat(F.lit("- a: 1\n**Summary:** draft\nSUMMARY: "), "text").alias("raw"))
+    return raw.select("doc_id", F.length(T.extract_final(F.col("raw"), F.lit("SUMMARY:"))).alias("n_chars"))
+
+
+@query
+def column_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A12."""
+    return _rounded(features.column_stats(G.game_cells(spark, sf_dir)), 6)
+
+
+@query
+def column_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A13."""
+    return features.column_vocab(G.game_cells(spark, sf_dir).unionByName(G.part_cells(spark, sf_dir)))
+
+
+@query
+def featurised_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of every cell of every game."""
+    cells = G.game_cells(spark, sf_dir)
+    found = features.featurise(cells, features.column_vocab(cells), features.column_stats(cells))
+    return found.select("ex_id", "r", "c", "col_id", "kind", "str_bucket", "is_key", *[F.round(F.get("num_feats", F.lit(i)), 6).alias(f"f{i}") for i in range(4)])
+
+
+@query
+def string_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X14."""
+    return G.table(spark, sf_dir, "part").select("p_partkey", V.string_bucket(F.col("p_name")).alias("bucket"))
+
+
+@query
+def numeric_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X13."""
+    rows = G.table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    f = V.numeric_features(F.col("c_acctbal"), F.lit(4500.0), F.lit(3000.0))
+    return rows.select("c_custkey", *[F.round(F.get(f, F.lit(i)), 6).alias(f"f{i}") for i in range(4)])
+
+
+@query
+def align_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V7: which numeric cells of a game its text mentions."""
+    texts = G.game_texts(spark, sf_dir).select(F.col("id").alias("ex_id"), F.col("output").alias("reference"))
+    cells = G.game_cells(spark, sf_dir)
+    return align.alignment_labels(cells, texts).join(cells.filter("kind = 1").select("ex_id", "sec_idx", "row_idx", "col_idx"), ["ex_id", "sec_idx", "row_idx", "col_idx"])
+
+
+@query
+def align_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V7: all cells."""
+    texts = G.game_texts(spark, sf_dir).select(F.col("id").alias("ex_id"), F.col("output").alias("reference"))
+    return align.alignment_labels(G.game_cells(spark, sf_dir), texts)
+
+
+@query
+def filter_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V8: texts without the sentences that hold an error."""
+    texts = G.game_texts(spark, sf_dir).select(F.col("id").alias("ex_id"), F.col("output").alias("reference"))
+    return align.filter_references(G.game_cells(spark, sf_dir), texts)
+
+
+@query
+def seq_logprob(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean of log probabilities up to an end token."""
+    rows = G.table(spark, sf_dir, "embeddings")
+    ids = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(i == F.col("vec_id") % 64, 2).otherwise(5))
+    return rows.select("vec_id", F.round(V.seq_logprob(F.transform("embedding", lambda x: x.cast("double")), ids, F.lit(2)), 6).alias("seq_logprob"))
+
+
+@query
+def resume_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Games whose text isn't generated yet."""
+    texts = G.game_texts(spark, sf_dir)
+    return runs.todo(texts.select("id"), texts.filter("yr % 2 = 0").select("id"))
+
+
+@query
+def relations_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5, A6."""
+    texts = G.game_texts(spark, sf_dir)
+    return _rounded(relations.score_run(relations.score_items(texts, _claims(spark, sf_dir))))
+
+
+@query
+def wrong_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A6 by claim type."""
+    return relations.wrong_by_type(_claims(spark, sf_dir))
+
+
+@query
+def positional_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A26."""
+    texts, cells = G.game_texts(spark, sf_dir), G.game_cells(spark, sf_dir)
+    return _rounded(relations.positional_bias(texts, relations.claims(texts, facts.context(cells)), facts.team_facts(cells)))
+
+
+@query
+def nli_stub_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claim units with premises, labelled by the stand-in scorer."""
+    texts = G.game_texts(spark, sf_dir)
+    scored = claims.score_with_stub(claims.premises(claims.units(texts), G.game_cells(spark, sf_dir)))
+    return _rounded(claims.score_run(claims.score_items(texts, scored)))
+
+
+@query
+def premise_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V4: the premise of every claim unit."""
+    found = claims.premises(claims.units(G.game_texts(spark, sf_dir)), G.game_cells(spark, sf_dir))
+    return found.select("id", "pos", F.length("unit").alias("unit_chars"), F.length("premise").alias("premise_chars"))
+
+
+TWO_RUN_METRICS = (
+    stats.Metric("num_unsupported", "ratio", ("num_unsupported_n", "num_n"), False),
+    stats.Metric("num_derived", "ratio", ("n_derived", "num_n"), False),
+    stats.Metric("exact_mean", "mean", ("n_exact",), True, False),
+    stats.Metric("unsupported_items", "positive", ("num_unsupported_n",), False),
+)
+
+
+def _two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Item metrics of run A (all texts) and run B (without errors for odd pairs), numbered in the order of ids."""
+    texts, cells = G.game_texts(spark, sf_dir), G.game_cells(spark, sf_dir)
+    better = F.when(F.col("pair") % 2 == 1, F.col("reference")).otherwise(F.col("output"))
+    a = texts.select("id", F.lit("A").alias("run"), "output")
+    both = a.unionByName(texts.select("id", F.lit("B").alias("run"), better.alias("output")))
+    keyed = both.select(F.concat_ws("\x1f", "id", "run").alias("key"), "id", "run", "output")
+    games = cells.join(keyed.select(F.col("id").alias("ex_id"), "key"), "ex_id").withColumn("ex_id", F.col("key")).drop("key")
+    scored = numbers.score_items(keyed.select(F.col("key").alias("id"), "output"), games).withColumnRenamed("id", "key")
+    out = keyed.select("key", "id", "run").join(scored, "key")
+    out = out.select("id", "run", F.col("n_numbers").alias("num_n"), (F.col("n_numbers") - F.col("n_supported")).alias("num_unsupported_n"), "n_derived", "n_exact")
+    # A few columns per item of a benchmark, read by every statistic below.
+    out = out.persist()
+    return stats.numbered(out.join(stats.common_ids(out), "id")).persist()
+
+
+@query
+def compare_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Point values of both runs."""
+    return _rounded(stats.points(_two_runs(spark, sf_dir), TWO_RUN_METRICS))
+
+
+@query
+def bootstrap_lcg_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals of both runs from 200 replicates with weights that SQL can repeat."""
+    items = _two_runs(spark, sf_dir)
+    return _rounded(stats.bootstrap_ci(items, stats.lcg_weights(spark, _n_items(items), 200), TWO_RUN_METRICS))
+
+
+def _n_items(items: DataFrame) -> int:
+    return items.agg(F.max("item")).first()[0] + 1
+
+
+@query
+def paired_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differences of the runs, paired by item."""
+    items = _two_runs(spark, sf_dir)
+    return _rounded(stats.paired_diff(items, stats.lcg_weights(spark, _n_items(items), 200), TWO_RUN_METRICS, "A", "B"))
+
+
+@query
+def fold_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks of the runs in three folds."""
+    items = _two_runs(spark, sf_dir)
+    values = stats.fold_points(items, {i: i % 3 for i in range(_n_items(items))}, TWO_RUN_METRICS)
+    return _rounded(stats.ranks(values, TWO_RUN_METRICS, ("fold",)))
+
+
+@query
+def rolling_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate over the last ten items."""
+    return _rounded(stats.rolling_rate(_two_runs(spark, sf_dir), "num_unsupported_n", "num_n", 10))
+
+
+@query
+def selection_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run with the fewest unsupported numbers."""
+    values = stats.points(_two_runs(spark, sf_dir), TWO_RUN_METRICS)
+    return _rounded(stats.select_best(values, TWO_RUN_METRICS, ("num_unsupported", "num_derived", "exact_mean")))
+
+
+@query
+def sample_first_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hundred parts by position."""
+    parts = G.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), "p_name")
+    return loaders.sample(parts, 100, None)

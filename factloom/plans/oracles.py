@@ -134,3 +134,77 @@ ORACLE_SQL["bleu_corpus"] = (
     + ", ".join(f"sum(bleu_match_{n}) AS m{n}, sum(bleu_total_{n}) AS t{n}" for n in range(1, 5))
     + ", sum(bleu_hyp_len) AS h, sum(bleu_ref_len) AS r FROM bleu)"
 )
+
+_PARTS = "('### part' || chr(10) || '| attribute | value |' || chr(10) || '| --- | --- |' || chr(10) || '| name | ' || p_name || ' |' || chr(10) || '| brand | ' || p_brand || ' |' || chr(10) || '| type | ' || p_type || ' |' || chr(10) || '| size | ' || p_size || ' |' || chr(10) || '| price | ' || p_retailprice || ' |')"
+ORACLE_SQL["md_serialise_game"] = f"""WITH {CELLS}, r AS (SELECT ex_id, sec_idx, sec_name, row_idx, n_sec_rows, '| ' || string_agg(text, ' | ' ORDER BY col_idx) || ' |' AS line, '| ' || string_agg(col_name, ' | ' ORDER BY col_idx) || ' |' AS head, '|' || repeat(' --- |', count(*)) AS rule FROM full_cells GROUP BY ALL),
+  multi AS (SELECT ex_id, sec_idx, '### ' || any_value(sec_name) || chr(10) || max(head) || chr(10) || max(rule) || chr(10) || string_agg(line, chr(10) ORDER BY row_idx) AS section FROM r WHERE n_sec_rows > 1 GROUP BY ex_id, sec_idx),
+  single AS (SELECT ex_id, sec_idx, '### ' || any_value(sec_name) || chr(10) || '| attribute | value |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || col_name || ' | ' || text || ' |', chr(10) ORDER BY col_idx) AS section FROM full_cells WHERE n_sec_rows = 1 GROUP BY ex_id, sec_idx)
+  SELECT ex_id, string_agg(section, chr(10) || chr(10) ORDER BY sec_idx) AS text FROM (FROM multi UNION ALL FROM single) GROUP BY ex_id"""
+
+
+def _quote(x: str) -> str:
+    return "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+def _prompt_sql() -> str:
+    from factloom.operators.prompts import PROMPTS
+
+    spec = PROMPTS["e2e/strict_v1"]
+    user = f"replace({_quote(spec['user'])}, '{{table}}', {_PARTS})"
+    one = lambda pos, role, text: f"SELECT 'part-' || p_partkey AS ex_id, {pos} AS pos, '{role}' AS role, length({text})::INT AS n_chars, md5({text}) AS digest FROM part"
+    return f"{one(0, 'system', _quote(spec['system']))} UNION ALL {one(1, 'user', user)}"
+
+
+ORACLE_SQL["prompt_messages"] = _prompt_sql()
+ORACLE_SQL["extract_final"] = f"""SELECT doc_id, length(trim(regexp_replace('- a: 1' || chr(10) || '**Summary:** draft' || chr(10) || 'SUMMARY: ' || text, '(?is)^.*summary[*_\\s]*:[*_\\s]*', ''), {_BLANKS}))::INT AS n_chars FROM documents"""
+ORACLE_SQL["column_stats"] = f"WITH {CELLS} SELECT sec_name || '|' || col_name AS key, round(avg(num), 6) AS mean, round(stddev_pop(num), 6) AS std FROM full_cells WHERE kind = 1 GROUP BY ALL"
+ORACLE_SQL["column_vocab"] = f"WITH {CELLS}, k AS (SELECT DISTINCT sec_name || '|' || col_name AS key FROM full_cells UNION SELECT 'part|' || unnest(['name', 'brand', 'type', 'size', 'price'])) SELECT key, row_number() OVER (ORDER BY key)::INT AS col_id FROM k"
+ORACLE_SQL["string_bucket"] = "SELECT p_partkey, (('0x' || substr(md5(lower(trim(p_name))), 1, 8))::BIGINT % 2048)::INT AS bucket FROM part"
+_FEATURES = "round({s} , 6) AS f0, round(ln(1 + abs({v})), 6) AS f1, round(sign({v})::DOUBLE, 6) AS f2, ({v} = floor({v}))::INT::DOUBLE AS f3"
+ORACLE_SQL["numeric_features"] = "SELECT c_custkey, " + _FEATURES.format(v="c_acctbal", s="greatest(-10, least(10, (c_acctbal - 4500) / 3000))") + " FROM customer"
+ORACLE_SQL["featurised_cells"] = f"""WITH {CELLS}, st AS (SELECT sec_name, col_name, avg(num) AS mean, stddev_pop(num) AS std FROM full_cells WHERE kind = 1 GROUP BY ALL),
+  vocab AS (SELECT sec_name, col_name, row_number() OVER (ORDER BY sec_name || '|' || col_name) AS col_id FROM (SELECT DISTINCT sec_name, col_name FROM full_cells))
+  SELECT ex_id, (dense_rank() OVER (PARTITION BY ex_id ORDER BY sec_idx, row_idx) - 1)::INT AS r, col_idx::INT AS c, col_id::INT AS col_id, kind, CASE WHEN kind = 2 THEN (('0x' || substr(md5(lower(trim(text))), 1, 8))::BIGINT % 2048)::INT ELSE 0 END AS str_bucket, is_key,
+  CASE WHEN kind = 1 THEN round(CASE WHEN std > 0 THEN greatest(-10, least(10, (num - mean) / std)) ELSE 0 END, 6) ELSE 0 END AS f0, CASE WHEN kind = 1 THEN round(ln(1 + abs(num)), 6) ELSE 0 END AS f1,
+  CASE WHEN kind = 1 THEN sign(num)::DOUBLE ELSE 0 END AS f2, CASE WHEN kind = 1 THEN (num = floor(num))::INT::DOUBLE ELSE 0 END AS f3 FROM full_cells LEFT JOIN vocab USING (sec_name, col_name) LEFT JOIN st USING (sec_name, col_name)"""
+ORACLE_SQL["align_numeric"] = f"WITH {TEXTS}, f AS (SELECT id, {_numbers('output')} AS ns FROM texts) SELECT ex_id, sec_idx, row_idx::INT AS row_idx, col_idx::INT AS col_idx, list_contains(ns, num) AS label FROM full_cells JOIN f ON ex_id = id WHERE kind = 1"
+ORACLE_SQL["seq_logprob"] = "SELECT vec_id, round(list_avg(list_transform(embedding[1:(vec_id % 64 + 1)], lambda x: x::DOUBLE)), 6) AS seq_logprob FROM embeddings"
+ORACLE_SQL["resume_anti_join"] = f"WITH {TEXTS} SELECT id FROM texts WHERE yr % 2 <> 0"
+_SAID = TEXTS + """,
+made AS (SELECT ex_id AS id, e, tie, winner = team0 AS first_wins, margin <> 0 AS has_margin FROM parts),
+counts AS (SELECT id, 5 + (NOT tie)::INT * 2 + has_margin::INT AS n_claims, CASE e WHEN 0 THEN (NOT tie)::INT WHEN 2 THEN has_margin::INT ELSE 1 END AS n_wrong, e, tie, first_wins FROM made)"""
+ORACLE_SQL["relations_run"] = f"WITH {_SAID} SELECT count(*) AS items, sum(n_claims)::BIGINT AS relational_claims, sum(n_wrong)::BIGINT AS relational_wrong, round(sum(n_wrong) / sum(n_claims), 9) AS relational_wrong_rate, round(count(*) FILTER (n_wrong > 0) / count(*), 9) AS pct_items_with_relational_error FROM counts"
+ORACLE_SQL["wrong_by_type"] = f"WITH {_SAID} SELECT CASE e WHEN 0 THEN 'winner' WHEN 1 THEN 'attribution' WHEN 2 THEN 'margin' ELSE 'team-attribution' END AS type, sum(n_wrong)::BIGINT AS wrong FROM counts WHERE n_wrong > 0 GROUP BY ALL"
+ORACLE_SQL["positional_bias"] = f"WITH {_SAID} SELECT CASE WHEN first_wins THEN 'first' ELSE 'second' END AS side, count(*) AS games, 2 * count(*) AS claims, count(*) FILTER (e = 0) AS wrong, round(count(*) FILTER (e = 0) / (2 * count(*)), 9) AS wrong_rate FROM counts WHERE NOT tie GROUP BY ALL"
+# Every text has four sentences of one unit each, none of which holds "won" or "lost".
+ORACLE_SQL["nli_stub_run"] = f"WITH {TEXTS} SELECT count(*) AS items, 4 * count(*) AS total_claims, 0.0::DOUBLE AS claim_entailed_rate_micro, 0.0::DOUBLE AS pct_items_with_contradiction FROM texts"
+_TWO = TEXTS + f""",
+runs AS (SELECT 'A' AS run, id, output FROM texts UNION ALL SELECT 'B', id, CASE WHEN pair % 2 = 1 THEN reference ELSE output END FROM texts),
+tn AS (SELECT DISTINCT ex_id, round(v, 6) AS v FROM (SELECT ex_id, unnest(CASE WHEN kind = 1 THEN [num] ELSE {_numbers('text')} END) AS v FROM full_cells)),
+exact AS (SELECT ex_id, v FROM tn UNION SELECT ex_id, round(v / 100, 6) FROM tn),
+wide AS (SELECT ex_id, sec_idx, col_idx FROM full_cells WHERE kind = 1 GROUP BY ALL HAVING count(*) BETWEEN 2 AND 40),
+pairs AS (SELECT a.ex_id, a.num AS x, b.num AS y FROM full_cells a JOIN full_cells b USING (ex_id, sec_idx, col_idx) JOIN wide USING (ex_id, sec_idx, col_idx) WHERE a.kind = 1 AND b.kind = 1 AND a.row_idx < b.row_idx),
+derived AS (SELECT ex_id, round(x + y, 6) AS v FROM pairs UNION SELECT ex_id, round(abs(x - y), 6) FROM pairs),
+found AS (SELECT run, id, unnest({_numbers('output')}) AS v FROM runs),
+tiers AS (SELECT f.run, f.id, f.v, CASE WHEN e.v IS NOT NULL THEN 1 WHEN d.v IS NOT NULL THEN 2 ELSE 0 END AS tier FROM found f LEFT JOIN exact e ON f.id = e.ex_id AND round(f.v, 6) = e.v LEFT JOIN derived d ON f.id = d.ex_id AND round(f.v, 6) = d.v),
+items AS (SELECT run, id, count(*) AS num_n, count(*) FILTER (tier = 0) AS u, count(*) FILTER (tier = 2) AS n_derived, count(*) FILTER (tier = 1) AS n_exact, dense_rank() OVER (ORDER BY id) - 1 AS item FROM tiers GROUP BY run, id)"""
+
+
+def _values(frm: str, keys: str, w: str = "1") -> str:
+    return f"""SELECT {keys}, unnest(['num_unsupported', 'num_derived', 'exact_mean', 'unsupported_items']) AS metric,
+      unnest([sum({w} * u) / sum({w} * num_n), sum({w} * n_derived) / sum({w} * num_n), sum({w} * n_exact) / sum({w}), sum({w} * (u > 0)::INT) / sum({w})]) AS value FROM {frm} GROUP BY {keys}"""
+
+
+_DRAWS = _TWO + f""", n AS (SELECT max(item) + 1 AS n FROM items),
+w AS (SELECT b, ((b * 7919 + j * 104729 + (b * j) % 613) * 31 % 2147483647) % n AS item, count(*) AS w FROM (SELECT unnest(range(0, 200)) AS b), (SELECT n, unnest(range(0, n)) AS j FROM n) GROUP BY ALL),
+draws AS ({_values('items JOIN w USING (item)', 'run, b', 'w')}), pts AS ({_values('items', 'run')})"""
+ORACLE_SQL["compare_runs"] = f"WITH {_TWO} SELECT run, metric, round(value, 9) AS value FROM ({_values('items', 'run')})"
+ORACLE_SQL["bootstrap_lcg_ci"] = f"WITH {_DRAWS} SELECT p.run, p.metric, round(any_value(p.value), 9) AS point, round(quantile_cont(d.value, 0.025), 9) AS lo, round(quantile_cont(d.value, 0.975), 9) AS hi FROM pts p JOIN draws d USING (run, metric) GROUP BY p.run, p.metric"
+ORACLE_SQL["paired_diff"] = f"""WITH {_DRAWS}, dd AS (SELECT a.metric, a.value - z.value AS d FROM draws a JOIN draws z ON a.metric = z.metric AND a.b = z.b AND a.run = 'A' AND z.run = 'B'),
+  pp AS (SELECT a.metric, a.value - z.value AS diff FROM pts a JOIN pts z ON a.metric = z.metric AND a.run = 'A' AND z.run = 'B')
+  SELECT metric, round(any_value(diff), 9) AS diff, round(quantile_cont(d, 0.025), 9) AS lo, round(quantile_cont(d, 0.975), 9) AS hi FROM pp JOIN dd USING (metric) GROUP BY metric"""
+ORACLE_SQL["fold_rank"] = f"WITH {_TWO}, v AS ({_values('(SELECT *, (item % 3)::INT AS fold FROM items)', 'run, fold')}) SELECT run, fold, metric, round(value, 9) AS value, row_number() OVER (PARTITION BY metric, fold ORDER BY value IS NULL, CASE WHEN metric = 'exact_mean' THEN -value ELSE value END, run)::INT AS rank FROM v"
+ORACLE_SQL["rolling_rate"] = f"""WITH {_TWO}, o AS (SELECT run, id, regexp_extract(id, '([0-9]+)$', 1)::BIGINT AS i, u, num_n FROM items),
+  x AS (SELECT run, i, round(sum(u) OVER w / sum(num_n) OVER w, 9) AS rate, row_number() OVER (PARTITION BY run ORDER BY i, id) AS k FROM o WINDOW w AS (PARTITION BY run ORDER BY i, id ROWS 9 PRECEDING)) SELECT run, i, rate FROM x WHERE k >= 10"""
+ORACLE_SQL["selection_rule"] = f"WITH {_TWO}, v AS ({_values('items', 'run')}), p AS (SELECT run, max(value) FILTER (metric = 'num_unsupported') AS num_unsupported, max(value) FILTER (metric = 'num_derived') AS num_derived, max(value) FILTER (metric = 'exact_mean') AS exact_mean FROM v GROUP BY run) SELECT run, round(num_unsupported, 9) AS num_unsupported, round(num_derived, 9) AS num_derived, round(exact_mean, 9) AS exact_mean FROM p ORDER BY round(num_unsupported, 4), round(num_derived, 4), round(-exact_mean, 4), run LIMIT 1"
+ORACLE_SQL["sample_first_n"] = "SELECT p_partkey AS pos, p_name FROM part ORDER BY p_partkey LIMIT 100"
