@@ -9,7 +9,6 @@ decoded text.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from factloom.llm import decontaminate, jaccard_join, piece_lattice, quality_rules
 from factloom.llm.common import shared_dir
@@ -33,9 +32,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's piece ids and the text that they decode to."""
-    path = tokenizer_path("piece_bpe_32k.model")
-    decoded = piece_lattice.decode(piece_lattice.encode(docs, path), path)
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "text")
+    return piece_lattice.encode_decode(docs, tokenizer_path("piece_bpe_32k.model"))
 
 
 STAGES = [

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: A side of at most this many bytes (counted first) may be broadcast; larger ones are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
+#: Rows per file of a table whose size is known.
+FILE_ROWS = 250_000
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
@@ -24,11 +26,17 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/factloom/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, and a lost executor loses nothing of it."""
-    path = shared_dir(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def stage(df: DataFrame, label: str, codec: str = "snappy", rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, and a lost executor loses nothing of it.
+
+    rows: a bound on the rows where it is known; a small table is then written in as few files as there are cores.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark, label)
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
+    df.write.option("compression", codec).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def string_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +44,10 @@ def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     The explosion and the grouping stay in the partitioning of ``units`` by unit.
     """
     n = F.length("unit")
-    cut = lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), n - s)), lambda l: F.struct(s.alias("s"), (s + l).alias("e"), F.substr("unit", s + 1, l).alias("piece")))  # noqa: E731, E741
-    parts = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), cut))
-    none = F.array(F.struct(F.lit(-1).alias("s"), F.lit(-1).alias("e"), F.lit("").alias("piece")))
-    edges = units.select("unit", F.explode(F.concat(none, parts)).alias("x")).select("unit", "x.s", "x.e", "x.piece").join(F.broadcast(pieces), "piece")
+    lengths = F.when(F.col("s") < 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.least(F.lit(longest), n - F.col("s"))))
+    at = units.select("unit", F.explode(F.sequence(F.lit(-1), n - 1)).alias("s")).select("unit", "s", F.explode(lengths).alias("l"))
+    parts = at.select("unit", "s", (F.col("s") + F.col("l")).alias("e"), F.substr("unit", F.col("s") + 1, F.col("l")).alias("piece"))
+    edges = parts.join(F.broadcast(pieces), "piece")
     return edges.groupBy("unit").agg(F.collect_list(F.struct((-F.col("score")).alias("cost"), "s", "e", "id")).alias("edges"))
 
 
@@ -134,15 +135,19 @@ def unit_ids(units: DataFrame, vocabulary: Pieces, model: str = "bpe") -> DataFr
     return edges.select("unit", fold.alias("ids"))
 
 
-def encode(docs: DataFrame, path: str, model: str = "bpe", id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: doc_id and its ids."""
+def _map_ids(docs: DataFrame, path: str, model: str, id: str, text: str, finish, schema: str) -> DataFrame:
     placed, vocabulary = located(docs, id, text), load_pieces(path)
     folder = resolve(placed, path, lambda units: unit_ids(units, vocabulary, model))
+    return row_values(placed, path, folder, finish, schema)
+
 
-    def finish(values: np.ndarray, bounds: np.ndarray) -> list[pa.Array]:
-        return [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.astype(np.int32)))]
+def _lists(ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32)))
 
-    return row_values(placed, path, folder, finish, "doc_id long, ids array<int>")
+
+def encode(docs: DataFrame, path: str, model: str = "bpe", id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per document: doc_id and its ids."""
+    return _map_ids(docs, path, model, id, text, lambda ids, bounds: [_lists(ids, bounds)], "doc_id long, ids array<int>")
 
 
 def decoder(vocabulary: Pieces):
@@ -162,6 +167,10 @@ def decoder(vocabulary: Pieces):
     return decode
 
 
+def _texts(out: np.ndarray, rows: np.ndarray) -> pa.Array:
+    return pa.LargeStringArray.from_buffers(len(rows) - 1, pa.py_buffer(rows.astype(np.int64)), pa.py_buffer(out)).cast(pa.string())
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Per document: doc_id, ids and the text that they stand for."""
 
@@ -171,23 +180,35 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             lists = batch.column(1)
             bounds = lists.offsets.to_numpy().astype(np.int64)
             out, rows = back(lists.values.to_numpy()[bounds[0] : bounds[-1]], bounds - bounds[0])
-            texts = pa.LargeStringArray.from_buffers(len(rows) - 1, pa.py_buffer(rows.astype(np.int64)), pa.py_buffer(out)).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, texts], names=["doc_id", "ids", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, _texts(out, rows)], names=["doc_id", "ids", "text"])
 
     return encoded.mapInArrow(run, "doc_id long, ids array<int>, text string")
 
 
-def digest(decoded: DataFrame) -> DataFrame:
-    """doc_id, n_pieces, ids_crc32 (of 32-bit little-endian ids), text_sha256 of the decoded text."""
+@cache
+def _decoder(path: str):
+    return decoder(load_pieces(path))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(1)
-            bounds, values = lists.offsets.to_numpy().tolist(), lists.values.to_numpy().astype("<i4").tobytes()
-            crcs = [zlib.crc32(values[4 * a : 4 * b]) for a, b in zip(bounds, bounds[1:])]
-            buf, rows = batch.column(2).cast(pa.binary()), None
-            shas = [hashlib.sha256(x.as_buffer()).hexdigest() for x in buf]
-            del rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds), pa.int64()), pa.array(crcs, pa.int64()), pa.array(shas, pa.string())], names=["doc_id", "n_pieces", "ids_crc32", "text_sha256"])
-
-    return decoded.mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, text_sha256 string")
+
+def encode_decode(docs: DataFrame, path: str, model: str = "bpe", id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``decode(encode(docs))`` with n_pieces, in one pass over the texts."""
+
+    def finish(ids: np.ndarray, bounds: np.ndarray) -> list[pa.Array]:
+        out, rows = _decoder(path)(ids, bounds)
+        return [pa.array(np.diff(bounds)), _lists(ids, bounds), _texts(out, rows)]
+
+    return _map_ids(docs, path, model, id, text, finish, "doc_id long, n_pieces long, ids array<int>, text string")
+
+
+def encode_digest(docs: DataFrame, path: str, model: str = "bpe", id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per document, of encoding and decoding it: n_pieces, ids_crc32 (of the ids as 32-bit little-endian integers) and
+    text_sha256 of the decoded text."""
+
+    def finish(ids: np.ndarray, bounds: np.ndarray) -> list[pa.Array]:
+        out, rows = _decoder(path)(ids, bounds)
+        raw, text_ = ids.astype("<i4").tobytes(), out.tobytes()
+        crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
+        shas = [hashlib.sha256(text_[a:b]).hexdigest() for a, b in zip(rows.tolist(), rows[1:].tolist())]
+        return [pa.array(np.diff(bounds)), pa.array(crcs, pa.int64()), pa.array(shas, pa.string())]
+
+    return _map_ids(docs, path, model, id, text, finish, "doc_id long, n_pieces long, ids_crc32 long, text_sha256 string")

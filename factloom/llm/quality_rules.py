@@ -110,7 +110,7 @@ def measure(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
         F.try_divide(c, n).alias("_q_word_length"),
         ((n < MIN_WORDS) | (100 * F.col("m.n_repeat_words") > 50 * n)).alias("_q_base_failed"),
     )
-    return stage(out, "quality")
+    return stage(out, "quality", "zstd")
 
 
 def fences(measured: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:

@@ -29,8 +29,7 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path("piece_bpe_32k.model")
-    return piece_lattice.digest(piece_lattice.decode(piece_lattice.encode(_table(spark, sf_dir, "documents"), path), path))
+    return piece_lattice.encode_digest(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -170,10 +170,10 @@ def block_units(placed: DataFrame, path: str) -> DataFrame:
 def resolve(placed: DataFrame, path: str, answer: Callable[[DataFrame], DataFrame]) -> str:
     """Answer all distinct units and write each block's dictionary; returns the folder.
 
-    answer: from (unit), distinct and dealt out by unit, to (unit, ids array<int>), one row for each.
+    answer: from (unit), distinct and so dealt out by unit, to (unit, ids array<int>), one row for each.
     """
     folder = shared_dir(placed.sparkSession, "dictionaries")
-    pairs = block_units(placed, path).repartition("unit")
+    pairs = stage(block_units(placed, path), "units", "zstd")
     answered = answer(pairs.select("unit").distinct())
     given = pairs.join(answered, "unit").select("block", "unit", "ids")
 
@@ -243,7 +243,7 @@ def row_values(placed: DataFrame, path: str, folder: str, finish: Callable, sche
     finish gets, for some rows, all values in order and n + 1 bounds, and returns a list of Arrow arrays, which follow
     the id in ``schema``.
     """
-    names = [x.split()[0] for x in schema.replace("<", " ").split(", ")]
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts, now, known = cutter(path), None, None
