@@ -65,9 +65,9 @@ def split_ids(ids: Column, part: Column) -> Column:
 
 def percent(x: Column) -> Column:
     """A rate as percent with one decimal; a dash for null."""
-    return F.coalesce(F.format_string("%.1f%%", x * 100), F.lit("–"))
+    return F.when(x.isNotNull(), F.format_string("%.1f%%", x * 100)).otherwise("–")
 
 
 def fixed3(x: Column) -> Column:
     """Three decimals; a dash for null."""
-    return F.coalesce(F.format_string("%.3f", x), F.lit("–"))
+    return F.when(x.isNotNull(), F.format_string("%.3f", x)).otherwise("–")

@@ -22,7 +22,7 @@ MR = r"([A-Za-z ]+?)\[([^\]]*)\]"
 
 def parse_mr(mr):
     """ARRAY<STRUCT<key, value>> of a meaning representation; fails where nothing matches."""
-    keys, values = (F.transform(F.regexp_extract_all(mr, F.lit(MR), F.lit(g)), F.trim) for g in (1, 2))
+    keys, values = (F.transform(F.regexp_extract_all(mr, F.lit(MR), F.lit(g)), lambda x: F.trim(x)) for g in (1, 2))
     pairs = F.arrays_zip(keys.alias("key"), values.alias("value"))
     bad = F.raise_error(F.concat(F.lit("no attributes in: "), mr)).cast("array<struct<key:string,value:string>>")
     return F.when(F.size(keys) > 0, pairs).otherwise(bad)
