@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.text import SPACE_CHARS, bind, clauses, quoted, sentences, strip, whole_word, word_positions
+from factloom.functions.text import bind, clauses, quoted, sentences, strip, whole_word, word_positions
 
 # Patterns that make a claim, matched in any case.
 STAT = r"(?i)(\d+)\s+(points?|rebounds?|boards?|assists?|steals?|blocks?)\b"
