@@ -180,18 +180,19 @@ def _rows(done: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(fps), pa.binary()), pa.array(list(links), pa.int64()), pa.array(list(roots), pa.binary())], names=["fp", "links", "root"])
 
 
-def minimum_labels(edges: DataFrame, a: str, b: str) -> DataFrame:
+def minimum_labels(edges: DataFrame, a: str, b: str, rows: int) -> DataFrame:
     """(node, label): the smallest node of each node's component, by min-label steps with pointer jumping.
 
-    Every step is two partial aggregations over staged tables; it ends when no label changes.
+    Every step is a partial aggregation and two joins over staged tables; it ends when no label changes. rows: a bound
+    on the number of nodes.
     """
-    both = stage(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct(), "edges")
-    labels = stage(both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("label")), "labels")
+    both = stage(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct(), "edges", rows=2 * rows)
+    labels = stage(both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("label")), "labels", rows=rows)
     while True:
         near = both.join(labels.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
         step = labels.join(near, "u").select("u", F.least("label", "near").alias("label"), F.col("label").alias("was"))
         far = labels.select(F.col("u").alias("label"), F.col("label").alias("far"))
-        jumped = stage(step.join(far, "label", "left").select("u", F.least("label", F.coalesce("far", "label")).alias("label"), "was"), "labels")
+        jumped = stage(step.join(far, "label", "left").select("u", F.least("label", F.coalesce("far", "label")).alias("label"), "was"), "labels", rows=rows)
         labels = jumped.select("u", "label")
         if jumped.filter(F.col("label") != F.col("was")).isEmpty():
             return labels.select(F.col("u").alias("node"), "label")
@@ -202,15 +203,11 @@ def _bounded(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
-def _candidate_components(members: DataFrame) -> DataFrame:
+def _candidate_components(members: DataFrame, rows: int) -> DataFrame:
     """(fp, comp): classes that are linked by buckets, however far, share a component."""
-    labels = stage(members.groupBy("fp").agg(F.min("bucket").alias("comp")), "components")
-    while True:
-        low = members.join(labels, "fp").groupBy("bucket").agg(F.min("comp").alias("low"))
-        step = stage(members.join(low, "bucket").groupBy("fp").agg(F.min("low").alias("comp")).join(labels.withColumnRenamed("comp", "was"), "fp"), "components")
-        labels = step.select("fp", "comp")
-        if step.filter(F.col("comp") != F.col("was")).isEmpty():
-            return labels
+    hubs = members.groupBy("bucket").agg(F.min("fp").alias("hub"))
+    labels = minimum_labels(members.join(hubs, "bucket").select("fp", "hub").distinct(), "fp", "hub", rows)
+    return labels.select(F.col("node").alias("fp"), F.xxhash64("label").alias("comp"))
 
 
 def _blocks_of(count, weight):
@@ -222,19 +219,19 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
     and at or over the threshold), and the id and fp of its group's representative: the smallest id, then fp."""
     picked = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     signed = stage(picked.mapInArrow(_sign, "id long, fp binary, n long, bands array<long>"), "signatures")
-    own = stage(signed.filter("n > 0").groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
+    n = signed.count()
+    own = stage(signed.filter("n > 0").groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes", rows=n)
 
     put = own.select("fp", "n", F.explode("bands").alias("bucket"))
     buckets = put.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"), F.bit_xor(F.xxhash64("fp")).alias("x")).filter("m > 1")
-    kept = stage(buckets.groupBy("m", "w", "x").agg(F.min("bucket").alias("bucket")), "buckets")
-    members = stage(put.join(_bounded(kept.select("bucket", "m", "w"), 64), "bucket"), "members")
-    comps = stage(
-        _candidate_components(members).join(own.select("fp", "n"), "fp"), "candidates")
+    kept = stage(buckets.groupBy("m", "w", "x").agg(F.min("bucket").alias("bucket")), "buckets", rows=n)
+    members = stage(put.join(_bounded(kept.select("bucket", "m", "w"), 64), "bucket"), "members", rows=n * BANDS)
+    comps = stage(_candidate_components(members, n).join(own.select("fp", "n"), "fp"), "candidates", rows=n)
     sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("cm"), F.sum("n").alias("cw"))
     buckets_of = members.groupBy("fp").agg(F.collect_list(F.struct("bucket", "m", "w")).alias("in"))
-    candidates = stage(comps.join(sizes, "comp").join(buckets_of, "fp").join(own.select("fp", "rep", "copies", "bands"), "fp"), "candidates")
+    candidates = stage(comps.join(sizes, "comp").join(buckets_of, "fp").join(own.select("fp", "rep", "copies", "bands"), "fp"), "candidates", rows=n)
 
-    wanted = _bounded(stage(candidates.select(F.col("rep").alias("want")).distinct(), "wanted"), 32)
+    wanted = _bounded(stage(candidates.select(F.col("rep").alias("want")).distinct(), "wanted", rows=n), 32)
     texts = picked.join(wanted, F.col("id").eqNullSafe(F.col("want")), "left_semi")
     sets = texts.mapInArrow(_sets, "fp binary, grams binary").groupBy("fp").agg(F.first("grams").alias("grams"))
 
@@ -249,12 +246,12 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
     ready = candidates.join(sets, "fp").select("fp", "copies", "grams", F.when(small, empty).otherwise(kept_bands).alias("buckets"), F.explode(groups).alias("g"))
     ready = ready.select("fp", "copies", "grams", "buckets", F.col("g.key").alias("key"), own_block(F.col("g.nb")).alias("side"), F.explode(F.sequence(F.lit(0), F.col("g.nb") - 1)).alias("other"))
     ready = ready.select("key", F.least("side", "other").alias("a"), F.greatest("side", "other").alias("b"), "side", "fp", "copies", "grams", "buckets")
-    found = stage(ready.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(_verify, "fp binary, links long, root binary"), "links")
+    found = stage(ready.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(_verify, "fp binary, links long, root binary"), "links", rows=n)
 
     counts = found.groupBy("fp").agg(F.sum("links").alias("links"))
-    labels = minimum_labels(found.filter("fp <> root").select("fp", "root"), "fp", "root").withColumnRenamed("node", "fp")
+    labels = minimum_labels(found.filter("fp <> root").select("fp", "root"), "fp", "root", n).withColumnRenamed("node", "fp")
     named = own.select("fp", "rep", "copies").join(counts, "fp", "left").join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    named = stage(named, "named")
+    named = stage(named, "named", rows=n)
     first = F.min(F.struct(F.col("rep").isNull().alias("none"), F.col("rep").alias("rep"), F.col("fp").alias("fp"))).alias("first")
     tops = named.groupBy("label").agg(first)
     per_class = named.join(tops, "label").select("fp", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.col("first.rep").alias("top"), F.col("first.fp").alias("top_fp"))
@@ -274,12 +271,13 @@ def join_report(docs: DataFrame, **columns: str) -> DataFrame:
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group, that of the smallest id, with all columns; rows without words all stay."""
     judged = stage(classes(docs, id, text), "groups")
+    n = judged.count()
     stays = ~F.col("has_words") | (F.col("id").eqNullSafe(F.col("class_id")) & (F.col("fp") == F.col("class_fp")))
-    per_id = stage(judged.groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.count_if(stays).alias("kept")), "ids")
-    drop = _bounded(stage(per_id.filter("kept = 0").select(F.col("id").alias("drop_id")), "dropped"), 32)
+    per_id = stage(judged.groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.count_if(stays).alias("kept")), "ids", rows=n)
+    drop = _bounded(stage(per_id.filter("kept = 0").select(F.col("id").alias("drop_id")), "dropped", rows=n), 32)
     docs_id = F.col(id).cast("long")
     out = docs.join(drop, docs_id.eqNullSafe(F.col("drop_id")), "left_anti")
-    many = stage(per_id.filter("kept > 0 AND rows > 1").select(F.col("id").alias("many_id")), "repeated")
+    many = stage(per_id.filter("kept > 0 AND rows > 1").select(F.col("id").alias("many_id")), "repeated", rows=n)
     if many.isEmpty():
         return out
     # Ids with several rows, some of which stay: choose by fingerprint, and one of rows that are alike.
