@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from factloom.llm.common import doc_chunks, read_bytes, shared_dir, stage, string_bytes, write_bytes
 from factloom.llm.wordhash import mix
 
-BLOCK_ROWS = 8192
-_CHUNK = 1 << 19
+BLOCK_ROWS = 1 << 14
+_CHUNK = 1 << 18
 _U = np.uint64
 SPACE = 0x2581
 
