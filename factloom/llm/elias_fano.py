@@ -87,25 +87,30 @@ class EliasFano:
         out[some] = np.where(inside, at - k, self.n)
         return out
 
-    def successor(self, values: np.ndarray) -> np.ndarray:
-        """The first place whose value is at least the given one; n if there is none."""
-        h = (values >> _U(self.shift)).astype(np.int64)
-        low, high = self._bucket(h), self._bucket(h + 1)
+    def _search(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first place whose value is at least the given one, and where the bucket of the value's high part ends."""
+        # High parts beyond the vector have no bucket; they must not turn negative.
+        h = np.minimum(values >> _U(self.shift), _U(64 * len(self.high))).astype(np.int64)
+        low, end = self._bucket(h), self._bucket(h + 1)
+        high = end.copy()
         want = values & self.mask
         while (open_ := np.flatnonzero(low < high)).size:
             mid = (low[open_] + high[open_]) // 2
             less = self._low(mid) < want[open_]
             low[open_[less]] = mid[less] + 1
             high[open_[~less]] = mid[~less]
-        return low
+        return low, end
+
+    def successor(self, values: np.ndarray) -> np.ndarray:
+        """The first place whose value is at least the given one; n if there is none."""
+        return self._search(values)[0]
 
     def find(self, values: np.ndarray) -> np.ndarray:
-        """The first place of each value, or -1."""
+        """The first place of each value, or -1. Within its bucket a value is known by its low bits."""
         if not self.n:
             return np.full(len(values), -1, np.int64)
-        at = self.successor(values)
-        inside = np.minimum(at, self.n - 1)
-        return np.where((at < self.n) & (self.get(inside) == values), at, -1)
+        at, end = self._search(values)
+        return np.where((at < end) & (self._low(np.minimum(at, self.n - 1)) == (values & self.mask)), at, -1)
 
 
 def save(uri: str, arrays: dict[str, np.ndarray]) -> None:
