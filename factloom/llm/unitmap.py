@@ -156,9 +156,9 @@ def block_units(placed: DataFrame, path: str) -> DataFrame:
                     starts = cuts.starts(points, rows)
                     ends = np.append(starts[1:], len(points))
                     keys, where = np.unique(unit_keys(points, starts, ends), return_index=True)
-                    at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
-                    new = known[at] != keys if len(known) else np.ones(len(keys), bool)
-                    known = np.union1d(known, keys[new])
+                    at = np.searchsorted(known, keys)
+                    new = known[np.minimum(at, len(known) - 1)] != keys if len(known) else np.ones(len(keys), bool)
+                    known = np.insert(known, at[new], keys[new])
                     s, e = starts[where[new]], ends[where[new]]
                     text = points.tobytes().decode("utf-32-le")
                     units = [text[x:y] for x, y in zip(s.tolist(), e.tolist(), strict=True)]
