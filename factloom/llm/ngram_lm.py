@@ -35,7 +35,8 @@ from factloom.llm import elias_fano as ef
 from factloom.llm.common import doc_chunks, shared_dir, stage, string_bytes
 from factloom.llm.wordhash import NONSPACE, mix, scan
 
-MIN_COUNTS = (1, 2, 2)
+#: Nothing is pruned: every n-gram of the training texts is scored with.
+MIN_COUNTS = (1, 1, 1)
 DISCOUNT = 0.75
 #: Tokens whose counts a bucket gathers.
 BUCKET_TOKENS = 2_000_000

@@ -233,6 +233,34 @@ def test_language_model(docs):
     assert seen.score > seen.base_score
 
 
+def test_language_model_interpolates_all_ngrams(spark):
+    rows = [(i, t) for i, t, *_ in corpus()] + [(20 + i, text(60 + i, 40)) for i in range(12)]
+    out = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    tr = str.maketrans(UPPER, UPPER.lower())
+    docs = [(i, [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(tr)), None]) for i, t in rows]
+    grams, types = collections.Counter(), collections.Counter()
+    for i, ws in docs:
+        padded = [None, *ws]
+        for k in range(1, len(padded)) if not out(i) else ():
+            grams.update(tuple(padded[a : k + 1]) for a in range(max(0, k - 2), k + 1))
+    for g in grams:
+        types[g[:-1]] += 1
+    n, v = sum(c for g, c in grams.items() if len(g) == 1), sum(len(g) == 1 for g in grams)
+
+    def p(g: tuple) -> float:
+        if len(g) == 1:
+            return (grams[g] + 1) / (n + v + 1)
+        c, d = g[:-1], ngram_lm.DISCOUNT
+        return max(grams[g] - d, 0) / grams[c] + d * types[c] / grams[c] * p(g[1:]) if types[c] else p(g[1:])
+
+    assert any(c == 1 and len(g) == 2 for g, c in grams.items()) and any(c == 1 and len(g) == 3 for g, c in grams.items())
+    got = {(r.doc_id, r.n_tokens): r.score for r in ngram_lm.train_and_score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, ws in docs:
+        padded = [None, *ws]
+        want = sum(math.log10(p(tuple(padded[max(0, k - 2) : k + 1]))) for k in range(1, len(padded)))
+        assert math.isclose(got[i, len(ws)], want, abs_tol=2.5e-4 * len(ws)), i  # probabilities are kept in log bins
+
+
 def test_quality_rules(spark, docs):
     got = rows_of(quality_rules.quality_report(docs).drop("kept"))
     want = []
