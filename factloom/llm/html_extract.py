@@ -5,7 +5,8 @@
    and classes (digits removed, class names sorted).
 2. Votes are summed per (host, path) and the leading ``MOST_PATHS`` paths of each host kept.
 3. Each page is read again: its text is that of the elements on the leading path that it has; a page with none of
-   them uses its own best container.
+   them uses its own best container. From there it rises to the article around it, or to an ancestor whose other
+   blocks are text too, so that headings, leads and parts beside the container stay.
 
 Boilerplate inside them (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles) is
 left out by tag and by class or id word. Blocks are joined by a line feed; white space inside a block is one space;
@@ -150,23 +151,56 @@ def best_container(page: str) -> tuple[str, int, _Open | None]:
     return (best.path, best.score, best) if best else ("", 0, None)
 
 
+def _rise(path: str, held: list[tuple[str, int, list[_Open]]]) -> str:
+    """The path of the ancestor that holds the whole text of which the elements on ``path`` are a part, else ``path``.
+
+    That is the nearest article; without one, containers up to main or body while all they add is text outside links.
+    Body is risen to only for a title (h1) that the elements lack, as unmarked sidebars stand there too.
+    """
+    # The element of a path of n steps is the n-th of a stack.
+    stack, at = next((stack, k) for _, _, stack in held for k, e in enumerate(stack) if e.path == path)
+    article = next((k for k in range(at, -1, -1) if stack[k].tag == "article"), None)
+    if article is not None:
+        return stack[article].path
+    on = lambda s, k, q: len(s) > k and s[k].path == q
+    for k in range(at, -1, -1):
+        e = stack[k]
+        if e.tag not in _CONTAINERS or k == at:
+            if e.tag == "main":
+                break
+            continue
+        within = [b for b in held if on(b[2], k, e.path)]
+        added = [b for b in within if not on(b[2], at, path)]
+        if any(2 * linked > len(text) for text, linked, _ in added):
+            break
+        if e.tag == "body":
+            titled = [on(s, at, path) for _, _, s in within if s[-1].tag == "h1"]
+            if not titled or any(titled):
+                break
+        if added:
+            path, at = e.path, k
+        if e.tag == "main":
+            break
+    return path
+
+
 def extract(page: str, paths: list[str]) -> str:
-    """The text of the elements on the first of the paths that holds any, else of the page's best container."""
-    found: dict[str, list[str]] = {}
-    every = []
-    for text, _, stack in blocks(page):
+    """The text around the elements on the first of the paths that holds any, else around the page's best container."""
+    found: set[str] = set()
+    held = []
+    for block in blocks(page):
+        stack = block[2]
         if stack and stack[-1].dropped:
             continue
-        every.append((text, stack))
+        held.append(block)
         for e in stack:
             if e.path in paths:
-                found.setdefault(e.path, []).append(text)
+                found.add(e.path)
                 break
-    for path in paths:
-        if path in found:
-            return "\n".join(found[path])
-    best = best_container(page)[0]
-    return "\n".join(text for text, stack in every if not best or any(e.path == best for e in stack))
+    path = next((p for p in paths if p in found), None) or best_container(page)[0]
+    if path:
+        path = _rise(path, held)
+    return "\n".join(text for text, _, stack in held if not path or any(e.path == path for e in stack))
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -313,6 +313,23 @@ def test_html_extraction(spark):
     assert texts == {1: "A & B\nfirst bold text goes on\nsecond one that is long enough", 2: "x", 3: "third page of the host with a long paragraph", 4: "", 5: "", 6: "plain <text> without markup", 7: "cut off &am"}
 
 
+def extracted(page: str, paths: list[str] | None = None) -> list[str]:
+    return html_extract.extract(f"<html><body>{page}</body></html>", paths or []).split("\n")
+
+
+def test_blocks_beside_the_best_container_stay():
+    long = "a long body of the article " * 20
+    body, want = f"<div class=content><p>{long}</p></div>", long.strip()
+    assert extracted(f"<article><h1>Title</h1><p>lead</p>{body}</article>") == ["Title", "lead", want]
+    assert extracted(f"<article><h1>Title</h1><p>lead</p>{body}</article>", ["html>body>article>div.content"]) == ["Title", "lead", want]
+    assert extracted(f"<article><div class=intro><p>first</p></div>{body}</article><div class=side>more</div>") == ["first", want]
+    assert extracted(f"<div class=wrap><div class=intro><h1>T</h1>first</div>{body}</div><div class=side>more</div>") == ["T", "first", want]
+    assert extracted(f"<main><div class=rest><p>end</p></div>{body}</main><div class=side>more</div>") == ["end", want]
+    assert extracted(f"<h1>Title</h1><p>lead</p>{body}") == ["Title", "lead", want]
+    assert extracted(f"{body}<div class=side><p>more</p></div>") == [want]
+    assert extracted(f"<div class=wrap>{body}<ul><li><a href=x>elsewhere</a></li></ul></div>") == [want]
+
+
 def test_chat_expansion(spark):
     bad = "</s>[INST] ok [/INST] \\ \\<s> <<SYS>>"
     turns = [(1, 0, "user", bad), (1, 1, "assistant", bad), (1, 1, "assistant", bad), (1, 2, "user", None), (1, 3, "assistant", "é" * 5000), (2, 0, "system", "only"), (None, 0, None, "x"), (3, None, "assistant", "")]
