@@ -9,7 +9,8 @@
    blocks are text too, so that headings, leads and parts beside the container stay.
 
 Boilerplate inside them (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles) is
-left out by tag and by class or id word. Blocks are joined by a line feed; white space inside a block is one space;
+left out by tag, by role, and for wrappers by class or id word; an id marks a wrapper only as a whole, and no section of
+an article. Captions, formulas and the text of drawings and embedded objects stay. Blocks are joined by a line feed; white space inside a block is one space;
 ``<br>`` counts as white space.
 
 Defined results: a null or empty page has an empty text; a null url has the empty host; markup that isn't closed ends
@@ -36,14 +37,21 @@ _BLOCKS = _CONTAINERS | frozenset(
     "html p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table thead tbody tfoot tr th caption pre figure figcaption hr address details summary "
     "fieldset nav aside header footer form dialog".split()
 )
-_DROPPED_TAGS = frozenset("nav aside header footer form dialog head button select option menu figcaption".split())
-_RAW = "script|style|textarea|title|noscript|template|iframe|svg|object|select|button|math"
+_DROPPED_TAGS = frozenset("nav aside header footer form dialog head button select option menu".split())
+_RAW = "script|style|textarea|title|noscript|template|iframe|select|button"
 #: Words of a class or id that mark boilerplate.
 _DROPPED_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus "
     "footer form header masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promos "
     "promotion related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe teaser toolbar topbar widget".split()
 )
+#: Words that may stand beside those in a class name; with any other word the name is one of content.
+_LAYOUT_WORDS = frozenset(
+    "site page main global top bottom left right inner outer list box bar area block wrap wrapper container content section group item items row "
+    "links link buttons button icons post posts article articles entry".split()
+)
+#: Blocks that a class or id word can mark; headings, paragraphs and list items are content whatever their names.
+_WRAPPERS = frozenset("div section center td ul ol dl table fieldset details".split())
 _VOID = frozenset("br hr img input meta link wbr area base col embed source track".split())
 #: What an opening tag closes first.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -57,20 +65,31 @@ _WORD = re.compile(r"[a-z]+")
 
 
 class _Open:
-    __slots__ = ("dropped", "path", "score", "tag")
+    __slots__ = ("dropped", "inside", "path", "score", "tag")
+
+    def __init__(self, tag: str, path: str, dropped: bool, inside: bool) -> None:
+        """inside: whether it is an article or main, or lies in one."""
+        self.tag, self.path, self.dropped, self.inside, self.score = tag, path, dropped, inside, 0
+
 
-    def __init__(self, tag: str, path: str, dropped: bool) -> None:
-        self.tag, self.path, self.dropped, self.score = tag, path, dropped, 0
+def _marked(kind: str, value: str) -> bool:
+    """Whether a class or id says boilerplate: as a whole name, or for a class beside words of layout only."""
+    for name in value.split():
+        words = _WORD.findall(name)
+        if not _DROPPED_WORDS.isdisjoint(words) and (len(words) == 1 or (kind == "class" and all(w in _DROPPED_WORDS or w in _LAYOUT_WORDS for w in words))):
+            return True
+    return False
 
 
-def _step(tag: str, rest: str) -> tuple[str, bool]:
-    """The generalised step of an opening tag, and whether it is boilerplate."""
+def _step(tag: str, rest: str, inside: bool) -> tuple[str, bool]:
+    """The generalised step of an opening tag, and whether it is boilerplate; inside: whether it lies in an article."""
     names: list[str] = []
     dropped = tag in _DROPPED_TAGS
     for kind, *values in _ATTRIBUTE.findall(rest) if rest else ():
         value, kind = "".join(values).lower(), kind.lower()
         if kind in ("class", "id"):
-            dropped = dropped or (tag not in ("html", "body", "article", "main") and not _DROPPED_WORDS.isdisjoint(_WORD.findall(value)))
+            if tag in _WRAPPERS and not (kind == "id" and tag == "section" and inside):
+                dropped = dropped or _marked(kind, value)
             if kind == "class":
                 names = sorted({re.sub(r"\d+", "", x) for x in value.split()})
         elif kind == "role":
@@ -123,9 +142,10 @@ def blocks(page: str) -> Iterator[tuple[str, int, list[_Open]]]:
             stack.pop()
         if tag in _VOID:
             continue
-        step, dropped = _step(tag, m[4])
         above = stack[-1] if stack else None
-        stack.append(_Open(tag, f"{above.path}>{step}" if above else step, dropped or bool(above and above.dropped)))
+        inside = bool(above and above.inside)
+        step, dropped = _step(tag, m[4], inside)
+        stack.append(_Open(tag, f"{above.path}>{step}" if above else step, dropped or bool(above and above.dropped), inside or tag in ("article", "main")))
     if at < len(page):
         parts.append(html.unescape(page[at:]))
     if out := flush():

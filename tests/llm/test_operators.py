@@ -330,6 +330,16 @@ def test_blocks_beside_the_best_container_stay():
     assert extracted(f"<div class=wrap>{body}<ul><li><a href=x>elsewhere</a></li></ul></div>") == [want]
 
 
+def test_content_is_not_dropped_by_name():
+    page = (
+        "<article><h1>Title</h1><h2 id='related-work'>Related work</h2><p class='notice'>seen</p><section id='market-share'><p>shares</p></section>"
+        "<section id='comments'><p>on form</p></section><div class='share-price'>12</div><div id='related-work'>older</div><ul><li id='form'>item</li></ul>"
+        "<figure><figcaption>caption</figcaption></figure><p>so <math><mi>x</mi></math> is <svg><text>drawn</text></svg> <object>fallback</object></p>"
+        "<div id='comments'>reply</div><div class='related-posts'>others</div><div class='site-footer2'>end</div></article>"
+    )
+    assert extracted(page) == ["Title", "Related work", "seen", "shares", "on form", "12", "older", "item", "caption", "so x is drawn fallback"]
+
+
 def test_chat_expansion(spark):
     bad = "</s>[INST] ok [/INST] \\ \\<s> <<SYS>>"
     turns = [(1, 0, "user", bad), (1, 1, "assistant", bad), (1, 1, "assistant", bad), (1, 2, "user", None), (1, 3, "assistant", "é" * 5000), (2, 0, "system", "only"), (None, 0, None, "x"), (3, None, "assistant", "")]
