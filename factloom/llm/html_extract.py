@@ -213,10 +213,7 @@ def extract(page: str, paths: list[str]) -> str:
         if stack and stack[-1].dropped:
             continue
         held.append(block)
-        for e in stack:
-            if e.path in paths:
-                found.add(e.path)
-                break
+        found.update(e.path for e in stack if e.path in paths)
     path = next((p for p in paths if p in found), None) or best_container(page)[0]
     if path:
         path = _rise(path, held)

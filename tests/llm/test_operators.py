@@ -340,6 +340,16 @@ def test_content_is_not_dropped_by_name():
     assert extracted(page) == ["Title", "Related work", "seen", "shares", "on form", "12", "older", "item", "caption", "so x is drawn fallback"]
 
 
+def test_a_stray_vote_for_an_ancestor_does_not_count(spark):
+    side = "<div class=side><p>unmarked sidebar</p></div>"
+    rows = [(i, "http://h/", f"<html><body><div class=post><p>{text(i, 30)}</p></div>{side}</body></html>") for i in range(20)]
+    rows.append((20, "http://h/", f"<html><body>{text(20, 30)}</body></html>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert html_extract.host_paths(pages).first().paths == ["html>body>div.post", "html>body"]
+    got = {r.page_id: r.text for r in html_extract.extract_pages(pages).collect()}
+    assert got == {i: text(i, 30) for i in range(21)}
+
+
 def test_chat_expansion(spark):
     bad = "</s>[INST] ok [/INST] \\ \\<s> <<SYS>>"
     turns = [(1, 0, "user", bad), (1, 1, "assistant", bad), (1, 1, "assistant", bad), (1, 2, "user", None), (1, 3, "assistant", "é" * 5000), (2, 0, "system", "only"), (None, 0, None, "x"), (3, None, "assistant", "")]
