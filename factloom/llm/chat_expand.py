@@ -2,7 +2,8 @@
 
 An example's context is everything before its turn and only its reply is trainable. Writing the contexts out
 would square a long conversation, so the output holds each formatted turn once and an example is a span over its
-conversation's stream: context = stream[0:target_from], target = stream[target_from:target_to].
+conversation's stream: context = stream[0:target_from], target = stream[target_from:target_to]. ``examples`` carries
+the expansion out from the spans: a row per assistant turn with its whole context, made as it is read.
 
 Template of a turn: ``<s>ROLE[INST]TEXT[/INST]</s>``. Inside ROLE and TEXT a backslash is doubled and every control
 string gets a backslash after its first character, so escaped text never holds one and unescaping is exact.
@@ -26,6 +27,9 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import stage
 
+#: Characters of examples that a batch gathers before it is passed on; a longer example is a batch of its own.
+EXAMPLE_CHARS = 8 << 20
+
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 _ESCAPE = re.compile(r"\\|" + "|".join(f"(?<={re.escape(c[0])})(?={re.escape(c[1:])})" for c in CONTROL))
 _UNESCAPE = re.compile(r"\\(.)", re.S)
@@ -87,6 +91,41 @@ def render(output: DataFrame, conv_id: int, ordinal: int) -> tuple[str, str]:
     return stream[: rows[-1].target_from], stream[rows[-1].target_from : rows[-1].target_to]
 
 
+def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    conv, stream, begun, size = None, "", False, 0
+    rows: list[tuple] = []
+
+    def flush() -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * len(_EXAMPLES)
+        rows.clear()
+        return pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(columns, _EXAMPLES, strict=True)], schema=_EXAMPLES)
+
+    for batch in batches:
+        for c, ordinal, segment, a, b in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "ordinal", "segment", "target_from", "target_to")), strict=True):
+            if not begun or c != conv:
+                conv, stream, begun = c, "", True
+            stream += segment
+            if a is not None:
+                if rows and size + b > EXAMPLE_CHARS:
+                    yield flush()
+                    size = 0
+                rows.append((c, ordinal, stream[:a], stream[a:b]))
+                size += b
+    yield flush()
+
+
+_EXAMPLES = pa.schema([("conv_id", pa.int64()), ("ordinal", pa.int64()), ("context", pa.string()), ("target", pa.string())])
+
+
+def examples(output: DataFrame) -> DataFrame:
+    """One row per assistant turn: conv_id, ordinal, context (all before its text) and target, from the output.
+
+    A task holds the stream of the conversation at hand. Written out, the contexts of a conversation take the square of its turns.
+    """
+    dealt = output.repartition("conv_id").sortWithinPartitions("conv_id", "ordinal")
+    return dealt.mapInArrow(_examples, "conv_id long, ordinal long, context string, target string")
+
+
 _DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long, example_chars long"
 _DIGEST_SCHEMA = pa.schema([(x.split()[0], pa.int64() if x.split()[1] == "long" else pa.string()) for x in _DIGESTS.split(", ")])
 

@@ -365,3 +365,19 @@ def test_chat_expansion(spark):
     context, target = chat_expand.render(out, 1, 1)
     assert chat_expand.unescape(target) == bad and context.startswith("<s>user[INST]") and "</s>[INST] ok" not in context
     assert got[1].n_examples == 3
+
+
+def test_chat_examples_hold_their_contexts(spark, monkeypatch):
+    monkeypatch.setattr(chat_expand, "EXAMPLE_CHARS", 50)
+    turns = [(c, k, "assistant" if k % 2 else "user", f"{c} <s> {k}" if k != 3 else None) for c in (1, 2, None) for k in range(7)] + [(3, 0, "user", "alone")]
+    out = chat_expand.expand(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    want = []
+    for c in (1, 2, None):
+        stream = ""
+        for _, k, role, t in (t for t in turns if t[0] == c):
+            segment, a, b = chat_expand.format_turn(role, t or "")
+            if role == "assistant":
+                want.append((c, k, stream + segment[:a], segment[a:b]))
+            stream += segment
+    assert rows_of(chat_expand.examples(out)) == sorted(want, key=repr)
+    assert chat_expand.examples(out.limit(0)).count() == 0
