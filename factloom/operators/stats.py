@@ -16,12 +16,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factloom.operators import overlap
+
 MAX_WEIGHTS = 200_000_000
 
 
 @dataclass(frozen=True)
 class Metric:
-    """How a metric follows from item columns: a mean, a ratio of sums, or the share of positive values."""
+    """How a metric follows from item columns: a mean, a ratio of sums, the share of positive values, or corpus BLEU from summed counts."""
 
     name: str
     kind: str
@@ -29,13 +31,22 @@ class Metric:
     higher_better: bool
     is_rate: bool = True
 
-    def parts(self) -> tuple[Column, Column]:
-        """Per item: numerator and denominator terms."""
+    def terms(self) -> list[Column]:
+        """Per item: what is summed; numerator and denominator, or the counts of BLEU in the order of its columns."""
+        if self.kind == "bleu":
+            return [F.col(c).cast("double") for c in self.columns]
         if self.kind == "ratio":
-            return F.col(self.columns[0]).cast("double"), F.col(self.columns[1]).cast("double")
+            return [F.col(self.columns[0]).cast("double"), F.col(self.columns[1]).cast("double")]
         if self.kind == "positive":
-            return (F.col(self.columns[0]) > 0).cast("double"), F.lit(1.0)
-        return F.col(self.columns[0]).cast("double"), F.lit(1.0)
+            return [(F.col(self.columns[0]) > 0).cast("double"), F.lit(1.0)]
+        return [F.col(self.columns[0]).cast("double"), F.lit(1.0)]
+
+    def value(self, sums: Sequence[Column]) -> Column:
+        """The metric from the sums of its terms."""
+        if self.kind == "bleu":
+            n = overlap.MAX_N
+            return overlap.bleu_score(sums[:n], sums[n : 2 * n], sums[2 * n], sums[2 * n + 1])
+        return F.try_divide(*sums)
 
 
 # The metrics that runs are compared on.
@@ -47,6 +58,7 @@ METRICS = (
     Metric("contra_claims", "ratio", ("nli_contradicted_n", "nli_claims_n"), False),
     Metric("contra_items", "positive", ("nli_contradicted_n",), False),
     Metric("parent", "mean", ("parent_f1",), True, False),
+    Metric("bleu", "bleu", (*overlap.MATCH, *overlap.TOTAL, "bleu_hyp_len", "bleu_ref_len"), True, False),
     Metric("seq_logprob", "mean", ("seq_logprob",), True, False),
 )
 
@@ -81,12 +93,10 @@ def numbered(items: DataFrame, id: str = "id") -> DataFrame:
 
 def _sums(items: DataFrame, weights: DataFrame, metrics: Sequence[Metric], by: Sequence[str]) -> DataFrame:
     joined = items.join(weights, "item")
-    aggs = []
-    for m in metrics:
-        num, den = m.parts()
-        aggs += [F.sum(num * F.col("w")).alias(f"{m.name}_num"), F.sum(den * F.col("w")).alias(f"{m.name}_den")]
+    named = {m.name: [f"{m.name}_{k}" for k in range(len(m.terms()))] for m in metrics}
+    aggs = [F.sum(term * F.col("w")).alias(c) for m in metrics for c, term in zip(named[m.name], m.terms(), strict=True)]
     sums = joined.groupBy(*by, "b").agg(*aggs)
-    pairs = F.array(*[F.struct(F.lit(m.name).alias("metric"), F.try_divide(F.col(f"{m.name}_num"), F.col(f"{m.name}_den")).alias("value")) for m in metrics])
+    pairs = F.array(*[F.struct(F.lit(m.name).alias("metric"), m.value([F.col(c) for c in named[m.name]]).alias("value")) for m in metrics])
     return sums.select(*by, "b", F.explode(pairs).alias("p")).select(*by, "b", "p.*")
 
 

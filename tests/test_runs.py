@@ -132,3 +132,27 @@ def test_streaming(spark, tmp_path):
     q.awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).first()
     assert (got.n_exact, got.n_supported, got.n_numbers, got.rel_claims_n, got.rel_wrong_n) == (1, 1, 2, 1, 0)
+
+
+def test_bleu_is_compared_from_summed_counts(spark):
+    metric = next(m for m in stats.METRICS if m.name == "bleu")
+    rng = np.random.default_rng(11)
+    rows = [(run, i, *(int(x) for x in (*sorted(rng.integers(1, 9, 4), reverse=True), 20, 19, 18, 17, 20, 18 + i % 5))) for run in "AB" for i in range(30)]
+    items = spark.createDataFrame(rows, ["run", "item", *metric.columns])
+
+    def bleu(counts: np.ndarray) -> float:
+        s = counts.sum(axis=0)
+        penalty = 1.0 if s[8] > s[9] else math.exp(1 - s[9] / s[8])
+        return 100 * penalty * math.exp(sum(math.log(s[k] / s[4 + k]) / 4 for k in range(4)))
+
+    by_run = {run: np.array([r[2:] for r in rows if r[0] == run], float) for run in "AB"}
+    ci = {r.run: r for r in stats.bootstrap_ci(items, stats.numpy_weights(spark, 30, 200), [metric]).collect()}
+    g = np.random.default_rng(13)
+    draws = [g.integers(0, 30, 30) for _ in range(200)]
+    for run, counts in by_run.items():
+        lo, hi = np.percentile([bleu(counts[d]) for d in draws], [2.5, 97.5])
+        assert all(math.isclose(x, y, rel_tol=1e-9) for x, y in zip((ci[run].point, ci[run].lo, ci[run].hi), (bleu(counts), lo, hi), strict=True))
+    best = max(by_run, key=lambda r: bleu(by_run[r]))
+    values = stats.points(items, [metric])
+    assert {r.run: r["rank"] for r in stats.ranks(values, [metric]).collect()}[best] == 1
+    assert [m.name for m in stats.active_metrics(items, stats.METRICS)] == ["bleu"] and len(stats.METRICS) == 9
