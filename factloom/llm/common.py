@@ -26,17 +26,36 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/factloom/{label}-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame, label: str, codec: str = "snappy", rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, and a lost executor loses nothing of it.
 
-    rows: a bound on the rows where it is known; a small table is then written in as few files as there are cores.
+    The shuffle files of the write go when it has ended, as nothing reads them again. rows: a bound on the rows where it
+    is known; a small table is then written in as few files as there are cores.
     """
     spark = df.sparkSession
     path = shared_dir(spark, label)
     if rows is not None:
         df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def drop_staged(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table._staged_at)
+        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def string_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

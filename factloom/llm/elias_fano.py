@@ -1,8 +1,8 @@
 """Elias-Fano sequences and files of named arrays, read in place from memory-mapped bytes.
 
-A non-decreasing sequence is stored as packed low bits and a unary bit vector of the high parts with counts per 64-bit
-word. ``get`` selects the i-th value; ``find`` goes to the bucket of a value's high part and searches its low bits
-there. Both take whole arrays of queries.
+A non-decreasing sequence is stored as packed low bits and a unary bit vector of the high parts. ``get`` reads the i-th
+value; ``find`` goes to the bucket of a value's high part and searches its low bits there. Both take whole arrays of
+queries.
 """
 
 from __future__ import annotations
@@ -15,36 +15,30 @@ import pyarrow as pa
 from factloom.llm.common import read_bytes, write_bytes
 
 _U = np.uint64
-_HALVES = tuple((s, _U((1 << s) - 1)) for s in (32, 16, 8, 4, 2, 1))
-
-
-def _select_in_word(words: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """Position of the k-th (from 0) set bit of each word."""
-    at = np.zeros(len(words), np.int64)
-    words, k = words.copy(), k.copy()
-    for size, mask in _HALVES:
-        low = np.bitwise_count(words & mask).astype(np.int64)
-        up = k >= low
-        k -= np.where(up, low, 0)
-        at += np.where(up, size, 0)
-        words = np.where(up, words >> _U(size), words & mask)
-    return at
+#: Values that a bucket (those of one high part) holds on average; a power of two.
+BUCKET = 8
 
 
 class EliasFano:
-    def __init__(self, n: int, shift: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray) -> None:
-        """low: packed bytes with 8 spare ones; high: 64-bit words; ones: set bits before each word."""
-        self.n, self.shift, self.high, self.ones = n, shift, high, ones
+    def __init__(self, n: int, shift: int, low: np.ndarray, high: np.ndarray) -> None:
+        """low: packed bytes with 8 spare ones, read in place; high: the high parts in unary, as 64-bit words.
+
+        The unary vector is turned into where each bucket begins, so a query takes no select.
+        """
+        self.n, self.shift = n, shift
         self.mask = _U((1 << shift) - 1)
         self.windows = np.ndarray((max(0, len(low) - 7),), "<u8", low, strides=(1,)) if shift else None
-        self.zeros = np.arange(len(ones), dtype=np.int64) * 64 - ones
+        ends = np.flatnonzero(np.unpackbits(high.view(np.uint8), bitorder="little") == 0)
+        kind = np.uint32 if n < 1 << 32 else np.int64
+        #: How many values have a high part below each.
+        self.starts = np.concatenate([[0], ends - np.arange(len(ends))]).astype(kind)
 
     @staticmethod
     def encode(values: np.ndarray) -> dict[str, np.ndarray]:
         """The arrays of a sequence of non-decreasing uint64 values; names as ``load`` expects them."""
         n = len(values)
         top = int(values[-1]) if n else 0
-        shift = max(0, min(56, (top // max(n, 1)).bit_length() - 1)) if n else 0
+        shift = max(0, min(56, (top // max(n, 1)).bit_length() - 1 + BUCKET.bit_length() - 1)) if n else 0
         low = np.zeros((n * shift + 7) // 8 + 8, np.uint8)
         for i in range(0, n if shift else 0, 1 << 16):
             part = values[i : i + (1 << 16)]
@@ -55,14 +49,12 @@ class EliasFano:
         size = (int(at[-1]) // 64 + 2) if n else 1
         bits = np.zeros(size * 64, np.uint8)
         bits[at] = 1
-        high = np.packbits(bits, bitorder="little").view("<u8")
-        count = np.bitwise_count(high).astype(np.int64)
-        return {"meta": np.array([n, shift], np.int64), "low": low, "high": high, "ones": np.cumsum(count) - count}
+        return {"meta": np.array([n, shift], np.int64), "low": low, "high": np.packbits(bits, bitorder="little").view("<u8")}
 
     @staticmethod
     def load(arrays: dict[str, np.ndarray], name: str) -> EliasFano:
         n, shift = arrays[f"{name}.meta"].tolist()
-        return EliasFano(n, shift, *(arrays[f"{name}.{k}"] for k in ("low", "high", "ones")))
+        return EliasFano(n, shift, *(arrays[f"{name}.{k}"] for k in ("low", "high")))
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.shift:
@@ -71,34 +63,24 @@ class EliasFano:
         return (self.windows[bit >> 3] >> (bit & 7).astype(np.uint64)) & self.mask
 
     def get(self, i: np.ndarray) -> np.ndarray:
-        """The values at the places ``i``."""
-        word = np.searchsorted(self.ones, i, "right") - 1
-        at = word * 64 + _select_in_word(self.high[word], i - self.ones[word])
-        return ((at - i).astype(np.uint64) << _U(self.shift)) | self._low(i)
-
-    def _bucket(self, h: np.ndarray) -> np.ndarray:
-        """How many values have a high part below ``h``."""
-        out = np.zeros(len(h), np.int64)
-        some = h > 0
-        k = h[some] - 1
-        inside = k < self.zeros[-1] + 64 - np.bitwise_count(self.high[-1])
-        word = np.searchsorted(self.zeros, k, "right") - 1
-        at = word * 64 + _select_in_word(~self.high[word], np.where(inside, k - self.zeros[word], 0))
-        out[some] = np.where(inside, at - k, self.n)
-        return out
+        """The values at the places ``i``; quickest where they ascend."""
+        high = np.searchsorted(self.starts, i.astype(self.starts.dtype), "right") - 1
+        return (high.astype(np.uint64) << _U(self.shift)) | self._low(i)
 
     def _search(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The first place whose value is at least the given one, and where the bucket of the value's high part ends."""
-        # High parts beyond the vector have no bucket; they must not turn negative.
-        h = np.minimum(values >> _U(self.shift), _U(64 * len(self.high))).astype(np.int64)
-        low, end = self._bucket(h), self._bucket(h + 1)
-        high = end.copy()
-        want = values & self.mask
-        while (open_ := np.flatnonzero(low < high)).size:
-            mid = (low[open_] + high[open_]) // 2
+        # High parts beyond the vector have no bucket.
+        h = np.minimum(values >> _U(self.shift), _U(len(self.starts) - 2)).astype(np.int64)
+        low, end = self.starts[h].astype(np.int64), self.starts[h + 1].astype(np.int64)
+        high, want = end.copy(), values & self.mask
+        open_ = np.flatnonzero(low < high)
+        while open_.size:
+            a, b = low[open_], high[open_]
+            mid = (a + b) >> 1
             less = self._low(mid) < want[open_]
-            low[open_[less]] = mid[less] + 1
-            high[open_[~less]] = mid[~less]
+            low[open_] = a = np.where(less, mid + 1, a)
+            high[open_] = b = np.where(less, b, mid)
+            open_ = open_[a < b]
         return low, end
 
     def successor(self, values: np.ndarray) -> np.ndarray:

@@ -1,22 +1,27 @@
 """An n-gram language model in an Elias-Fano trie: trained on the whole corpus, memory-mapped, queried in batches.
 
-Counts. Words are 64-bit fingerprints; one pass counts them. For each further order a pass walks the trie built so far
-and counts (context node, word) for the contexts that it holds. A chunk's counts travel as compressed runs of sorted
-keys, hashed into buckets of a bounded size, so no word or context is hot. N-grams below ``MIN_COUNTS`` are pruned
-after counting; their mass stays with the shorter context.
-
-Trie. A level is sorted by (context node, word) and cut into shards by range. A shard holds its contexts, the pointers
-to their first children, and the children's word ids relative to their context (raised by what stands before, so that
-one monotone sequence results) as Elias-Fano sequences, and the discounted probabilities in 16-bit log bins. A lookup
-takes a context's pointers and searches the successor of (base + word) within that range. What a context leaves to the
-shorter one stands in shards of its own.
+Counts. Words are 64-bit fingerprints; one pass counts them and numbers them, and another writes every document as word
+numbers. For each further order a pass leads the documents through the trie built so far and counts (context node,
+word). A chunk's counts travel as compressed runs of sorted keys. Where a run is cut follows from the counts of the
+order below: a shard takes a range of contexts of about ``SHARD_TOKENS`` occurrences, and a context with more of them
+is split over several shards by word, so no word or context is hot. Nothing is pruned.
+
+Trie. A shard holds, for each context of its range, a pointer to its first child; the children's word numbers relative
+to their context (raised by what stands before, so that one monotone sequence results); both are Elias-Fano sequences.
+Beside them stand the discounted probabilities of the children and what each context leaves to the shorter one, in 16-bit
+log bins. A lookup takes a context's pointers and searches the successor of (base + word) within that range. What a
+context that is split leaves stands in the model.
 
 Smoothing is interpolated absolute discounting: p(w|c) = max(n(cw) - D, 0) / n(c) + left(c) p(w|shorter c), down to
 (n(w) + 1) / (N + V + 1). A document begins in the context of an end token.
 
+A worker keeps the last ``OPEN_SHARDS`` shards open: their low bits and probabilities stay in the mapped file, where each
+bucket begins (half a byte per n-gram) in memory. A context node and a word together take 64 bits at most; a model beyond
+that raises an error.
+
 Defined results: null texts count as empty and are one end token; a null id counts as an empty text when documents are
 held out; repeated rows count and are scored one by one; with nothing to train on every word is unknown; an empty
-table gives an empty result; other columns are not looked at.
+table gives an empty result; a document is handled by one task whatever its length; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -32,15 +37,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import elias_fano as ef
-from factloom.llm.common import doc_chunks, shared_dir, stage, string_bytes
-from factloom.llm.wordhash import NONSPACE, mix, scan
+from factloom.llm.common import doc_chunks, drop_staged, shared_dir, stage, string_bytes
+from factloom.llm.wordhash import NONSPACE, scan
 
-#: Nothing is pruned: every n-gram of the training texts is scored with.
-MIN_COUNTS = (1, 1, 1)
+ORDER = 3
 DISCOUNT = 0.75
-#: Tokens whose counts a bucket gathers.
-BUCKET_TOKENS = 2_000_000
-_CHUNK = 6 << 20
+#: Occurrences of n-grams that a shard gathers.
+SHARD_TOKENS = 2_000_000
+OPEN_SHARDS = 512
+#: Bytes of text that are led through the trie at once.
+_CHUNK = 12 << 20
 _U = np.uint64
 END = _U(0x5EED0E4D)
 _BIN = 2.0**12
@@ -50,8 +56,7 @@ def _pack_log(p: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-np.log10(np.maximum(p, 1e-15)) * _BIN), 0, 65535).astype(np.uint16)
 
 
-def _unpack_log(q: np.ndarray) -> np.ndarray:
-    return 10.0 ** (q.astype(np.float64) / -_BIN)
+_LOGS = 10.0 ** (np.arange(1 << 16) / -_BIN)
 
 
 def tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,129 +66,92 @@ def tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, words.rows + np.arange(len(words.rows))
 
 
-class Part(NamedTuple):
-    """A shard: its file, its first key, the number of its first node and how many it has."""
+class Level(NamedTuple):
+    """The shards of one order: their folder, the first key of each, the number of its first node (and how many nodes
+    there are), and the contexts that lie in several shards with what they leave."""
 
-    uri: str
-    first: int
-    base: int
-    n: int
+    folder: str
+    cuts: np.ndarray
+    bases: np.ndarray
+    split: np.ndarray
+    left: np.ndarray
+
+    def uri(self, k: int) -> str:
+        return f"{self.folder}/{k:08d}.ef"
 
 
 class Model(NamedTuple):
-    words: list[Part]
+    """words: the level of fingerprints; total: tokens; levels: those of orders from 2 on."""
+
+    words: Level
     total: int
-    distinct: int
-    levels: list[list[Part]]
-    lefts: list[list[Part]]
+    levels: list[Level]
 
+    @property
+    def distinct(self) -> int:
+        return int(self.words.bases[-1])
 
-@lru_cache(maxsize=4096)
+    @property
+    def bits(self) -> int:
+        """Bits of a word number; the number after the last stands for an unknown word."""
+        return self.distinct.bit_length()
+
+
+@lru_cache(maxsize=OPEN_SHARDS)
 def _open(uri: str) -> dict:
     arrays = ef.load(uri)
     names = {k.rpartition(".")[0] for k in arrays if k.endswith(".meta")}
     return {k: v for k, v in arrays.items() if "." not in k} | {k: ef.EliasFano.load(arrays, k) for k in names}
 
 
-def _by_part(parts: list[Part], keys: np.ndarray) -> Iterator[tuple[Part, slice]]:
-    """Ranges of sorted keys and the shard that may hold them."""
-    edges = np.searchsorted(keys, np.array([p.first for p in parts[1:]], np.uint64)) if len(parts) > 1 else []
-    for part, a, b in zip(parts, [0, *edges], [*edges, len(keys)], strict=True) if parts else ():
-        if a < b:
-            yield part, slice(int(a), int(b))
-
-
-def look_up_words(model: Model, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(id or -1, count) of sorted fingerprints."""
-    ids, counts = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
-    for part, at in _by_part(model.words, keys):
-        shard = _open(part.uri)
-        k = shard["keys"].find(keys[at])
-        found = k >= 0
-        ids[at] = np.where(found, k + part.base, -1)
-        counts[at] = np.where(found, shard["counts"][np.maximum(k, 0)], 0)
-    return ids, counts
-
-
-def look_up_children(parts: list[Part], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node or -1, discounted probability) of sorted keys context << 32 | word."""
-    nodes, p = np.full(len(keys), -1, np.int64), np.zeros(len(keys))
-    for part, at in _by_part(parts, keys):
-        shard = _open(part.uri)
-        context, word = keys[at] >> _U(32), keys[at] & _U(0xFFFFFFFF)
-        held = shard["contexts"].find(context)
-        some = np.flatnonzero(held >= 0)
-        if not len(some):
-            continue
-        first, stop = (shard["pointers"].get(held[some] + d).astype(np.int64) for d in (0, 1))
-        base = np.where(first > 0, shard["children"].get(np.maximum(first - 1, 0)), _U(0))
-        k = shard["children"].find(base + word[some] + _U(1))
-        right = (k >= first) & (k < stop)
-        where = np.arange(at.start, at.stop)[some[right]]
-        nodes[where] = k[right] + part.base
-        p[where] = _unpack_log(shard["p"][k[right]])
-    return nodes, p
-
-
-def look_up_left(parts: list[Part], contexts: np.ndarray) -> np.ndarray:
-    """What each of the sorted contexts leaves to the shorter one; 1 if it has no children."""
-    out = np.ones(len(contexts))
-    for part, at in _by_part(parts, contexts):
-        shard = _open(part.uri)
-        k = shard["contexts"].find(contexts[at])
-        out[at] = np.where(k >= 0, _unpack_log(shard["left"][np.maximum(k, 0)]), 1.0)
-    return out
+def _shards(level: Level, keys: np.ndarray, cuts: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """The shards that may hold some of the sorted keys, and the range of those keys."""
+    edges = np.concatenate([[0], np.searchsorted(keys, cuts[1:]), [len(keys)]])
+    for k in np.flatnonzero((np.diff(edges) > 0) & (np.diff(level.bases) > 0)).tolist():
+        yield k, slice(int(edges[k]), int(edges[k + 1]))
 
 
-class Walk:
-    """The tokens of some rows led through the levels of a model, one order at a time."""
-
-    def __init__(self, model: Model, buf: np.ndarray, offsets: np.ndarray) -> None:
-        self.model = model
-        seen, self.rows = tokens(buf, offsets)
-        unique, back = np.unique(seen, return_inverse=True)
-        ids, counts = look_up_words(model, unique)
-        self.word, self.count = ids[back], counts[back]
-        end = np.zeros(len(seen), bool)
-        end[self.rows[1:] - 1] = True
-        self.end = end
-        end_id = ids[np.searchsorted(unique, END)] if len(unique) else -1
-        #: The node of each token's context at the order at hand; -1: unknown.
-        self.context = np.concatenate([[end_id], self.word[:-1]])[: len(seen)]
+def look_up_words(level: Level, keys: np.ndarray) -> np.ndarray:
+    """Numbers of sorted fingerprints; -1: unknown."""
+    ids = np.full(len(keys), -1, np.int64)
+    for k, at in _shards(level, keys, level.cuts):
+        found = _open(level.uri(k))["keys"].find(keys[at] - level.cuts[k])
+        ids[at] = np.where(found >= 0, found + level.bases[k], -1)
+    return ids
 
-    def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """(places, context << 32 | word) of the tokens whose context and word are known."""
-        at = np.flatnonzero((self.context >= 0) & (self.word >= 0))
-        return at, (self.context[at].astype(np.uint64) << _U(32)) | self.word[at].astype(np.uint64)
 
-    def descend(self, order: int) -> np.ndarray:
-        """Discounted probabilities at this order; contexts become those of the next one."""
-        at, keys = self.keys()
-        unique, back = np.unique(keys, return_inverse=True)
-        nodes, p = look_up_children(self.model.levels[order - 2], unique)
-        here = np.full(len(self.word), -1, np.int64)
-        here[at] = nodes[back]
-        found = np.zeros(len(self.word))
-        found[at] = p[back]
-        # A document's first token has no longer context, nor is there one across its end.
-        self.context = np.concatenate([[-1], np.where(self.end, -1, here)[:-1]])[: len(here)]
-        return found
-
-    def left(self, order: int) -> np.ndarray:
-        """What the contexts at this order leave to the shorter ones."""
-        out = np.ones(len(self.word))
-        at = np.flatnonzero(self.context >= 0)
-        unique, back = np.unique(self.context[at], return_inverse=True)
-        out[at] = look_up_left(self.model.lefts[order - 2], unique.astype(np.uint64))[back]
-        return out
+def word_counts(level: Level, ids: np.ndarray) -> np.ndarray:
+    """How often the sorted word numbers occur; -1: never."""
+    out = np.zeros(len(ids), np.int64)
+    for k, at in _shards(level, ids, level.bases[:-1]):
+        out[at] = np.where(ids[at] >= 0, _open(level.uri(k))["counts"][ids[at] - level.bases[k]], 0)
+    return out
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        buf, offsets = string_bytes(batch.column(0))
-        for i, j in doc_chunks(offsets, _CHUNK):
-            keys, n = np.unique(tokens(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
+def look_up_children(level: Level, bits: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(node or -1, discounted probability, what the context leaves) of sorted keys (context << bits | word)."""
+    nodes, p, left = np.full(len(keys), -1, np.int64), np.zeros(len(keys)), np.ones(len(keys))
+    for k, at in _shards(level, keys, level.cuts):
+        shard = _open(level.uri(k))
+        context = (keys[at] >> _U(bits)).astype(np.int64)
+        new = np.concatenate([[True], context[1:] != context[:-1]])
+        back = np.cumsum(new) - 1
+        parent = context[new] - int(level.cuts[k] >> _U(bits))
+        inside = parent < len(shard["left"])
+        parent = np.where(inside, parent, 0)
+        first, stop = (shard["pointers"].get(parent + d).astype(np.int64) for d in (0, 1))
+        stop[~inside] = first[~inside]
+        base = np.where(first > 0, shard["children"].get(np.maximum(first - 1, 0)), _U(0))
+        given = np.where(inside, _LOGS[shard["left"][parent]], 1.0)
+        if len(level.split):
+            there = np.minimum(np.searchsorted(level.split, context[new]), len(level.split) - 1)
+            given = np.where(level.split[there] == context[new], level.left[there], given)
+        left[at] = given[back]
+        found = shard["children"].find(base[back] + (keys[at] & _U((1 << bits) - 1)) + _U(1))
+        right = np.flatnonzero((found >= first[back]) & (found < stop[back]))
+        nodes[at.start + right] = found[right] + level.bases[k]
+        p[at.start + right] = _LOGS[shard["p"][found[right]]]
+    return nodes, p, left
 
 
 def _squeeze(values: np.ndarray) -> bytes:
@@ -200,156 +168,264 @@ def _unsqueeze(data: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(np.dtype(dtype).itemsize, -1).T).ravel().view(dtype)
 
 
-def count_ngrams(texts: DataFrame, model: Model, order: int, min_count: int) -> DataFrame:
-    """(context, word, n) of the n-grams of one order that occur ``min_count`` times or more, staged."""
-    buckets = max(1, math.ceil(model.total / BUCKET_TOKENS))
+# -- documents as word numbers: a row holds some documents of one task
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_IDS = "ids array<long>, held array<boolean>, sizes array<long>, words binary"
+
+
+class Part(NamedTuple):
+    """Some documents: their token counts, and the word number of each token (-1: unknown)."""
+
+    ids: pa.Array
+    held: np.ndarray
+    sizes: np.ndarray
+    words: np.ndarray
+
+
+def _as_numbers(docs: DataFrame, words: Level) -> DataFrame:
+    """Rows of ``_IDS`` for the rows (id, held, text) of ``docs``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, offsets = string_bytes(batch.column(0))
+            buf, offsets = string_bytes(batch.column(2))
             for i, j in doc_chunks(offsets, _CHUNK):
-                walk = Walk(model, buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                for lower in range(2, order):
-                    walk.descend(lower)
-                keys, n = np.unique(walk.keys()[1], return_counts=True)
-                bucket = (mix(keys) % _U(buckets)).astype(np.int64)
-                sorted_ = np.argsort(bucket, kind="stable")
-                keys, n, bucket = keys[sorted_], n[sorted_].astype(np.uint32), bucket[sorted_]
-                names, first = np.unique(bucket, return_index=True)
-                stop = np.append(first[1:], len(keys))
-                runs = [(_squeeze(np.diff(keys[a:b], prepend=_U(0))), _squeeze(n[a:b])) for a, b in zip(first.tolist(), stop.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([k for k, _ in runs], pa.binary()), pa.array([c for _, c in runs], pa.binary())], names=["bucket", "keys", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-
-        def close() -> pa.RecordBatch | None:
-            if not held:
-                return None
-            keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            order_ = np.argsort(keys)
-            keys, n = keys[order_], n[order_].astype(np.int64)
-            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-            total = np.add.reduceat(n, first) if len(first) else n
-            keys = keys[first][total >= min_count]
-            total = total[total >= min_count]
-            return pa.RecordBatch.from_arrays([pa.array((keys >> _U(32)).astype(np.int64)), pa.array((keys & _U(0xFFFFFFFF)).astype(np.int64)), pa.array(total)], names=["context", "word", "n"])
+                seen, rows = tokens(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                unique, back = np.unique(seen, return_inverse=True)
+                numbers = (look_up_words(words, unique) + 1).astype(np.uint32 if words.bases[-1] < (1 << 32) - 1 else np.uint64)[back]
+                one = lambda x: pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), x)  # noqa: B023, E731
+                columns = [one(batch.column(c).slice(i, j - i)) for c in (0, 1)] + [one(pa.array(np.diff(rows))), pa.array([_squeeze(numbers)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["ids", "held", "sizes", "words"])
 
-        for batch in batches:
-            for b, k, c in zip(*(batch.column(x).to_pylist() for x in range(3)), strict=True):
-                if b != now:
-                    if (out := close()) is not None:
-                        yield out
-                    now = b
-                held.append((np.cumsum(_unsqueeze(k, np.uint64), dtype=np.uint64), _unsqueeze(c, np.uint32)))
-        if (out := close()) is not None:
-            yield out
+    return docs.mapInArrow(run, _IDS)
 
-    runs = texts.mapInArrow(count, "bucket long, keys binary, counts binary")
-    return stage(runs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add, "context long, word long, n long"), f"ngrams{order}")
 
+def _parts(batch: pa.RecordBatch, words: Level) -> Iterator[Part]:
+    kind = np.uint32 if words.bases[-1] < (1 << 32) - 1 else np.uint64
+    for r in range(batch.num_rows):
+        ids, held, sizes = (batch.column(c).slice(r, 1).flatten() for c in range(3))
+        numbers = _unsqueeze(batch.column(3)[r].as_buffer(), kind).astype(np.int64) - 1
+        yield Part(ids, held.to_numpy(zero_copy_only=False).astype(bool), sizes.to_numpy(), numbers)
 
-def _write_parts(rows: DataFrame, folder: str, keys: list[str], build) -> list[Part]:
-    """Deal rows out by range of the keys and write a shard for each range.
 
-    build: from sorted numpy columns to (arrays of the file, first key). One row per shard comes to the driver.
-    """
+class Asked(NamedTuple):
+    """What a level says of the tokens with a known context, which stand at ``at``."""
+
+    at: np.ndarray
+    nodes: np.ndarray
+    p: np.ndarray
+    left: np.ndarray
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        held = [b for b in batches if b.num_rows]
-        if held:
-            table = pa.Table.from_batches(held)
-            arrays, first = build({c: table.column(c).to_numpy() for c in table.column_names})
-            uri = f"{folder}/{TaskContext.get().partitionId():08d}.ef"
-            ef.save(uri, arrays)
-            yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([first], pa.decimal128(20)), pa.array([table.num_rows], pa.int64())], names=["uri", "first", "n"])
+class Walk:
+    """The tokens of some documents led through the levels of a model, one order at a time."""
 
-    dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    found = sorted(((int(r.first_), r.uri, r.n) for r in dealt.mapInArrow(write, "uri string, first decimal(20,0), n long").withColumnRenamed("first", "first_").collect()))
-    parts, base = [], 0
-    for first, uri, n in found:
-        parts.append(Part(uri, first, base, n))
-        base += n
-    return parts
+    def __init__(self, model: Model, words: np.ndarray, sizes: np.ndarray, end_id: int) -> None:
+        self.model, self.words = model, words
+        self.first = np.cumsum(sizes) - sizes
+        #: The node of each token's context at the order at hand; -1: unknown.
+        self.context = np.concatenate([[end_id], words[:-1]])[: len(words)]
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """(places, context << bits | word) of the tokens whose context is known."""
+        at = np.flatnonzero(self.context >= 0)
+        word = np.where(self.words[at] >= 0, self.words[at], self.model.distinct)
+        return at, (self.context[at].astype(np.uint64) << _U(self.model.bits)) | word.astype(np.uint64)
+
+    def descend(self, order: int) -> Asked:
+        """Asks the level of this order; contexts become those of the next one."""
+        at, keys = self.keys()
+        unique, back = np.unique(keys, return_inverse=True)
+        nodes, p, left = (x[back] for x in look_up_children(self.model.levels[order - 2], self.model.bits, unique))
+        here = np.full(len(self.words), -1, np.int64)
+        here[at] = nodes
+        # A document's first token has no longer context.
+        self.context = np.concatenate([[-1], here[:-1]])[: len(here)]
+        self.context[self.first] = -1
+        return Asked(at, nodes, p, left)
+
+
+# -- building a level
+
+_RUNS = "shard long, keys binary, counts binary"
+_BUILT = "shard long, n long, total long, at array<long>, pieces array<long>, of array<long>, split array<long>, types array<long>"
+
+
+def _runs(keys: np.ndarray, counts: np.ndarray, cuts: np.ndarray) -> pa.RecordBatch:
+    """Sorted keys and their counts, dealt out to the shards."""
+    edges = np.concatenate([[0], np.searchsorted(keys, cuts[1:]), [len(keys)]])
+    some = np.flatnonzero(np.diff(edges) > 0)
+    counts = counts.astype(np.uint32)
+    spans = [(int(k), slice(int(edges[k]), int(edges[k + 1]))) for k in some]
+    squeezed = [(_squeeze(np.diff(keys[s], prepend=cuts[k])), _squeeze(counts[s])) for k, s in spans]
+    columns = [pa.array(some, pa.int64()), pa.array([x for x, _ in squeezed], pa.binary()), pa.array([x for _, x in squeezed], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["shard", "keys", "counts"])
+
+
+def _cut(counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where nodes with these counts are cut as contexts of the next order: (places, pieces of that context, its count)."""
+    before = (np.cumsum(counts) - counts) // most
+    pieces = -(-counts // most)
+    at = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]) | (pieces > 1)) if len(counts) else np.zeros(0, np.int64)
+    return at, np.maximum(pieces[at], 1), counts[at]
+
+
+def _word_shard(keys: np.ndarray, counts: np.ndarray, shard: int):
+    return _named("keys", keys) | {"counts": counts}, [], []
+
+
+def _children_shard(cuts: np.ndarray, of_cut: np.ndarray, bits: int, discount: float):
+    """A function from (sorted keys less the shard's first one, counts, shard) to its arrays, the contexts that it shares
+    with other shards and their types."""
+
+    def build(keys: np.ndarray, counts: np.ndarray, shard: int):
+        begin, mask = cuts[shard], _U((1 << bits) - 1)
+        keys = keys + begin
+        context, word = keys >> _U(bits), keys & mask
+        first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+        types = np.diff(np.append(first, len(keys)))
+        of = np.add.reduceat(counts, first)
+        owner = context[first]
+        shared = []
+        if begin & mask and owner[0] == begin >> _U(bits):
+            of[0] = of_cut[shard]
+            shared.append(0)
+        if shard + 1 < len(cuts) and cuts[shard + 1] & mask and owner[-1] == cuts[shard + 1] >> _U(bits):
+            of[-1] = of_cut[shard + 1]
+            shared.append(len(owner) - 1)
+        shared = sorted(set(shared))
+        parent = (owner - (begin >> _U(bits))).astype(np.int64)
+        sizes = np.zeros(int(parent[-1]) + 1, np.int64)
+        sizes[parent] = types
+        left = np.ones(len(sizes))
+        left[parent] = discount * types / of
+        last = first + types - 1
+        base = np.concatenate([[_U(0)], np.cumsum(word[last] + _U(1))[:-1]]).astype(np.uint64)
+        arrays = _named("pointers", np.concatenate([[0], np.cumsum(sizes)])) | _named("children", word + _U(1) + np.repeat(base, types))
+        arrays |= {"p": _pack_log((counts - discount) / np.repeat(of, types)), "left": _pack_log(left)}
+        return arrays, owner[shared].astype(np.int64).tolist(), types[shared].tolist()
+
+    return build
 
 
 def _named(name: str, values: np.ndarray) -> dict[str, np.ndarray]:
     return {f"{name}.{k}": v for k, v in ef.EliasFano.encode(values.astype(np.uint64)).items()}
 
 
-def _word_shard(c: dict[str, np.ndarray]):
-    # Signed order of the rows is that of the keys with the top bit turned over.
-    keys = c["key"].view(np.uint64)
-    return _named("keys", keys) | {"counts": c["n"]}, int(keys[0])
-
-
-def _child_shard(c: dict[str, np.ndarray]):
-    context, word = c["context"].astype(np.uint64), c["word"].astype(np.uint64)
-    new = np.concatenate([[True], context[1:] != context[:-1]])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(word)) - 1
-    base = np.concatenate([[_U(0)], np.cumsum(word[last] + _U(1))[:-1]]).astype(np.uint64)
-    children = word + _U(1) + np.repeat(base, np.diff(np.append(first, len(word))))
-    arrays = _named("contexts", context[first]) | _named("pointers", np.append(first, len(word))) | _named("children", children)
-    return arrays | {"p": _pack_log(c["p"])}, int(context[0]) << 32 | int(word[0])
-
-
-def _left_shard(c: dict[str, np.ndarray]):
-    context = c["context"].astype(np.uint64)
-    return _named("contexts", context) | {"left": _pack_log(c["left"])}, int(context[0])
-
-
-def train(texts: DataFrame, text: str = "text", min_counts: tuple[int, ...] = MIN_COUNTS, discount: float = DISCOUNT) -> Model:
-    """A model of order ``len(min_counts)`` of all rows of ``texts``."""
-    spark, folder = texts.sparkSession, shared_dir(texts.sparkSession, "lm")
-    texts = texts.select(F.col(text).alias("text"))
-    counted = stage(texts.mapInArrow(_count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "words")
-    # Ranges by the unsigned key: both halves of the signed range, one after another.
-    halves = [counted.filter("key >= 0"), counted.filter("key < 0")]
-    words: list[Part] = []
-    for k, half in enumerate(halves):
-        base = sum(p.n for p in words)
-        words += [p._replace(base=p.base + base) for p in _write_parts(half, f"{folder}/words{k}", ["key"], _word_shard)]
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    model = Model(words, total, sum(p.n for p in words), [], [])
-    parents = _numbered_words(counted, spark, words)
-    for order in range(2, len(min_counts) + 1):
-        kept = count_ngrams(texts, model, order, min_counts[order - 1])
-        sized = stage(kept.join(parents, "context"), "sized")
-        weighed = sized.withColumn("p", F.greatest(F.col("n") - F.lit(discount), F.lit(0.0)) / F.col("of"))
-        lefts = weighed.groupBy("context").agg(F.greatest(F.lit(1.0) - F.sum("p"), F.lit(1e-9)).alias("left"))
-        level = _write_parts(weighed.select("context", "word", "p"), f"{folder}/level{order}", ["context", "word"], _child_shard)
-        left = _write_parts(lefts, f"{folder}/left{order}", ["context"], _left_shard)
-        model = model._replace(levels=[*model.levels, level], lefts=[*model.lefts, left])
-        if order < len(min_counts):
-            parents = _numbered_children(sized, level)
-    return model
+def _build(runs: DataFrame, folder: str, build, most: int) -> list:
+    """Add up the runs of each shard and write it; a row per shard comes to the driver."""
 
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, done = None, [], []
+
+        def close() -> None:
+            if held:
+                keys, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+                held.clear()
+                order = np.argsort(keys)
+                keys, counts = keys[order], counts[order].astype(np.int64)
+                first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+                keys, counts = keys[first], np.add.reduceat(counts, first)
+                arrays, split, types = build(keys, counts, now)
+                ef.save(f"{folder}/{now:08d}.ef", arrays)
+                done.append((now, len(keys), int(counts.sum()), *(x.tolist() for x in _cut(counts, most)), split, types))
 
-def _numbered_words(counted: DataFrame, spark, words: list[Part]) -> DataFrame:
-    """(context, of): the id and count of each word, from the shards' own keys."""
-    return _number(counted.select("key", "n"), lambda c: look_up_words(Model(words, 0, 0, [], []), c["key"].view(np.uint64))[0], "key")
+        for batch in batches:
+            for shard, keys, counts in zip(*(batch.column(x) for x in range(3)), strict=True):
+                if shard.as_py() != now:
+                    close()
+                    now = shard.as_py()
+                held.append((np.cumsum(_unsqueeze(keys.as_buffer(), np.uint64), dtype=np.uint64), _unsqueeze(counts.as_buffer(), np.uint32)))
+        close()
+        lists = [pa.array([r[c] for r in done], pa.int64() if c < 3 else pa.list_(pa.int64())) for c in range(8)]
+        yield pa.RecordBatch.from_arrays(lists, names=[x.split()[0] for x in _BUILT.split(", ")])
+
+    return stage(runs.repartition("shard").sortWithinPartitions("shard").mapInArrow(write, _BUILT), "built").collect()
+
+
+def _level(folder: str, cuts: np.ndarray, counts: dict[int, int], rows: list, discount: float) -> Level:
+    """The level of the shards written. counts: of the contexts that lie in several shards."""
+    sizes = np.zeros(len(cuts), np.int64)
+    for r in rows:
+        sizes[r.shard] = r.n
+    types: dict[int, int] = {}
+    for r in rows:
+        for c, t in zip(r.split, r.types, strict=True):
+            types[c] = types.get(c, 0) + t
+    split = np.array(sorted(types), np.int64)
+    left = np.array([discount * types[c] / counts[c] for c in split.tolist()], np.float64)
+    return Level(folder, cuts, np.concatenate([[0], np.cumsum(sizes)]), split, left)
+
+
+def _next_cuts(rows: list, level: Level, distinct: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """First keys of the shards of the next order, and the count of the context that each one cuts in two (else 0)."""
+    rows = sorted(rows, key=lambda r: r.shard)
+    empty = [np.zeros(0, np.int64)]
+    nodes = np.concatenate(empty + [np.array(r.at, np.int64) + level.bases[r.shard] for r in rows])
+    pieces, of = (np.concatenate(empty + [np.array(getattr(r, c), np.int64) for r in rows]) for c in ("pieces", "of"))
+    if int(level.bases[-1]).bit_length() + bits > 64:
+        raise OverflowError(f"{level.bases[-1]} contexts and {distinct} words take more than 64 bits together")
+    piece = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    word = np.array([j * distinct // k for j, k in zip(piece.tolist(), np.repeat(pieces, pieces).tolist(), strict=True)], np.uint64)
+    cuts = (np.repeat(nodes, pieces).astype(np.uint64) << _U(bits)) | word
+    of_cut = np.where(word > 0, np.repeat(of, pieces), 0)
+    cuts, first = np.unique(np.concatenate([[_U(0)], cuts]), return_index=True)
+    return cuts, np.concatenate([[0], of_cut])[first]
+
+
+def _count_words(texts: DataFrame, folder: str, most: int) -> tuple[Level, int, list]:
+    shards = max(1, (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (8 * most))
+    cuts = np.array([-(-(k << 64) // shards) for k in range(shards)], np.uint64)
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offsets = string_bytes(batch.column(0))
+            for i, j in doc_chunks(offsets, _CHUNK):
+                yield _runs(*np.unique(tokens(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[0], return_counts=True), cuts)
 
-def _numbered_children(sized: DataFrame, level: list[Part]) -> DataFrame:
-    """(context, of): the node and count of each n-gram."""
-    key = lambda c: (c["context"].astype(np.uint64) << _U(32)) | c["word"].astype(np.uint64)
-    return _number(sized.select("context", "word", "n"), lambda c: look_up_children(level, key(c))[0], "context", "word")
+    rows = _build(texts.mapInArrow(count, _RUNS), folder, _word_shard, most)
+    return _level(folder, cuts, {}, rows, 0.0), sum(r.total for r in rows), rows
 
 
-def _number(rows: DataFrame, node_of, *keys: str) -> DataFrame:
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            c = {name: batch.column(name).to_numpy() for name in batch.schema.names}
-            order = np.lexsort([c[k].view(np.uint64) for k in reversed(keys)])
-            nodes = np.empty(batch.num_rows, np.int64)
-            nodes[order] = node_of({name: v[order] for name, v in c.items()})
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), batch.column("n")], names=["context", "of"])
+def _end_id(model: Model) -> int:
+    return int(look_up_words(model.words, np.array([END]))[0])
 
-    return rows.mapInArrow(number, "context long, of long")
+
+def _count_ngrams(numbers: DataFrame, model: Model, order: int, cuts: np.ndarray) -> DataFrame:
+    """Runs of the n-grams of one order in the documents that are not held out."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        end = _end_id(model)
+        for batch in batches:
+            for part in _parts(batch, model.words):
+                walk = Walk(model, part.words[np.repeat(~part.held, part.sizes)], part.sizes[~part.held], end)
+                for lower in range(2, order):
+                    walk.descend(lower)
+                yield _runs(*np.unique(walk.keys()[1], return_counts=True), cuts)
+
+    return numbers.mapInArrow(count, _RUNS)
+
+
+def _train(picked: DataFrame, order: int, discount: float, most: int) -> tuple[Model, DataFrame]:
+    """The model of the rows (id, held, text) that aren't held out, and all rows as word numbers."""
+    folder = shared_dir(picked.sparkSession, "lm")
+    words, total, rows = _count_words(picked.filter("NOT held").select("text"), f"{folder}/1", most)
+    model = Model(words, total, [])
+    numbers = stage(_as_numbers(picked, words), "numbers")
+    level = words
+    for k in range(2, order + 1):
+        cuts, of_cut = _next_cuts(rows, level, model.distinct, model.bits)
+        rows = _build(_count_ngrams(numbers, model, k, cuts), f"{folder}/{k}", _children_shard(cuts, of_cut, model.bits, discount), most)
+        contexts = {int(c >> _U(model.bits)): int(n) for c, n in zip(cuts, of_cut, strict=True) if n}
+        level = _level(f"{folder}/{k}", cuts, contexts, rows, discount)
+        model = model._replace(levels=[*model.levels, level])
+    return model, numbers
+
+
+def train(texts: DataFrame, text: str = "text", order: int = ORDER, discount: float = DISCOUNT, shard_tokens: int = SHARD_TOKENS) -> Model:
+    """A model of all rows of ``texts``."""
+    model, numbers = _train(texts.select(F.lit(None).cast("long").alias("id"), F.lit(False).alias("held"), F.col(text).alias("text")), order, discount, shard_tokens)
+    drop_staged(numbers)
+    return model
 
 
 def held_out(id: Column) -> Column:
@@ -357,32 +433,38 @@ def held_out(id: Column) -> Column:
     return F.crc32(F.coalesce(id.cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
-def score(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def _scored(numbers: DataFrame, model: Model) -> DataFrame:
     below = math.log10(model.total + model.distinct + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        end = _end_id(model)
         for batch in batches:
-            buf, offsets = string_bytes(batch.column(2))
-            for i, j in doc_chunks(offsets, _CHUNK):
-                walk = Walk(model, buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                base = np.log10(walk.count + 1.0) - below
-                p = 10.0**base
+            for part in _parts(batch, model.words):
+                unique, back = np.unique(part.words, return_inverse=True)
+                base = (np.log10(word_counts(model.words, unique) + 1.0) - below)[back]
+                p, walk = 10.0**base, Walk(model, part.words, part.sizes, end)
                 for order in range(2, len(model.levels) + 2):
-                    left = walk.left(order)
-                    p = walk.descend(order) + left * p
-                first = walk.rows[:-1]
-                sums = [np.add.reduceat(x, first) for x in (base, np.log10(p), (walk.count > 0).astype(np.int64))]
-                n = j - i
+                    asked = walk.descend(order)
+                    p[asked.at] = asked.p + asked.left * p[asked.at]
+                sums = [np.add.reduceat(x, walk.first) for x in (base, np.log10(p), (part.words >= 0).astype(np.int64))]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, n), batch.column(1).slice(i, n), pa.array(np.diff(walk.rows)), pa.array(sums[2]), pa.array(np.full(n, model.total, np.int64)), pa.array(sums[0]), pa.array(sums[1])],
+                    [part.ids, pa.array(part.held), pa.array(part.sizes), pa.array(sums[2]), pa.array(np.full(len(part.sizes), model.total, np.int64)), pa.array(sums[0]), pa.array(sums[1])],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    picked = docs.select(F.col(id).cast("long").alias("doc_id"), held_out(F.col(id)).alias("held_out"), F.col(text).alias("text"))
-    return picked.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return numbers.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def _picked(docs: DataFrame, id: str, text: str) -> DataFrame:
+    return docs.select(F.col(id).cast("long").alias("id"), held_out(F.col(id)).alias("held"), F.col(text).alias("text"))
+
+
+def score(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    return _scored(_as_numbers(_picked(docs, id, text), model.words), model)
 
 
-def train_and_score(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def train_and_score(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int = ORDER, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Learn from the documents that aren't held out; score all."""
-    return score(docs, train(docs.filter(~held_out(F.col(id))), text), id, text)
+    model, numbers = _train(_picked(docs, id, text), order, DISCOUNT, shard_tokens)
+    return _scored(numbers, model)

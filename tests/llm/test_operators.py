@@ -254,11 +254,23 @@ def test_language_model_interpolates_all_ngrams(spark):
         return max(grams[g] - d, 0) / grams[c] + d * types[c] / grams[c] * p(g[1:]) if types[c] else p(g[1:])
 
     assert any(c == 1 and len(g) == 2 for g, c in grams.items()) and any(c == 1 and len(g) == 3 for g, c in grams.items())
-    got = {(r.doc_id, r.n_tokens): r.score for r in ngram_lm.train_and_score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    for i, ws in docs:
-        padded = [None, *ws]
-        want = sum(math.log10(p(tuple(padded[max(0, k - 2) : k + 1]))) for k in range(1, len(padded)))
-        assert math.isclose(got[i, len(ws)], want, abs_tol=2.5e-4 * len(ws)), i  # probabilities are kept in log bins
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    for shard_tokens in (ngram_lm.SHARD_TOKENS, 300):  # the second splits frequent contexts over shards
+        got = {(r.doc_id, r.n_tokens): r.score for r in ngram_lm.train_and_score(table, shard_tokens=shard_tokens).collect()}
+        for i, ws in docs:
+            padded = [None, *ws]
+            want = sum(math.log10(p(tuple(padded[max(0, k - 2) : k + 1]))) for k in range(1, len(padded)))
+            assert math.isclose(got[i, len(ws)], want, abs_tol=2.5e-4 * len(ws)), i  # probabilities are kept in log bins
+
+
+def test_language_model_of_other_texts(spark):
+    texts = spark.createDataFrame([(text(70 + i, 200),) for i in range(20)], "body string")
+    model = ngram_lm.train(texts, "body", shard_tokens=200)
+    assert any(len(x.split) for x in model.levels) and model.total == 20 * 201
+    own = spark.createDataFrame([(1, text(70, 200)), (2, text(90, 200)), (3, "unseen words only"), (4, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in ngram_lm.score(own, model).collect()}
+    assert got[1].score > max(got[2].score, got[1].base_score) and got[3].n_known == 1 and got[4].n_tokens == 1
+    assert all(r.score < 0 for r in got.values())
 
 
 def test_quality_rules(spark, docs):
