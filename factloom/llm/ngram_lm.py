@@ -46,7 +46,7 @@ DISCOUNT = 0.75
 SHARD_TOKENS = 2_000_000
 OPEN_SHARDS = 512
 #: Bytes of text that are led through the trie at once.
-_CHUNK = 12 << 20
+_CHUNK = 5 << 20
 _U = np.uint64
 END = _U(0x5EED0E4D)
 _BIN = 2.0**12
