@@ -11,21 +11,20 @@ _SPACE = r"[^\x20\x09-\x0D]"
 def _fence(alias: str, keys: str) -> str:
     cols = []
     for r, (least, both) in Q.RATIOS.items():
-        high, mid, low = (f"quantile_disc({r}, {p})" for p in (Q.HIGH_RANK, 0.5, 1 - Q.HIGH_RANK))
-        cols.append(f"greatest({high} + {Q.REACH} * ({high} - {mid}), {mid} + {least}) AS high_{r}")
-        if both:
-            cols.append(f"least({low} - {Q.REACH} * ({mid} - {low}), {mid} - {least}) AS low_{r}")
+        low, mid, high = (f"quantile_disc({r}, {p})" for p in (0.25, 0.5, 0.75))
+        reach = f"greatest({Q.REACH} * least({high} - {mid}, {mid} - {low}), {least})"
+        cols += [f"{mid} + {reach} AS high_{r}"] + [f"{mid} - {reach} AS low_{r}"] * both
     return f"{alias} AS (SELECT {keys + ', ' if keys else ''}count(*) AS n, {', '.join(cols)} FROM measured WHERE NOT base_failed {'GROUP BY ' + keys if keys else ''})"
 
 
 def quality_ctes(table: str = "documents") -> str:
     """CTEs that end in ``judged``: every measure and verdict of each row."""
-    pick = lambda c: f"CASE WHEN o.n >= {Q.MIN_GROUP} THEN o.{c} WHEN l.n >= {Q.MIN_GROUP} THEN l.{c} ELSE e.{c} END"
+    blend = lambda g, c, larger: f"coalesce(({g}.n * {g}.{c} + {Q.PRIOR} * {larger}) / ({g}.n + {Q.PRIOR}), {larger})"
     bad = []
-    for r, (_, both) in Q.RATIOS.items():
-        bad.append(f"coalesce(coalesce(m.{r}, 0) > {pick('high_' + r)}, false)")
-        if both:
-            bad.append(f"coalesce(coalesce(m.{r}, 0) < {pick('low_' + r)}, false)")
+    for r, (least, both) in Q.RATIOS.items():
+        for side, sign, inner, beyond in (("high", "+", "least", ">"), *([("low", "-", "greatest", "<")] if both else [])):
+            larger = blend("l", f"{side}_{r}", f"e.{side}_{r}")
+            bad.append(f"coalesce(coalesce(m.{r}, 0) {beyond} {inner}({blend('o', f'{side}_{r}', larger)}, {larger} {sign} {least}), false)")
     return f"""
 split AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_SPACE}+') AS w,
   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_SPACE}')) AS lines FROM {table}),

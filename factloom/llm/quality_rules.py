@@ -1,8 +1,14 @@
 """Quality rules whose thresholds come from mergeable quantile sketches per language and source.
 
 Everything here is DataFrame expressions. A text is measured once, into a staged table; KLL sketches of four
-ratios are built per (lang, source) with partial aggregation, merged per language and over all, and read at two
-ranks. The fences of a row are those of its own group if that has enough rows, else of its language, else of all.
+ratios are built per (lang, source) with partial aggregation, merged per language and over all, and read at the
+quartiles. A fence stands ``REACH`` times the narrower half of the quartile range beyond the median, or a stated distance
+if that is more. Junk on one side moves neither the median nor the other side's quartile far, so a share of it well
+below a half can't push the fence beyond itself.
+
+Fences of a group are blended with those of its language, and a language's with those of all rows: ``PRIOR`` rows count for
+the larger group, whatever the group's size. A source may be laxer than its language by the stated distance at most, so one
+that is junk throughout is judged by its language.
 
 Defined results: a null text has no words and fails the base rule; null ``lang`` or ``source`` is a group like any
 other; equal rows are judged alike; an empty table gives an empty result; other columns pass through untouched,
@@ -17,13 +23,13 @@ from pyspark.sql import functions as F
 from factloom.llm.common import stage
 
 MIN_WORDS = 50
-#: Rows below which a group's own quantiles are not used.
-MIN_GROUP = 200
+#: Rows of the larger group that a group's own fences are blended with.
+PRIOR = 100
 #: Entries of a sketch; up to about this many values it is exact.
 SKETCH_K = 4096
-HIGH_RANK = 0.9
-REACH = 3.0
-#: Ratio, the least distance of its fence from the median, and whether low values are fenced too.
+REACH = 5.0
+#: Ratio, the least distance of its fence from the median (and the most that a source's fence may lie beyond its
+#: language's), and whether low values are fenced too.
 RATIOS = {
     "symbol_ratio": (0.1, False),
     "dup_line_ratio": (0.5, False),
@@ -113,7 +119,7 @@ def measure(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     return stage(out, "quality", "zstd")
 
 
-def fences(measured: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+def fences(measured: DataFrame, prior: int = PRIOR) -> DataFrame:
     """One row per (lang, source) with the lower and upper fence of each ratio.
 
     Only rows that pass the base rule are learned from, so that junk doesn't widen the fences.
@@ -126,27 +132,36 @@ def fences(measured: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     merged = lambda *keys: by_group.groupBy(*keys).agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(r, F.lit(SKETCH_K)).alias(r) for r in names])
 
     def read(df: DataFrame, tag: str, *keys: str) -> DataFrame:
-        q = lambda r, rank: F.kll_sketch_get_quantile_double(F.col(r), F.lit(rank))
         bounds = []
         for r in names:
             least, both = RATIOS[r]
-            mid, high = q(r, 0.5), q(r, HIGH_RANK)
-            bounds.append(F.greatest(high + REACH * (high - mid), mid + least).alias(f"high_{r}"))
-            low = q(r, 1 - HIGH_RANK)
-            bounds.append((F.least(low - REACH * (mid - low), mid - least) if both else F.lit(None).cast("double")).alias(f"low_{r}"))
+            low, mid, high = (F.kll_sketch_get_quantile_double(F.col(r), F.lit(rank)) for rank in (0.25, 0.5, 0.75))
+            reach = F.greatest(REACH * F.least(high - mid, mid - low), F.lit(least))
+            bounds.append((mid + reach).alias(f"high_{r}"))
+            if both:
+                bounds.append((mid - reach).alias(f"low_{r}"))
         return df.select(*[F.col(k).alias(f"{tag}{k}") for k in keys], F.struct(F.col("n").alias("n"), *bounds).alias(tag))
 
+    def blended(group: str, bound: str, larger: Column) -> Column:
+        n = F.col(f"{group}.n")
+        return F.coalesce((n * F.col(f"{group}.{bound}") + prior * larger) / (n + prior), larger)
+
     groups = measured.select("_q_lang", "_q_source").distinct()
     own, lang, every = read(by_group, "own", "_q_lang", "_q_source"), read(merged("_q_lang"), "lang", "_q_lang"), read(merged(), "every")
     out = groups.join(own, F.col("_q_lang").eqNullSafe(F.col("own_q_lang")) & F.col("_q_source").eqNullSafe(F.col("own_q_source")), "left")
     out = out.join(lang, F.col("_q_lang").eqNullSafe(F.col("lang_q_lang")), "left").join(F.broadcast(every), F.lit(True), "left")
-    chosen = F.when(F.col("own.n") >= min_group, F.col("own")).when(F.col("lang.n") >= min_group, F.col("lang")).otherwise(F.col("every"))
-    return out.select(F.col("_q_lang").alias("f_lang"), F.col("_q_source").alias("f_source"), chosen.alias("f"))
+    found = []
+    for r, (least, both) in RATIOS.items():
+        for side, sign, inner in (("high", 1, F.least), *([("low", -1, F.greatest)] if both else [])):
+            bound = f"{side}_{r}"
+            larger = blended("lang", bound, F.col(f"every.{bound}"))
+            found.append(inner(blended("own", bound, larger), larger + sign * least).alias(bound))
+    return out.select(F.col("_q_lang").alias("f_lang"), F.col("_q_source").alias("f_source"), F.struct(*found).alias("f"))
 
 
-def judge(measured: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+def judge(measured: DataFrame, prior: int = PRIOR) -> DataFrame:
     """``measured`` with ``_q_kept``: false where the base rule fails or a ratio lies outside its fences."""
-    limits = stage(fences(measured, min_group), "fences")
+    limits = stage(fences(measured, prior), "fences")
     if limits.count() <= BROADCAST_GROUPS:
         limits = F.broadcast(limits)
     out = measured.join(limits, F.col("_q_lang").eqNullSafe(F.col("f_lang")) & F.col("_q_source").eqNullSafe(F.col("f_source")), "left")
