@@ -3,7 +3,7 @@
 1. Each page's containers are scored by the text of their blocks (a block counts for its container, and half for the
    container above), links and boilerplate aside; the best one gives its page's vote for a generalised path of tags
    and classes (digits removed, class names sorted).
-2. Votes are summed per (host, path) and the leading ``MOST_PATHS`` paths of each host kept.
+2. Votes are summed per (host, path); the paths with a hundredth of their host's votes or more stay (``SHARE``).
 3. Each page is read again: its text is that of the elements on the leading path that it has; a page with none of
    them uses its own best container. From there it rises to the article around it, or to an ancestor whose other
    blocks are text too, so that headings, leads and parts beside the container stay.
@@ -25,13 +25,14 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import BROADCAST_BYTES, stage
 from factloom.llm.url_cascade import host_of
 
-MOST_PATHS = 3
+#: A path counts for a host if one in so many of its pages votes for it.
+SHARE = 100
 _CONTAINERS = frozenset("article main section div td body center blockquote".split())
 _BLOCKS = _CONTAINERS | frozenset(
     "html p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table thead tbody tfoot tr th caption pre figure figcaption hr address details summary "
@@ -65,11 +66,16 @@ _WORD = re.compile(r"[a-z]+")
 
 
 class _Open:
-    __slots__ = ("dropped", "inside", "path", "score", "tag")
+    """An open element. path: the number of its generalised path on the page; holder: the nearest container, itself
+    included; inside: whether it is an article or main, or lies in one."""
 
-    def __init__(self, tag: str, path: str, dropped: bool, inside: bool) -> None:
-        """inside: whether it is an article or main, or lies in one."""
-        self.tag, self.path, self.dropped, self.inside, self.score = tag, path, dropped, inside, 0
+    __slots__ = ("above", "dropped", "holder", "inside", "path", "score", "tag")
+
+    def __init__(self, tag: str, path: int, above: _Open | None, dropped: bool) -> None:
+        self.tag, self.path, self.above, self.score = tag, path, above, 0
+        self.dropped = dropped or bool(above and above.dropped)
+        self.inside = tag in ("article", "main") or bool(above and above.inside)
+        self.holder = self if tag in _CONTAINERS else above.holder if above else None
 
 
 def _marked(kind: str, value: str) -> bool:
@@ -97,134 +103,198 @@ def _step(tag: str, rest: str, inside: bool) -> tuple[str, bool]:
     return ".".join([tag, *names]), dropped
 
 
-def blocks(page: str) -> Iterator[tuple[str, int, list[_Open]]]:
-    """(text, characters of it inside links, open elements) of each block, in page order."""
-    stack: list[_Open] = []
-    parts: list[str] = []
-    in_link = linked = 0
+class Page:
+    """A page's blocks, and its generalised paths as numbers, each with the number of the path above (0: none).
 
-    def flush():
-        nonlocal linked
-        text = " ".join("".join(parts).split())
-        parts.clear()
-        out = (text, min(linked, len(text)), list(stack)) if text else None
-        linked = 0
-        return out
-
-    at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            piece = html.unescape(page[at : m.start()])
-            parts.append(piece)
-            if in_link:
-                linked += len(piece)
-        at = m.end()
-        tag = m[3]
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if tag not in _BLOCKS:
-            if tag == "br":
-                parts.append(" ")
-            elif tag == "a":
-                in_link = 0 if m[2] else 1
-            continue
-        if out := flush():
-            yield out
-        if m[2]:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == tag), -1)
-            if depth >= 0:
-                del stack[depth:]
-            continue
-        while stack and stack[-1].tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6") and (stack[-1].tag == "p" or tag[0] == "h"):
-            stack.pop()
-        while stack and stack[-1].tag in _CLOSES.get(tag, ()):
-            stack.pop()
-        if tag in _VOID:
-            continue
-        above = stack[-1] if stack else None
-        inside = bool(above and above.inside)
-        step, dropped = _step(tag, m[4], inside)
-        stack.append(_Open(tag, f"{above.path}>{step}" if above else step, dropped or bool(above and above.dropped), inside or tag in ("article", "main")))
-    if at < len(page):
-        parts.append(html.unescape(page[at:]))
-    if out := flush():
-        yield out
-
-
-def best_container(page: str) -> tuple[str, int, _Open | None]:
-    """(path, score, element) of the page's best container; an empty path if it has no text."""
-    best: _Open | None = None
-    seen: list[_Open] = []
-    for text, linked, stack in blocks(page):
-        if stack and stack[-1].dropped:
-            continue
-        weight = max(0, len(text) - 2 * linked) * 2
-        holders = [e for e in stack if e.tag in _CONTAINERS][-2:]
-        for k, e in enumerate(reversed(holders)):
-            if not e.score:
-                seen.append(e)
-            e.score += weight >> k
-    for e in seen:
-        if best is None or e.score > best.score:
-            best = e
-    return (best.path, best.score, best) if best else ("", 0, None)
-
-
-def _rise(path: str, held: list[tuple[str, int, list[_Open]]]) -> str:
-    """The path of the ancestor that holds the whole text of which the elements on ``path`` are a part, else ``path``.
-
-    That is the nearest article; without one, containers up to main or body while all they add is text outside links.
-    Body is risen to only for a title (h1) that the elements lack, as unmarked sidebars stand there too.
+    Memory is linear in the page, whatever the depth: a path is one step beyond another, and a block knows its innermost
+    element only. Numbers above are smaller, so what holds for a path's ancestors follows in one run over all paths.
     """
-    # The element of a path of n steps is the n-th of a stack.
-    stack, at = next((stack, k) for _, _, stack in held for k, e in enumerate(stack) if e.path == path)
-    article = next((k for k in range(at, -1, -1) if stack[k].tag == "article"), None)
-    if article is not None:
-        return stack[article].path
-    on = lambda s, k, q: len(s) > k and s[k].path == q
-    for k in range(at, -1, -1):
-        e = stack[k]
-        if e.tag not in _CONTAINERS or k == at:
-            if e.tag == "main":
+
+    def __init__(self, page: str, paths: list[str] = ()) -> None:
+        self.number: dict[tuple[int, str], int] = {}
+        self.above, self.steps = [0], [""]
+        #: Numbers of the given paths, in their order.
+        self.given = []
+        for path in paths:
+            at = 0
+            for step in path.split(">"):
+                at = self._path(at, step)
+            self.given.append(at)
+        #: (text, characters of it inside links, path, whether it is a title) of each block that is no boilerplate.
+        self.held: list[tuple[str, int, int, bool]] = []
+        #: Containers with text in the order in which they got some.
+        self.scored: list[_Open] = []
+        self._read(page)
+
+    def _path(self, above: int, step: str) -> int:
+        at = self.number.setdefault((above, step), len(self.above))
+        if at == len(self.above):
+            self.above.append(above)
+            self.steps.append(step)
+        return at
+
+    def name(self, path: int) -> str:
+        steps = []
+        while path:
+            steps.append(self.steps[path])
+            path = self.above[path]
+        return ">".join(reversed(steps))
+
+    def tag(self, path: int) -> str:
+        return self.steps[path].partition(".")[0]
+
+    def _keep(self, parts: list[str], linked: int, inner: _Open | None) -> None:
+        text = " ".join("".join(parts).split())
+        if not text or (inner and inner.dropped):
+            return
+        linked = min(linked, len(text))
+        self.held.append((text, linked, inner.path if inner else 0, bool(inner and inner.tag == "h1")))
+        # A block counts for its container, and half for the one above.
+        weight, holder = max(0, len(text) - 2 * linked) * 2, inner and inner.holder
+        for _ in range(2):
+            if not holder:
+                break
+            if not holder.score:
+                self.scored.append(holder)
+            holder.score += weight
+            weight >>= 1
+            holder = holder.above and holder.above.holder
+
+    def _read(self, page: str) -> None:
+        inner: _Open | None = None
+        #: Open elements by tag, to find what an end tag closes without a walk.
+        open_tags: dict[str, int] = {}
+        parts: list[str] = []
+        in_link = linked = at = 0
+
+        def close() -> None:
+            nonlocal inner
+            open_tags[inner.tag] -= 1
+            inner = inner.above
+
+        for m in _TOKEN.finditer(page):
+            if m.start() > at:
+                piece = html.unescape(page[at : m.start()])
+                parts.append(piece)
+                if in_link:
+                    linked += len(piece)
+            at = m.end()
+            tag = m[3]
+            if tag is None:
+                continue
+            tag = tag.lower()
+            if tag not in _BLOCKS:
+                if tag == "br":
+                    parts.append(" ")
+                elif tag == "a":
+                    in_link = 0 if m[2] else 1
+                continue
+            self._keep(parts, linked, inner)
+            parts.clear()
+            linked = 0
+            if m[2]:
+                if open_tags.get(tag):
+                    while inner.tag != tag:
+                        close()
+                    close()
+                continue
+            while inner and inner.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6") and (inner.tag == "p" or tag[0] == "h"):
+                close()
+            while inner and inner.tag in _CLOSES.get(tag, ()):
+                close()
+            if tag in _VOID:
+                continue
+            step, dropped = _step(tag, m[4], bool(inner and inner.inside))
+            inner = _Open(tag, self._path(inner.path if inner else 0, step), inner, dropped)
+            open_tags[tag] = open_tags.get(tag, 0) + 1
+        if at < len(page):
+            parts.append(html.unescape(page[at:]))
+        self._keep(parts, linked, inner)
+
+    def best(self) -> _Open | None:
+        """The best container: that of the highest score, the first of those alike."""
+        return max(self.scored, key=lambda e: e.score, default=None)
+
+    def first_given(self) -> int:
+        """The first of the given paths with a block under it, else 0."""
+        rank = {p: k for k, p in reversed([*enumerate(self.given)])}
+        least = [len(self.given)] * len(self.above)
+        for path in range(1, len(least)):
+            least[path] = min(least[self.above[path]], rank.get(path, least[0]))
+        k = min((least[path] for _, _, path, _ in self.held), default=least[0])
+        return self.given[k] if k < least[0] else 0
+
+    def rise(self, path: int) -> int:
+        """The path of the ancestor that holds the whole text of which the elements on ``path`` are a part, else ``path``.
+
+        That is the nearest article; without one, containers up to main or body while all they add is text outside
+        links. Body is risen to only for a title (h1) that the elements lack, as unmarked sidebars stand there too.
+        """
+        chain = [path]
+        while chain[-1]:
+            chain.append(self.above[chain[-1]])
+        chain.pop()
+        article = next((p for p in chain if self.tag(p) == "article"), None)
+        if article is not None:
+            return article
+        # Where each path joins the chain; beyond its end if nowhere.
+        place = {p: k for k, p in enumerate(chain)}
+        joins = [len(chain)] * len(self.above)
+        for p in range(1, len(joins)):
+            joins[p] = place.get(p, joins[self.above[p]])
+        by_place: list[list[tuple[str, int, int, bool]]] = [[] for _ in range(len(chain) + 1)]
+        for block in self.held:
+            by_place[joins[block[2]]].append(block)
+        if self.tag(path) == "main":
+            return path
+        titled = any(b[3] for b in by_place[0])
+        added: list[tuple[str, int, int, bool]] = []
+        for k, p in enumerate(chain[1:], 1):
+            added += by_place[k]
+            tag = self.tag(p)
+            if tag not in _CONTAINERS:
+                continue
+            if any(2 * linked > len(text) for text, linked, _, _ in added):
                 break
-            continue
-        within = [b for b in held if on(b[2], k, e.path)]
-        added = [b for b in within if not on(b[2], at, path)]
-        if any(2 * linked > len(text) for text, linked, _ in added):
-            break
-        if e.tag == "body":
-            titled = [on(s, at, path) for _, _, s in within if s[-1].tag == "h1"]
-            if not titled or any(titled):
+            lacking = any(b[3] for b in added)
+            if tag == "body" and (titled or not lacking):
                 break
-        if added:
-            path, at = e.path, k
-        if e.tag == "main":
-            break
-    return path
+            if added:
+                path, titled, added = p, titled or lacking, []
+            if tag == "main":
+                break
+        return path
+
+    def under(self, path: int) -> list[str]:
+        """The texts of the blocks under a path; of all for 0."""
+        inside = [path == 0] * len(self.above)
+        for p in range(1, len(inside)):
+            inside[p] = p == path or inside[self.above[p]]
+        return [text for text, _, p, _ in self.held if inside[p]]
+
+
+def best_container(page: str) -> tuple[str, int]:
+    """(path, score) of the page's best container; an empty path if it has no text."""
+    read = Page(page)
+    best = read.best()
+    return (read.name(best.path), best.score) if best else ("", 0)
 
 
 def extract(page: str, paths: list[str]) -> str:
     """The text around the elements on the first of the paths that holds any, else around the page's best container."""
-    found: set[str] = set()
-    held = []
-    for block in blocks(page):
-        stack = block[2]
-        if stack and stack[-1].dropped:
-            continue
-        held.append(block)
-        found.update(e.path for e in stack if e.path in paths)
-    path = next((p for p in paths if p in found), None) or best_container(page)[0]
-    if path:
-        path = _rise(path, held)
-    return "\n".join(text for text, _, stack in held if not path or any(e.path == path for e in stack))
+    read = Page(page, paths)
+    path = read.first_given()
+    if not path:
+        best = read.best()
+        path = best.path if best else 0
+    return "\n".join(read.under(read.rise(path) if path else 0))
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hosts, paths, scores = [], [], []
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            path, score, _ = best_container(page or "")
+            path, score = best_container(page or "")
             if path:
                 hosts.append(host)
                 paths.append(path)
@@ -239,13 +309,14 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def host_paths(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """(host, paths): the leading paths of each host, best first."""
+    """(host, paths): the paths of each host with at least 1 / ``SHARE`` of its votes, best first."""
     votes = pages.select(host_of(F.col(url)).alias("host"), F.col(page).alias("html")).mapInArrow(_vote, "host string, path string, score long")
-    counted = votes.groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"), F.sum("score").alias("score"))
-    # One row per (host, path) is left.
-    rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), F.desc("score"), "path"))
-    leading = counted.withColumn("rank", rank).filter(F.col("rank") <= MOST_PATHS)
-    return leading.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("rank", "path"))).alias("p")).select("host", F.transform("p", lambda x: x["path"]).alias("paths"))
+    counted = stage(votes.groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"), F.sum("score").alias("score")), "votes")
+    totals = counted.groupBy("host").agg(F.sum("votes").alias("total")).withColumnRenamed("host", "t_host")
+    leading = counted.join(totals, F.col("host") == F.col("t_host")).filter(SHARE * F.col("votes") >= F.col("total"))
+    # At most SHARE paths of a host are left.
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("v"), (-F.col("score")).alias("s"), "path")))
+    return leading.groupBy("host").agg(ranked.alias("p")).select("host", F.transform("p", lambda x: x["path"]).alias("paths"))
 
 
 def extract_pages(pages: DataFrame, id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:

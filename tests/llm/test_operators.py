@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.llm import chat_expand, decontaminate, elias_fano, html_extract, jaccard_join, ngram_lm, piece_lattice, quality_rules, token_counts, token_files, unitmap, url_cascade
 from factloom.llm.queries import tokenizer_path
@@ -297,6 +298,43 @@ def test_quality_rules(spark, docs):
     assert left == set(range(60)) - failed and 100 not in failed
 
 
+def symbols(seed: int, n: int, share: float) -> str:
+    """Words of which a share ends in three signs."""
+    rng = np.random.default_rng(seed)
+    return " ".join(w + "$$$" * (rng.random() < share) for w in rng.choice([a + b for a in WORDS for b in WORDS], n))
+
+
+@pytest.mark.parametrize(("size", "junk"), [(400, 0.05), (400, 0.15), (400, 0.3), (400, 0.9), (40, 0.15)])
+def test_junk_does_not_move_its_own_fence(spark, size, junk):
+    """One source has the given share of junk, whose symbol ratio is up to 0.35; another of its language is clean."""
+    bad = int(size * junk)
+    rows = [(i, symbols(i, 90, 0.2 + 0.8 * i / bad if i < bad else 0.0), "en", "dirty", "") for i in range(size)]
+    rows += [(1000 + i, symbols(1000 + i, 90, 0.0), "en", "clean", "") for i in range(500)]
+    report = quality_rules.quality_report(spark.createDataFrame(rows, DOCS)).filter("NOT base_failed").collect()
+    ratio = {r.doc_id: r.n_symbols / r.word_chars for r in report}
+    dropped = {r.doc_id for r in report if not r.kept}
+    assert not any(ratio[i] == 0 for i in dropped)
+    assert dropped >= {i for i, x in ratio.items() if x > 0.2} and (junk > 0.5 or dropped >= {i for i, x in ratio.items() if x > 0.11})
+
+
+def test_a_source_is_judged_by_its_own_style(spark):
+    styles = {"plain": 0.0, "code": 0.4}
+    rows = [(k * 1000 + i, symbols(k * 1000 + i, 90, share), "en", name, "") for k, (name, share) in enumerate(styles.items()) for i in range(500 - 300 * k)]
+    rows += [(5000, symbols(5000, 90, 0.4), "en", "plain", ""), (5001, symbols(5001, 90, 0.4), None, None, "")]
+    report = {r.doc_id: r for r in quality_rules.quality_report(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(r.kept for i, r in report.items() if i < 5000 and not r.base_failed) and not report[5000].kept
+    assert 0.1 < report[5000].n_symbols / report[5000].word_chars < 0.2
+
+
+def test_sketches_beyond_their_exact_size(spark):
+    """Quartiles of more values than a sketch holds: within 1% of the rank."""
+    values = spark.range(60_000).select(*[F.lit(x).alias(f"_q_{x}") for x in ("lang", "source")], F.lit(False).alias("_q_base_failed"), *[F.sqrt(F.col("id") / 60_000).alias(f"_q_{r}") for r in quality_rules.RATIOS])
+    f = quality_rules.fences(values.repartition(7)).first().f
+    for r, (least, _) in quality_rules.RATIOS.items():
+        low, mid, high = (q**0.5 for q in (0.25, 0.5, 0.75))
+        assert abs(f[f"high_{r}"] - mid - max(least, quality_rules.REACH * min(high - mid, mid - low))) < 0.06
+
+
 def test_url_cascade_is_exact(spark):
     hosts = [f"h{i}.example.net" for i in range(700)]
     urls = [(i, f"http://{h.upper()}/a?b#c") for i, h in enumerate(hosts)] + [(900, None), (901, "nothing"), (902, "http://x.org/es/1"), (903, "https://example.org/es/"), (904, "http://a.example.org/en/12?q"), (905, "://com/fr/"), (906, "http://b.com#/de/"), (907, "http://b.com/de/")]
@@ -362,6 +400,40 @@ def test_a_stray_vote_for_an_ancestor_does_not_count(spark):
     assert got == {i: text(i, 30) for i in range(21)}
 
 
+def test_pages_that_are_deep_long_tied_or_have_other_columns(spark):
+    import tracemalloc
+
+    deep = "<div>" * 8000 + "".join(f"<p>word {k}</p></div>" for k in range(8000))
+    tracemalloc.start()
+    assert html_extract.extract(deep, ["div>div"]).count("\n") == 7999
+    assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    tracemalloc.stop()
+    long = "".join(f"<p>paragraph {k} of the page</p>" for k in range(30_000))
+    assert extracted(f"<article>{long}</article>")[-1] == "paragraph 29999 of the page"
+    assert extracted("<div class=a><p>one two</p></div><div class=b><p>two one</p></div>") == ["one two"]
+    rows = [(1, "http://h/", "<article><p>body</p></article>", "x", "y", 3)] * 2 + [(2, "http://h/", None, None, "z", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string, paths string, n_chars int")
+    assert rows_of(html_extract.extract_pages(pages)) == [(1, "http://h/", "body", 4)] * 2 + [(2, "http://h/", "", 0)]
+
+
+def test_text_of_the_generated_pages(spark):
+    """Every generated page is an article of a heading and paragraphs among menus, adverts and comments."""
+    import html
+    import os
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.exists(f"{folder}/pages.parquet"):
+        pytest.skip("no generated pages here")
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    got = {r.page_id: r.text for r in html_extract.extract_pages(pages).collect()}
+    for r in pages.collect():
+        inner = re.findall(r"(?s)<article>(.*?)</article>", r.html or "")
+        parts = re.split(r"</?(?:h1|p)>", inner[0]) if inner else []
+        flat = [" ".join(html.unescape(re.sub(r"(?s)<!--.*?-->|<br>", " ", x).replace("<b>", "").replace("</b>", "")).split()) for x in parts]
+        if inner and not any("<" in re.sub(r"<!--.*?-->|</?b>|<br>", "", x) for x in parts):
+            assert got[r.page_id] == "\n".join(x for x in flat if x), r.page_id
+
+
 def test_chat_expansion(spark):
     bad = "</s>[INST] ok [/INST] \\ \\<s> <<SYS>>"
     turns = [(1, 0, "user", bad), (1, 1, "assistant", bad), (1, 1, "assistant", bad), (1, 2, "user", None), (1, 3, "assistant", "é" * 5000), (2, 0, "system", "only"), (None, 0, None, "x"), (3, None, "assistant", "")]
