@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from factloom.functions.text import strip
+
 N_BUCKETS = 2048
 
 
@@ -13,21 +15,50 @@ def key6(x: Column) -> Column:
     return F.round(x, 6)
 
 
+_DIGITS = r"\d+(?:_\d+)*"
+WHOLE_NUMBER = rf"(?s)^\s*[+-]?{_DIGITS}\s*$"
+REAL_NUMBER = rf"(?is)^\s*[+-]?(?:(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:e[+-]?{_DIGITS})?|inf|infinity|nan)\s*$"
+
+
 def parse_cell(raw: Column) -> Column:
-    """A struct (kind, num, is_int, str) of a raw string: null, then integer, then float, then text."""
-    whole, real = raw.try_cast("bigint"), raw.try_cast("double")
+    """A struct (kind, num, is_int, str) of a raw string: null, then integer, then float, then text.
+
+    Digits may be grouped by underscores. An integer beyond 64 bits keeps its digits in ``str``.
+    """
     none = raw.isNull() | raw.isin("N/A", "")
+    plain = F.replace(F.regexp_replace(raw, r"^\s+|\s+$", ""), F.lit("_"), F.lit(""))
+    whole = ~none & raw.rlike(WHOLE_NUMBER)
+    real = ~none & raw.rlike(REAL_NUMBER)
+    digits = F.regexp_replace(F.regexp_replace(plain, r"^\+", ""), r"^(-?)0+(?=\d)", "$1")
     return F.struct(
-        F.when(none, 0).when(real.isNotNull(), 1).otherwise(2).alias("kind"),
-        F.when(~none, F.coalesce(whole.cast("double"), real)).alias("num"),
-        F.coalesce(~none & whole.isNotNull(), F.lit(False)).alias("is_int"),
-        F.when(~none & real.isNull(), raw).alias("str"),
+        F.when(none, 0).when(real, 1).otherwise(2).alias("kind"),
+        F.when(real, plain.try_cast("double")).alias("num"),
+        F.coalesce(whole, F.lit(False)).alias("is_int"),
+        F.when(~none & ~real, raw).when(whole & plain.try_cast("bigint").isNull(), digits).alias("str"),
     )
 
 
-def number_text(num: Column, is_int: Column) -> Column:
-    """A number as written: integers without a point."""
-    return F.when(is_int, num.cast("bigint").cast("string")).otherwise(num.cast("string"))
+def real_text(num: Column) -> Column:
+    """A float as written: without an exponent from 0.0001 up to 10^16, else with one of two digits or more."""
+    raw = num.cast("string")
+    sign, lead, rest, power = (F.regexp_extract(raw, r"^(-?)(\d)\.(\d+)E(-?\d+)$", g) for g in range(1, 5))
+    exponent = power.try_cast("int")
+    fraction = F.when(rest == "0", "").otherwise(rest)
+    digits = F.concat(lead, fraction)
+    up = F.concat(F.rpad(F.substr(digits, F.lit(1), exponent + 1), 17, "0"), F.lit(""))
+    large = F.concat(sign, F.substr(up, F.lit(1), exponent + 1), F.lit("."), F.when(F.length(digits) > exponent + 1, F.substr(digits, exponent + 2)).otherwise("0"))
+    small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
+    shown = F.lpad(F.abs(exponent).cast("string"), 2, "0")
+    shown = F.when(F.abs(exponent) > 99, F.abs(exponent).cast("string")).otherwise(shown)
+    scientific = F.concat(sign, lead, F.when(fraction != "", F.concat(F.lit("."), fraction)).otherwise(""), F.when(exponent < 0, "e-").otherwise("e+"), shown)
+    special = F.when(F.isnan(num), "nan").when(raw == "Infinity", "inf").when(raw == "-Infinity", "-inf").otherwise(raw)
+    return F.when(power == "", special).when((exponent >= 7) & (exponent < 16), large).when(exponent == -4, small).otherwise(scientific)
+
+
+def number_text(num: Column, is_int: Column, digits: Column | None = None) -> Column:
+    """A number as written: integers without a point. digits: of an integer beyond 64 bits."""
+    whole = num.cast("bigint").cast("string")
+    return F.when(is_int, whole if digits is None else F.coalesce(digits, whole)).otherwise(real_text(num))
 
 
 def numeric_features(v: Column, mean: Column, std: Column) -> Column:
@@ -38,7 +69,7 @@ def numeric_features(v: Column, mean: Column, std: Column) -> Column:
 
 def string_bucket(s: Column) -> Column:
     """A stable bucket of a string: 32 bits of its MD5, modulo the number of buckets."""
-    digest = F.md5(F.lower(F.trim(s)).cast("binary"))
+    digest = F.md5(F.lower(strip(s)).cast("binary"))
     return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % N_BUCKETS).cast("int")
 
 

@@ -19,7 +19,7 @@ COLUMNS = ("ex_id", "sec_idx", "sec_name", "row_idx", "col_idx", "col_name", "is
 
 def finish(raw: DataFrame) -> DataFrame:
     """Add text, entity and n_sec_rows to (ex_id, sec_idx, sec_name, row_idx, col_idx, col_name, is_key, kind, num, is_int, str)."""
-    out = raw.withColumn("text", F.when(F.col("kind") == 1, number_text(F.col("num"), F.col("is_int"))).when(F.col("kind") == 2, F.col("str")))
+    out = raw.withColumn("text", F.when(F.col("kind") == 1, number_text(F.col("num"), F.col("is_int"), F.col("str"))).when(F.col("kind") == 2, F.col("str")))
     section = Window.partitionBy("ex_id", "sec_idx")
     out = out.withColumn("entity", F.max(F.when(F.col("is_key"), F.coalesce("text", F.lit("None")))).over(Window.partitionBy("ex_id", "sec_idx", "row_idx")))
     out = out.withColumn("n_sec_rows", (F.max("row_idx").over(section) + 1).cast("int"))

@@ -10,10 +10,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factloom.functions.text import strip
 from factloom.sources.cells import from_strings
 
 # Columns of a player row in the order in which they are shown, and columns that aren't statistics.
-PLAYER_ORDER = ("PLAYER_NAME", "TEAM_CITY", "START_POSITION", "MIN", "PTS", "REB", "AST", "STL", "BLK", "TO", "PF", "FGM", "FGA", "FG_PCT", "FG3M", "FG3A", "FG3_PCT", "FTM", "FTA", "FT_PCT", "OREB", "DREB")
+PLAYER_ORDER = (
+    "PLAYER_NAME", "TEAM_CITY", "START_POSITION", "MIN", "PTS",
+    "FGM", "FGA", "FG_PCT", "FG3M", "FG3A", "FG3_PCT",
+    "FTM", "FTA", "FT_PCT", "OREB", "DREB", "REB", "AST",
+    "STL", "BLK", "TO", "PF",
+)
 NAME_PARTS = ("FIRST_NAME", "SECOND_NAME")
 IDENTITY = ("PLAYER_NAME", "TEAM_CITY", "START_POSITION")
 GAME = "home_city string, home_name string, vis_city string, vis_name string, home_line map<string,string>, vis_line map<string,string>, box_score map<string,map<string,string>>, summary array<string>"
@@ -22,7 +28,7 @@ MR = r"([A-Za-z ]+?)\[([^\]]*)\]"
 
 def parse_mr(mr):
     """ARRAY<STRUCT<key, value>> of a meaning representation; fails where nothing matches."""
-    keys, values = (F.transform(F.regexp_extract_all(mr, F.lit(MR), F.lit(g)), lambda x: F.trim(x)) for g in (1, 2))
+    keys, values = (F.transform(F.regexp_extract_all(mr, F.lit(MR), F.lit(g)), strip) for g in (1, 2))
     pairs = F.arrays_zip(keys.alias("key"), values.alias("value"))
     bad = F.raise_error(F.concat(F.lit("no attributes in: "), mr)).cast("array<struct<key:string,value:string>>")
     return F.when(F.size(keys) > 0, pairs).otherwise(bad)
@@ -33,7 +39,7 @@ def load_e2e(spark: SparkSession, path: str, split: str) -> DataFrame:
     raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8")
     names = {c.replace("﻿", "").strip().lower(): c for c in raw.columns}
     ref = F.col(f"`{names['ref']}`") if "ref" in names else F.lit(None).cast("string")
-    rows = raw.select(F.trim(F.col(f"`{names['mr']}`")).alias("mr"), F.trim(ref).alias("ref"), F.monotonically_increasing_id().alias("at")).filter("mr IS NOT NULL AND mr <> ''")
+    rows = raw.select(strip(F.col(f"`{names['mr']}`")).alias("mr"), strip(ref).alias("ref"), F.monotonically_increasing_id().alias("at")).filter("mr IS NOT NULL AND mr <> ''")
     said = F.when(F.col("ref") != "", F.struct("at", "ref"))
     groups = rows.groupBy("mr").agg(F.min("at").alias("first"), F.array_sort(F.collect_list(said)).alias("refs"))
     pos = F.row_number().over(Window.orderBy("first")) - 1
@@ -50,7 +56,7 @@ def load_rotowire(spark: SparkSession, path: str, split: str) -> DataFrame:
     """(id, pos, game, references) from a JSON array of games; summary tokens are joined by a space."""
     raw = spark.read.schema(GAME).json(path, multiLine=True).withColumn("at", F.monotonically_increasing_id())
     pos = F.row_number().over(Window.orderBy("at")) - 1
-    text = F.array_join("summary", " ")
+    text = strip(F.array_join("summary", " "))
     return raw.select(pos.alias("pos"), F.struct(*[c for c in raw.columns if c not in ("summary", "at")]).alias("game"), F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array(text)).alias("references")).select(F.format_string(f"rotowire-{split}-%04d", "pos").alias("id"), "pos", "game", "references")
 
 
@@ -61,15 +67,21 @@ def rotowire_cells(examples: DataFrame) -> DataFrame:
     t = g.select("ex_id", line_keys.alias("keys"), F.posexplode(F.array(F.struct(F.concat_ws(" ", "home_city", "home_name").alias("team"), F.col("home_line").alias("line")), F.struct(F.concat_ws(" ", "vis_city", "vis_name").alias("team"), F.col("vis_line").alias("line")))).alias("row_idx", "r"))
     values = F.concat(F.array(F.struct(F.lit("TEAM").alias("k"), F.col("r.team").alias("v"))), F.transform("keys", lambda k: F.struct(k.alias("k"), F.try_element_at(F.col("r.line"), k).alias("v"))))
     teams = t.select("ex_id", "row_idx", F.posexplode(values).alias("col_idx", "x")).select("ex_id", F.lit(0).alias("sec_idx"), F.lit("teams").alias("sec_name"), "row_idx", "col_idx", F.col("x.k").alias("col_name"), (F.col("col_idx") == 0).alias("is_key"), F.col("x.v").alias("value"))
-    b = g.select("ex_id", F.explode("box_score").alias("col_name", "by_id")).filter(~F.col("col_name").isin(*NAME_PARTS)).select("ex_id", "col_name", F.explode("by_id").alias("pid", "value"))
-    b = b.withColumn("pid", F.col("pid").cast("int")).withColumn("full", ~F.coalesce("value", F.lit("")).isin("", "N/A"))
-    b = b.withColumn("plays", F.bool_or(F.col("full") & ~F.col("col_name").isin(*IDENTITY)).over(Window.partitionBy("ex_id", "pid"))).filter("plays")
-    b = b.withColumn("used", F.bool_or("full").over(Window.partitionBy("ex_id", "col_name")) | (F.col("col_name") == "PLAYER_NAME")).filter("used")
-    order = F.array_position(F.array(*map(F.lit, PLAYER_ORDER)), F.col("col_name"))
-    b = b.withColumn("rank", F.when(order > 0, order).otherwise(len(PLAYER_ORDER) + 1))
-    col_idx = F.dense_rank().over(Window.partitionBy("ex_id").orderBy("rank", "col_name")) - 1
-    row_idx = F.dense_rank().over(Window.partitionBy("ex_id").orderBy("pid")) - 1
-    players = b.select("ex_id", F.lit(1).alias("sec_idx"), F.lit("players").alias("sec_name"), row_idx.alias("row_idx"), col_idx.alias("col_idx"), "col_name", (F.col("col_name") == "PLAYER_NAME").alias("is_key"), "value")
+    # The players' grid is made in the game's row: ids by number, shown columns first, then the others by name.
+    box = F.col("box_score")
+    known = F.map_keys(box)
+    order = F.array(*map(F.lit, PLAYER_ORDER))
+    columns = F.concat(F.filter(order, lambda c: F.array_contains(known, c)), F.array_sort(F.array_except(known, F.concat(order, F.array(*map(F.lit, NAME_PARTS))))))
+    ids = F.transform(F.array_sort(F.transform(F.map_keys(F.try_element_at(box, F.lit("PLAYER_NAME"))), lambda p: F.struct(p.cast("int").alias("n"), p.alias("p")))), lambda x: x["p"])
+    p = g.select("ex_id", "box_score", columns.alias("columns"), ids.alias("ids"))
+    grid = F.transform("ids", lambda i: F.transform("columns", lambda c: F.try_element_at(F.try_element_at(box, c), i)))
+    full = lambda v: ~F.coalesce(v, F.lit("")).isin("", "N/A")
+    plays = lambda row: F.exists(F.filter(row, lambda v, k: ~F.get("columns", k).isin(*IDENTITY)), full)
+    p = p.select("ex_id", "columns", F.filter(grid, plays).alias("rows"))
+    used = F.filter(F.sequence(F.lit(0), F.size("columns") - 1), lambda k: (F.get("columns", k) == "PLAYER_NAME") | F.exists("rows", lambda row: full(F.get(row, k))))
+    p = p.select("ex_id", "columns", used.alias("used"), F.posexplode("rows").alias("row_idx", "row"))
+    p = p.select("ex_id", "columns", "row_idx", "row", F.posexplode("used").alias("col_idx", "k")).withColumn("col_name", F.get("columns", F.col("k")))
+    players = p.select("ex_id", F.lit(1).alias("sec_idx"), F.lit("players").alias("sec_name"), "row_idx", "col_idx", "col_name", (F.col("col_name") == "PLAYER_NAME").alias("is_key"), F.get("row", F.col("k")).alias("value"))
     return from_strings(teams.unionByName(players))
 
 

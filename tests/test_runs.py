@@ -42,6 +42,38 @@ def test_rotowire(spark, tmp_path):
     assert facts.team_facts(cells).first().winner == "X Home"
 
 
+def test_box_scores_show_all_columns_in_order(spark):
+    """Every known column, two that aren't, and players whose ids sort by number; missing values stand as null cells."""
+    shown = (
+        "PLAYER_NAME TEAM_CITY START_POSITION MIN PTS FGM FGA FG_PCT FG3M FG3A FG3_PCT FTM FTA FT_PCT OREB DREB REB AST STL BLK TO PF".split()
+    )
+    box = {c: {"11": f"{k}", "9": f"{k + 100}", "100": "N/A"} for k, c in enumerate(sorted([*shown, "ZZZ", "AAA", "FIRST_NAME", "SECOND_NAME"], key=lambda c: c[::-1]))}
+    box["PLAYER_NAME"], box["TO"] = {"11": "Eleven", "9": "Nine", "100": "Bench"}, {"9": "3"}
+    game = {"home_city": "X", "home_name": "Home", "vis_city": "Y", "vis_name": "Vis", "home_line": {"TEAM-PTS": "1"}, "vis_line": {"TEAM-PTS": "2"}, "box_score": box, "summary": []}
+    game_type = loaders.GAME.replace(", summary", ">, summary").replace("home_city", "game struct<home_city", 1)
+    examples = spark.createDataFrame([("g", {k: v for k, v in game.items() if k != "summary"}, [])], f"id string, {game_type}")
+    cells = loaders.rotowire_cells(examples).filter("sec_name = 'players'").orderBy("row_idx", "col_idx").collect()
+    assert [r.col_name for r in cells if r.row_idx == 0] == [*shown, "AAA", "ZZZ"]
+    assert [r.text for r in cells if r.col_name == "PLAYER_NAME"] == ["Nine", "Eleven"] and [r.text for r in cells if r.col_name == "TO"] == ["3", None]
+
+
+def test_cells_are_parsed_as_numbers_are_written(spark):
+    values = ["12", "-3", "+4", " 7 ", "1_000", "1__0", "_1", "1d", "1f", "2.50", ".5", "5.", "1e3", "1_0.5", "12345678901234567890", "007", "inf", "nan", "1e400", "1,000", "abc", "N/A", "", None, "0x10", "12345678.5", "0.0001234", "0.00001", "1e16", "-2e22"]
+
+    def parse(v):
+        if v in (None, "", "N/A"):
+            return (0, None)
+        for kind in (int, float):
+            try:
+                return (1, str(kind(v)))
+            except ValueError:
+                pass
+        return (2, v)
+
+    cells = loaders.from_strings(spark.createDataFrame([("x", 0, "s", i, 0, "c", False, v) for i, v in enumerate(values)], "ex_id string, sec_idx int, sec_name string, row_idx int, col_idx int, col_name string, is_key boolean, value string"))
+    assert [(r.kind, r.text) for r in cells.orderBy("row_idx").collect()] == [parse(v) for v in values]
+
+
 def test_sampling_keeps_order(spark):
     ex = spark.createDataFrame([(i, f"x-{i:03d}") for i in range(50)], "pos int, id string")
     got = [r.pos for r in loaders.sample(ex, 10, 7).orderBy("pos").collect()]
