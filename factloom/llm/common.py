@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A side of at most this many bytes (counted first) may be broadcast; larger ones are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
@@ -58,6 +59,11 @@ def drop_staged(*tables: DataFrame) -> None:
         path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def bounded(df: DataFrame, row_bytes: int) -> DataFrame:
+    """A staged table with a broadcast hint if its counted rows are within the bound."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
 def string_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and its n + 1 offsets, without a copy; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):
@@ -82,6 +88,26 @@ def doc_chunks(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
+def give_back() -> None:
+    """Return the memory that a Python worker has freed to the system; between chunks, so that workers stay small."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` for ``mapInArrow``, after which the worker, idle until its next task, holds little memory."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
 def open_fs(uri: str):
     """(file system, path) of a folder or file of the shared store, for Python workers."""
     from pyarrow import fs

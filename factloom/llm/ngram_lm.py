@@ -37,16 +37,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import elias_fano as ef
-from factloom.llm.common import doc_chunks, drop_staged, shared_dir, stage, string_bytes
+from factloom.llm.common import doc_chunks, drop_staged, give_back, shared_dir, stage, string_bytes
 from factloom.llm.wordhash import NONSPACE, scan
 
 ORDER = 3
 DISCOUNT = 0.75
 #: Occurrences of n-grams that a shard gathers.
-SHARD_TOKENS = 2_000_000
+SHARD_TOKENS = 1_000_000
 OPEN_SHARDS = 512
 #: Bytes of text that are led through the trie at once.
-_CHUNK = 5 << 20
+_CHUNK = 4 << 20
 _U = np.uint64
 END = _U(0x5EED0E4D)
 _BIN = 2.0**12
@@ -195,6 +195,8 @@ def _as_numbers(docs: DataFrame, words: Level) -> DataFrame:
                 one = lambda x: pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), x)  # noqa: B023, E731
                 columns = [one(batch.column(c).slice(i, j - i)) for c in (0, 1)] + [one(pa.array(np.diff(rows))), pa.array([_squeeze(numbers)], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["ids", "held", "sizes", "words"])
+                del seen, unique, back, numbers, columns
+                give_back()
 
     return docs.mapInArrow(run, _IDS)
 
@@ -328,7 +330,9 @@ def _build(runs: DataFrame, folder: str, build, most: int) -> list:
                 arrays, split, types = build(keys, counts, now)
                 ef.save(f"{folder}/{now:08d}.ef", arrays)
                 done.append((now, len(keys), int(counts.sum()), *(x.tolist() for x in _cut(counts, most)), split, types))
+                give_back()
 
+        _open.cache_clear()
         for batch in batches:
             for shard, keys, counts in zip(*(batch.column(x) for x in range(3)), strict=True):
                 if shard.as_py() != now:
@@ -401,6 +405,8 @@ def _count_ngrams(numbers: DataFrame, model: Model, order: int, cuts: np.ndarray
                 for lower in range(2, order):
                     walk.descend(lower)
                 yield _runs(*np.unique(walk.keys()[1], return_counts=True), cuts)
+                del walk
+                give_back()
 
     return numbers.mapInArrow(count, _RUNS)
 
@@ -442,7 +448,7 @@ def _scored(numbers: DataFrame, model: Model) -> DataFrame:
             for part in _parts(batch, model.words):
                 unique, back = np.unique(part.words, return_inverse=True)
                 base = (np.log10(word_counts(model.words, unique) + 1.0) - below)[back]
-                p, walk = 10.0**base, Walk(model, part.words, part.sizes, end)
+                p, walk, asked = 10.0**base, Walk(model, part.words, part.sizes, end), None
                 for order in range(2, len(model.levels) + 2):
                     asked = walk.descend(order)
                     p[asked.at] = asked.p + asked.left * p[asked.at]
@@ -451,6 +457,8 @@ def _scored(numbers: DataFrame, model: Model) -> DataFrame:
                     [part.ids, pa.array(part.held), pa.array(part.sizes), pa.array(sums[2]), pa.array(np.full(len(part.sizes), model.total, np.int64)), pa.array(sums[0]), pa.array(sums[1])],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
+                del unique, back, base, p, walk, asked
+                give_back()
 
     return numbers.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
