@@ -1,9 +1,10 @@
 """Chat formatting by prefix-target expansion: every assistant turn becomes an example of its own.
 
-An example's context is everything before its turn and only its reply is trainable. Writing the contexts out
-would square a long conversation, so the output holds each formatted turn once and an example is a span over its
-conversation's stream: context = stream[0:target_from], target = stream[target_from:target_to]. ``examples`` carries
-the expansion out from the spans: a row per assistant turn with its whole context, made as it is read.
+The output holds a row per turn, with the formatted turn, and a row per example: an assistant turn is exploded into its
+reply, which alone is trainable, and a reference to its context, which is everything of its conversation's stream before
+it: context = stream[0:context_to], target = stream[target_from:target_to]. Written out in each row, the contexts would
+take the square of a long conversation; ``examples`` writes them out as it is read. The loss is read from the example
+rows.
 
 Template of a turn: ``<s>ROLE[INST]TEXT[/INST]</s>``. Inside ROLE and TEXT a backslash is doubled and every control
 string gets a backslash after its first character, so escaped text never holds one and unescaping is exact.
@@ -34,6 +35,7 @@ CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 _ESCAPE = re.compile(r"\\|" + "|".join(f"(?<={re.escape(c[0])})(?={re.escape(c[1:])})" for c in CONTROL))
 _UNESCAPE = re.compile(r"\\(.)", re.S)
 TRAINED_ROLE = "assistant"
+TURN_END = "[/INST]</s>"
 
 
 def escape(text: str) -> str:
@@ -49,16 +51,23 @@ def unescape(text: str) -> str:
 def format_turn(role: str, text: str) -> tuple[str, int, int]:
     """The formatted turn and where its escaped text begins and ends in it."""
     head, body = f"<s>{escape(role)}[INST]", escape(text)
-    return f"{head}{body}[/INST]</s>", len(head), len(head) + len(body)
+    return f"{head}{body}{TURN_END}", len(head), len(head) + len(body)
 
 
 def parse_turn(segment: str) -> tuple[str, str]:
     """Role and text of a formatted turn."""
     role, _, rest = segment.removeprefix("<s>").partition("[INST]")
-    return unescape(role), unescape(rest.removesuffix("[/INST]</s>"))
+    return unescape(role), unescape(rest.removesuffix(TURN_END))
 
 
-_SEGMENTS = pa.schema([("conv_id", pa.int64()), ("ordinal", pa.int64()), ("segment", pa.string()), ("stream_from", pa.int64()), ("target_from", pa.int64()), ("target_to", pa.int64())])
+_OUTPUT = "conv_id long, ordinal long, segment string, stream_from long, context_to long, target_from long, target_to long, target string"
+_ROWS = pa.schema([(x.split()[0], pa.int64() if x.split()[1] == "long" else pa.string()) for x in _OUTPUT.split(", ")])
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(schema)
+    rows.clear()
+    return pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,49 +78,49 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not begun or c != conv:
                 conv, ordinal, at, begun = c, 0, 0, True
             segment, a, b = format_turn(role or "", text or "")
-            trained = role == TRAINED_ROLE
-            out.append((c, ordinal, segment, at, at + a if trained else None, at + b if trained else None))
+            out.append((c, ordinal, segment, at, None, None, None, None))
+            if role == TRAINED_ROLE:
+                out.append((c, ordinal, None, None, at + a, at + a, at + b, segment[a:b]))
             ordinal, at = ordinal + 1, at + len(segment)
-        columns = zip(*out, strict=True) if out else [[]] * len(_SEGMENTS)
-        yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(columns, _SEGMENTS, strict=True)], schema=_SEGMENTS)
+        yield _batch(out, _ROWS)
 
 
 def expand(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """The written output: one row per turn; those with a target span are the examples."""
+    """The written output: a row per turn (with ``segment``) and a row per example (with ``target``)."""
     turns = conversations.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
     dealt = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    rows = dealt.mapInArrow(_format, "conv_id long, ordinal long, segment string, stream_from long, target_from long, target_to long")
-    return stage(rows, "chat")
+    return stage(dealt.mapInArrow(_format, _OUTPUT), "chat")
 
 
 def render(output: DataFrame, conv_id: int, ordinal: int) -> tuple[str, str]:
     """(context, target) of one example, read from the output."""
-    rows = output.filter((F.col("conv_id") == conv_id) & (F.col("ordinal") <= ordinal)).orderBy("ordinal").collect()
-    stream = "".join(r.segment for r in rows)
-    return stream[: rows[-1].target_from], stream[rows[-1].target_from : rows[-1].target_to]
+    mine = output.filter((F.col("conv_id") == conv_id) & (F.col("ordinal") <= ordinal))
+    stream = "".join(r.segment for r in mine.filter("segment IS NOT NULL").orderBy("ordinal").collect())
+    example = mine.filter((F.col("ordinal") == ordinal) & F.col("target").isNotNull()).first()
+    return stream[: example.context_to], example.target
+
+
+def _in_order(output: DataFrame) -> DataFrame:
+    """Rows of a conversation together, each turn before its example."""
+    return output.repartition("conv_id").sortWithinPartitions("conv_id", "ordinal", F.col("target").isNotNull())
 
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     conv, stream, begun, size = None, "", False, 0
     rows: list[tuple] = []
-
-    def flush() -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * len(_EXAMPLES)
-        rows.clear()
-        return pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(columns, _EXAMPLES, strict=True)], schema=_EXAMPLES)
-
     for batch in batches:
-        for c, ordinal, segment, a, b in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "ordinal", "segment", "target_from", "target_to")), strict=True):
+        for c, ordinal, segment, to, target in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "ordinal", "segment", "context_to", "target")), strict=True):
             if not begun or c != conv:
                 conv, stream, begun = c, "", True
-            stream += segment
-            if a is not None:
-                if rows and size + b > EXAMPLE_CHARS:
-                    yield flush()
-                    size = 0
-                rows.append((c, ordinal, stream[:a], stream[a:b]))
-                size += b
-    yield flush()
+            if segment is not None:
+                stream += segment
+                continue
+            if rows and size + to + len(target) > EXAMPLE_CHARS:
+                yield _batch(rows, _EXAMPLES)
+                size = 0
+            rows.append((c, ordinal, stream[:to], target))
+            size += to + len(target)
+    yield _batch(rows, _EXAMPLES)
 
 
 _EXAMPLES = pa.schema([("conv_id", pa.int64()), ("ordinal", pa.int64()), ("context", pa.string()), ("target", pa.string())])
@@ -122,8 +131,7 @@ def examples(output: DataFrame) -> DataFrame:
 
     A task holds the stream of the conversation at hand. Written out, the contexts of a conversation take the square of its turns.
     """
-    dealt = output.repartition("conv_id").sortWithinPartitions("conv_id", "ordinal")
-    return dealt.mapInArrow(_examples, "conv_id long, ordinal long, context string, target string")
+    return _in_order(output).mapInArrow(_examples, "conv_id long, ordinal long, context string, target string")
 
 
 _DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long, example_chars long"
@@ -139,35 +147,30 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             conv, n, turns, chars, loss, formatted, examples, expanded = now
             done.append((conv, n, turns.hexdigest(), chars, loss.hexdigest(), formatted, examples, expanded))
 
-    def flush() -> pa.RecordBatch:
-        columns = list(zip(*done, strict=True)) if done else [[]] * len(_DIGEST_SCHEMA)
-        done.clear()
-        return pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(columns, _DIGEST_SCHEMA, strict=True)], schema=_DIGEST_SCHEMA)
-
     for batch in batches:
-        for conv, segment, at, a, b in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "segment", "stream_from", "target_from", "target_to")), strict=True):
+        for conv, segment, to, a, b, target in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "segment", "context_to", "target_from", "target_to", "target")), strict=True):
             if now is None or now[0] != conv:
                 close()
                 now = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
-            role, text = parse_turn(segment)
-            now[1] += 1
-            now[2].update(f"{role}\n{text}\n".encode())
-            now[5] += len(segment)
-            if a is not None:
-                target = unescape(segment[a - at : b - at])
-                now[3] += len(target)
-                now[4].update(target.encode())
-                now[6] += 1
-                now[7] += at + len(segment)
-        yield flush()
+            if segment is not None:
+                role, text = parse_turn(segment)
+                now[1] += 1
+                now[2].update(f"{role}\n{text}\n".encode())
+                now[5] += len(segment)
+                continue
+            reply = unescape(target)
+            now[3] += len(reply)
+            now[4].update(reply.encode())
+            now[6] += 1
+            now[7] += to + (b - a) + len(TURN_END)
+        yield _batch(done, _DIGEST_SCHEMA)
     close()
-    yield flush()
+    yield _batch(done, _DIGEST_SCHEMA)
 
 
 def digests(output: DataFrame) -> DataFrame:
-    """Per conversation, read back from the output: turns, what the loss mask covers, and sizes.
+    """Per conversation, read back from the output: turns from their rows, what the loss covers from the examples' rows.
 
     formatted_chars counts the stored stream; example_chars what the examples would take with contexts written out.
     """
-    dealt = output.repartition("conv_id").sortWithinPartitions("conv_id", "ordinal")
-    return dealt.mapInArrow(_digest, _DIGESTS)
+    return _in_order(output).mapInArrow(_digest, _DIGESTS)
