@@ -1,13 +1,15 @@
 """Benchmark decontamination with suffix arrays over the training words.
 
-Each chunk of documents is a shard with a suffix array of its own: the suffixes of its word sequence, sorted by their
-first ``WINDOW`` words. Every test suffix (each window of 13 consecutive item words; a shorter item is one window) is
-binary-searched in it, all at once; the interval found gives every place where the window stands. Places on one
-diagonal join into maximal verbatim matches, of which the longest of each (document, item) is reported. Suffixes whose
-first two words begin no window can't match and are left out of the array.
+Each chunk of documents is a shard with a suffix array of its own: all suffixes of its word sequence, sorted by prefix
+doubling to ``WINDOW`` words or more; a suffix ends with its document. Every test suffix (each window of 13 consecutive
+item words; a shorter item is one window) is binary-searched in it, all at once, but for those with a word that the shard
+doesn't hold; the interval found gives every place where the window stands. Places on one diagonal join into maximal
+verbatim matches, of which the longest of each (document, item) is reported. A shard's array serves all blocks of the
+benchmark and is gone with its chunk: it takes a tenth of a second a megabyte to sort, and no other stage reads it.
 
-The benchmark is written into blocks of bounded size in the shared folder; tasks read block after block, so neither
-the driver nor a task ever holds it whole. Words are 64-bit fingerprints; 13 of them in a row stand for a window.
+The benchmark is written into blocks of bounded size in the shared folder, as the words of their items and the windows
+that differ; tasks map block after block, so neither the driver nor a task ever holds it whole. Words are 64-bit
+fingerprints.
 
 Defined results: null texts have no words; an item without words has no window; repeated items and ids count once per
 id, and a null item_id counts as the empty string; repeated documents keep a row each; a document without hits has no
@@ -17,90 +19,85 @@ items; a document without words is clean; an empty benchmark leaves all document
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import doc_chunks, read_bytes, shared_dir, string_bytes, write_bytes
+from factloom.llm import elias_fano
+from factloom.llm.common import doc_chunks, shared_dir, string_bytes, trimmed
 from factloom.llm.wordhash import ALNUM, mix, scan
 
 WINDOW = 13
 BLOCK_BYTES = 4 << 20
-_CHUNK = 4 << 20
-_KEPT_BLOCKS = 4
-_BITS = np.uint64(64 - 22)
+_CHUNK = 8 << 20
 _U = np.uint64
 _STEP = _U(0x9FB21C651E98DF25)
 
 
-def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mix(a * _STEP + b) >> _BITS
-
-
-class Block:
-    """The windows of some items, each once, and where they stand."""
-
-    def __init__(self, ids: list[str], buf: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> None:
-        words = scan(buf, offsets, ALNUM)
-        n = np.diff(words.rows)
-        per_item = np.where(n >= window, n - window + 1, n > 0)
-        item = np.repeat(np.arange(len(n)), per_item)
-        at = np.arange(len(item)) - np.repeat(np.cumsum(per_item) - per_item, per_item)
-        length = np.minimum(n[item], window)
-        index = words.rows[item][:, None] + at[:, None] + np.arange(window)
-        inside = np.arange(window) < length[:, None]
-        rows = np.where(inside, words.hashes[np.minimum(index, max(len(words.hashes) - 1, 0))] if len(words.hashes) else 0, _U(0))
-        key = length.astype(np.uint64)
-        for d in range(window):
-            key = mix(key * _STEP + rows[:, d])
-        _, first, self.of = np.unique(key, return_index=True, return_inverse=True)
-        self.rows, self.length = rows[first], length[first]
-        order = np.argsort(self.of, kind="stable")
-        self.bounds = np.searchsorted(self.of[order], np.arange(len(first) + 1))
-        self.ids, self.item, self.at = ids, item[order], at[order]
-        self.pairs, self.singles = np.zeros(1 << 22, bool), np.zeros(1 << 22, bool)
-        many = self.length > 1
-        self.pairs[_pair(self.rows[many, 0], self.rows[many, 1])] = True if window > 1 else False
-        self.has_singles = not many.all()
-        self.singles[mix(self.rows[~many, 0]) >> _BITS] = True
-
-    def search(self, hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(word position, window) of every place where a window stands.
-
-        ends: of each word, where its document ends.
-        """
-        nothing = np.zeros(0, np.int64)
-        if not len(hashes) or not len(self.length):
-            return nothing, nothing
-        begins = np.zeros(len(hashes), bool)
-        begins[:-1] = self.pairs[_pair(hashes[:-1], hashes[1:])]
-        if self.has_singles:
-            begins |= self.singles[mix(hashes) >> _BITS]
-        at = np.flatnonzero(begins)
-        if not len(at):
-            return nothing, nothing
-        index = at[:, None] + np.arange(self.rows.shape[1])
-        suffixes = np.where(index < ends[at][:, None], hashes[np.minimum(index, len(hashes) - 1)], _U(0))
-        order = np.lexsort(suffixes.T[::-1])
-        array, suffixes = at[order], suffixes[order]
-        low, high = (self._bound(suffixes, after) for after in (False, True))
-        found = np.flatnonzero(high > low)
-        n = (high - low)[found]
-        which = np.repeat(found, n)
-        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[found], n)
-        return array[place], which
-
-    def _bound(self, suffixes: np.ndarray, after: bool) -> np.ndarray:
+def suffix_array(ranks: np.ndarray, ends: np.ndarray, depth: int = WINDOW) -> np.ndarray:
+    """Places of the suffixes in the order of their first ``depth`` words or more.
+
+    ranks: of each word, from 1; ends: of each word, where its document ends. A suffix that ends sorts before one that
+    goes on.
+    """
+    place, now, done = np.arange(len(ranks)), ranks.astype(np.uint64), 1
+    order = np.argsort(now)
+    while done < depth and len(ranks):
+        after = np.zeros(len(now), np.uint64)
+        after[:-done] = np.where(place[:-done] + done < ends[:-done], now[done:], _U(0))
+        key = (now << _U(32)) | after
+        order = np.argsort(key)
+        key = key[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        now[order] = np.cumsum(new).astype(np.uint64)
+        done *= 2
+        if new.all():
+            break
+    return order
+
+
+class Shard:
+    """The words of some documents and their suffix array."""
+
+    def __init__(self, hashes: np.ndarray, rows: np.ndarray) -> None:
+        """rows: n + 1 word offsets of the n documents."""
+        self.known, ranks = np.unique(hashes, return_inverse=True)
+        self.ranks = (ranks + 1).astype(np.int32)
+        self.ends = np.repeat(rows[1:], np.diff(rows))
+        self.array = suffix_array(self.ranks, self.ends)
+
+    def search(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
+        """(word position, window) of every place where a window of the block stands."""
+        at = np.searchsorted(self.known, block.words)
+        held = self.known[np.minimum(at, len(self.known) - 1)] == block.words if len(self.known) else np.zeros(len(at), bool)
+        rank = np.where(held, at + 1, 0).astype(np.int32)[block.text]
+        missing = np.concatenate([[0], np.cumsum(rank == 0)])
+        windows = np.flatnonzero(missing[block.start + block.length] == missing[block.start])
+        if not len(windows):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        index = block.start[windows][:, None] + np.arange(WINDOW)
+        used = np.arange(WINDOW) < block.length[windows][:, None]
+        wanted = np.where(used, rank[np.minimum(index, len(rank) - 1)], 0)
+        low, high = (self._bound(wanted, used, after) for after in (False, True))
+        n = high - low
+        which = np.repeat(windows, n)
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+        return self.array[place], which
+
+    def _bound(self, wanted: np.ndarray, used: np.ndarray, after: bool) -> np.ndarray:
         """For each window the number of suffixes that sort before it, those that begin with it included if ``after``."""
-        low, high = np.zeros(len(self.length), np.int64), np.full(len(self.length), len(suffixes))
-        used = np.arange(self.rows.shape[1]) < self.length[:, None]
+        low, high = np.zeros(len(wanted), np.int64), np.full(len(wanted), len(self.array))
         while (open_ := np.flatnonzero(low < high)).size:
             mid = (low[open_] + high[open_]) // 2
-            have, want = suffixes[mid], self.rows[open_]
+            index = self.array[mid][:, None] + np.arange(WINDOW)
+            have = np.where(index < self.ends[self.array[mid]][:, None], self.ranks[np.minimum(index, len(self.ranks) - 1)], 0)
+            want = wanted[open_]
             differs = (have != want) & used[open_]
             first = differs.argmax(axis=1)
             k = np.arange(len(open_))
@@ -110,17 +107,45 @@ class Block:
         return low
 
 
-_blocks: dict[str, Block] = {}
+class Block:
+    """The windows of some items, each once, and where they stand.
+
+    words: the distinct words; text: their numbers, item after item; start, length: of each window in the text; bounds,
+    item, at: where each stands, by window.
+    """
+
+    FIELDS = ("words", "text", "start", "length", "bounds", "item", "at")
+
+    def __init__(self, ids: list[str], arrays: dict[str, np.ndarray]) -> None:
+        self.ids = ids
+        self.words, self.text, self.start, self.length, self.bounds, self.item, self.at = (arrays[f] for f in self.FIELDS)
+
+    @staticmethod
+    def of(ids: list[str], buf: np.ndarray, offsets: np.ndarray) -> Block:
+        found = scan(buf, offsets, ALNUM)
+        words, text = np.unique(found.hashes, return_inverse=True)
+        n = np.diff(found.rows)
+        per_item = np.where(n >= WINDOW, n - WINDOW + 1, n > 0)
+        item = np.repeat(np.arange(len(n)), per_item)
+        at = np.arange(len(item)) - np.repeat(np.cumsum(per_item) - per_item, per_item)
+        length, start = np.minimum(n[item], WINDOW), found.rows[item] + at
+        key = length.astype(np.uint64)
+        for d in range(WINDOW):
+            key = mix(key * _STEP + np.where(d < length, found.hashes[np.minimum(start + d, max(len(text) - 1, 0))] if len(text) else _U(0), _U(0)))
+        _, first, of = np.unique(key, return_index=True, return_inverse=True)
+        order = np.argsort(of, kind="stable")
+        bounds = np.searchsorted(of[order], np.arange(len(first) + 1))
+        return Block(ids, dict(zip(Block.FIELDS, (words, text.astype(np.int32), start[first], length[first], bounds, item[order], at[order]), strict=True)))
+
+    def save(self, uri: str) -> None:
+        names = np.frombuffer(json.dumps(self.ids).encode(), np.uint8)
+        elias_fano.save(uri, {f: getattr(self, f) for f in self.FIELDS} | {"ids": names})
 
 
+@lru_cache(maxsize=64)
 def _block(uri: str) -> Block:
-    if uri not in _blocks:
-        while len(_blocks) >= _KEPT_BLOCKS:
-            _blocks.pop(next(iter(_blocks)))
-        table = pa.ipc.open_file(pa.BufferReader(read_bytes(uri))).read_all()
-        buf, offsets = string_bytes(table.column("text"))
-        _blocks[uri] = Block(table.column("item_id").to_pylist(), buf, offsets)
-    return _blocks[uri]
+    arrays = elias_fano.load(uri)
+    return Block(json.loads(arrays["ids"].tobytes()), arrays)
 
 
 def write_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> list[str]:
@@ -133,12 +158,9 @@ def write_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "te
         def flush() -> None:
             nonlocal held, size
             if held:
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_file(sink, held[0].schema) as out:
-                    for b in held:
-                        out.write_batch(b)
-                names.append(f"{folder}/{uuid.uuid4().hex}.arrow")
-                write_bytes(names[-1], sink.getvalue())
+                table = pa.Table.from_batches(held).combine_chunks()
+                names.append(f"{folder}/{uuid.uuid4().hex}.block")
+                Block.of(table.column(0).to_pylist(), *string_bytes(table.column(1))).save(names[-1])
                 held, size = [], 0
 
         for batch in batches:
@@ -167,13 +189,14 @@ class _Judged:
         self.matches: dict[int, dict[str, tuple[int, int, int]]] = {}
         for i, j in doc_chunks(offsets, _CHUNK):
             words = scan(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], ALNUM)
-            n = np.diff(words.rows)
-            self.n_words[i:j] = n
-            ends = np.repeat(words.rows[1:], n)
+            self.n_words[i:j] = np.diff(words.rows)
+            if not len(words.hashes):
+                continue
+            shard = Shard(words.hashes, words.rows)
             delta = np.zeros(len(words.hashes) + 1, np.int64)
             for uri in uris:
                 block = _block(uri)
-                at, which = block.search(words.hashes, ends)
+                at, which = shard.search(block)
                 if len(at):
                     delta += np.bincount(at, minlength=len(delta)) - np.bincount(at + block.length[which], minlength=len(delta))
                     self._join(block, at, which, np.searchsorted(words.rows, at, "right") - 1, words.rows, i)
@@ -223,7 +246,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text
             )
 
     picked = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return picked.mapInArrow(judge, f"doc_id long, n_words long, n_hit long, contaminated boolean, matches {_MATCH}")
+    return picked.mapInArrow(trimmed(judge), f"doc_id long, n_words long, n_hit long, contaminated boolean, matches {_MATCH}")
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, **columns: str) -> DataFrame:
@@ -243,4 +266,4 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text
         for batch in batches:
             yield batch.filter(pa.array(~_Judged(batch.column(at), uris).contaminated))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(trimmed(clean), docs.schema)
