@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import BROADCAST_BYTES, doc_chunks, stage, string_bytes
+from factloom.llm.common import bounded, doc_chunks, stage, string_bytes, trimmed
 from factloom.llm.wordhash import ALNUM, Words, mix, scan, shingles
 
 NGRAM = 5
@@ -198,15 +198,17 @@ def minimum_labels(edges: DataFrame, a: str, b: str, rows: int) -> DataFrame:
             return labels.select(F.col("u").alias("node"), "label")
 
 
-def _bounded(df: DataFrame, row_bytes: int) -> DataFrame:
-    """A staged table with a broadcast hint if its counted rows are within the bound."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
-
-
 def _candidate_components(members: DataFrame, rows: int) -> DataFrame:
-    """(fp, comp): classes that are linked by buckets, however far, share a component."""
-    hubs = members.groupBy("bucket").agg(F.min("fp").alias("hub"))
-    labels = minimum_labels(members.join(hubs, "bucket").select("fp", "hub").distinct(), "fp", "hub", rows)
+    """(fp, comp): classes that are linked by buckets, however far, share a component.
+
+    A bucket's members are tied to its smallest one; those of a large bucket to the smallest of one of its parts, and
+    the parts' to each other, so no bucket gathers in a task.
+    """
+    parted = members.select("fp", "bucket", F.pmod(F.xxhash64("fp"), F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK))).alias("part"))
+    hubs = stage(parted.groupBy("bucket", "part").agg(F.min("fp").alias("hub")), "hubs", rows=rows)
+    tops = hubs.groupBy("bucket").agg(F.min("hub").alias("top"))
+    ties = parted.join(hubs, ["bucket", "part"]).select("fp", "hub").union(hubs.join(tops, "bucket").filter("hub <> top").select(F.col("hub").alias("fp"), F.col("top").alias("hub")))
+    labels = minimum_labels(ties.distinct(), "fp", "hub", rows)
     return labels.select(F.col("node").alias("fp"), F.xxhash64("label").alias("comp"))
 
 
@@ -218,22 +220,22 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
     """Per row of ``docs``: id, fp, whether it has words, n_copies and n_links (other documents of the same sequence,
     and at or over the threshold), and the id and fp of its group's representative: the smallest id, then fp."""
     picked = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    signed = stage(picked.mapInArrow(_sign, "id long, fp binary, n long, bands array<long>"), "signatures")
+    signed = stage(picked.mapInArrow(trimmed(_sign), "id long, fp binary, n long, bands array<long>"), "signatures")
     n = signed.count()
     own = stage(signed.filter("n > 0").groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes", rows=n)
 
     put = own.select("fp", "n", F.explode("bands").alias("bucket"))
     buckets = put.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"), F.bit_xor(F.xxhash64("fp")).alias("x")).filter("m > 1")
     kept = stage(buckets.groupBy("m", "w", "x").agg(F.min("bucket").alias("bucket")), "buckets", rows=n)
-    members = stage(put.join(_bounded(kept.select("bucket", "m", "w"), 64), "bucket"), "members", rows=n * BANDS)
+    members = stage(put.join(bounded(kept.select("bucket", "m", "w"), 64), "bucket"), "members", rows=n * BANDS)
     comps = stage(_candidate_components(members, n).join(own.select("fp", "n"), "fp"), "candidates", rows=n)
     sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("cm"), F.sum("n").alias("cw"))
     buckets_of = members.groupBy("fp").agg(F.collect_list(F.struct("bucket", "m", "w")).alias("in"))
     candidates = stage(comps.join(sizes, "comp").join(buckets_of, "fp").join(own.select("fp", "rep", "copies", "bands"), "fp"), "candidates", rows=n)
 
-    wanted = _bounded(stage(candidates.select(F.col("rep").alias("want")).distinct(), "wanted", rows=n), 32)
+    wanted = bounded(stage(candidates.select(F.col("rep").alias("want")).distinct(), "wanted", rows=n), 32)
     texts = picked.join(wanted, F.col("id").eqNullSafe(F.col("want")), "left_semi")
-    sets = texts.mapInArrow(_sets, "fp binary, grams binary").groupBy("fp").agg(F.first("grams").alias("grams"))
+    sets = texts.mapInArrow(trimmed(_sets), "fp binary, grams binary").groupBy("fp").agg(F.first("grams").alias("grams"))
 
     own_block = lambda nb: F.pmod(F.xxhash64("fp"), nb).cast("int")
     small = F.col("cm") <= MOST_COMPONENT
@@ -246,15 +248,17 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
     ready = candidates.join(sets, "fp").select("fp", "copies", "grams", F.when(small, empty).otherwise(kept_bands).alias("buckets"), F.explode(groups).alias("g"))
     ready = ready.select("fp", "copies", "grams", "buckets", F.col("g.key").alias("key"), own_block(F.col("g.nb")).alias("side"), F.explode(F.sequence(F.lit(0), F.col("g.nb") - 1)).alias("other"))
     ready = ready.select("key", F.least("side", "other").alias("a"), F.greatest("side", "other").alias("b"), "side", "fp", "copies", "grams", "buckets")
-    found = stage(ready.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(_verify, "fp binary, links long, root binary"), "links", rows=n)
+    found = stage(ready.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(trimmed(_verify), "fp binary, links long, root binary"), "links", rows=n)
 
     counts = found.groupBy("fp").agg(F.sum("links").alias("links"))
     labels = minimum_labels(found.filter("fp <> root").select("fp", "root"), "fp", "root", n).withColumnRenamed("node", "fp")
     named = own.select("fp", "rep", "copies").join(counts, "fp", "left").join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     named = stage(named, "named", rows=n)
     first = F.min(F.struct(F.col("rep").isNull().alias("none"), F.col("rep").alias("rep"), F.col("fp").alias("fp"))).alias("first")
-    tops = named.groupBy("label").agg(first)
+    # Staged, so that a label that many classes share is a skewed join, which is split at run time.
+    tops = bounded(stage(named.groupBy("label").agg(first), "tops", rows=n), 64)
     per_class = named.join(tops, "label").select("fp", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.col("first.rep").alias("top"), F.col("first.fp").alias("top_fp"))
+    per_class = bounded(stage(per_class, "per-class", rows=n), 96)
     out = signed.select("id", "fp", "n").join(per_class.withColumnRenamed("fp", "c_fp"), (F.col("fp") == F.col("c_fp")) & (F.col("n") > 0), "left")
     has = F.col("c_fp").isNotNull()
     return out.select(
@@ -274,14 +278,14 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
     n = judged.count()
     stays = ~F.col("has_words") | (F.col("id").eqNullSafe(F.col("class_id")) & (F.col("fp") == F.col("class_fp")))
     per_id = stage(judged.groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.count_if(stays).alias("kept")), "ids", rows=n)
-    drop = _bounded(stage(per_id.filter("kept = 0").select(F.col("id").alias("drop_id")), "dropped", rows=n), 32)
+    drop = bounded(stage(per_id.filter("kept = 0").select(F.col("id").alias("drop_id")), "dropped", rows=n), 32)
     docs_id = F.col(id).cast("long")
     out = docs.join(drop, docs_id.eqNullSafe(F.col("drop_id")), "left_anti")
     many = stage(per_id.filter("kept > 0 AND rows > 1").select(F.col("id").alias("many_id")), "repeated", rows=n)
     if many.isEmpty():
         return out
     # Ids with several rows, some of which stay: choose by fingerprint, and one of rows that are alike.
-    many = _bounded(many, 32)
+    many = bounded(many, 32)
     single = out.join(many, docs_id.eqNullSafe(F.col("many_id")), "left_anti")
     wrapped = out.join(many, docs_id.eqNullSafe(F.col("many_id")), "left_semi").select(docs_id.alias("id"), F.col(text).alias("text"), F.struct(*[out[c] for c in docs.columns]).alias("row"))
 
