@@ -27,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import doc_chunks, open_fs, read_bytes, shared_dir, stage, string_bytes
+from factloom.llm.common import bounded, doc_chunks, open_fs, read_bytes, shared_dir, stage, string_bytes, trimmed
 from factloom.llm.wordhash import mix
 
 SEQUENCE, BATCH_ROWS = 2048, 64
 _CHUNK = 1 << 19
+#: Characters of a text that deal out rows of one id.
+TIE_CHARS = 16
 #: Pre-tokens that a worker remembers before it begins anew.
 CACHE = 600_000
 _U = np.uint64
@@ -96,15 +98,16 @@ def split_points(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Encoder:
     """Token ids of whole columns by the tokenizers library.
 
-    For a plain byte-level BPE file each distinct pre-token is given to the library once and remembered; other files
-    are given whole texts.
+    For a plain byte-level BPE file each distinct pre-token is given to the library once and remembered by a 64-bit
+    fingerprint; other files are given whole texts. Strings of special tokens in a text are ordinary text, as the
+    description of the vocabulary files has it: a document can't forge an end.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.library.encode_special_tokens = True
         self.dtype = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
         spec = json.loads(self.library.to_str())
         pre = spec.get("pre_tokenizer") or {}
@@ -231,13 +234,13 @@ class Shard:
         source = pa.BufferReader(self.buffer)
         reader = pa.ipc.open_stream(source)
         self.raw = np.frombuffer(self.buffer, np.uint8)
-        first = source.tell()
+        self.head, self.schema = source.tell(), reader.schema
         batch = next(iter(reader), None)
         self.rows = 0
         if batch is not None:
             ids, mask = (batch.column(k).values for k in (0, 1))
             self.dtype = np.dtype(ids.type.to_pandas_dtype())
-            self.stride = source.tell() - first
+            self.stride = source.tell() - self.head
             self.ids_at, self.mask_at = (x.buffers()[1].address - self.buffer.address for x in (ids, mask))
             self.rows = len(batch)
 
@@ -255,16 +258,10 @@ class Shard:
         last = (len(self.raw) - self.ids_at) // self.stride if self.rows == BATCH_ROWS else 0
         if k // self.rows < last:
             return self.mask_at + k // self.rows * self.stride + k % self.rows * (SEQUENCE // 8)
-        source = pa.BufferReader(self.buffer.slice(self.ids_at - (self.ids_at - self._head()) + k // self.rows * self.stride))
-        message = pa.ipc.read_message(source)
-        batch = pa.ipc.read_record_batch(message, pa.ipc.open_stream(pa.BufferReader(self.buffer)).schema)
+        message = pa.ipc.read_message(pa.BufferReader(self.buffer.slice(self.head + k // self.rows * self.stride)))
+        batch = pa.ipc.read_record_batch(message, self.schema)
         return batch.column(1).values.buffers()[1].address - self.buffer.address + k % self.rows * (SEQUENCE // 8)
 
-    def _head(self) -> int:
-        source = pa.BufferReader(self.buffer)
-        pa.ipc.open_stream(source)
-        return source.tell()
-
     def read(self, start: int, n: int) -> np.ndarray:
         """``n`` ids from the shard's ``start``-th on."""
         parts, size = [], SEQUENCE * self.rows
@@ -309,8 +306,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, id: str = "do
         if writer:
             writer.close()
 
-    dealt = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
-    return folder, stage(dealt.mapInArrow(encode, "doc_id long, shard long, shard_start long, n_tokens long"), "token-index")
+    # Ranges are sampled on the driver: of a text only its beginning goes there, which parts equal ids as the order by text does.
+    picked = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    dealt = picked.repartitionByRange("doc_id", F.substring("text", 1, TIE_CHARS)).sortWithinPartitions("doc_id", "text")
+    return folder, stage(dealt.mapInArrow(trimmed(encode), "doc_id long, shard long, shard_start long, n_tokens long"), "token-index")
 
 
 @cache
@@ -336,5 +335,6 @@ def read_tokens(folder: str, index: DataFrame) -> DataFrame:
     shards = index.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     bases = shards.select(F.col("shard").alias("b_shard"), (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))
     # One row per shard, of which there are as many as tasks.
-    placed = index.join(F.broadcast(bases), F.col("shard") == F.col("b_shard")).withColumn("start", F.col("base") + F.col("shard_start"))
-    return placed.select("doc_id", "start", "n_tokens", "shard", "shard_start").mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    bases = bounded(stage(bases, "bases"), 32)
+    placed = index.join(bases, F.col("shard") == F.col("b_shard")).withColumn("start", F.col("base") + F.col("shard_start"))
+    return placed.select("doc_id", "start", "n_tokens", "shard", "shard_start").mapInArrow(trimmed(digest), "doc_id long, start long, n_tokens long, ids_crc32 long")
