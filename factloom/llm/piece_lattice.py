@@ -9,13 +9,16 @@ equi-joined to the piece table (a vocabulary, so bounded; broadcast). The edges
   scores, so Viterbi gives other ids than the model's own. Their fold takes the edges in the order of their scores,
   then from left to right, and joins two neighbours wherever an edge covers exactly both.
 
-Characters without a piece become their UTF-8 bytes. Defined results: null and empty texts have no ids; repeated ids
+Units of more than ``unitmap.LONG_UNIT`` characters are resolved alone, by the same rules, with a heap or a table of
+positions: a fold over their edges would take the square of their length. Characters without a piece become their
+UTF-8 bytes. Defined results: null and empty texts have no ids; repeated ids
 keep a row each; a null id stays null; an empty table gives an empty result; decoding gives back the text exactly.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -135,10 +138,78 @@ def unit_ids(units: DataFrame, vocabulary: Pieces, model: str = "bpe") -> DataFr
     return edges.select("unit", fold.alias("ids"))
 
 
+_tables: dict[int, tuple[Pieces, dict[str, tuple[int, float]]]] = {}
+
+
+def _table(vocabulary: Pieces) -> dict[str, tuple[int, float]]:
+    """(id, score) of each piece, made once for a vocabulary."""
+    if id(vocabulary) not in _tables:
+        pairs = zip(vocabulary.ids, vocabulary.scores, strict=True)
+        _tables[id(vocabulary)] = (vocabulary, dict(zip(vocabulary.pieces, pairs, strict=True)))
+    return _tables[id(vocabulary)][1]
+
+
+def _spelled(parts: list[str], vocabulary: Pieces) -> list[int]:
+    table = _table(vocabulary)
+    return [i for p in parts for i in ([table[p][0]] if p in table else [vocabulary.byte_base + b for b in p.encode()])]
+
+
+def merged(unit: str, vocabulary: Pieces) -> list[int]:
+    """Ids of one long unit by merges, the best score first, then the leftmost: a heap over a linked list of symbols."""
+    table, n = _table(vocabulary), len(unit)
+    after, before, stop = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
+    heap: list[tuple[float, int, int]] = []
+
+    def offer(a: int) -> None:
+        b = after[a] if a >= 0 else n
+        if b < n and (found := table.get(unit[a : stop[b]])):
+            heapq.heappush(heap, (-found[1], a, stop[b]))
+
+    for a in range(n - 1):
+        offer(a)
+    while heap:
+        _, a, end = heapq.heappop(heap)
+        # A symbol that has gone has no end; one that has grown ends elsewhere.
+        b = after[a]
+        if not stop[a] or b >= n or stop[b] != end:
+            continue
+        stop[a], stop[b], after[a] = end, 0, after[b]
+        if after[b] < n:
+            before[after[b]] = a
+        offer(before[a])
+        offer(a)
+    parts, a = [], 0
+    while a < n:
+        parts.append(unit[a : stop[a]])
+        a = after[a]
+    return _spelled(parts, vocabulary)
+
+
+def best_path(unit: str, vocabulary: Pieces) -> list[int]:
+    """Ids of one long unit by the best sum of scores, with the ties of ``viterbi_fold``."""
+    table, unknown = _table(vocabulary), min(vocabulary.scores) - UNKNOWN_PENALTY
+    longest = max(map(len, table))
+    best: list[tuple[float, int, int]] = [(0.0, 0, 0)]
+    for e in range(1, len(unit) + 1):
+        options = []
+        for s in range(max(0, e - longest), e):
+            if found := table.get(unit[s:e]):
+                options.append((best[s][0] - found[1], best[s][1] + 1, s))
+        if unit[e - 1] not in table:
+            options.append((best[e - 1][0] - unknown, best[e - 1][1] + len(unit[e - 1].encode()), e - 1))
+        best.append(min(options, key=lambda o: o[:2]))
+    parts, e = [], len(unit)
+    while e:
+        parts.append(unit[best[e][2] : e])
+        e = best[e][2]
+    return _spelled(parts[::-1], vocabulary)
+
+
 def _map_ids(docs: DataFrame, path: str, model: str, id: str, text: str, finish, schema: str) -> DataFrame:
     placed, vocabulary = located(docs, id, text), load_pieces(path)
     folder = resolve(placed, path, lambda units: unit_ids(units, vocabulary, model))
-    return row_values(placed, path, folder, finish, schema)
+    alone = merged if model == "bpe" else best_path
+    return row_values(placed, path, folder, lambda unit: alone(unit, load_pieces(path)), finish, schema)
 
 
 def _lists(ids: np.ndarray, bounds: np.ndarray) -> pa.Array:

@@ -1,6 +1,6 @@
 """Token counts of documents under a unigram piece model, by dynamic programming shared along a trie.
 
-The distinct units of the corpus (see ``unitmap``) are sorted within their partitions, so the trie of a partition is
+The distinct units of the corpus (see ``unitmap``) are dealt out by range and sorted, so the trie of a partition is
 walked depth first: what two neighbours share is one path, whose forward scores (best sum of scores and its number of
 pieces, for every prefix) are computed once and kept while it is open. Only the open path is held. The count of a unit
 is that of its last node; a document's count is the sum over its units.
@@ -71,7 +71,8 @@ def unit_counts(units: DataFrame, path: str) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1), pa.int32()), pa.array(counts))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["unit", "ids"])
 
-    return units.sortWithinPartitions("unit").mapInArrow(walk, "unit string, ids array<int>")
+    # Ranges keep neighbours together, however many partitions there are.
+    return units.repartitionByRange("unit").sortWithinPartitions("unit").mapInArrow(walk, "unit string, ids array<int>")
 
 
 def count_tokens(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -83,4 +84,4 @@ def count_tokens(docs: DataFrame, path: str, id: str = "doc_id", text: str = "te
         total = np.concatenate([[0], np.cumsum(values.astype(np.int64))])[bounds]
         return [pa.array(np.diff(total)), pa.array(np.diff(bounds))]
 
-    return row_values(placed, path, folder, finish, "doc_id long, n_tokens long, n_units long").select("doc_id", F.col("n_tokens"), F.col("n_units"))
+    return row_values(placed, path, folder, lambda unit: [TrieWalk(load_pieces(path))(unit)], finish, "doc_id long, n_tokens long, n_units long").select("doc_id", F.col("n_tokens"), F.col("n_units"))

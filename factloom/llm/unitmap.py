@@ -5,7 +5,8 @@ piece holds them side by side, so a text's tokens are those of its units, one af
 into blocks of ``BLOCK_ROWS`` rows of their file; each block gives its distinct units, the distinct units of all blocks
 are resolved once, and every block gets a dictionary of its own units back, as a compressed file in the shared folder.
 A task then needs the dictionary of the block at hand only, whatever the size of the corpus. A unit has at most one row
-per block, so no key is hot.
+per block, so no key is hot. A unit of more than ``LONG_UNIT`` characters (a stretch of encoded data, say) is in no
+dictionary: it is resolved where it stands, in a time that grows with its length. Units are known by 64-bit fingerprints.
 """
 
 from __future__ import annotations
@@ -20,10 +21,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import doc_chunks, read_bytes, shared_dir, stage, string_bytes, write_bytes
+from factloom.llm.common import doc_chunks, read_bytes, shared_dir, stage, string_bytes, trimmed, write_bytes
 from factloom.llm.wordhash import mix
 
 BLOCK_ROWS = 1 << 14
+LONG_UNIT = 256
 _CHUNK = 1 << 18
 _U = np.uint64
 SPACE = 0x2581
@@ -155,6 +157,8 @@ def block_units(placed: DataFrame, path: str) -> DataFrame:
                         continue
                     starts = cuts.starts(points, rows)
                     ends = np.append(starts[1:], len(points))
+                    short = ends - starts <= LONG_UNIT
+                    starts, ends = starts[short], ends[short]
                     keys, where = np.unique(unit_keys(points, starts, ends), return_index=True)
                     at = np.searchsorted(known, keys)
                     new = known[np.minimum(at, len(known) - 1)] != keys if len(known) else np.ones(len(keys), bool)
@@ -164,7 +168,7 @@ def block_units(placed: DataFrame, path: str) -> DataFrame:
                     units = [text[x:y] for x, y in zip(s.tolist(), e.tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(units), now, np.int64)), pa.array(units, pa.string())], names=["block", "unit"])
 
-    return placed.select("block", "id", "text").mapInArrow(cut, "block long, unit string")
+    return placed.select("block", "id", "text").mapInArrow(trimmed(cut), "block long, unit string")
 
 
 def resolve(placed: DataFrame, path: str, answer: Callable[[DataFrame], DataFrame]) -> str:
@@ -214,7 +218,7 @@ def resolve(placed: DataFrame, path: str, answer: Callable[[DataFrame], DataFram
         close()
         yield pa.RecordBatch.from_arrays([pa.array([], pa.int64())], names=["block"])
 
-    given.repartition("block").sortWithinPartitions("block").mapInArrow(write, "block long").write.format("noop").mode("overwrite").save()
+    given.repartition("block").sortWithinPartitions("block").mapInArrow(trimmed(write), "block long").write.format("noop").mode("overwrite").save()
     return folder
 
 
@@ -237,14 +241,29 @@ class Dictionary:
         return self.offsets[at], self.offsets[at + 1] - self.offsets[at]
 
 
-def row_values(placed: DataFrame, path: str, folder: str, finish: Callable, schema: str) -> DataFrame:
+def row_values(placed: DataFrame, path: str, folder: str, long_unit: Callable[[str], list[int]], finish: Callable, schema: str) -> DataFrame:
     """Per row what ``finish(ids, bounds)`` makes of the values of its units, one after another.
 
-    finish gets, for some rows, all values in order and n + 1 bounds, and returns a list of Arrow arrays, which follow
-    the id in ``schema``.
+    long_unit: the values of a unit that is in no dictionary. finish gets, for some rows, all values in order and n + 1
+    bounds, and returns a list of Arrow arrays, which follow the id in ``schema``.
     """
     names = [x.split()[0] for x in schema.split(", ")]
 
+    def spans(known: Dictionary | None, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(values, where those of each unit begin, how many they are)"""
+        at, sizes = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        short = ends - starts <= LONG_UNIT
+        values = [np.zeros(0, np.int32)] if known is None else [known.values]
+        if known is not None:
+            keys, back = np.unique(unit_keys(points, starts[short], ends[short]), return_inverse=True)
+            at[short], sizes[short] = (x[back] for x in known.spans(keys))
+        n = len(values[0])
+        for k in np.flatnonzero(~short).tolist():
+            values.append(np.array(long_unit(points[starts[k] : ends[k]].tobytes().decode("utf-32-le")), np.int32))
+            at[k], sizes[k] = n, len(values[-1])
+            n += sizes[k]
+        return np.concatenate(values) if len(values) > 1 else values[0], at, sizes
+
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts, now, known = cutter(path), None, None
         for batch in batches:
@@ -258,14 +277,14 @@ def row_values(placed: DataFrame, path: str, folder: str, finish: Callable, sche
                     points, rows = cuts.points(buf[part[0] : part[-1]], part - part[0])
                     values, bounds = np.zeros(0, np.int32), np.zeros(j - i + 1, np.int64)
                     if len(points):
-                        if blocks[a] != now:
-                            now, known = blocks[a], Dictionary(_dictionary_uri(folder, int(blocks[a])))
                         starts = cuts.starts(points, rows)
-                        keys, back = np.unique(unit_keys(points, starts, np.append(starts[1:], len(points))), return_inverse=True)
-                        at, sizes = (x[back] for x in known.spans(keys))
+                        ends = np.append(starts[1:], len(points))
+                        if blocks[a] != now and (ends - starts <= LONG_UNIT).any():
+                            now, known = blocks[a], Dictionary(_dictionary_uri(folder, int(blocks[a])))
+                        values, at, sizes = spans(known if blocks[a] == now else None, points, starts, ends)
                         stop = np.cumsum(sizes)
-                        values = known.values[np.arange(stop[-1]) + np.repeat(at - (stop - sizes), sizes)]
+                        values = values[np.arange(stop[-1]) + np.repeat(at - (stop - sizes), sizes)]
                         bounds = np.concatenate([[0], stop])[np.searchsorted(starts, rows)]
                     yield pa.RecordBatch.from_arrays([batch.column(1).slice(a + i, j - i), *finish(values, bounds)], names=names)
 
-    return placed.select("block", "id", "text").mapInArrow(apply, schema)
+    return placed.select("block", "id", "text").mapInArrow(trimmed(apply), schema)
