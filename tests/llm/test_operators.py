@@ -68,14 +68,13 @@ def test_token_files_equal_the_library(spark, docs):
 
 
 @pytest.mark.parametrize("t", ["", " ", "  a", "a  ", "a\n\nb", "'s", "''s", "x's's", "don't'll", " 's", "\n's", "1'd2", "a'", "ab'reb", "é'S", "  a b", "a\x1cb"])
-def test_split_points_follow_the_pattern(t):
-    import public_tokenizers
-    import regex
+def test_split_points_follow_the_library(t):
+    from tokenizers import Tokenizer
 
     points = np.frombuffer(t.encode("utf-32-le"), np.uint32)
     starts = token_files.split_points(points, np.array([0, len(points)])) if t else []
-    want = [m.start() for m in regex.finditer(public_tokenizers.PATTERN, t)]
-    assert list(starts) == want or "\x1c" in t
+    library = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json")).pre_tokenizer
+    assert list(starts) == [a for _, (a, _) in library.pre_tokenize_str(t)]
 
 
 def brute_links(texts):
@@ -155,6 +154,21 @@ def test_decontamination(spark, docs):
     assert decontaminate.find_matches(docs, bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_suffix_array_and_the_place_of_the_longest_match(spark):
+    rng = np.random.default_rng(3)
+    words, rows = rng.integers(1, 4, 300).astype(np.uint64), np.array([0, 0, 120, 121, 300])
+    shard = decontaminate.Shard(words, rows)
+    ends = np.repeat(rows[1:], np.diff(rows))
+    cut = lambda p: words[p : min(p + 13, ends[p])].tolist()
+    in_order = [cut(p) for p in shard.array.tolist()]
+    assert in_order == sorted(in_order) and sorted(shard.array.tolist()) == list(range(300))
+    item = text(31, 60).split()
+    told = [*text(32, 20).split(), *item[5:40], *text(33, 9).split(), *item[10:30]]
+    docs = spark.createDataFrame([(1, " ".join(told)), (2, " ".join(item[:13])), (3, " ".join(item[:12]))], "doc_id long, text string")
+    found = {r.doc_id: r.matches for r in decontaminate.find_matches(docs, spark.createDataFrame([("a", " ".join(item))], "item_id string, text string")).collect()}
+    assert [tuple(m) for m in found[1]] == [("a", 20, 5, 35)] and [tuple(m) for m in found[2]] == [("a", 0, 0, 13)] and found[3] == []
+
+
 def test_pieces_equal_the_library_and_decode(docs):
     import sentencepiece
 
@@ -167,6 +181,25 @@ def test_pieces_equal_the_library_and_decode(docs):
     assert sorted((r.text for r in separate.collect())) == sorted(t or "" for _, t, *_ in corpus())
 
 
+def test_long_units(spark):
+    """Stretches without a place to cut take a time that grows with their length, and give the library's ids."""
+    import sentencepiece
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    library, vocabulary = sentencepiece.SentencePieceProcessor(model_file=path), unitmap.load_pieces(path)
+    rng = np.random.default_rng(11)
+    signs = np.array(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/é漢"))
+    blob = "".join(rng.choice(signs, 30_000))
+    rows = [(1, blob), (2, "a" * 5000), (3, f"before {blob[:2000]} after"), (4, "short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.ids, r.text) for r in piece_lattice.encode_decode(docs, path).collect()}
+    assert got == {i: (library.encode(t), t) for i, t in rows}
+    counts = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs, path).collect()}
+    assert counts[4] == token_counts.TrieWalk(vocabulary)("▁short") and counts[1] > 5000
+    for unit in ("▁abcabcaba" * 7, blob[:400]):
+        assert len(piece_lattice.best_path(unit, vocabulary)) == token_counts.TrieWalk(vocabulary)(unit)
+
+
 def test_viterbi_fold_against_brute_force(spark):
     pieces = ["a", "b", "ab", "ba", "aba", "c", "bc", "abc"]
     scores = [-3.0, -3.0, -4.0, -4.5, -6.0, -2.0, -5.5, -6.0]
