@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from factloom.functions import numeric as V
 from factloom.functions import text as T
 from factloom.operators import align, claims, facts, features, numbers, overlap, prompts, relations, runs, serialise, stats
-from factloom.plans.oracles import ORACLE_SQL  # noqa: F401
+from factloom.plans import oracles, text_oracles
 from factloom.sources import games as G
 from factloom.sources import loaders
+from factloom.sources.staging import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
+ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL | text_oracles.SQL
 QUERIES: dict[str, Query] = {}
 
 
@@ -104,7 +106,8 @@ def derived_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _number_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return numbers.score_items(G.game_texts(spark, sf_dir), G.game_cells(spark, sf_dir))
+    games = G.games(spark, sf_dir)
+    return numbers.score_items(games.texts, games.cells)
 
 
 @query
@@ -132,20 +135,20 @@ def part_number_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.agg(F.count(F.lit(1)).alias("items"), F.count_if(n == 0).alias("fully_supported"), F.sum(n).alias("n_unsupported"))
 
 
-def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relations.claims(G.game_texts(spark, sf_dir), facts.context(G.game_cells(spark, sf_dir)))
+def _claims(games: G.Games) -> DataFrame:
+    return relations.claims(games.texts, facts.context(games.cells))
 
 
 @query
 def winner_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V2: the first sentence of each text claims a winner."""
-    return _claims(spark, sf_dir).filter("type = 'winner' AND pos = 0").select("id", "claimed", "expected", "correct")
+    return _claims(G.games(spark, sf_dir)).filter("type = 'winner' AND pos = 0").select("id", "claimed", "expected", "correct")
 
 
 @query
 def relation_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V2, V3: all relational claims."""
-    return _claims(spark, sf_dir)
+    return _claims(G.games(spark, sf_dir))
 
 
 @query
@@ -160,26 +163,27 @@ def result_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return claims.result_facts(G.game_cells(spark, sf_dir)).select("ex_id", "fact")
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.game_texts(spark, sf_dir).select("id", "output", F.array("reference").alias("references"))
+def _pairs(texts: DataFrame) -> DataFrame:
+    return texts.select("id", "output", F.array("reference").alias("references"))
 
 
 @query
 def bleu_item_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A8."""
-    return overlap.bleu_items(_pairs(spark, sf_dir))
+    return overlap.bleu_items(_pairs(staged(G.game_texts(spark, sf_dir), "texts")))
 
 
 @query
 def bleu_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A9."""
-    return overlap.bleu_run(overlap.bleu_items(_pairs(spark, sf_dir)))
+    return overlap.bleu_run(overlap.bleu_items(_pairs(staged(G.game_texts(spark, sf_dir), "texts"))))
 
 
 @query
 def parent_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A10, V6: PARENT of each text."""
-    return _rounded(overlap.parent_items(_pairs(spark, sf_dir), G.game_cells(spark, sf_dir)))
+    games = G.games(spark, sf_dir)
+    return _rounded(overlap.parent_items(_pairs(games.texts), games.cells))
 
 
 @query
@@ -191,13 +195,13 @@ def md_serialise_part(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def md_serialise_game(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X16 on two sections."""
-    return serialise.to_markdown(G.game_cells(spark, sf_dir))
+    return serialise.to_markdown(G.staged_cells(spark, sf_dir))
 
 
 @query
 def factsheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V9: sheets of all games; one-team games get labelled lines."""
-    return serialise.to_factsheet(G.game_cells(spark, sf_dir))
+    return serialise.to_factsheet(G.staged_cells(spark, sf_dir))
 
 
 @query
@@ -229,7 +233,7 @@ def column_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def featurised_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features of every cell of every game."""
-    cells = G.game_cells(spark, sf_dir)
+    cells = G.staged_cells(spark, sf_dir)
     found = features.featurise(cells, features.column_vocab(cells), features.column_stats(cells))
     return found.select("ex_id", "r", "c", "col_id", "kind", "str_bucket", "is_key", *[F.round(F.get("num_feats", F.lit(i)), 6).alias(f"f{i}") for i in range(4)])
 
@@ -248,26 +252,30 @@ def numeric_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_custkey", *[F.round(F.get(f, F.lit(i)), 6).alias(f"f{i}") for i in range(4)])
 
 
+def _references(games: G.Games) -> DataFrame:
+    return games.texts.select(F.col("id").alias("ex_id"), F.col("output").alias("reference"))
+
+
 @query
 def align_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V7: which numeric cells of a game its text mentions."""
-    texts = G.game_texts(spark, sf_dir).select(F.col("id").alias("ex_id"), F.col("output").alias("reference"))
-    cells = G.game_cells(spark, sf_dir)
+    games = G.games(spark, sf_dir)
+    texts, cells = _references(games), games.cells
     return align.alignment_labels(cells, texts).join(cells.filter("kind = 1").select("ex_id", "sec_idx", "row_idx", "col_idx"), ["ex_id", "sec_idx", "row_idx", "col_idx"])
 
 
 @query
 def align_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V7: all cells."""
-    texts = G.game_texts(spark, sf_dir).select(F.col("id").alias("ex_id"), F.col("output").alias("reference"))
-    return align.alignment_labels(G.game_cells(spark, sf_dir), texts)
+    games = G.games(spark, sf_dir)
+    return align.alignment_labels(games.cells, _references(games))
 
 
 @query
 def filter_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V8: texts without the sentences that hold an error."""
-    texts = G.game_texts(spark, sf_dir).select(F.col("id").alias("ex_id"), F.col("output").alias("reference"))
-    return align.filter_references(G.game_cells(spark, sf_dir), texts)
+    games = G.games(spark, sf_dir)
+    return align.filter_references(games.cells, _references(games))
 
 
 @query
@@ -288,38 +296,43 @@ def resume_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def relations_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A5, A6."""
-    texts = G.game_texts(spark, sf_dir)
-    return _rounded(relations.score_run(relations.score_items(texts, _claims(spark, sf_dir))))
+    games = G.games(spark, sf_dir)
+    return _rounded(relations.score_run(relations.score_items(games.texts, _claims(games))))
 
 
 @query
 def wrong_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A6 by claim type."""
-    return relations.wrong_by_type(_claims(spark, sf_dir))
+    return relations.wrong_by_type(_claims(G.games(spark, sf_dir)))
 
 
 @query
 def positional_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A26."""
-    texts, cells = G.game_texts(spark, sf_dir), G.game_cells(spark, sf_dir)
-    return _rounded(relations.positional_bias(texts, relations.claims(texts, facts.context(cells)), facts.team_facts(cells)))
+    games = G.games(spark, sf_dir)
+    return _rounded(relations.positional_bias(games.texts, _claims(games), facts.team_facts(games.cells)))
 
 
 @query
 def nli_stub_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claim units with premises, labelled by the stand-in scorer."""
-    texts = G.game_texts(spark, sf_dir)
-    scored = claims.score_with_stub(claims.premises(claims.units(texts), G.game_cells(spark, sf_dir)))
+    games = G.games(spark, sf_dir)
+    closing = F.when(F.col("e") % 2 == 0, " In the end the team that had won was glad.").otherwise(" Nobody there had lost the will to play on.")
+    texts = games.texts.withColumn("output", F.concat("output", closing))
+    scored = claims.score_with_stub(claims.premises(claims.units(texts), games.cells))
     return _rounded(claims.score_run(claims.score_items(texts, scored)))
 
 
 @query
 def premise_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V4: the premise of every claim unit."""
-    found = claims.premises(claims.units(G.game_texts(spark, sf_dir)), G.game_cells(spark, sf_dir))
+    games = G.games(spark, sf_dir)
+    found = claims.premises(claims.units(games.texts), games.cells)
     return found.select("id", "pos", F.length("unit").alias("unit_chars"), F.length("premise").alias("premise_chars"))
 
 
+#: Replicates of a bootstrap, and items of a rolling window.
+REPLICATES, WINDOW = 10_000, 75
 TWO_RUN_METRICS = (
     stats.Metric("num_unsupported", "ratio", ("num_unsupported_n", "num_n"), False),
     stats.Metric("num_derived", "ratio", ("n_derived", "num_n"), False),
@@ -330,7 +343,7 @@ TWO_RUN_METRICS = (
 
 def _two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Item metrics of run A (all texts) and run B (without errors for odd pairs), numbered in the order of ids."""
-    texts, cells = G.game_texts(spark, sf_dir), G.game_cells(spark, sf_dir)
+    texts, cells = G.games(spark, sf_dir)[::-1]
     better = F.when(F.col("pair") % 2 == 1, F.col("reference")).otherwise(F.col("output"))
     a = texts.select("id", F.lit("A").alias("run"), "output")
     both = a.unionByName(texts.select("id", F.lit("B").alias("run"), better.alias("output")))
@@ -339,9 +352,8 @@ def _two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = numbers.score_items(keyed.select(F.col("key").alias("id"), "output"), games).withColumnRenamed("id", "key")
     out = keyed.select("key", "id", "run").join(scored, "key")
     out = out.select("id", "run", F.col("n_numbers").alias("num_n"), (F.col("n_numbers") - F.col("n_supported")).alias("num_unsupported_n"), "n_derived", "n_exact")
-    # A few columns per item of a benchmark, read by every statistic below.
-    out = out.persist()
-    return stats.numbered(out.join(stats.common_ids(out), "id")).persist()
+    out = staged(out, "items")
+    return staged(stats.numbered(out.join(stats.common_ids(out), "id")), "items")
 
 
 @query
@@ -352,9 +364,9 @@ def compare_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def bootstrap_lcg_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Intervals of both runs from 200 replicates with weights that SQL can repeat."""
+    """Intervals of both runs from 10,000 replicates with weights that SQL can repeat."""
     items = _two_runs(spark, sf_dir)
-    return _rounded(stats.bootstrap_ci(items, stats.lcg_weights(spark, _n_items(items), 200), TWO_RUN_METRICS))
+    return _rounded(stats.bootstrap_ci(items, stats.lcg_weights(spark, _n_items(items), REPLICATES), TWO_RUN_METRICS))
 
 
 def _n_items(items: DataFrame) -> int:
@@ -365,7 +377,7 @@ def _n_items(items: DataFrame) -> int:
 def paired_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Differences of the runs, paired by item."""
     items = _two_runs(spark, sf_dir)
-    return _rounded(stats.paired_diff(items, stats.lcg_weights(spark, _n_items(items), 200), TWO_RUN_METRICS, "A", "B"))
+    return _rounded(stats.paired_diff(items, stats.lcg_weights(spark, _n_items(items), REPLICATES), TWO_RUN_METRICS, "A", "B"))
 
 
 @query
@@ -378,8 +390,8 @@ def fold_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def rolling_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rate over the last ten items."""
-    return _rounded(stats.rolling_rate(_two_runs(spark, sf_dir), "num_unsupported_n", "num_n", 10))
+    """Rate over the last 75 items."""
+    return _rounded(stats.rolling_rate(_two_runs(spark, sf_dir), "num_unsupported_n", "num_n", WINDOW))
 
 
 @query

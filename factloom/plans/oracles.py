@@ -170,14 +170,6 @@ ORACLE_SQL["featurised_cells"] = f"""WITH {CELLS}, st AS (SELECT sec_name, col_n
 ORACLE_SQL["align_numeric"] = f"WITH {TEXTS}, f AS (SELECT id, {_numbers('output')} AS ns FROM texts) SELECT ex_id, sec_idx, row_idx::INT AS row_idx, col_idx::INT AS col_idx, list_contains(ns, num) AS label FROM full_cells JOIN f ON ex_id = id WHERE kind = 1"
 ORACLE_SQL["seq_logprob"] = "SELECT vec_id, round(list_avg(list_transform(embedding[1:(vec_id % 64 + 1)], lambda x: x::DOUBLE)), 6) AS seq_logprob FROM embeddings"
 ORACLE_SQL["resume_anti_join"] = f"WITH {TEXTS} SELECT id FROM texts WHERE yr % 2 <> 0"
-_SAID = TEXTS + """,
-made AS (SELECT ex_id AS id, e, tie, winner = team0 AS first_wins, margin <> 0 AS has_margin FROM parts),
-counts AS (SELECT id, 5 + (NOT tie)::INT * 2 + has_margin::INT AS n_claims, CASE e WHEN 0 THEN (NOT tie)::INT WHEN 2 THEN has_margin::INT ELSE 1 END AS n_wrong, e, tie, first_wins FROM made)"""
-ORACLE_SQL["relations_run"] = f"WITH {_SAID} SELECT count(*) AS items, sum(n_claims)::BIGINT AS relational_claims, sum(n_wrong)::BIGINT AS relational_wrong, round(sum(n_wrong) / sum(n_claims), 9) AS relational_wrong_rate, round(count(*) FILTER (n_wrong > 0) / count(*), 9) AS pct_items_with_relational_error FROM counts"
-ORACLE_SQL["wrong_by_type"] = f"WITH {_SAID} SELECT CASE e WHEN 0 THEN 'winner' WHEN 1 THEN 'attribution' WHEN 2 THEN 'margin' ELSE 'team-attribution' END AS type, sum(n_wrong)::BIGINT AS wrong FROM counts WHERE n_wrong > 0 GROUP BY ALL"
-ORACLE_SQL["positional_bias"] = f"WITH {_SAID} SELECT CASE WHEN first_wins THEN 'first' ELSE 'second' END AS side, count(*) AS games, 2 * count(*) AS claims, count(*) FILTER (e = 0) AS wrong, round(count(*) FILTER (e = 0) / (2 * count(*)), 9) AS wrong_rate FROM counts WHERE NOT tie GROUP BY ALL"
-# Every text has four sentences of one unit each, none of which holds "won" or "lost".
-ORACLE_SQL["nli_stub_run"] = f"WITH {TEXTS} SELECT count(*) AS items, 4 * count(*) AS total_claims, 0.0::DOUBLE AS claim_entailed_rate_micro, 0.0::DOUBLE AS pct_items_with_contradiction FROM texts"
 _TWO = TEXTS + f""",
 runs AS (SELECT 'A' AS run, id, output FROM texts UNION ALL SELECT 'B', id, CASE WHEN pair % 2 = 1 THEN reference ELSE output END FROM texts),
 tn AS (SELECT DISTINCT ex_id, round(v, 6) AS v FROM (SELECT ex_id, unnest(CASE WHEN kind = 1 THEN [num] ELSE {_numbers('text')} END) AS v FROM full_cells)),
@@ -196,7 +188,7 @@ def _values(frm: str, keys: str, w: str = "1") -> str:
 
 
 _DRAWS = _TWO + f""", n AS (SELECT max(item) + 1 AS n FROM items),
-w AS (SELECT b, ((b * 7919 + j * 104729 + (b * j) % 613) * 31 % 2147483647) % n AS item, count(*) AS w FROM (SELECT unnest(range(0, 200)) AS b), (SELECT n, unnest(range(0, n)) AS j FROM n) GROUP BY ALL),
+w AS (SELECT b, ((b * 7919 + j * 104729 + (b * j) % 613) * 31 % 2147483647) % n AS item, count(*) AS w FROM (SELECT unnest(range(0, 10000)) AS b), (SELECT n, unnest(range(0, n)) AS j FROM n) GROUP BY ALL),
 draws AS ({_values('items JOIN w USING (item)', 'run, b', 'w')}), pts AS ({_values('items', 'run')})"""
 ORACLE_SQL["compare_runs"] = f"WITH {_TWO} SELECT run, metric, round(value, 9) AS value FROM ({_values('items', 'run')})"
 ORACLE_SQL["bootstrap_lcg_ci"] = f"WITH {_DRAWS} SELECT p.run, p.metric, round(any_value(p.value), 9) AS point, round(quantile_cont(d.value, 0.025), 9) AS lo, round(quantile_cont(d.value, 0.975), 9) AS hi FROM pts p JOIN draws d USING (run, metric) GROUP BY p.run, p.metric"
@@ -205,6 +197,6 @@ ORACLE_SQL["paired_diff"] = f"""WITH {_DRAWS}, dd AS (SELECT a.metric, a.value -
   SELECT metric, round(any_value(diff), 9) AS diff, round(quantile_cont(d, 0.025), 9) AS lo, round(quantile_cont(d, 0.975), 9) AS hi FROM pp JOIN dd USING (metric) GROUP BY metric"""
 ORACLE_SQL["fold_rank"] = f"WITH {_TWO}, v AS ({_values('(SELECT *, (item % 3)::INT AS fold FROM items)', 'run, fold')}) SELECT run, fold, metric, round(value, 9) AS value, row_number() OVER (PARTITION BY metric, fold ORDER BY value IS NULL, CASE WHEN metric = 'exact_mean' THEN -value ELSE value END, run)::INT AS rank FROM v"
 ORACLE_SQL["rolling_rate"] = f"""WITH {_TWO}, o AS (SELECT run, id, regexp_extract(id, '([0-9]+)$', 1)::BIGINT AS i, u, num_n FROM items),
-  x AS (SELECT run, i, round(sum(u) OVER w / sum(num_n) OVER w, 9) AS rate, row_number() OVER (PARTITION BY run ORDER BY i, id) AS k FROM o WINDOW w AS (PARTITION BY run ORDER BY i, id ROWS 9 PRECEDING)) SELECT run, i, rate FROM x WHERE k >= 10"""
+  x AS (SELECT run, i, round(sum(u) OVER w / sum(num_n) OVER w, 9) AS rate, row_number() OVER (PARTITION BY run ORDER BY i, id) AS k FROM o WINDOW w AS (PARTITION BY run ORDER BY i, id ROWS 74 PRECEDING)) SELECT run, i, rate FROM x WHERE k >= 75"""
 ORACLE_SQL["selection_rule"] = f"WITH {_TWO}, v AS ({_values('items', 'run')}), p AS (SELECT run, max(value) FILTER (metric = 'num_unsupported') AS num_unsupported, max(value) FILTER (metric = 'num_derived') AS num_derived, max(value) FILTER (metric = 'exact_mean') AS exact_mean FROM v GROUP BY run) SELECT run, round(num_unsupported, 9) AS num_unsupported, round(num_derived, 9) AS num_derived, round(exact_mean, 9) AS exact_mean FROM p ORDER BY round(num_unsupported, 4), round(num_derived, 4), round(-exact_mean, 4), run LIMIT 1"
 ORACLE_SQL["sample_first_n"] = "SELECT p_partkey AS pos, p_name FROM part ORDER BY p_partkey LIMIT 100"

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.sources.cells import finish, melt
+from factloom.sources.staging import staged
 
 TEAM_COLUMNS = {"TEAM": "team", "TEAM-PTS": "pts", "TEAM-REB": "reb", "TEAM-AST": "ast", "TEAM-WINS": "wins", "TEAM-LOSSES": "losses"}
 PLAYER_COLUMNS = {"PLAYER_NAME": "player", "TEAM_CITY": "city", "PTS": "pts", "REB": "reb", "AST": "ast", "STL": "stl", "BLK": "blk", "FGM": "fgm", "FGA": "fga"}
@@ -58,12 +61,31 @@ def teams(players_: DataFrame) -> DataFrame:
     return out.withColumn("row_idx", F.row_number().over(game.orderBy("side")) - 1)
 
 
+class Games(NamedTuple):
+    """The games of a folder: their cells and the generated texts, each staged."""
+
+    cells: DataFrame
+    texts: DataFrame
+
+
+def games(spark: SparkSession, sf_dir: str) -> Games:
+    """Cells and texts from one pass over the lines, for queries that read them in several branches."""
+    rows = staged(players(spark, sf_dir), "players")
+    return Games(staged(cells_of(rows), "cells"), staged(texts_of(rows), "texts"))
+
+
+def cells_of(players_: DataFrame) -> DataFrame:
+    t = teams(players_)
+    return finish(melt(t, "ex_id", "row_idx", "teams", 0, TEAM_COLUMNS, "TEAM").unionByName(melt(players_, "ex_id", "row_idx", "players", 1, PLAYER_COLUMNS, "PLAYER_NAME")))
+
+
 def game_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of all games: section ``teams`` and section ``players``."""
-    p = players(spark, sf_dir)
-    t = teams(p)
-    both = melt(t, "ex_id", "row_idx", "teams", 0, TEAM_COLUMNS, "TEAM").unionByName(melt(p, "ex_id", "row_idx", "players", 1, PLAYER_COLUMNS, "PLAYER_NAME"))
-    return finish(both)
+    return cells_of(players(spark, sf_dir))
+
+
+def staged_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staged(cells_of(staged(players(spark, sf_dir), "players")), "cells")
 
 
 def part_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +103,10 @@ def part_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def game_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, pair, yr, e, output, reference): a text with one planted error per two-team game, and one without."""
-    p = players(spark, sf_dir)
+    return texts_of(staged(players(spark, sf_dir), "players"))
+
+
+def texts_of(p: DataFrame) -> DataFrame:
     top = p.groupBy("ex_id", "side").agg(F.min(F.struct((-F.col("pts")).alias("neg"), "player", "pts", "reb")).alias("t"))
     sides = teams(p).join(top, ["ex_id", "side"])
     one = lambda s: sides.filter(F.col("side") == s).select("ex_id", *[F.col(c).alias(f"{c}{s}") for c in ("team", "nick", "pts")], F.col("t.player").alias(f"top{s}"), F.col("t.pts").alias(f"tp{s}"), F.col("t.reb").alias(f"tr{s}"))
