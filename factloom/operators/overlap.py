@@ -60,6 +60,30 @@ def table_entries(cells: DataFrame) -> DataFrame:
     return cells.filter("text IS NOT NULL").select("ex_id", tokens(attr).alias("attr"), tokens(F.col("text")).alias("value"))
 
 
+def cooccurrence_ratios(counts: DataFrame) -> DataFrame:
+    """(b, x, p): how often x stands with b, as a share of b, from (key, count) of tokens and of pairs ``b|||x``."""
+    pair = F.instr("key", "|||")
+    pairs = counts.filter(pair > 0).select(F.substring_index("key", "|||", 1).alias("b"), F.expr("substring(key, instr(key, '|||') + 3)").alias("x"), F.col("count").alias("n"))
+    alone = counts.filter(pair == 0).select(F.col("key").alias("b"), F.col("count").alias("of"))
+    return pairs.join(alone, "b").select("b", "x", (F.col("n") / F.col("of")).alias("p"))
+
+
+def cooccurrence_entailment(grams: DataFrame, cells: DataFrame, ratios: DataFrame) -> DataFrame:
+    """(id, gram, probability): how likely the table entails each n-gram (id, gram ARRAY) by the lexical entailment model.
+
+    A token of the table counts 1, any other the best of its ratios to the table's tokens (0 without one); an n-gram the
+    geometric mean. The table's tokens are those of its values and each attribute's, joined by underscores.
+    """
+    entries = table_entries(cells)
+    held = entries.select(F.col("ex_id").alias("id"), F.explode(F.concat("value", F.array(F.array_join("attr", "_")))).alias("b")).distinct()
+    each = grams.select("id", "gram").distinct().select("id", "gram", F.explode("gram").alias("x"))
+    best = held.join(ratios, "b").groupBy("id", "x").agg(F.max("p").alias("p"))
+    inside = held.withColumnRenamed("b", "x").withColumn("inside", F.lit(1.0))
+    p = F.coalesce("inside", "p", F.lit(0.0))
+    scored = each.join(inside, ["id", "x"], "left").join(best, ["id", "x"], "left").groupBy("id", "gram").agg(F.product(p).alias("all"))
+    return scored.select("id", "gram", F.pow("all", 1.0 / F.size("gram")).alias("probability"))
+
+
 def parent_items(pairs: DataFrame, cells: DataFrame, table_weight: float | None = 0.5) -> DataFrame:
     """Per id: precision, recall and F of the reference with the best F (the first of equal ones).
 

@@ -36,10 +36,10 @@ def append_generations(new: DataFrame, path: str) -> None:
 def item_metrics(outputs: DataFrame, numbers: DataFrame, relations: DataFrame, claims: DataFrame | None = None, parent: DataFrame | None = None, bleu: DataFrame | None = None) -> DataFrame:
     """One row per item with the flat columns that runs are compared on; groups that weren't computed are left out."""
     out = outputs.select("id", *[c for c in ("run", "seq_logprob") if c in outputs.columns])
-    out = out.join(numbers.select("id", F.col("n_numbers").alias("num_n"), (F.col("n_numbers") - F.col("n_supported")).alias("num_unsupported_n")), "id", "left")
-    out = out.join(relations.select("id", F.col("n_claims").alias("rel_claims_n"), F.col("n_wrong").alias("rel_wrong_n")), "id", "left")
+    out = out.join(numbers.select("id", F.col("n_numbers").alias("num_n_numbers"), (F.col("n_numbers") - F.col("n_supported")).alias("num_n_unsupported")), "id", "left")
+    out = out.join(relations.select("id", F.col("n_claims").alias("rel_n_claims"), F.col("n_wrong").alias("rel_n_wrong")), "id", "left")
     if claims is not None:
-        out = out.join(claims.select("id", F.col("n_claims").alias("nli_claims_n"), F.col("n_entailed").alias("nli_entailed_n"), F.col("n_contradicted").alias("nli_contradicted_n")), "id", "left")
+        out = out.join(claims.select("id", F.col("n_claims").alias("cl_n_claims"), F.col("n_entailed").alias("cl_n_entailed"), F.col("n_contradicted").alias("cl_n_contradicted")), "id", "left")
     if parent is not None:
         out = out.join(parent.select("id", F.col("f1").alias("parent_f1")), "id", "left")
     return out if bleu is None else out.join(bleu, "id", "left")
@@ -72,7 +72,7 @@ def summary_lines(ci: DataFrame) -> DataFrame:
 
 def contradiction_parts(items: DataFrame) -> DataFrame:
     """Per run: claims per item, contradictions per claim, and their product."""
-    per = items.groupBy("run").agg(F.avg("nli_claims_n").alias("claims_per_item"), F.try_divide(F.sum("nli_contradicted_n"), F.sum("nli_claims_n")).alias("per_claim"))
+    per = items.groupBy("run").agg(F.avg("cl_n_claims").alias("claims_per_item"), F.try_divide(F.sum("cl_n_contradicted"), F.sum("cl_n_claims")).alias("per_claim"))
     return per.withColumn("contradictions_per_item", F.col("claims_per_item") * F.col("per_claim"))
 
 

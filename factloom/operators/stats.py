@@ -30,6 +30,7 @@ class Metric:
     columns: tuple[str, ...]
     higher_better: bool
     is_rate: bool = True
+    label: str = ""
 
     def terms(self) -> list[Column]:
         """Per item: what is summed; numerator and denominator, or the counts of BLEU in the order of its columns."""
@@ -49,18 +50,36 @@ class Metric:
         return F.try_divide(*sums)
 
 
-# The metrics that runs are compared on.
+# The metrics that runs are compared on, with their columns and labels, and the rule of selection.
 METRICS = (
-    Metric("rel_wrong", "ratio", ("rel_wrong_n", "rel_claims_n"), False),
-    Metric("rel_items", "positive", ("rel_wrong_n",), False),
-    Metric("num_unsupported", "ratio", ("num_unsupported_n", "num_n"), False),
-    Metric("entailed", "ratio", ("nli_entailed_n", "nli_claims_n"), True),
-    Metric("contra_claims", "ratio", ("nli_contradicted_n", "nli_claims_n"), False),
-    Metric("contra_items", "positive", ("nli_contradicted_n",), False),
-    Metric("parent", "mean", ("parent_f1",), True, False),
-    Metric("bleu", "bleu", (*overlap.MATCH, *overlap.TOTAL, "bleu_hyp_len", "bleu_ref_len"), True, False),
-    Metric("seq_logprob", "mean", ("seq_logprob",), True, False),
+    Metric("rel_wrong", "ratio", ("rel_n_wrong", "rel_n_claims"), False, True, "Wrong relational claims"),
+    Metric("rel_items", "positive", ("rel_n_wrong",), False, True, "Items with relational error"),
+    Metric("num_unsupported", "ratio", ("num_n_unsupported", "num_n_numbers"), False, True, "Unsupported numbers"),
+    Metric("entailed", "ratio", ("cl_n_entailed", "cl_n_claims"), True, True, "Claims entailed (NLI)"),
+    Metric("contra_claims", "ratio", ("cl_n_contradicted", "cl_n_claims"), False, True, "Contradictions per claim"),
+    Metric("contra_items", "positive", ("cl_n_contradicted",), False, True, "Items with contradiction"),
+    Metric("parent", "mean", ("parent_f1",), True, False, "PARENT F1"),
+    Metric("bleu", "bleu", (*overlap.MATCH, *overlap.TOTAL, "bleu_hyp_len", "bleu_ref_len"), True, False, "BLEU"),
+    Metric("seq_logprob", "mean", ("seq_logprob",), True, False, "Seq-logprob"),
 )
+SELECTION = ("rel_wrong", "num_unsupported", "entailed", "parent")
+FOREST = ("rel_wrong", "rel_items", "entailed", "contra_claims")
+
+
+def check_items(items: DataFrame, metrics: Sequence[Metric], run: str = "run") -> None:
+    """ValueError unless there are items, all runs have the same ones, and each once, with a value in every column."""
+    columns = sorted({c for m in metrics for c in m.columns})
+    missing = [c for c in columns if c not in items.columns]
+    if missing:
+        raise ValueError(f"columns are missing: {missing}")
+    gaps = [F.count_if(F.col(c).isNull()).alias(c) for c in columns]
+    per = items.groupBy(run).agg(F.count(F.lit(1)).alias("n_"), F.count_distinct("item").alias("d_"), F.min("item").alias("a_"), F.max("item").alias("z_"), *gaps).collect()
+    if not per:
+        raise ValueError("there are no items")
+    if len({(r.n_, r.d_, r.a_, r.z_) for r in per}) > 1 or any(r.n_ != r.d_ or r.z_ - r.a_ + 1 != r.n_ for r in per):
+        raise ValueError("the runs must have the same items, each once")
+    if short := sorted({c for c in columns for r in per if r[c]}):
+        raise ValueError(f"columns of different lengths: {short} have no value for some items")
 
 
 def numpy_weights(spark: SparkSession, n: int, n_boot: int = 10_000, seed: int = 13) -> DataFrame:

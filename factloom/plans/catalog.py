@@ -334,10 +334,10 @@ def premise_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Replicates of a bootstrap, and items of a rolling window.
 REPLICATES, WINDOW = 10_000, 75
 TWO_RUN_METRICS = (
-    stats.Metric("num_unsupported", "ratio", ("num_unsupported_n", "num_n"), False),
-    stats.Metric("num_derived", "ratio", ("n_derived", "num_n"), False),
+    stats.Metric("num_unsupported", "ratio", ("num_n_unsupported", "num_n_numbers"), False),
+    stats.Metric("num_derived", "ratio", ("n_derived", "num_n_numbers"), False),
     stats.Metric("exact_mean", "mean", ("n_exact",), True, False),
-    stats.Metric("unsupported_items", "positive", ("num_unsupported_n",), False),
+    stats.Metric("unsupported_items", "positive", ("num_n_unsupported",), False),
 )
 
 
@@ -351,7 +351,7 @@ def _two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     games = cells.join(keyed.select(F.col("id").alias("ex_id"), "key"), "ex_id").withColumn("ex_id", F.col("key")).drop("key")
     scored = numbers.score_items(keyed.select(F.col("key").alias("id"), "output"), games).withColumnRenamed("id", "key")
     out = keyed.select("key", "id", "run").join(scored, "key")
-    out = out.select("id", "run", F.col("n_numbers").alias("num_n"), (F.col("n_numbers") - F.col("n_supported")).alias("num_unsupported_n"), "n_derived", "n_exact")
+    out = out.select("id", "run", F.col("n_numbers").alias("num_n_numbers"), (F.col("n_numbers") - F.col("n_supported")).alias("num_n_unsupported"), "n_derived", "n_exact")
     out = staged(out, "items")
     return staged(stats.numbered(out.join(stats.common_ids(out), "id")), "items")
 
@@ -391,7 +391,7 @@ def fold_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def rolling_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rate over the last 75 items."""
-    return _rounded(stats.rolling_rate(_two_runs(spark, sf_dir), "num_unsupported_n", "num_n", WINDOW))
+    return _rounded(stats.rolling_rate(_two_runs(spark, sf_dir), "num_n_unsupported", "num_n_numbers", WINDOW))
 
 
 @query

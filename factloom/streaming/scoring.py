@@ -31,7 +31,7 @@ def score_stream(stream: DataFrame, cells: DataFrame, context: DataFrame, sink:
 
     def one(batch: DataFrame, number: int) -> None:
         texts = batch.dropDuplicates(["id"]).select("id", "output")
-        found = R.score_items(texts, R.claims(texts, context)).select("id", F.col("n_claims").alias("rel_claims_n"), F.col("n_wrong").alias("rel_wrong_n"))
+        found = R.score_items(texts, R.claims(texts, context)).select("id", F.col("n_claims").alias("rel_n_claims"), F.col("n_wrong").alias("rel_n_wrong"))
         N.score_items(texts, cells).drop("unsupported").join(found, "id").write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import facts, generate, prompts, runs, stats
+from factloom.operators import facts, generate, overlap, prompts, relations, report, runs, stats
 from factloom.sources import loaders
 from factloom.sources.cells import finish
 from factloom.streaming import scoring
@@ -163,7 +163,7 @@ def test_streaming(spark, tmp_path):
     q = scoring.score_stream(scoring.read_stream(spark, str(folder)), cells, facts.context(cells), str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).first()
-    assert (got.n_exact, got.n_supported, got.n_numbers, got.rel_claims_n, got.rel_wrong_n) == (1, 1, 2, 1, 0)
+    assert (got.n_exact, got.n_supported, got.n_numbers, got.rel_n_claims, got.rel_n_wrong) == (1, 1, 2, 1, 0)
 
 
 def test_bleu_is_compared_from_summed_counts(spark):
@@ -188,3 +188,95 @@ def test_bleu_is_compared_from_summed_counts(spark):
     values = stats.points(items, [metric])
     assert {r.run: r["rank"] for r in stats.ranks(values, [metric]).collect()}[best] == 1
     assert [m.name for m in stats.active_metrics(items, stats.METRICS)] == ["bleu"] and len(stats.METRICS) == 9
+
+
+def battery_items(spark, n: int = 30):
+    rng = np.random.default_rng(5)
+    rows = []
+    for run, worse in (("plain", 2), ("faithful+fs", 0), ("soft", 1)):
+        for i in range(n):
+            claims, nums = 6, 8
+            rows.append((run, f"g-{i:04d}", nums, int(rng.integers(0, 2 + worse)), claims, int(rng.integers(0, 1 + worse)), 5, 3, int(rng.integers(0, 2)), 0.4 + 0.01 * (i % 7) - 0.05 * worse))
+    rows.append(("plain", "g-9999", 1, 0, 1, 0, 1, 1, 0, 0.5))
+    return spark.createDataFrame(rows, "run string, id string, num_n_numbers long, num_n_unsupported long, rel_n_claims long, rel_n_wrong long, cl_n_claims long, cl_n_entailed long, cl_n_contradicted long, parent_f1 double")
+
+
+def test_battery_report(spark):
+    items = battery_items(spark)
+    weights = stats.numpy_weights(spark, 30, 200)
+    found = report.battery(items, ["plain", "faithful+fs", "soft"], n_boot=200, weights=weights)
+    assert found.winner == "faithful+fs" and found.n_items == 30 and found.n_dropped == 1 and found.n_folds == 3
+    assert [m.name for m in found.metrics] == ["rel_wrong", "rel_items", "num_unsupported", "entailed", "contra_claims", "contra_items", "parent"]
+    held = {(r.run, r.id): r for r in items.collect()}
+    mine = [held["plain", f"g-{i:04d}"] for i in range(30)]
+    csv = report.summary_csv(found).split("\r\n")
+    assert csv[0] == "metric,higher_better,plain,faithful+fs,soft" and csv[1].startswith(f"Wrong relational claims,False,{sum(r.rel_n_wrong for r in mine) / 180:.6f},0.000000,")
+    text = report.summary_md(found)
+    assert "- **Selected prompt: `faithful+fs`**" in text and "| Wrong relational claims | plain |" in text and "| yes |" in text
+    folds = [line for line in text.split("\n") if line.startswith(("| 1 |", "| 2 |", "| 3 |"))]
+    assert len(folds) == 3 and all(line.split("|")[3].strip() == "1" for line in folds)
+    assert {r.rival for r in report.forest(found).collect()} == {"plain", "soft"} and all(r.diff >= 0 for r in report.forest(found).filter("metric = 'rel_wrong'").collect())
+    point = report.panels(found).filter("metric = 'parent' AND run = 'soft'").first()
+    assert point.lo <= point.point <= point.hi < 1 and report.panels(found).filter("metric = 'entailed'").first().point == 60.0
+    assert {r.panel for r in report.decomposition(found, weights).collect()} == {"volume", "contra_items", "contra_claims"}
+    assert report.rolling(found, 10).count() == 3 * 21 and report.rolling(found, 10).agg(F.min("x")).first()[0] == 5.0
+    assert report.distribution(found).count() == 90
+    for bad in (["plain", "plain"], []):
+        with pytest.raises((ValueError, AttributeError)):
+            report.battery(items.limit(0) if not bad else items, bad)
+
+
+def test_items_are_checked(spark):
+    metrics = [stats.Metric("m", "mean", ("x",), True)]
+    rows = lambda *r: spark.createDataFrame(r, "run string, item int, x double")
+    stats.check_items(rows(("a", 0, 1.0), ("a", 1, 2.0), ("b", 0, 1.0), ("b", 1, 0.0)), metrics)
+    for bad in (rows(("a", 0, 1.0), ("b", 0, 1.0), ("b", 1, 0.0)), rows(("a", 0, 1.0), ("a", 1, None)), rows(("a", 0, 1.0)).limit(0), rows(("a", 0, 1.0), ("a", 0, 1.0)), rows(("a", 0, 1.0)).drop("x")):
+        with pytest.raises(ValueError):
+            stats.check_items(bad, metrics)
+
+
+def test_item_records_and_reports(spark):
+    outputs = spark.createDataFrame([("a", "one text", -0.25), ("b", "another", None)], "id string, output string, seq_logprob double")
+    numbers = spark.createDataFrame([("a", 3, 1, 1, 2, [7.5]), ("b", 0, 0, 0, 0, [])], "id string, n_numbers long, n_exact long, n_derived long, n_supported long, unsupported array<double>")
+    wrong = "array<struct<pos:int,part:int,clause_no:int,seg_no:int,k:int,type:string,sentence:string,claimed:string,expected:string>>"
+    rel = spark.createDataFrame([("a", 2, 1, [(0, 0, 0, 0, 0, "winner", "A won.", "A", "B")]), ("b", 0, 0, [])], f"id string, n_claims long, n_wrong long, wrong {wrong}")
+    parent = spark.createDataFrame([("a", 0.5)], "id string, f1 double")
+    records = report.item_records(outputs, numbers, rel, parent=parent)
+    flat = report.flatten(records, outputs)
+    assert set(flat.columns) == {"id", "num_n_numbers", "num_n_unsupported", "rel_n_claims", "rel_n_wrong"}
+    assert {tuple(r) for r in flat.collect()} == {("a", 3, 1, 2, 1), ("b", 0, 0, 0, 0)}
+    examples = spark.createDataFrame([("a", ["ref", "other"]), ("b", [])], "id string, references array<string>")
+    got = {r.id: r.lines for r in report.item_report(records, outputs, examples).collect()}
+    assert got["a"] == ["[a]", "REFERENCE : ref", "            (+1 more reference(s))", "GENERATED : one text", "METRICS   : number-check: 3 number(s), 1 via derivation, 1 unsupported -> [7.5] | PARENT F1: 0.500 | seq-logprob: -0.250 | relations: 1/2 wrong", "  REL-WINNER: A won.  [claimed: A | table: B]"]
+    assert got["b"][1] == "REFERENCE : (no reference)"
+    table = report.run_comparison([({"name": "x", "prompt": "p"}, {"numbers": {"items": 4, "number_support_rate_micro": 0.5}, "parent": {"parent_f1": 0.25}}), ({}, None)])
+    assert table[1][:4] == ["x", "p", "4", "50.0%"] and table[1][-2:] == ["0.250", "-"] and table[2][:3] == ["?", "?", "(no metrics.json yet)"]
+
+
+def test_run_files(tmp_path):
+    report.write_meta({"name": "n", "b": 1}, str(tmp_path / "run"))
+    assert json.loads((tmp_path / "run" / "meta.json").read_text()) == {"config": {"name": "n", "b": 1}, "config_hash": loaders.config_hash({"b": 1, "name": "n"})}
+    log = tmp_path / "log.jsonl"
+    log.write_text("".join(json.dumps({"step": i}) + "\n" for i in range(5)) + "\n")
+    assert report.rewrite_log(str(log), 2) == 2 and [json.loads(x)["step"] for x in log.read_text().splitlines()] == [0, 1, 2]
+    report.set_seed(3)
+    first = (np.random.rand(), __import__("random").random())
+    report.set_seed(3)
+    assert first == (np.random.rand(), __import__("random").random())
+
+
+def test_cooccurrence_entailment(spark):
+    cells = spark.createDataFrame([("t", 0, "s", 0, k, c, k == 0, "x", 2, None, False, v, v, 1) for k, (c, v) in enumerate((("first name", "michael"), ("team", "reds")))], "ex_id string, sec_idx int, sec_name string, row_idx int, col_idx int, col_name string, is_key boolean, entity string, kind int, num double, is_int boolean, str string, text string, n_sec_rows int")
+    counts = spark.createDataFrame([("michael", 4), ("michael|||played", 2), ("reds", 10), ("reds|||played", 1), ("first_name", 2), ("first_name|||called", 1), ("blues|||lost", 3)], "key string, count long")
+    grams = [["michael", "reds"], ["michael", "played"], ["called"], ["lost"], ["first_name"]]
+    got = {tuple(r.gram): r.probability for r in overlap.cooccurrence_entailment(spark.createDataFrame([("t", g) for g in grams], "id string, gram array<string>"), cells, overlap.cooccurrence_ratios(counts)).collect()}
+    assert got == {("michael", "reds"): 1.0, ("michael", "played"): 0.5**0.5, ("called",): 0.5, ("lost",): 0.0, ("first_name",): 1.0}
+
+
+def test_positional_report(spark):
+    games = spark.createDataFrame([(f"g{i}", "A", "B", False, "A" if i < 6 else "B") for i in range(10)] + [("t", "A", "B", True, None)], "ex_id string, team0 string, team1 string, tie boolean, winner string")
+    claims = [(f"g{i}", "winner", "B" if i < 6 else "A", "x", i in (0, 7, 8)) for i in range(10)]
+    found = spark.createDataFrame([(i, t, c, e, not w) for i, t, c, e, w in claims], "id string, type string, claimed string, expected string, correct boolean")
+    r = relations.positional_report(games.select(F.col("ex_id").alias("id")), found, games, 500).first()
+    assert (r.n_first, r.n_second, r.err_first, r.err_second, r.named_first, r.named_second) == (6, 4, 1, 2, 2, 1)
+    assert math.isclose(r["diff"], 1 / 6 - 0.5) and r.lo <= r["diff"] <= r.hi
