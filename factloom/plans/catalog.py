@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import numeric as V
 from factloom.functions import text as T
-from factloom.operators import align, claims, facts, features, numbers, overlap, prompts, relations, runs, serialise, stats
+from factloom.operators import align, claims, facts, features, numbers, overlap, prompts, relations, report, runs, serialise, stats
 from factloom.plans import oracles, text_oracles
 from factloom.sources import games as G
 from factloom.sources import loaders
@@ -406,3 +406,35 @@ def sample_first_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first hundred parts by position."""
     parts = G.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), "p_name")
     return loaders.sample(parts, 100, None)
+
+
+@query
+def box_score_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw box scores, with blocks of none given as missing, read into cells."""
+    return loaders.rotowire_cells(G.raw_games(spark, sf_dir)).drop("is_int", "str")
+
+
+@query
+def meaning_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Meaning representations of all parts read into cells."""
+    attribute = lambda name, c: F.concat(F.lit(f"{name}["), F.col(c), F.lit("]"))
+    parts = G.table(spark, sf_dir, "part").select(F.concat(F.lit("part-"), "p_partkey").alias("id"), F.concat_ws(", ", attribute("name", "p_name"), attribute("brand name", "p_brand"), attribute("size", "p_size")).alias("mr"))
+    return loaders.e2e_cells(parts.select("id", loaders.parse_mr(F.col("mr")).alias("pairs"))).drop("is_int", "str")
+
+
+@query
+def cell_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers, strings and gaps among raw strings made from events."""
+    e = G.table(spark, sf_dir, "events")
+    n = F.col("event_id").cast("string")
+    raw = F.array(n, F.concat(F.lit(" -"), n, F.lit(" ")), F.concat(F.lit("1_0"), n), F.concat(n, F.lit("d")), F.concat(n, F.lit(".50")), F.concat(n, F.lit(",000")), F.concat(F.lit("."), n, F.lit("e2")), F.col("event_type"), F.lit("N/A"), F.concat(F.lit("9000000000000000000"), n))
+    cells = e.select("event_id", F.posexplode(raw).alias("pos", "raw")).withColumn("c", V.parse_cell(F.col("raw")))
+    return cells.select("event_id", "pos", "c.kind", "c.num", "c.is_int", V.number_text(F.when(F.col("pos") < 9, F.col("c.num")), F.col("c.is_int"), F.col("c.str")).alias("text"))
+
+
+@query
+def report_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report on both runs: its chart frame with intervals."""
+    items = _two_runs(spark, sf_dir).select("run", "id", "num_n_numbers", "num_n_unsupported")
+    found = report.battery(items, ["A", "B"], n_boot=REPLICATES, weights=stats.lcg_weights(spark, items.select("id").distinct().count(), REPLICATES))
+    return _rounded(report.panels(found), 6)

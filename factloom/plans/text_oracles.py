@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.plans.oracles import _LETTERS, CELLS, TEXTS, _numbers, _sentences, _tokens
+from factloom.plans.oracles import _DRAWS, _LETTERS, CELLS, GAMES, TEXTS, _numbers, _sentences, _tokens
 
 _WORDS = "regexp_extract_all(lower({}), '[a-z0-9]+')"
 
@@ -118,3 +118,22 @@ plain AS (SELECT c.* FROM full_cells c ANTI JOIN facts f ON c.ex_id = f.ex_id),
 bodies AS (SELECT ex_id, sec_idx, sec_name, string_agg(line, chr(10) ORDER BY k) AS t FROM (SELECT ex_id, sec_idx, sec_name, col_idx AS k, col_name || ': ' || text AS line FROM plain WHERE n_sec_rows = 1
   UNION ALL SELECT ex_id, sec_idx, sec_name, row_idx, entity || ' -- ' || string_agg(col_name || ': ' || text, '; ' ORDER BY col_idx) FILTER (NOT is_key) FROM plain WHERE n_sec_rows > 1 GROUP BY ex_id, sec_idx, sec_name, row_idx, entity) GROUP BY ex_id, sec_idx, sec_name)
 SELECT ex_id, text FROM sheets UNION ALL SELECT ex_id, string_agg(CASE WHEN n > 1 THEN sec_name || ':' || chr(10) ELSE '' END || t, chr(10) ORDER BY sec_idx) FROM (SELECT *, count(*) OVER (PARTITION BY ex_id) AS n FROM bodies) GROUP BY ex_id"""
+
+_PLAYER_COLUMNS = ["PLAYER_NAME", "TEAM_CITY", "PTS", "FGM", "FGA", "REB", "AST", "STL", "BLK"]
+_TEAM_COLUMNS = ["TEAM", "TEAM-AST", "TEAM-LOSSES", "TEAM-PTS", "TEAM-REB", "TEAM-WINS"]
+_CELL = "ex_id, sec_idx, sec_name, row_idx::INT AS row_idx, col_idx::INT AS col_idx, col_name, is_key, max(CASE WHEN is_key THEN text END) OVER (PARTITION BY ex_id, sec_idx, row_idx) AS entity, CASE WHEN text IS NULL THEN 0 WHEN is_text THEN 2 ELSE 1 END AS kind, CASE WHEN NOT is_text THEN text::DOUBLE END AS num, text, (max(row_idx) OVER (PARTITION BY ex_id, sec_idx) + 1)::INT AS n_sec_rows"
+SQL["box_score_cells"] = f"""WITH {GAMES}, p AS (SELECT ex_id, row_number() OVER (PARTITION BY ex_id ORDER BY s_suppkey) - 1 AS row_idx, max(blk) OVER (PARTITION BY ex_id) AS blocks,
+    [player, city, pts::VARCHAR, fgm::VARCHAR, fga::VARCHAR, reb::VARCHAR, ast::VARCHAR, stl::VARCHAR, CASE WHEN blk > 0 THEN blk::VARCHAR END] AS v FROM players SEMI JOIN facts USING (ex_id)),
+  t AS (SELECT ex_id, row_idx, [team, ast::VARCHAR, losses::VARCHAR, pts::VARCHAR, reb::VARCHAR, wins::VARCHAR] AS v FROM teams SEMI JOIN facts USING (ex_id)),
+  c AS (SELECT ex_id, 1 AS sec_idx, 'players' AS sec_name, row_idx, i AS col_idx, {_PLAYER_COLUMNS}[i + 1] AS col_name, i = 0 AS is_key, i < 2 AS is_text, v[i + 1] AS text, blocks FROM (SELECT *, unnest(range(9)) AS i FROM p)
+    UNION ALL SELECT ex_id, 0, 'teams', row_idx, i, {_TEAM_COLUMNS}[i + 1], i = 0, i = 0, v[i + 1], 1 FROM (SELECT *, unnest(range(6)) AS i FROM t))
+  SELECT {_CELL} FROM c WHERE col_name <> 'BLK' OR blocks > 0"""
+SQL["meaning_cells"] = f"""WITH c AS (SELECT 'part-' || p_partkey AS ex_id, 0 AS sec_idx, 'restaurant' AS sec_name, 0 AS row_idx, i AS col_idx, ['name', 'brand name', 'size'][i + 1] AS col_name, i = 0 AS is_key, i < 2 AS is_text, [p_name, p_brand, p_size::VARCHAR][i + 1] AS text FROM part, (SELECT unnest(range(3)) AS i))
+  SELECT {_CELL} FROM c"""
+SQL["cell_kinds"] = """WITH r AS (SELECT event_id, event_id::VARCHAR AS n, event_type FROM events),
+  v AS (SELECT event_id, unnest([{'pos': 0, 'num': n::DOUBLE, 'i': true, 't': n}, {'pos': 1, 'num': -(n::DOUBLE), 'i': true, 't': (-event_id)::VARCHAR}, {'pos': 2, 'num': ('10' || n)::DOUBLE, 'i': true, 't': '10' || n}, {'pos': 3, 'num': NULL, 'i': false, 't': NULL},
+    {'pos': 4, 'num': (n || '.5')::DOUBLE, 'i': false, 't': n || '.5'}, {'pos': 5, 'num': NULL, 'i': false, 't': NULL}, {'pos': 6, 'num': ('.' || n || 'e2')::DOUBLE, 'i': false, 't': ('.' || n || 'e2')::DOUBLE::VARCHAR}, {'pos': 7, 'num': NULL, 'i': false, 't': NULL},
+    {'pos': 8, 'num': NULL, 'i': false, 't': NULL}, {'pos': 9, 'num': ('9000000000000000000' || n)::DOUBLE, 'i': true, 't': '9000000000000000000' || n}], recursive := true) FROM r)
+  SELECT event_id, pos::INT AS pos, CASE WHEN pos = 8 THEN 0 WHEN num IS NULL THEN 2 ELSE 1 END AS kind, num, i AS is_int, t AS text FROM v"""
+SQL["report_panels"] = f"""WITH {_DRAWS} SELECT 'num_unsupported' AS metric, 'Unsupported numbers' AS label, p.run, round(any_value(100 * p.value), 6) AS point, round(100 * quantile_cont(d.value, 0.025), 6) AS lo, round(100 * quantile_cont(d.value, 0.975), 6) AS hi, false AS higher_better
+  FROM pts p JOIN draws d USING (run, metric) WHERE metric = 'num_unsupported' GROUP BY p.run"""

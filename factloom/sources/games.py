@@ -88,6 +88,21 @@ def staged_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staged(cells_of(staged(players(spark, sf_dir), "players")), "cells")
 
 
+def raw_games(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, game, references): the two-team games as raw box scores, whose values are strings keyed by supplier."""
+    p = staged(players(spark, sf_dir), "players")
+    t = teams(p)
+    text = lambda c: F.when((F.lit(c) == "blk") & (F.col(c) == 0), "N/A").otherwise(F.col(c).cast("string"))
+    keyed = lambda c: F.map_from_entries(F.collect_list(F.struct(F.col("s_suppkey").cast("string"), text(c))))
+    box = p.groupBy("ex_id").agg(*[keyed(c).alias(c) for c in PLAYER_COLUMNS.values()])
+    score = F.create_map(*[x for name, c in PLAYER_COLUMNS.items() for x in (F.lit(name), F.col(c))])
+    line = F.create_map(*[x for name, c in TEAM_COLUMNS.items() if name != "TEAM" for x in (F.lit(name), F.col(c).cast("string"))])
+    side = lambda i, prefix: t.filter(F.col("side") == i).select("ex_id", F.col("city").alias(f"{prefix}_city"), F.col("nick").alias(f"{prefix}_name"), line.alias(f"{prefix}_line"))
+    g = side(0, "home").join(side(1, "vis"), "ex_id").join(box.select("ex_id", score.alias("box_score")), "ex_id")
+    game = F.struct("home_city", "home_name", "vis_city", "vis_name", "home_line", "vis_line", "box_score")
+    return g.select(F.col("ex_id").alias("id"), game.alias("game"), F.array().cast("array<string>").alias("references"))
+
+
 def part_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of one single-row table per part."""
     parts = table(spark, sf_dir, "part").select(F.concat(F.lit("part-"), F.col("p_partkey")).alias("ex_id"), F.lit(0).alias("row_idx"), *PART_COLUMNS.values())
