@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -12,13 +13,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of at most this many bytes (counted first) may be broadcast; larger ones are joined by shuffle.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 8 << 20
 #: Rows per file of a table whose size is known.
 FILE_ROWS = 250_000
+#: Bytes of an Arrow batch for Python: rows differ in length by orders, so a bound on their number bounds no memory.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new folder name below ``spark.checkpoint.dir``; a temporary base is set only where that is unset (tests)."""
+    """A new folder name below ``spark.checkpoint.dir``; a temporary base is set only where that is unset (tests).
+
+    Every operator asks for one first, so this is also where the session's Arrow batches are bounded, unless they are already.
+    """
+    given = spark.conf.get(_BATCH).rstrip("b")
+    if not (given.isdigit() and 0 < int(given) <= BATCH_BYTES):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = getattr(shared_dir, "own", None)
@@ -30,22 +40,28 @@ def shared_dir(spark: SparkSession, label: str) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@contextmanager
+def cleaning(spark: SparkSession) -> Iterator[None]:
+    """Actions inside leave no shuffle files; for those whose result is written, so that nothing reads them again."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def stage(df: DataFrame, label: str, codec: str = "snappy", rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, and a lost executor loses nothing of it.
 
-    The shuffle files of the write go when it has ended, as nothing reads them again. rows: a bound on the rows where it
-    is known; a small table is then written in as few files as there are cores.
+    rows: a bound on the rows where it is known; a small table is then written in as few files as there are cores.
     """
     spark = df.sparkSession
     path = shared_dir(spark, label)
     if rows is not None:
         df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with cleaning(spark):
         df.write.option("compression", codec).parquet(path)
-    finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import bounded, doc_chunks, stage, string_bytes, trimmed
+from factloom.llm.common import bounded, doc_chunks, drop_staged, stage, string_bytes, trimmed
 from factloom.llm.wordhash import ALNUM, Words, mix, scan, shingles
 
 NGRAM = 5
@@ -187,14 +187,16 @@ def minimum_labels(edges: DataFrame, a: str, b: str, rows: int) -> DataFrame:
     on the number of nodes.
     """
     both = stage(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct(), "edges", rows=2 * rows)
-    labels = stage(both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("label")), "labels", rows=rows)
+    labels = held = stage(both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("label")), "labels", rows=rows)
     while True:
         near = both.join(labels.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
         step = labels.join(near, "u").select("u", F.least("label", "near").alias("label"), F.col("label").alias("was"))
         far = labels.select(F.col("u").alias("label"), F.col("label").alias("far"))
         jumped = stage(step.join(far, "label", "left").select("u", F.least("label", F.coalesce("far", "label")).alias("label"), "was"), "labels", rows=rows)
-        labels = jumped.select("u", "label")
+        drop_staged(held)
+        held, labels = jumped, jumped.select("u", "label")
         if jumped.filter(F.col("label") != F.col("was")).isEmpty():
+            drop_staged(both)
             return labels.select(F.col("u").alias("node"), "label")
 
 
@@ -258,7 +260,9 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
     # Staged, so that a label that many classes share is a skewed join, which is split at run time.
     tops = bounded(stage(named.groupBy("label").agg(first), "tops", rows=n), 64)
     per_class = named.join(tops, "label").select("fp", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.col("first.rep").alias("top"), F.col("first.fp").alias("top_fp"))
-    per_class = bounded(stage(per_class, "per-class", rows=n), 96)
+    per_class = stage(per_class, "per-class", rows=n)
+    drop_staged(members, candidates, found, named)
+    per_class = bounded(per_class, 96)
     out = signed.select("id", "fp", "n").join(per_class.withColumnRenamed("fp", "c_fp"), (F.col("fp") == F.col("c_fp")) & (F.col("n") > 0), "left")
     has = F.col("c_fp").isNotNull()
     return out.select(

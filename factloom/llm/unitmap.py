@@ -21,7 +21,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import doc_chunks, read_bytes, shared_dir, stage, string_bytes, trimmed, write_bytes
+from factloom.llm.common import cleaning, doc_chunks, drop_staged, read_bytes, shared_dir, stage, string_bytes, trimmed, write_bytes
 from factloom.llm.wordhash import mix
 
 BLOCK_ROWS = 1 << 14
@@ -218,7 +218,9 @@ def resolve(placed: DataFrame, path: str, answer: Callable[[DataFrame], DataFram
         close()
         yield pa.RecordBatch.from_arrays([pa.array([], pa.int64())], names=["block"])
 
-    given.repartition("block").sortWithinPartitions("block").mapInArrow(trimmed(write), "block long").write.format("noop").mode("overwrite").save()
+    with cleaning(placed.sparkSession):
+        given.repartition("block").sortWithinPartitions("block").mapInArrow(trimmed(write), "block long").write.format("noop").mode("overwrite").save()
+    drop_staged(pairs)
     return folder
 
 
