@@ -116,7 +116,9 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([(1, text(1, 30))], "item_id long, text string")
     assert jaccard_join.join_report(none).count() == jaccard_join.keep_one(none).count() == 0
     assert decontaminate.find_matches(none, bench).count() == quality_rules.quality_report(none).count() == 0
-    assert token_counts.count_tokens(none, tokenizer_path("piece_bpe_32k.model")).count() == 0
+    pieces = tokenizer_path("piece_bpe_32k.model")
+    assert token_counts.count_tokens(none, pieces).count() == piece_lattice.encode(none, pieces).count() == piece_lattice.encode_decode(none, pieces).count() == 0
+    assert decontaminate.remove_contaminated(none, bench).count() == quality_rules.apply_rules(none).count() == 0
     assert ngram_lm.train_and_score(none).count() == 0
     folder, index = token_files.write_tokens(none, tokenizer_path("byte_bpe_50k.json"))
     assert token_files.read_tokens(folder, index).count() == 0
@@ -498,3 +500,31 @@ def test_chat_examples_hold_their_contexts(spark, monkeypatch):
             stream += segment
     assert rows_of(chat_expand.examples(out)) == sorted(want, key=repr)
     assert chat_expand.examples(out.limit(0)).count() == 0
+
+
+def test_other_columns_with_clashing_names(spark):
+    urls = spark.createDataFrame([(1, "http://a.org/x", True, "h", "p", "r", "v", "f")] * 2, "page_id long, url string, in_list boolean, host string, path string, r string, verdict string, f string")
+    assert rows_of(url_cascade.judge_urls(urls, spark.createDataFrame([("a.org", 3)], "host string, r int"))) == [(1, "a.org", "/x", "org/", "allow")] * 2
+    turns = spark.createDataFrame([(1, 0, "user", "q", "s", 9, "t", 5), (1, 1, "assistant", "a", None, None, "t", 5)], "conv_id long, turn long, role string, text string, segment string, ordinal long, target string, stream_from long")
+    assert rows_of(chat_expand.examples(chat_expand.expand(turns))) == [(1, 1, "<s>user[INST]q[/INST]</s><s>assistant[INST]", "a")]
+    docs = spark.createDataFrame([(1, text(1, 80), "en", "s", 1, "a", "b")], "doc_id long, text string, lang string, source string, id int, fp string, matches string")
+    assert ngram_lm.train_and_score(docs).count() == decontaminate.find_matches(docs, spark.createDataFrame([(1, "none of it")], "item_id long, text string")).count() == 1
+    assert jaccard_join.keep_one(docs).columns == docs.columns and jaccard_join.keep_one(docs).count() == 1
+    path = tokenizer_path("byte_bpe_50k.json")
+    assert token_files.read_tokens(*token_files.write_tokens(docs, path)).count() == piece_lattice.encode(docs, tokenizer_path("piece_bpe_32k.model")).count() == 1
+
+
+def test_rows_of_one_id_are_dealt_out_in_order(spark):
+    """Many rows of one id lie in several shards, still in the order of their texts."""
+    rows = [(7, f"{k:03d} " + text(k, 30)) for k in range(300)] + [(7, None), (1, "first"), (9, "last")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        folder, index = token_files.write_tokens(docs, tokenizer_path("byte_bpe_50k.json"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert index.filter("doc_id = 7").select("shard").distinct().count() > 1
+    got = token_files.read_tokens(folder, index).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [1] + [7] * 301 + [9] and got[1].n_tokens == 1
+    again = token_files.read_tokens(*token_files.write_tokens(docs.repartition(2), tokenizer_path("byte_bpe_50k.json"))).orderBy("start").collect()
+    assert got == again

@@ -46,6 +46,14 @@ def test_stages(spark, folder, tmp_path):
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, folder).collect()) == sorted(after)
 
 
+def test_empty_documents(spark, folder, tmp_path):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    path = str(tmp_path / "none")
+    docs.limit(0).write.parquet(f"{path}/documents.parquet")
+    spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(f"{path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, path).count() == 0
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 
