@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from factloom.llm import decontaminate as D
+from factloom.llm import jaccard_join as J
 from factloom.llm import quality_rules as Q
 from factloom.llm import url_cascade as U
 
@@ -77,4 +79,41 @@ SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns, sha256(string_ag
 FROM placed GROUP BY conv_id"""
 
 
-ORACLE_SQL: dict[str, str] = {"op8_url_cascade": _op8(), "op9_quality_rules": _OP9, "op10_chat_expand": _op10()}
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _words(text: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({text}, ''), '{U._UPPER}', '{U._LOWER}'), '{_ALNUM}')"
+
+
+def _op2() -> str:
+    n, (num, den) = J.NGRAM, J.THRESHOLD
+    return f"""
+WITH RECURSIVE words AS (SELECT doc_id, {_words('text')} AS w FROM documents), full_ AS (SELECT doc_id, w, array_to_string(w, ' ') AS s FROM words WHERE len(w) > 0),
+grams AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + {n - 1}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {n - 2})) AS i FROM full_ WHERE len(w) >= {n}) UNION ALL SELECT doc_id, s FROM full_ WHERE len(w) < {n}),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE {den} * m >= {num} * (x.n + y.n - m)),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+tops AS (SELECT a, min(b) AS top FROM reach GROUP BY a), counts AS (SELECT a, count(*) AS n FROM links GROUP BY a), copies AS (SELECT s, count(*) AS n FROM full_ GROUP BY s)
+SELECT w.doc_id, least(w.doc_id, coalesce(top, w.doc_id)) AS class_id, coalesce(c.n, 0)::BIGINT AS n_links, coalesce(k.n - 1, 0)::BIGINT AS n_copies
+FROM words w LEFT JOIN tops t ON w.doc_id = t.a LEFT JOIN counts c ON w.doc_id = c.a LEFT JOIN full_ f ON w.doc_id = f.doc_id LEFT JOIN copies k ON f.s = k.s"""
+
+
+def _op6() -> str:
+    n = D.WINDOW
+    return f"""
+WITH docs AS (SELECT doc_id, {_words('text')} AS w FROM documents), items AS (SELECT DISTINCT coalesce(item_id::VARCHAR, '') AS item_id, {_words('text')} AS w FROM benchmark),
+windows AS (SELECT item_id, i AS spot, least(len(w), {n}) AS l, array_to_string(w[i:i + {n - 1}], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - {n - 1}) + 1)) AS i FROM items WHERE len(w) > 0)),
+lengths AS (SELECT DISTINCT l FROM windows),
+places AS (SELECT doc_id, i AS pos, l, array_to_string(w[i:i + l - 1], ' ') AS g FROM (SELECT doc_id, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM docs, lengths WHERE len(w) >= l)),
+hits AS (SELECT doc_id, pos, p.l, item_id, spot FROM places p JOIN windows v ON p.g = v.g AND p.l = v.l),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(pos, pos + l)) AS p FROM (SELECT DISTINCT doc_id, pos, l FROM hits)) GROUP BY doc_id),
+runs AS (SELECT doc_id, any_value(l) + count(*) - 1 AS n FROM (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, item_id, pos - spot ORDER BY pos) AS run FROM (SELECT DISTINCT * FROM hits)) GROUP BY doc_id, item_id, pos - spot, run),
+longest AS (SELECT doc_id, max(n) AS n FROM runs GROUP BY doc_id), named AS (SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit, coalesce(m.n, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(c.n, 0) > 0 AND 20 * coalesce(c.n, 0) >= len(w) AS contaminated, coalesce(x.n, 0)::BIGINT AS longest
+FROM docs d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN named m ON d.doc_id = m.doc_id LEFT JOIN longest x ON d.doc_id = x.doc_id"""
+
+
+ORACLE_SQL: dict[str, str] = {"op2_jaccard_join": _op2(), "op6_decontaminate": _op6(), "op8_url_cascade": _op8(), "op9_quality_rules": _OP9, "op10_chat_expand": _op10()}
