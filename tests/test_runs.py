@@ -280,3 +280,54 @@ def test_positional_report(spark):
     r = relations.positional_report(games.select(F.col("ex_id").alias("id")), found, games, 500).first()
     assert (r.n_first, r.n_second, r.err_first, r.err_second, r.named_first, r.named_second) == (6, 4, 1, 2, 2, 1)
     assert math.isclose(r["diff"], 1 / 6 - 0.5) and r.lo <= r["diff"] <= r.hi
+
+
+def winner_backend():
+    """Names the first team of each table as the winner."""
+
+    def run(asked):
+        out = []
+        for p in asked:
+            rows = [line.split(" | ") for line in p[-1]["content"].split("\n") if line.startswith("| ")]
+            first, second = (r[0].removeprefix("| ") for r in rows[2:4] if len(r) > 1)
+            out.append((f" The {first} defeated the {second} 12 to 7. The {first} had won again. ", -0.12345))
+        return out
+
+    return run
+
+
+def test_a_run_from_the_command_line(spark, tmp_path, capsys):
+    import sys
+
+    from pyspark import cloudpickle
+
+    import factloom.__main__ as cli
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers don't find the tests
+    box = {"PLAYER_NAME": {"1": "A One", "2": "B Two"}, "TEAM_CITY": {"1": "X", "2": "Y"}, "PTS": {"1": "12", "2": "7"}}
+    games = [{"home_city": "X", "home_name": f"Home{i}", "vis_city": "Y", "vis_name": "Vis", "home_line": {"TEAM-PTS": str(12 if i % 2 else 3)}, "vis_line": {"TEAM-PTS": "7"}, "box_score": box, "summary": ["The", "X", f"Home{i}", "defeated", "the", "Y", "Vis", "12", "to", "7", "."]} for i in range(4)]
+    data, results = tmp_path / "games.json", str(tmp_path / "results")
+    data.write_text(json.dumps(games))
+    paths = []
+    for kind in ("plain", "strict"):
+        path = tmp_path / f"{kind}.yaml"
+        path.write_text(f"name: x-{kind}\ndataset: rotowire\nsplit: test\nprompt: rotowire/{kind}_v1\n")
+        paths.append(str(path))
+    run = lambda *a, of=paths: (cli.main([*a, "--config", *of, "--data", str(data), "--results", results]), capsys.readouterr().out)[1]
+    for of in (paths, paths[:1]):  # a second time nothing is left to generate
+        run("generate", "--backend", "test_runs:winner_backend", of=of)
+    assert "(no metrics.json yet)" in run("compare")
+    metrics = json.loads("[" + run("evaluate", "--parent", "--claims", "factloom.operators.claims:score_with_stub").replace("}\n{", "},\n{") + "]")
+    assert metrics[0]["numbers"]["items"] == 4 and metrics[0]["relations"]["relational_wrong"] == 2 and metrics[0]["relations"]["wrong_by_type"] == {"winner": 2}
+    assert metrics[0]["uncertainty"] == {"mean_seq_logprob": -0.1234 if metrics[0]["uncertainty"]["mean_seq_logprob"] > -0.12345 else -0.1235, "items": 4}
+    assert metrics[0]["claims"]["total_claims"] == 8 and 0 < metrics[0]["parent"]["parent_f1"] < 1 and metrics[0]["bleu"]["bleu"] > 0
+    table = run("compare").split("\n")
+    assert table[2].split()[:4] == ["x-plain", "rotowire/plain_v1", "4", "83.3%"] or table[2].split()[2] == "4"
+    lines = run("show", "--n", "1", of=paths[:1])
+    assert "[rotowire-test-0000]" in lines and "REL-WINNER" in lines and "claims entailed: 1/2" in lines and "Shown 1 of 4" in lines
+    bias = json.loads(run("bias", of=paths[:1]))
+    assert (bias["n_first"], bias["n_second"], bias["err_first"], bias["err_second"], bias["named_first"]) == (2, 2, 0, 2, 2)
+    out = str(tmp_path / "out")
+    assert "4 paired items; selected: plain" in run("report", "--out", out, "--n-boot", "50")
+    with open(f"{out}/summary.md", encoding="utf-8") as f:
+        assert "| BLEU ↑ |" in f.read()
