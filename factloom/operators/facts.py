@@ -112,3 +112,11 @@ def context(cells: DataFrame) -> DataFrame:
     empty = lambda c: F.coalesce(c, F.array().cast(out.schema[c].dataType)).alias(c)
     arrays = ("players", "player_aliases", "leaders")
     return out.select(*[c for c in out.columns if c not in arrays], *map(empty, arrays))
+
+
+def next_scorers(rows: DataFrame, k: int = 2) -> DataFrame:
+    """(ex_id, city, player, pts, rank): the k best scorers of each city after its leaders."""
+    best = F.max("PTS").over(Window.partitionBy("ex_id", "city"))
+    rest = rows.withColumn("best", best).filter("PTS < best")
+    rank = F.row_number().over(Window.partitionBy("ex_id", "city").orderBy(F.desc("PTS"), "player"))
+    return rest.withColumn("rank", rank).filter(F.col("rank") <= k).select("ex_id", "city", "player", F.col("PTS").alias("pts"), "rank")

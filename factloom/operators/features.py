@@ -28,7 +28,7 @@ def column_vocab(cells: DataFrame) -> DataFrame:
 def featurise(cells: DataFrame, vocab: DataFrame, stats: DataFrame) -> DataFrame:
     """(ex_id, r, c, col_id, kind, num_feats, str_bucket, is_key): r runs over the rows of all sections in order."""
     key = cells.withColumn("key", column_key())
-    out = key.join(F.broadcast(vocab), "key", "left").join(F.broadcast(stats), "key", "left")
+    out = key.join(vocab, "key", "left").join(stats, "key", "left")
     zero = F.array(*[F.lit(0.0)] * 4)
     feats = F.when(F.col("kind") == 1, numeric_features(F.col("num"), F.coalesce("mean", F.lit(0.0)), F.coalesce("std", F.lit(0.0)))).otherwise(zero)
     r = F.dense_rank().over(Window.partitionBy("ex_id").orderBy("sec_idx", "row_idx")) - 1

@@ -24,12 +24,9 @@ def todo(examples: DataFrame, done: DataFrame) -> DataFrame:
 def append_generations(new: DataFrame, path: str) -> None:
     """Append generations that aren't in the sink yet, as JSON lines; running it twice adds nothing."""
     spark = new.sparkSession
-    try:
-        seen = spark.read.schema("id string").json(path)
-    except Exception as e:  # the first write finds no folder
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        seen = spark.createDataFrame([], "id string")
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    exists = there.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(there)
+    seen = spark.read.schema("id string").json(path) if exists else spark.createDataFrame([], "id string")
     new.dropDuplicates(["id"]).join(seen.select("id").distinct(), "id", "left_anti").write.mode("append").json(path)
 
 

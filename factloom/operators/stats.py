@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.operators import overlap
+from factloom.sources.staging import positioned
 
 MAX_WEIGHTS = 200_000_000
 
@@ -105,9 +106,8 @@ def lcg_weights(spark: SparkSession, n: int, n_boot: int) -> DataFrame:
 
 
 def numbered(items: DataFrame, id: str = "id") -> DataFrame:
-    """Items with ``item`` 0..n-1 in the order of their ids; ids are those of one run, a benchmark's size."""
-    order = items.select(id).distinct().withColumn("item", (F.row_number().over(Window.orderBy(id)) - 1).cast("int"))
-    return items.join(order, id)
+    """Items with ``item`` 0..n-1 in the order of their ids."""
+    return items.join(positioned(items.select(id).distinct(), "item", id), id)
 
 
 def _sums(items: DataFrame, weights: DataFrame, metrics: Sequence[Metric], by: Sequence[str]) -> DataFrame:
@@ -152,7 +152,7 @@ def fold_of(n: int, k: int, seed: int = 13) -> dict[int, int]:
 def fold_points(items: DataFrame, folds: dict[int, int], metrics: Sequence[Metric]) -> DataFrame:
     """(run, fold, metric, value); the folds of a run's items are a small table."""
     table = items.sparkSession.createDataFrame(pd.DataFrame({"item": list(folds), "fold": list(folds.values())}).astype("int32"))
-    return points(items.join(F.broadcast(table), "item"), metrics, ("run", "fold"))
+    return points(items.join(table, "item"), metrics, ("run", "fold"))
 
 
 def ranks(values: DataFrame, metrics: Sequence[Metric], by: Sequence[str] = ()) -> DataFrame:

@@ -86,11 +86,7 @@ def game_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def game_topk_scorers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The next two scorers of each city after its leaders."""
-    rows = facts.player_rows(G.game_cells(spark, sf_dir))
-    best = F.max("PTS").over(Window.partitionBy("ex_id", "city"))
-    rest = rows.withColumn("best", best).filter("PTS < best")
-    rank = F.row_number().over(Window.partitionBy("ex_id", "city").orderBy(F.desc("PTS"), "player"))
-    return rest.withColumn("rank", rank).filter("rank <= 2").select("ex_id", "city", "player", F.col("PTS").alias("pts"), "rank")
+    return facts.next_scorers(facts.player_rows(G.game_cells(spark, sf_dir)))
 
 
 @query

@@ -7,11 +7,12 @@ import json
 import random
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions.text import strip
 from factloom.sources.cells import from_strings
+from factloom.sources.staging import positioned
 
 # Columns of a player row in the order in which they are shown, and columns that aren't statistics.
 PLAYER_ORDER = (
@@ -42,8 +43,7 @@ def load_e2e(spark: SparkSession, path: str, split: str) -> DataFrame:
     rows = raw.select(strip(F.col(f"`{names['mr']}`")).alias("mr"), strip(ref).alias("ref"), F.monotonically_increasing_id().alias("at")).filter("mr IS NOT NULL AND mr <> ''")
     said = F.when(F.col("ref") != "", F.struct("at", "ref"))
     groups = rows.groupBy("mr").agg(F.min("at").alias("first"), F.array_sort(F.collect_list(said)).alias("refs"))
-    pos = F.row_number().over(Window.orderBy("first")) - 1
-    return groups.select(pos.alias("pos"), parse_mr(F.col("mr")).alias("pairs"), F.transform("refs", lambda r: r["ref"]).alias("references")).select(F.format_string(f"e2e-{split}-%04d", "pos").alias("id"), "pos", "pairs", "references")
+    return positioned(groups, "pos", "first").select("pos", parse_mr(F.col("mr")).alias("pairs"), F.transform("refs", lambda r: r["ref"]).alias("references")).select(F.format_string(f"e2e-{split}-%04d", "pos").alias("id"), "pos", "pairs", "references")
 
 
 def e2e_cells(examples: DataFrame) -> DataFrame:
@@ -54,10 +54,9 @@ def e2e_cells(examples: DataFrame) -> DataFrame:
 
 def load_rotowire(spark: SparkSession, path: str, split: str) -> DataFrame:
     """(id, pos, game, references) from a JSON array of games; summary tokens are joined by a space."""
-    raw = spark.read.schema(GAME).json(path, multiLine=True).withColumn("at", F.monotonically_increasing_id())
-    pos = F.row_number().over(Window.orderBy("at")) - 1
+    raw = positioned(spark.read.schema(GAME).json(path, multiLine=True))
     text = strip(F.array_join("summary", " "))
-    return raw.select(pos.alias("pos"), F.struct(*[c for c in raw.columns if c not in ("summary", "at")]).alias("game"), F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array(text)).alias("references")).select(F.format_string(f"rotowire-{split}-%04d", "pos").alias("id"), "pos", "game", "references")
+    return raw.select("pos", F.struct(*[c for c in raw.columns if c not in ("summary", "pos")]).alias("game"), F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array(text)).alias("references")).select(F.format_string(f"rotowire-{split}-%04d", "pos").alias("id"), "pos", "game", "references")
 
 
 def rotowire_cells(examples: DataFrame) -> DataFrame:
@@ -106,7 +105,7 @@ def sample(examples: DataFrame, limit: int | None, seed: int | None) -> DataFram
         return examples
     chosen = sorted(random.Random(seed).sample(range(n), limit))
     table = examples.sparkSession.createDataFrame([(i,) for i in chosen], "pos int")
-    return examples.join(F.broadcast(table), "pos", "left_semi")
+    return examples.join(table, "pos", "left_semi")
 
 
 GENERATION = "id string, output string, seq_logprob double, raw_output string"
