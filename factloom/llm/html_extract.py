@@ -10,7 +10,7 @@
 
 Boilerplate inside them (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles) is
 left out by tag, by role, and for wrappers by class or id word; an id marks a wrapper only as a whole, and no section of
-an article. Captions, formulas and the text of drawings and embedded objects stay. Blocks are joined by a line feed; white space inside a block is one space;
+an article. An article's own header stays, as it holds the title; so do captions, formulas and the text of drawings and embedded objects. Blocks are joined by a line feed; white space inside a block is one space;
 ``<br>`` counts as white space.
 
 Defined results: a null or empty page has an empty text; a null url has the empty host; markup that isn't closed ends
@@ -78,10 +78,13 @@ class _Open:
         self.holder = self if tag in _CONTAINERS else above.holder if above else None
 
 
-def _marked(kind: str, value: str) -> bool:
-    """Whether a class or id says boilerplate: as a whole name, or for a class beside words of layout only."""
+def _marked(kind: str, value: str, inside: bool) -> bool:
+    """Whether a class or id says boilerplate: as a whole name, or for a class beside words of layout only.
+
+    inside: whether it stands in an article, whose own header holds its title.
+    """
     for name in value.split():
-        words = _WORD.findall(name)
+        words = [w for w in _WORD.findall(name) if not (inside and w == "header")]
         if not _DROPPED_WORDS.isdisjoint(words) and (len(words) == 1 or (kind == "class" and all(w in _DROPPED_WORDS or w in _LAYOUT_WORDS for w in words))):
             return True
     return False
@@ -90,12 +93,12 @@ def _marked(kind: str, value: str) -> bool:
 def _step(tag: str, rest: str, inside: bool) -> tuple[str, bool]:
     """The generalised step of an opening tag, and whether it is boilerplate; inside: whether it lies in an article."""
     names: list[str] = []
-    dropped = tag in _DROPPED_TAGS
+    dropped = tag in _DROPPED_TAGS and not (inside and tag == "header")
     for kind, *values in _ATTRIBUTE.findall(rest) if rest else ():
         value, kind = "".join(values).lower(), kind.lower()
         if kind in ("class", "id"):
             if tag in _WRAPPERS and not (kind == "id" and tag == "section" and inside):
-                dropped = dropped or _marked(kind, value)
+                dropped = dropped or _marked(kind, value, inside)
             if kind == "class":
                 names = sorted({re.sub(r"\d+", "", x) for x in value.split()})
         elif kind == "role":

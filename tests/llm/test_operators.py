@@ -425,6 +425,11 @@ def test_content_is_not_dropped_by_name():
     assert extracted(page) == ["Title", "Related work", "seen", "shares", "on form", "12", "older", "item", "caption", "so x is drawn fallback"]
 
 
+def test_an_article_keeps_its_own_header():
+    page = "<header><p>site</p></header><div class='page-header'>logo</div><article><header><h1>Title</h1><p>lead</p></header><div class='entry-header'>by line</div><p>body of it</p><footer>tags</footer></article>"
+    assert extracted(page) == ["Title", "lead", "by line", "body of it"]
+
+
 def test_a_stray_vote_for_an_ancestor_does_not_count(spark):
     side = "<div class=side><p>unmarked sidebar</p></div>"
     rows = [(i, "http://h/", f"<html><body><div class=post><p>{text(i, 30)}</p></div>{side}</body></html>") for i in range(20)]
