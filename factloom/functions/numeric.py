@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from factloom.functions.text import strip
+from factloom.functions.text import bind, strip
 
 N_BUCKETS = 2048
 
@@ -94,11 +94,37 @@ def split_ids(ids: Column, part: Column) -> Column:
     return F.struct(F.slice(ids, F.lit(1), found).alias("before"), F.slice(ids, found + F.size(part) + 1, rest).alias("after"))
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """``digits`` decimals of a float below 2^52 / 10^digits, rounded as its exact binary value has it, ties to even.
+
+    The product with 10^digits is taken in two exact parts: those of the float's upper and lower bits.
+    """
+    scale = float(10**digits)
+    v = F.abs(x)
+
+    def rounded(parts: Column) -> Column:
+        high, low = parts["high"] * scale, parts["low"] * scale
+        guess = F.floor(high + low)
+        rest = (high - guess) + low
+        whole = F.when(rest < 0, guess - 1).when(rest >= 1, guess + 1).otherwise(guess)
+        # Taken from the half before the lower bits come in, so that these aren't lost.
+        beyond = ((high - whole) - 0.5) + low
+        return (whole + F.when((beyond > 0) | ((beyond == 0) & (whole % 2 == 1)), 1).otherwise(0)).cast("bigint")
+
+    def shown(n: Column) -> Column:
+        places = F.lpad((n % int(scale)).cast("string"), digits, "0")
+        sign = F.when((x < 0) | (x.cast("string") == "-0.0"), "-").otherwise("")
+        return F.concat(sign, F.floor(n / int(scale)).cast("string"), F.lit("."), places)
+
+    upper = v * 134217729.0 - (v * 134217729.0 - v)
+    return bind(F.struct(upper.alias("high"), (v - upper).alias("low")), lambda p: bind(rounded(p), shown))
+
+
 def percent(x: Column) -> Column:
-    """A rate as percent with one decimal; a dash for null."""
-    return F.when(x.isNotNull(), F.format_string("%.1f%%", x * 100)).otherwise("–")
+    """A rate as percent with one decimal; a dash for null or no number."""
+    return F.when(x.isNotNull() & ~F.isnan(x), F.concat(fixed(100 * x, 1), F.lit("%"))).otherwise("–")
 
 
 def fixed3(x: Column) -> Column:
-    """Three decimals; a dash for null."""
-    return F.when(x.isNotNull(), F.format_string("%.3f", x)).otherwise("–")
+    """Three decimals; a dash for null or no number."""
+    return F.when(x.isNotNull() & ~F.isnan(x), fixed(x, 3)).otherwise("–")

@@ -16,6 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.functions.numeric import fixed
 from factloom.operators import overlap, stats
 from factloom.sources.staging import staged
 
@@ -254,8 +255,8 @@ def item_report(records: DataFrame, outputs: DataFrame, examples: DataFrame, mos
     more = F.when(n_refs > 1, F.array(F.format_string("            (+%d more reference(s))", n_refs - 1))).otherwise(none)
     line = F.format_string("METRICS   : number-check: %d number(s), %d via derivation, %d unsupported", "n_numbers", "n_derived", F.size("unsupported"))
     unsupported = F.when(F.size("unsupported") > 0, F.concat(lit(" -> ["), F.array_join(F.transform("unsupported", lambda x: x.cast("string")), ", "), lit("]"))).otherwise("")
-    f1 = F.when(F.col("parent_f1").isNotNull(), F.format_string(" | PARENT F1: %.3f", "parent_f1")).otherwise("") if has("parent_f1") else lit("")
-    logprob = F.when(F.col("seq_logprob").isNotNull(), F.format_string(" | seq-logprob: %.3f", "seq_logprob")).otherwise("") if "seq_logprob" in rows.columns else lit("")
+    f1 = F.when(F.col("parent_f1").isNotNull(), F.concat(lit(" | PARENT F1: "), fixed(F.col("parent_f1"), 3))).otherwise("") if has("parent_f1") else lit("")
+    logprob = F.when(F.col("seq_logprob").isNotNull(), F.concat(lit(" | seq-logprob: "), fixed(F.col("seq_logprob"), 3))).otherwise("") if "seq_logprob" in rows.columns else lit("")
     relation = F.when(F.col("relations.n_claims") > 0, F.format_string(" | relations: %d/%d wrong", "relations.n_wrong", "relations.n_claims")).otherwise("")
     entailed = F.when(F.col("claims").isNotNull(), F.format_string(" | claims entailed: %d/%d", "claims.n_entailed", "claims.n_claims")).otherwise("") if has("claims") else lit("")
     wrong = F.transform(

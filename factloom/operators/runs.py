@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.numeric import fixed3, percent
+from factloom.functions.numeric import fixed, fixed3, percent
 
 
 def match_outputs(outputs: DataFrame, examples: DataFrame) -> tuple[DataFrame, int]:
@@ -58,12 +58,12 @@ def run_table(runs: DataFrame, metrics: DataFrame) -> DataFrame:
 
 def summary_csv(points: DataFrame) -> DataFrame:
     """Metrics by run, six decimals."""
-    return points.withColumn("shown", F.format_string("%.6f", "value")).groupBy("metric").pivot("run").agg(F.first("shown")).orderBy("metric")
+    return points.withColumn("shown", fixed(F.col("value"), 6)).groupBy("metric").pivot("run").agg(F.first("shown")).orderBy("metric")
 
 
 def summary_lines(ci: DataFrame) -> DataFrame:
     """Markdown rows ``| metric | run | point [lo, hi] |``."""
-    f = lambda c: F.format_string("%.4f", c)
+    f = lambda c: fixed(F.col(c), 4)
     return ci.select("metric", "run", F.concat(F.lit("| "), "metric", F.lit(" | "), "run", F.lit(" | "), f("point"), F.lit(" ["), f("lo"), F.lit(", "), f("hi"), F.lit("] |")).alias("line"))
 
 

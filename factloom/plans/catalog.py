@@ -434,3 +434,75 @@ def report_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _two_runs(spark, sf_dir).select("run", "id", "num_n_numbers", "num_n_unsupported")
     found = report.battery(items, ["A", "B"], n_boot=REPLICATES, weights=stats.lcg_weights(spark, items.select("id").distinct().count(), REPLICATES))
     return _rounded(report.panels(found), 6)
+
+
+@query
+def relations_item(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5: relational claims of each text."""
+    games = G.games(spark, sf_dir)
+    return relations.score_items(games.texts, _claims(games)).drop("wrong")
+
+
+@query
+def item_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of all texts as flat columns."""
+    games = G.games(spark, sf_dir)
+    found = numbers.score_items(games.texts, games.cells)
+    records = report.item_records(games.texts, found, relations.score_items(games.texts, _claims(games)), bleu=overlap.bleu_items(_pairs(games.texts)))
+    return report.flatten(staged(records, "records"))
+
+
+@query
+def positional_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Games with a wrong winner claim by side, and the teams that wrong claims name."""
+    games = G.games(spark, sf_dir)
+    return _rounded(relations.positional_report(games.texts, _claims(games), facts.team_facts(games.cells), n_boot=100).drop("lo", "hi"))
+
+
+@query
+def matched_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of even years matched to the examples of pairs below six."""
+    texts = G.game_texts(spark, sf_dir)
+    kept, missing = runs.match_outputs(texts.filter("yr % 2 = 0").select("id", "output"), texts.filter("pair < 6").select("id"))
+    return kept.select("id", F.length("output").alias("n_chars"), F.lit(missing).cast("long").alias("missing"))
+
+
+@query
+def uncertainty_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean log probability; every fifth text has none."""
+    rows = G.table(spark, sf_dir, "embeddings").select("vec_id", F.when(F.col("vec_id") % 5 > 0, F.get("embedding", F.lit(0)).cast("double")).alias("seq_logprob"))
+    return _rounded(runs.uncertainty(rows), 6)
+
+
+@query
+def shown_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates and means as shown, dashes for gaps."""
+    x = F.when(F.col("p_partkey") % 7 > 0, F.col("p_size") / 64)
+    return G.table(spark, sf_dir, "part").select("p_partkey", V.percent(x).alias("rate"), V.fixed3(x).alias("mean"))
+
+
+@query
+def id_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Id sequences around the first occurrence of a part."""
+    k = F.col("vec_id")
+    ids = F.transform(F.sequence(F.lit(0), F.lit(40)), lambda i: (i * (k % 7 + 1)) % 11)
+    part = F.slice(ids, F.pmod(k, F.lit(9)).cast("int") + 3, F.lit(2))
+    found = G.table(spark, sf_dir, "embeddings").select("vec_id", V.find_subsequence(ids, part).alias("at"), V.split_ids(ids, part).alias("s"))
+    return found.select("vec_id", "at", F.size("s.before").alias("n_before"), F.size("s.after").alias("n_after"), F.array_join(F.col("s.after"), ",").alias("after"))
+
+
+@query
+def collated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token rows padded per batch of ten."""
+    k = F.col("vec_id")
+    ids = lambda base, n: F.transform(F.sequence(F.lit(1), n), lambda i: (i + base).cast("int"))
+    rows = G.table(spark, sf_dir, "embeddings").select("vec_id", F.floor(k / 10).alias("batch"), ids(F.lit(100), k % 4 + 1).alias("prefix"), ids(F.lit(200), k % 3 + 1).alias("suffix"), ids(F.lit(300), k % 6 + 1).alias("ref"), ids(F.lit(400), k % 5 + 1).alias("table_ids"))
+    out = features.collate(rows, 3, 0)
+    return out.select("vec_id", *[F.array_join(c, ",").alias(c) for c in ("input_ids", "labels", "attention", "soft_pos")])
+
+
+@query
+def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON documents read and written again as one nested record each."""
+    e = G.table(spark, sf_dir, "events").select("event_id", "event_type", F.from_json("props", "k bigint").alias("p"))
+    return e.select("event_id", "p.k", F.to_json(F.struct(F.col("event_type").alias("type"), F.struct(F.col("p.k").alias("n")).alias("inner"))).alias("record"))

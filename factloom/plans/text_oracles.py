@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.plans.oracles import _DRAWS, _LETTERS, CELLS, GAMES, TEXTS, _numbers, _sentences, _tokens
+from factloom.plans.oracles import _DRAWS, _LETTERS, CELLS, GAMES, NUMBERS, TEXTS, _bleu_items, _numbers, _sentences, _tokens
 
 _WORDS = "regexp_extract_all(lower({}), '[a-z0-9]+')"
 
@@ -137,3 +137,23 @@ SQL["cell_kinds"] = """WITH r AS (SELECT event_id, event_id::VARCHAR AS n, event
   SELECT event_id, pos::INT AS pos, CASE WHEN pos = 8 THEN 0 WHEN num IS NULL THEN 2 ELSE 1 END AS kind, num, i AS is_int, t AS text FROM v"""
 SQL["report_panels"] = f"""WITH {_DRAWS} SELECT 'num_unsupported' AS metric, 'Unsupported numbers' AS label, p.run, round(any_value(100 * p.value), 6) AS point, round(100 * quantile_cont(d.value, 0.025), 6) AS lo, round(100 * quantile_cont(d.value, 0.975), 6) AS hi, false AS higher_better
   FROM pts p JOIN draws d USING (run, metric) WHERE metric = 'num_unsupported' GROUP BY p.run"""
+
+SQL["relations_item"] = f"WITH {CLAIMS} SELECT t.id, count(c.id) AS n_claims, count(*) FILTER (NOT correct) AS n_wrong FROM texts t LEFT JOIN claims c ON t.id = c.id GROUP BY t.id"
+SQL["item_metrics"] = f"""WITH {NUMBERS}{CLAIMS.removeprefix(TEXTS)}, {_bleu_items('output', 'reference')}, rel AS (SELECT t.id, count(c.id) AS n, count(*) FILTER (NOT correct) AS w FROM texts t LEFT JOIN claims c ON t.id = c.id GROUP BY t.id)
+  SELECT i.id, n_numbers AS num_n_numbers, n_unsupported AS num_n_unsupported, rel.n AS rel_n_claims, rel.w AS rel_n_wrong, bleu.* EXCLUDE (id) FROM items i JOIN rel USING (id) JOIN bleu USING (id)"""
+SQL["positional_counts"] = f"""WITH {CLAIMS}, bad AS (SELECT id, list(claimed) AS named FROM claims WHERE type = 'winner' AND NOT correct GROUP BY id),
+  g AS (SELECT t.id, winner = team0 AS first_won, named IS NOT NULL AS err, len(list_filter(named, lambda x: contains(x, team0) AND NOT contains(x, team1))) AS f, len(list_filter(named, lambda x: contains(x, team1) AND NOT contains(x, team0))) AS s
+    FROM texts t JOIN facts ON t.id = ex_id LEFT JOIN bad ON bad.id = t.id WHERE NOT tie),
+  c AS (SELECT count(*) FILTER (first_won) AS n_first, count(*) FILTER (NOT first_won) AS n_second, count(*) FILTER (first_won AND err) AS err_first, count(*) FILTER (NOT first_won AND err) AS err_second, coalesce(sum(f), 0)::BIGINT AS named_first, coalesce(sum(s), 0)::BIGINT AS named_second FROM g)
+  SELECT *, round(err_first / n_first, 9) AS rate_first, round(err_second / n_second, 9) AS rate_second, round(err_first / n_first - err_second / n_second, 9) AS diff FROM c"""
+SQL["matched_outputs"] = f"WITH {TEXTS} SELECT id, length(output)::INT AS n_chars, (SELECT count(*) FROM texts WHERE yr % 2 = 0 AND pair >= 6) AS missing FROM texts WHERE yr % 2 = 0 AND pair < 6"
+SQL["uncertainty_run"] = "SELECT round(avg(embedding[1]::DOUBLE), 6) AS mean_seq_logprob, count(*) AS n_with_logprob FROM embeddings WHERE vec_id % 5 > 0"
+SQL["shown_values"] = "SELECT p_partkey, CASE WHEN p_partkey % 7 > 0 THEN format('{:.1f}%', 100 * p_size / 64) ELSE '–' END AS rate, CASE WHEN p_partkey % 7 > 0 THEN format('{:.3f}', p_size / 64) ELSE '–' END AS mean FROM part"
+SQL["id_splits"] = """WITH r AS (SELECT vec_id, list_transform(range(41), lambda i: (i * (vec_id % 7 + 1)) % 11) AS ids FROM embeddings), p AS (SELECT *, ids[vec_id % 9 + 3:vec_id % 9 + 4] AS part FROM r),
+  f AS (SELECT vec_id, ids, list_min(list_filter(range(40), lambda i: ids[i + 1:i + 2] = part)) AS spot FROM p)
+  SELECT vec_id, spot::INT AS "at", spot::INT AS n_before, (39 - spot)::INT AS n_after, array_to_string(ids[spot + 3:], ',') AS after FROM f"""
+SQL["collated_rows"] = """WITH r AS (SELECT vec_id, vec_id // 10 AS batch, list_transform(range(1, vec_id % 4 + 2), lambda i: i + 100) AS p, list_transform(range(1, vec_id % 3 + 2), lambda i: i + 200) AS s, list_transform(range(1, vec_id % 6 + 2), lambda i: i + 300) AS r, list_transform(range(1, vec_id % 5 + 2), lambda i: i + 400) AS t FROM embeddings),
+  j AS (SELECT *, p || [0, 0, 0] || t || s || r AS ids, len(p) + 3 + len(t) + len(s) AS given FROM r), w AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch) - len(ids) AS pad FROM j)
+  SELECT vec_id, array_to_string(ids || list_transform(range(pad), lambda i: 0), ',') AS input_ids, array_to_string(list_transform(range(given), lambda i: -100) || r || list_transform(range(pad), lambda i: -100), ',') AS labels,
+    array_to_string(list_transform(range(len(ids)), lambda i: 1) || list_transform(range(pad), lambda i: 0), ',') AS attention, array_to_string([len(p), len(p) + 1, len(p) + 2], ',') AS soft_pos FROM w"""
+SQL["json_props"] = """SELECT event_id, (props->>'$.k')::BIGINT AS k, '{"type":"' || event_type || '","inner":{"n":' || (props->>'$.k') || '}}' AS record FROM events"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pytest
 
 from factloom.functions import numeric as V
@@ -223,3 +224,14 @@ def test_features(spark, cells):
     got = features.collate(rows, 2, 0).collect()
     assert got[0].input_ids == [1, 0, 0, 8, 2, 3, 4] and got[0].labels == [-100] * 5 + [3, 4] and got[1].attention == [1] * 6 + [0] and got[0].soft_pos == [1, 2]
     assert one(spark, lambda x: features.training_refs(x, 2, 3), [7, 7, 7, 7], "array<int>") == [7, 7, 7] and one(spark, lambda x: features.training_refs(x, 2, 3), [7], "array<int>") == [7, 2]
+
+
+def test_decimals_round_as_the_binary_value_does(spark):
+    from factloom.functions.numeric import fixed, percent
+
+    rng = np.random.default_rng(8)
+    values = [0.0625, 6.25, 0.295, 0.285, 2.675, 0.0005, 0.0015, -0.0005, 1e-9, 0.0, 12345.6785, 0.5, 999.9995, *rng.uniform(-50, 50, 300).tolist(), *(rng.integers(0, 20_000, 300) / 2000).tolist()]
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    got = df.select(*[fixed(F.col("v"), d).alias(f"d{d}") for d in (1, 3, 6)], percent(F.col("v")).alias("p")).collect()
+    for v, r in zip(values, got, strict=True):
+        assert tuple(r) == (f"{v:.1f}", f"{v:.3f}", f"{v:.6f}", f"{100 * v:.1f}%"), v
