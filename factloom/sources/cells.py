@@ -17,12 +17,20 @@ TABLE = f"array<struct<name:string,columns:array<string>,rows:array<array<{CELL}
 COLUMNS = ("ex_id", "sec_idx", "sec_name", "row_idx", "col_idx", "col_name", "is_key", "entity", "kind", "num", "is_int", "str", "text", "n_sec_rows")
 
 
+def _text(kind, num, is_int, str_):
+    return F.when(kind == 1, number_text(num, is_int, str_)).when(kind == 2, str_)
+
+
 def finish(raw: DataFrame) -> DataFrame:
-    """Add text, entity and n_sec_rows to (ex_id, sec_idx, sec_name, row_idx, col_idx, col_name, is_key, kind, num, is_int, str)."""
-    out = raw.withColumn("text", F.when(F.col("kind") == 1, number_text(F.col("num"), F.col("is_int"), F.col("str"))).when(F.col("kind") == 2, F.col("str")))
-    section = Window.partitionBy("ex_id", "sec_idx")
-    out = out.withColumn("entity", F.max(F.when(F.col("is_key"), F.coalesce("text", F.lit("None")))).over(Window.partitionBy("ex_id", "sec_idx", "row_idx")))
-    out = out.withColumn("n_sec_rows", (F.max("row_idx").over(section) + 1).cast("int"))
+    """Add text, entity and n_sec_rows to (ex_id, sec_idx, sec_name, row_idx, col_idx, col_name, is_key, kind, num, is_int, str).
+
+    Entity and n_sec_rows are taken as they are where the source knows them; else they follow from the section's cells.
+    """
+    out = raw.withColumn("text", _text(*map(F.col, ("kind", "num", "is_int", "str"))))
+    if "n_sec_rows" not in raw.columns:
+        out = out.withColumn("n_sec_rows", (F.max("row_idx").over(Window.partitionBy("ex_id", "sec_idx")) + 1).cast("int"))
+    if "entity" not in raw.columns:
+        out = out.withColumn("entity", F.max(F.when(F.col("is_key"), F.coalesce("text", F.lit("None")))).over(Window.partitionBy("ex_id", "sec_idx", "row_idx")))
     return out.select(*COLUMNS)
 
 
@@ -34,14 +42,20 @@ def from_nested(tables: DataFrame, id: str = "id", table: str = "table") -> Data
     cells = F.when(ok, F.arrays_zip(F.col("sec.columns").alias("name"), F.col("row").alias("cell"))).otherwise(
         F.raise_error(F.concat(F.lit("row width differs from the columns of section "), F.col("sec.name"))).cast(f"array<struct<name:string,cell:{CELL}>>")
     )
-    out = rows.select("ex_id", "sec_idx", F.col("sec.name").alias("sec_name"), "row_idx", F.col("sec.key_column").alias("k"), F.posexplode(cells).alias("col_idx", "c"))
-    return finish(out.select("ex_id", "sec_idx", "sec_name", "row_idx", "col_idx", F.col("c.name").alias("col_name"), (F.col("col_idx") == F.col("k")).alias("is_key"), "c.cell.*"))
+    key = F.get("row", F.col("sec.key_column"))
+    entity = F.when(key.isNotNull(), F.coalesce(_text(key["kind"], key["num"], key["is_int"], key["str"]), F.lit("None")))
+    out = rows.select("ex_id", "sec_idx", F.col("sec.name").alias("sec_name"), "row_idx", F.col("sec.key_column").alias("k"), entity.alias("entity"), F.size("sec.rows").alias("n_sec_rows"), F.posexplode(cells).alias("col_idx", "c"))
+    return finish(out.select("ex_id", "sec_idx", "sec_name", "row_idx", "col_idx", F.col("c.name").alias("col_name"), (F.col("col_idx") == F.col("k")).alias("is_key"), "entity", "n_sec_rows", "c.cell.*"))
+
 
+def melt(rows: DataFrame, id: str, row_idx: str, section: str, sec_idx: int, columns: dict[str, str], key: str, n_rows: str | None = None) -> DataFrame:
+    """Raw cells of a wide DataFrame: one section row per row. columns: cell column name to DataFrame column.
 
-def melt(rows: DataFrame, id: str, row_idx: str, section: str, sec_idx: int, columns: dict[str, str], key: str) -> DataFrame:
-    """Raw cells of a wide DataFrame: one section row per row. columns: cell column name to DataFrame column."""
+    n_rows: a column that holds how many rows the section has, where there is one.
+    """
     entries = []
     kinds = dict(rows.dtypes)
+    whole = lambda c: kinds[c] in ("int", "bigint", "smallint", "tinyint")
     for k, (name, c) in enumerate(columns.items()):
         numeric = kinds[c] != "string"
         value = F.col(c)
@@ -49,11 +63,14 @@ def melt(rows: DataFrame, id: str, row_idx: str, section: str, sec_idx: int, col
             F.struct(
                 F.lit(k).alias("col_idx"), F.lit(name).alias("col_name"), F.lit(name == key).alias("is_key"),
                 F.when(value.isNull(), 0).otherwise(1 if numeric else 2).alias("kind"), (value.cast("double") if numeric else F.lit(None).cast("double")).alias("num"),
-                (value.isNotNull() & F.lit(kinds[c] in ("int", "bigint", "smallint", "tinyint"))).alias("is_int"), (F.lit(None).cast("string") if numeric else value).alias("str"),
+                (value.isNotNull() & F.lit(whole(c))).alias("is_int"), (F.lit(None).cast("string") if numeric else value).alias("str"),
             )
         )
-    out = rows.select(F.col(id).alias("ex_id"), F.lit(sec_idx).alias("sec_idx"), F.lit(section).alias("sec_name"), F.col(row_idx).cast("int").alias("row_idx"), F.explode(F.array(*entries)).alias("c"))
-    return out.select("ex_id", "sec_idx", "sec_name", "row_idx", "c.*")
+    name = columns[key]
+    entity = F.col(name) if kinds[name] == "string" else number_text(F.col(name).cast("double"), F.lit(whole(name)))
+    known = [F.coalesce(entity, F.lit("None")).alias("entity")] + ([F.col(n_rows).cast("int").alias("n_sec_rows")] if n_rows else [])
+    out = rows.select(F.col(id).alias("ex_id"), F.lit(sec_idx).alias("sec_idx"), F.lit(section).alias("sec_name"), F.col(row_idx).cast("int").alias("row_idx"), *known, F.explode(F.array(*entries)).alias("c"))
+    return out.select(*[c for c in out.columns if c != "c"], "c.*")
 
 
 def from_strings(raw: DataFrame) -> DataFrame:

@@ -47,7 +47,8 @@ def players(spark: SparkSession, sf_dir: str) -> DataFrame:
     who = table(spark, sf_dir, "supplier").join(home, F.col("s_nationkey") == F.col("nation")).select(key, name.alias("player"), "nation", "pair", "side", "city", "nick", F.concat_ws(" ", "city", "nick").alias("team"))
     out = stats.join(who, F.col("l_suppkey") == F.col("s_suppkey")).withColumn("ex_id", F.concat_ws("-", F.lit("game"), "pair", "yr"))
     order = Window.partitionBy("ex_id").orderBy("side", "s_suppkey")
-    return out.withColumn("row_idx", F.row_number().over(order) - 1).drop("l_suppkey")
+    # Both are over the game's partition, so the counts take one shuffle.
+    return out.withColumn("row_idx", F.row_number().over(order) - 1).withColumn("n_rows", F.count(F.lit(1)).over(Window.partitionBy("ex_id"))).drop("l_suppkey")
 
 
 def teams(players_: DataFrame) -> DataFrame:
@@ -58,7 +59,7 @@ def teams(players_: DataFrame) -> DataFrame:
     both = F.count(F.lit(1)).over(game) == 2
     out = sums.withColumn("won", (both & (F.col("pts") > other)).cast("int")).withColumn("lost", (both & (F.col("pts") < other)).cast("int"))
     out = out.withColumn("wins", F.sum("won").over(so_far)).withColumn("losses", F.sum("lost").over(so_far))
-    return out.withColumn("row_idx", F.row_number().over(game.orderBy("side")) - 1)
+    return out.withColumn("row_idx", F.row_number().over(game.orderBy("side")) - 1).withColumn("n_rows", F.count(F.lit(1)).over(game))
 
 
 class Games(NamedTuple):
@@ -76,7 +77,7 @@ def games(spark: SparkSession, sf_dir: str) -> Games:
 
 def cells_of(players_: DataFrame) -> DataFrame:
     t = teams(players_)
-    return finish(melt(t, "ex_id", "row_idx", "teams", 0, TEAM_COLUMNS, "TEAM").unionByName(melt(players_, "ex_id", "row_idx", "players", 1, PLAYER_COLUMNS, "PLAYER_NAME")))
+    return finish(melt(t, "ex_id", "row_idx", "teams", 0, TEAM_COLUMNS, "TEAM", "n_rows").unionByName(melt(players_, "ex_id", "row_idx", "players", 1, PLAYER_COLUMNS, "PLAYER_NAME", "n_rows")))
 
 
 def game_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,8 +106,8 @@ def raw_games(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def part_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of one single-row table per part."""
-    parts = table(spark, sf_dir, "part").select(F.concat(F.lit("part-"), F.col("p_partkey")).alias("ex_id"), F.lit(0).alias("row_idx"), *PART_COLUMNS.values())
-    return finish(melt(parts, "ex_id", "row_idx", "part", 0, PART_COLUMNS, "name"))
+    parts = table(spark, sf_dir, "part").select(F.concat(F.lit("part-"), F.col("p_partkey")).alias("ex_id"), F.lit(0).alias("row_idx"), F.lit(1).alias("n_rows"), *PART_COLUMNS.values())
+    return finish(melt(parts, "ex_id", "row_idx", "part", 0, PART_COLUMNS, "name", "n_rows"))
 
 
 def part_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
