@@ -13,8 +13,8 @@ fingerprints.
 
 Defined results: null texts have no words; an item without words has no window; repeated items and ids count once per
 id, and a null item_id counts as the empty string; repeated documents keep a row each; a document without hits has no
-items; a document without words is clean; an empty benchmark leaves all documents clean; other columns pass through
-``remove_contaminated`` untouched.
+items; a document without words is clean; an empty benchmark leaves all documents clean; a text of any length is searched
+whole; other columns pass through ``remove_contaminated`` untouched.
 """
 
 from __future__ import annotations

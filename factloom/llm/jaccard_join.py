@@ -13,7 +13,8 @@
 Words are runs of letters and digits (and all non-ASCII), A-Z as a-z. Defined results: a document of fewer words than
 an n-gram has its whole sequence as its one n-gram; one without words (null, empty) links to nothing and is a class of
 its own; repeated ids and rows keep a row each; a null id takes part and sorts as the largest when a class is named;
-an empty table gives an empty result; ``keep_one`` passes all columns through untouched.
+an empty table gives an empty result; a text of any length is compared by its whole set; ``keep_one`` passes all columns
+through untouched.
 """
 
 from __future__ import annotations

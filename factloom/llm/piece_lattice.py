@@ -12,7 +12,8 @@ equi-joined to the piece table (a vocabulary, so bounded; broadcast). The edges
 Units of more than ``unitmap.LONG_UNIT`` characters are resolved alone, by the same rules, with a heap or a table of
 positions: a fold over their edges would take the square of their length. Characters without a piece become their
 UTF-8 bytes. Defined results: null and empty texts have no ids; repeated ids
-keep a row each; a null id stays null; an empty table gives an empty result; decoding gives back the text exactly.
+keep a row each; a null id stays null; an empty table gives an empty result; texts are whole whatever their length; other
+columns are not looked at; decoding gives back the text exactly.
 """
 
 from __future__ import annotations

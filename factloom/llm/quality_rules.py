@@ -11,8 +11,8 @@ the larger group, whatever the group's size. A source may be laxer than its lang
 that is junk throughout is judged by its language.
 
 Defined results: a null text has no words and fails the base rule; null ``lang`` or ``source`` is a group like any
-other; equal rows are judged alike; an empty table gives an empty result; other columns pass through untouched,
-those named like a measure included.
+other; equal rows are judged alike; an empty table gives an empty result; texts are measured whole whatever their length;
+other columns pass through untouched, those named like a measure included.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ is that of its last node; a document's count is the sum over its units.
 
 A piece scores what its model file says; a character without a piece costs its UTF-8 bytes as tokens and scores 10 less
 than the worst piece. Ties go to fewer tokens. Defined results: null and empty texts have no tokens; repeated ids keep
-a row each; an empty table gives an empty result; other columns are not looked at.
+a row each; an empty table gives an empty result; texts are whole whatever their length; other columns are not looked
+at.
 """
 
 from __future__ import annotations

@@ -11,8 +11,8 @@ the index of documents is staged, so a lost executor costs a repeated task only.
 running sum over one row per shard.
 
 Defined results: a null text counts as empty and gives the end id alone; a null id sorts first; repeated ids keep a
-row each; an empty table writes no shard and gives an empty result; other columns are not looked at; ids of the
-index are 64-bit integers.
+row each; an empty table writes no shard and gives an empty result; a text of any length is one document, over as many
+sequences as it takes; other columns are not looked at; ids of the index are 64-bit integers.
 """
 
 from __future__ import annotations
