@@ -309,6 +309,25 @@ def test_language_model_of_other_texts(spark):
     assert all(r.score < 0 for r in got.values())
 
 
+def test_longer_contexts_help_on_held_out_documents(spark):
+    """Texts in which each word follows from the one before nine times out of ten."""
+    rng = np.random.default_rng(17)
+    names = [a + b for a in WORDS for b in WORDS[:5]]
+    after = rng.permutation(len(names))
+    rows = []
+    for i in range(150):
+        w = [int(rng.integers(len(names)))]
+        for _ in range(80):
+            w.append(int(after[w[-1]]) if rng.random() < 0.9 else int(rng.integers(len(names))))
+        rows.append((i, " ".join(names[k] for k in w)))
+    scored = ngram_lm.train_and_score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for held in (True, False):
+        mine = [r for r in scored if r.held_out == held]
+        assert mine and sum(r.score for r in mine) > 0.6 * sum(r.base_score for r in mine)
+    per_token = lambda held: sum(r.score for r in scored if r.held_out == held) / sum(r.n_tokens for r in scored if r.held_out == held)
+    assert per_token(False) > per_token(True) > -1.2
+
+
 def test_quality_rules(spark, docs):
     got = rows_of(quality_rules.quality_report(docs).drop("kept"))
     want = []
