@@ -75,6 +75,11 @@ def drop_staged(*tables: DataFrame) -> None:
         path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def partitions(spark: SparkSession) -> int:
+    """Partitions of a shuffle whose rows take long for their few bytes, so that they aren't merged by their size."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def bounded(df: DataFrame, row_bytes: int) -> DataFrame:
     """A staged table with a broadcast hint if its counted rows are within the bound."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df

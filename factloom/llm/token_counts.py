@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.common import partitions
 from factloom.llm.unitmap import Pieces, load_pieces, located, resolve, row_values
 
 UNKNOWN_PENALTY = 10.0
@@ -73,7 +74,7 @@ def unit_counts(units: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["unit", "ids"])
 
     # Ranges keep neighbours together, however many partitions there are.
-    return units.repartitionByRange("unit").sortWithinPartitions("unit").mapInArrow(walk, "unit string, ids array<int>")
+    return units.repartitionByRange(partitions(units.sparkSession), "unit").sortWithinPartitions("unit").mapInArrow(walk, "unit string, ids array<int>")
 
 
 def count_tokens(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -> DataFrame:

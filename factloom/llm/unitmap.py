@@ -21,7 +21,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import cleaning, doc_chunks, drop_staged, read_bytes, shared_dir, stage, string_bytes, trimmed, write_bytes
+from factloom.llm.common import cleaning, doc_chunks, drop_staged, partitions, read_bytes, shared_dir, stage, string_bytes, trimmed, write_bytes
 from factloom.llm.wordhash import mix
 
 BLOCK_ROWS = 1 << 14
@@ -178,7 +178,8 @@ def resolve(placed: DataFrame, path: str, answer: Callable[[DataFrame], DataFram
     """
     folder = shared_dir(placed.sparkSession, "dictionaries")
     pairs = stage(block_units(placed, path), "units", "zstd")
-    answered = answer(pairs.select("unit").distinct())
+    # A unit stands once in a block, so few would be merged before the shuffle.
+    answered = answer(pairs.select("unit").repartition(partitions(placed.sparkSession), "unit").distinct())
     given = pairs.join(answered, "unit").select("block", "unit", "ids")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
