@@ -10,23 +10,22 @@ from factloom.llm import url_cascade as U
 _SPACE = r"[^\x20\x09-\x0D]"
 
 
-def _fence(alias: str, keys: str) -> str:
-    cols = []
-    for r, (least, both) in Q.RATIOS.items():
-        low, mid, high = (f"quantile_disc({r}, {p})" for p in (0.25, 0.5, 0.75))
-        reach = f"greatest({Q.REACH} * least({high} - {mid}, {mid} - {low}), {least})"
-        cols += [f"{mid} + {reach} AS high_{r}"] + [f"{mid} - {reach} AS low_{r}"] * both
+def _spread(alias: str, keys: str) -> str:
+    cols = [f"quantile_disc({r}::DOUBLE, 0.5) AS mid_{r}" for r in (*Q.RATIOS, *Q.SIZES)]
+    cols += [f"least(quantile_disc({r}, 0.75) - quantile_disc({r}, 0.5), quantile_disc({r}, 0.5) - quantile_disc({r}, 0.25)) AS half_{r}" for r in Q.RATIOS]
     return f"{alias} AS (SELECT {keys + ', ' if keys else ''}count(*) AS n, {', '.join(cols)} FROM measured WHERE NOT base_failed {'GROUP BY ' + keys if keys else ''})"
 
 
 def quality_ctes(table: str = "documents") -> str:
     """CTEs that end in ``judged``: every measure and verdict of each row."""
-    blend = lambda g, c, larger: f"coalesce(({g}.n * {g}.{c} + {Q.PRIOR} * {larger}) / ({g}.n + {Q.PRIOR}), {larger})"
+    fields = [f"mid_{r}" for r in (*Q.RATIOS, *Q.SIZES)] + [f"half_{r}" for r in Q.RATIOS]
+    blend = lambda g, n, larger: ", ".join(f"coalesce(({n} * {g}.{c} + {Q.PRIOR} * {larger}{c}) / ({n} + {Q.PRIOR}), {larger}{c})" + f" AS {'l' if larger == 'e.' else 'o'}_{c}" for c in fields)
     bad = []
-    for r, (least, both) in Q.RATIOS.items():
-        for side, sign, inner, beyond in (("high", "+", "least", ">"), *([("low", "-", "greatest", "<")] if both else [])):
-            larger = blend("l", f"{side}_{r}", f"e.{side}_{r}")
-            bad.append(f"coalesce(coalesce(m.{r}, 0) {beyond} {inner}({blend('o', f'{side}_{r}', larger)}, {larger} {sign} {least}), false)")
+    for r, (size, weight, laxest, both) in Q.RATIOS.items():
+        mine = f"greatest({size}, 1)::DOUBLE"
+        width = {g: f"({Q.REACH} * {g}_half_{r} * greatest(1, sqrt({g}_mid_{size} / {mine})) + {Q.EVENTS * weight} / least({g}_mid_{size}, {mine}))" for g in "ol"}
+        for sign, inner, beyond in (("+", "least", ">"), *([("-", "greatest", "<")] if both else [])):
+            bad.append(f"coalesce(coalesce({r}, 0) {beyond} {inner}(o_mid_{r} {sign} {width['o']}, l_mid_{r} {sign} greatest({width['l']}, {laxest})), false)")
     return f"""
 split AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_SPACE}+') AS w,
   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_SPACE}')) AS lines FROM {table}),
@@ -39,10 +38,10 @@ counted AS (SELECT s.doc_id, lang, source, len(w) AS n_words, coalesce(list_sum(
 measured AS (SELECT *, n_symbols / nullif(word_chars, 0) AS symbol_ratio, n_dup_lines / nullif(n_lines, 0) AS dup_line_ratio,
   n_repeat_words / nullif(n_words, 0) AS repeat_ratio, word_chars / nullif(n_words, 0) AS word_length,
   (n_words < {Q.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM counted),
-{_fence("f_own", "lang, source")}, {_fence("f_lang", "lang")}, {_fence("f_all", "")},
-judged AS (SELECT m.*, NOT (m.base_failed OR {' OR '.join(bad)}) AS kept FROM measured m
-  LEFT JOIN f_own o ON m.lang IS NOT DISTINCT FROM o.lang AND m.source IS NOT DISTINCT FROM o.source
-  LEFT JOIN f_lang l ON m.lang IS NOT DISTINCT FROM l.lang LEFT JOIN f_all e ON true)"""
+{_spread("s_own", "lang, source")}, {_spread("s_lang", "lang")}, {_spread("s_all", "")},
+larger AS (SELECT m.*, {blend("l", "l.n", "e.")} FROM measured m LEFT JOIN s_lang l ON m.lang IS NOT DISTINCT FROM l.lang LEFT JOIN s_all e ON true),
+own AS (SELECT m.*, {blend("o", "o.n", "l_")} FROM larger m LEFT JOIN s_own o ON m.lang IS NOT DISTINCT FROM o.lang AND m.source IS NOT DISTINCT FROM o.source),
+judged AS (SELECT *, NOT (base_failed OR {' OR '.join(bad)}) AS kept FROM own)"""
 
 
 _OP9 = f"WITH {quality_ctes()} SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged"

@@ -1,18 +1,21 @@
 """Quality rules whose thresholds come from mergeable quantile sketches per language and source.
 
 Everything here is DataFrame expressions. A text is measured once, into a staged table; KLL sketches of four
-ratios are built per (lang, source) with partial aggregation, merged per language and over all, and read at the
-quartiles. A fence stands ``REACH`` times the narrower half of the quartile range beyond the median, or a stated distance
-if that is more. Junk on one side moves neither the median nor the other side's quartile far, so a share of it well
-below a half can't push the fence beyond itself.
+ratios and of the sizes that they are shares of are built per (lang, source) with partial aggregation, merged per language
+and over all, and read at the quartiles. No distance is given in advance: a document's fence stands beyond the median by
+``REACH`` times the narrower half of the quartile range, wider by the root for a text smaller than the median one (a mean
+over fewer words strays farther), and by what ``EVENTS`` symbols or repeated lines make in it or in the median text,
+whichever is smaller, so that a group whose texts hold none has a width too. Junk on one side moves neither the median nor
+the other side's quartile far, so a share of it well below a half can't push the fence beyond itself.
 
-Fences of a group are blended with those of its language, and a language's with those of all rows: ``PRIOR`` rows count for
-the larger group, whatever the group's size. A source may be laxer than its language by the stated distance at most, so one
-that is junk throughout is judged by its language.
+Medians, halves and sizes of a group are blended with those of its language, and a language's with those of all rows:
+``PRIOR`` rows count for the larger group, whatever the group's size. A source may be laxer than its language up to a stated
+distance from the language's median, so one that is junk throughout is judged by its language.
 
 Defined results: a null text has no words and fails the base rule; null ``lang`` or ``source`` is a group like any
-other; equal rows are judged alike; an empty table gives an empty result; texts are measured whole whatever their length;
-other columns pass through untouched, those named like a measure included.
+other; equal rows are judged alike; where no row passes the base rule (an empty table, too) there is nothing to learn and the
+base rule alone decides; texts are measured whole whatever their length; other columns pass through untouched, those named
+like a measure included.
 """
 
 from __future__ import annotations
@@ -27,15 +30,20 @@ MIN_WORDS = 50
 PRIOR = 100
 #: Entries of a sketch; up to about this many values it is exact.
 SKETCH_K = 4096
-REACH = 5.0
-#: Ratio, the least distance of its fence from the median (and the most that a source's fence may lie beyond its
-#: language's), and whether low values are fenced too.
+#: Halves of the quartile range from median to fence; nine are six standard deviations of a normal spread.
+REACH = 9.0
+#: So few symbols or repeated lines tell nothing: with none in n trials, the rate is below 3 / n in 95 of 100 cases.
+EVENTS = 3.0
+#: Ratio, the size that it is a share (or mean) of, what one event adds in units of one through that size (a line found
+#: twice counts twice among repeated words), how far a source's fence may lie from its language's median where that is
+#: more than the language's own fence, and whether low values are fenced too.
 RATIOS = {
-    "symbol_ratio": (0.1, False),
-    "dup_line_ratio": (0.5, False),
-    "repeat_ratio": (0.3, False),
-    "word_length": (3.0, True),
+    "symbol_ratio": ("word_chars", 1, 0.2, False),
+    "dup_line_ratio": ("n_lines", 1, 1.0, False),
+    "repeat_ratio": ("n_lines", 2, 0.6, False),
+    "word_length": ("n_words", 0, 6.0, True),
 }
+SIZES = ("word_chars", "n_lines", "n_words")
 #: Thresholds for so many groups at most are broadcast.
 BROADCAST_GROUPS = 100_000
 _SPACE = r"[\x20\x09-\x0D]"
@@ -109,7 +117,7 @@ def measure(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     out = out.select(
         "_q_row", "_q_lang", "_q_source",
         n.alias("_q_n_words"), c.alias("_q_word_chars"), F.col("m.n_symbols").alias("_q_n_symbols"),
-        F.col("m.lines.d").cast("long").alias("_q_n_dup_lines"), F.col("m.n_repeat_words").alias("_q_n_repeat_words"),
+        F.col("m.lines.n").cast("long").alias("_q_n_lines"), F.col("m.lines.d").cast("long").alias("_q_n_dup_lines"), F.col("m.n_repeat_words").alias("_q_n_repeat_words"),
         F.try_divide(F.col("m.n_symbols"), c).alias("_q_symbol_ratio"),
         F.try_divide(F.col("m.lines.d"), F.col("m.lines.n")).alias("_q_dup_line_ratio"),
         F.try_divide(F.col("m.n_repeat_words"), n).alias("_q_repeat_ratio"),
@@ -119,59 +127,62 @@ def measure(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     return stage(out, "quality", "zstd")
 
 
-def fences(measured: DataFrame, prior: int = PRIOR) -> DataFrame:
-    """One row per (lang, source) with the lower and upper fence of each ratio.
+def spreads(measured: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """One row per (lang, source): ``own`` and ``larger`` with the median and the narrower half of each ratio's quartile
+    range and the median of each size; ``own`` is blended with ``larger``, which is the language blended with all rows.
 
-    Only rows that pass the base rule are learned from, so that junk doesn't widen the fences.
+    Only rows that pass the base rule are learned from, so that junk doesn't widen the fences; both are null where none does.
     """
-    names = list(RATIOS)
+    names = [*RATIOS, *SIZES]
     by_group = measured.filter("NOT _q_base_failed").groupBy("_q_lang", "_q_source").agg(
-        F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(f"_q_{r}", F.lit(SKETCH_K)).alias(r) for r in names]
+        F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(F.col(f"_q_{r}").cast("double"), F.lit(SKETCH_K)).alias(r) for r in names]
     )
     by_group = stage(by_group, "sketches")
+    # Grouped by a constant rather than by nothing: without rows there is then no sketch to read.
     merged = lambda *keys: by_group.groupBy(*keys).agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(r, F.lit(SKETCH_K)).alias(r) for r in names])
 
     def read(df: DataFrame, tag: str, *keys: str) -> DataFrame:
-        bounds = []
-        for r in names:
-            least, both = RATIOS[r]
-            low, mid, high = (F.kll_sketch_get_quantile_double(F.col(r), F.lit(rank)) for rank in (0.25, 0.5, 0.75))
-            reach = F.greatest(REACH * F.least(high - mid, mid - low), F.lit(least))
-            bounds.append((mid + reach).alias(f"high_{r}"))
-            if both:
-                bounds.append((mid - reach).alias(f"low_{r}"))
-        return df.select(*[F.col(k).alias(f"{tag}{k}") for k in keys], F.struct(F.col("n").alias("n"), *bounds).alias(tag))
-
-    def blended(group: str, bound: str, larger: Column) -> Column:
-        n = F.col(f"{group}.n")
-        return F.coalesce((n * F.col(f"{group}.{bound}") + prior * larger) / (n + prior), larger)
+        at = lambda r, rank: F.kll_sketch_get_quantile_double(F.col(r), F.lit(rank))
+        found = [at(r, 0.5).alias(f"mid_{r}") for r in names]
+        found += [F.least(at(r, 0.75) - at(r, 0.5), at(r, 0.5) - at(r, 0.25)).alias(f"half_{r}") for r in RATIOS]
+        return df.select(*[F.col(k).alias(f"{tag}{k}") for k in keys], F.struct(F.col("n").alias("n"), *found).alias(tag))
+
+    def blended(group: str, larger: str) -> Column:
+        n, fields = F.col(f"{group}.n"), [f"mid_{r}" for r in names] + [f"half_{r}" for r in RATIOS]
+        each = [F.coalesce((n * F.col(f"{group}.{f}") + prior * F.col(f"{larger}.{f}")) / (n + prior), F.col(f"{larger}.{f}")).alias(f) for f in fields]
+        return F.struct(*each)
 
     groups = measured.select("_q_lang", "_q_source").distinct()
-    own, lang, every = read(by_group, "own", "_q_lang", "_q_source"), read(merged("_q_lang"), "lang", "_q_lang"), read(merged(), "every")
+    own, lang, every = read(by_group, "own", "_q_lang", "_q_source"), read(merged("_q_lang"), "lang", "_q_lang"), read(merged(F.lit(True)), "every")
     out = groups.join(own, F.col("_q_lang").eqNullSafe(F.col("own_q_lang")) & F.col("_q_source").eqNullSafe(F.col("own_q_source")), "left")
     out = out.join(lang, F.col("_q_lang").eqNullSafe(F.col("lang_q_lang")), "left").join(F.broadcast(every), F.lit(True), "left")
-    found = []
-    for r, (least, both) in RATIOS.items():
-        for side, sign, inner in (("high", 1, F.least), *([("low", -1, F.greatest)] if both else [])):
-            bound = f"{side}_{r}"
-            larger = blended("lang", bound, F.col(f"every.{bound}"))
-            found.append(inner(blended("own", bound, larger), larger + sign * least).alias(bound))
-    return out.select(F.col("_q_lang").alias("f_lang"), F.col("_q_source").alias("f_source"), F.struct(*found).alias("f"))
+    out = out.withColumn("larger", blended("lang", "every")).withColumn("mixed", blended("own", "larger"))
+    return out.select(F.col("_q_lang").alias("f_lang"), F.col("_q_source").alias("f_source"), F.col("mixed").alias("own"), "larger")
+
+
+def width(ratio: str, group: str) -> Column:
+    """How far a row's fence stands from the median of ``group``, a struct of ``spreads`` beside the measured row."""
+    size, weight, _, _ = RATIOS[ratio]
+    mid, mine = F.col(f"{group}.mid_{size}"), F.greatest(F.col(f"_q_{size}"), F.lit(1)).cast("double")
+    stretch = F.greatest(F.lit(1.0), F.sqrt(mid / mine))
+    return REACH * F.col(f"{group}.half_{ratio}") * stretch + EVENTS * weight / F.least(mid, mine)
 
 
 def judge(measured: DataFrame, prior: int = PRIOR) -> DataFrame:
     """``measured`` with ``_q_kept``: false where the base rule fails or a ratio lies outside its fences."""
-    limits = stage(fences(measured, prior), "fences")
+    limits = stage(spreads(measured, prior), "fences")
     if limits.count() <= BROADCAST_GROUPS:
         limits = F.broadcast(limits)
     out = measured.join(limits, F.col("_q_lang").eqNullSafe(F.col("f_lang")) & F.col("_q_source").eqNullSafe(F.col("f_source")), "left")
     bad = F.col("_q_base_failed")
-    for r, (_, both) in RATIOS.items():
-        v = F.coalesce(F.col(f"_q_{r}"), F.lit(0.0))
-        bad = bad | F.coalesce(v > F.col(f"f.high_{r}"), F.lit(False))
+    for r, (_, _, laxest, both) in RATIOS.items():
+        v, own, larger = F.coalesce(F.col(f"_q_{r}"), F.lit(0.0)), width(r, "own"), width(r, "larger")
+        high = F.least(F.col(f"own.mid_{r}") + own, F.col(f"larger.mid_{r}") + F.greatest(larger, F.lit(laxest)))
+        bad = bad | F.coalesce(v > high, F.lit(False))
         if both:
-            bad = bad | F.coalesce(v < F.col(f"f.low_{r}"), F.lit(False))
-    return out.withColumn("_q_kept", ~bad).drop("f", "f_lang", "f_source")
+            low = F.greatest(F.col(f"own.mid_{r}") - own, F.col(f"larger.mid_{r}") - F.greatest(larger, F.lit(laxest)))
+            bad = bad | F.coalesce(v < low, F.lit(False))
+    return out.withColumn("_q_kept", ~bad).drop("own", "larger", "f_lang", "f_source")
 
 
 def apply_rules(docs: DataFrame, **columns: str) -> DataFrame:

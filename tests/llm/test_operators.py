@@ -111,20 +111,30 @@ def test_large_groups_of_near_copies_lose_no_link(spark, monkeypatch):
         assert {r.class_id for r in got.values()} == {0}
 
 
-def test_empty_tables(spark):
-    none = spark.createDataFrame([], DOCS)
+PIECES = "piece_bpe_32k.model"
+#: Each operator over an empty table, by name.
+ON_NOTHING = {
+    "op1": lambda none, bench: token_files.read_tokens(*token_files.write_tokens(none, tokenizer_path("byte_bpe_50k.json"))),
+    "op2": lambda none, bench: jaccard_join.join_report(none),
+    "op2 one of each": lambda none, bench: jaccard_join.keep_one(none),
+    "op3": lambda none, bench: piece_lattice.encode(none, tokenizer_path(PIECES)),
+    "op3 both ways": lambda none, bench: piece_lattice.encode_decode(none, tokenizer_path(PIECES)),
+    "op4": lambda none, bench: html_extract.extract_pages(none.sparkSession.createDataFrame([], "page_id long, url string, html string")),
+    "op5": lambda none, bench: ngram_lm.train_and_score(none),
+    "op6": lambda none, bench: decontaminate.find_matches(none, bench),
+    "op6 removing": lambda none, bench: decontaminate.remove_contaminated(none, bench),
+    "op7": lambda none, bench: token_counts.count_tokens(none, tokenizer_path(PIECES)),
+    "op8": lambda none, bench: url_cascade.judge_urls(none.sparkSession.createDataFrame([], "page_id long, url string"), none.sparkSession.createDataFrame([], "host string")),
+    "op9": lambda none, bench: quality_rules.quality_report(none),
+    "op9 applied": lambda none, bench: quality_rules.apply_rules(none),
+    "op10": lambda none, bench: chat_expand.digests(chat_expand.expand(none.sparkSession.createDataFrame([], "conv_id long, turn long, role string, text string"))),
+}
+
+
+@pytest.mark.parametrize("name", ON_NOTHING)
+def test_empty_tables(spark, name):
     bench = spark.createDataFrame([(1, text(1, 30))], "item_id long, text string")
-    assert jaccard_join.join_report(none).count() == jaccard_join.keep_one(none).count() == 0
-    assert decontaminate.find_matches(none, bench).count() == quality_rules.quality_report(none).count() == 0
-    pieces = tokenizer_path("piece_bpe_32k.model")
-    assert token_counts.count_tokens(none, pieces).count() == piece_lattice.encode(none, pieces).count() == piece_lattice.encode_decode(none, pieces).count() == 0
-    assert decontaminate.remove_contaminated(none, bench).count() == quality_rules.apply_rules(none).count() == 0
-    assert ngram_lm.train_and_score(none).count() == 0
-    folder, index = token_files.write_tokens(none, tokenizer_path("byte_bpe_50k.json"))
-    assert token_files.read_tokens(folder, index).count() == 0
-    assert html_extract.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
-    assert chat_expand.digests(chat_expand.expand(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
-    assert url_cascade.judge_urls(spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame([], "host string")).count() == 0
+    assert ON_NOTHING[name](spark.createDataFrame([], DOCS), bench).count() == 0
 
 
 def test_decontamination(spark, docs):
@@ -382,11 +392,41 @@ def test_a_source_is_judged_by_its_own_style(spark):
 
 def test_sketches_beyond_their_exact_size(spark):
     """Quartiles of more values than a sketch holds: within 1% of the rank."""
-    values = spark.range(60_000).select(*[F.lit(x).alias(f"_q_{x}") for x in ("lang", "source")], F.lit(False).alias("_q_base_failed"), *[F.sqrt(F.col("id") / 60_000).alias(f"_q_{r}") for r in quality_rules.RATIOS])
-    f = quality_rules.fences(values.repartition(7)).first().f
-    for r, (least, _) in quality_rules.RATIOS.items():
-        low, mid, high = (q**0.5 for q in (0.25, 0.5, 0.75))
-        assert abs(f[f"high_{r}"] - mid - max(least, quality_rules.REACH * min(high - mid, mid - low))) < 0.06
+    columns = [*quality_rules.RATIOS, *quality_rules.SIZES]
+    values = spark.range(60_000).select(*[F.lit(x).alias(f"_q_{x}") for x in ("lang", "source")], F.lit(False).alias("_q_base_failed"), *[F.sqrt(F.col("id") / 60_000).alias(f"_q_{r}") for r in columns])
+    own = quality_rules.spreads(values.repartition(7)).first().own
+    low, mid, high = (q**0.5 for q in (0.25, 0.5, 0.75))
+    for r in columns:
+        assert abs(own[f"mid_{r}"] - mid) < 0.01
+    for r in quality_rules.RATIOS:
+        assert abs(own[f"half_{r}"] - min(high - mid, mid - low)) < 0.02
+
+
+def test_widths_follow_the_group_and_the_text(spark):
+    """Two sources of one language: where lines repeat in every text, more of it is usual; few events tell nothing in a short text."""
+    def lined(seed: int, lines: int, repeated: int) -> str:
+        rng = np.random.default_rng(seed)
+        made = [" ".join(rng.choice([a + b for a in WORDS for b in WORDS], 12)) for _ in range(lines)]
+        return "\n".join(made + [made[k] for k in range(repeated)])
+
+    rows = [(i, lined(i, 60, 0), "en", "books", "") for i in range(300)] + [(1000 + i, lined(i, 60, 2 + i % 9), "en", "lyrics", "") for i in range(300)]
+    rows += [(5000, lined(7, 60, 8), "en", "books", ""), (5001, lined(8, 60, 2), "en", "books", ""), (5002, lined(9, 4, 1), "en", "books", "")]
+    report = {r.doc_id: r.kept for r in quality_rules.quality_report(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(report[i] for i in report if i < 5000)
+    assert (report[5000], report[5001], report[5002]) == (False, True, True)
+
+
+@pytest.mark.parametrize("kind", ["local", "parquet", "failing"])
+def test_quality_rules_with_nothing_to_learn_from(spark, tmp_path, kind):
+    rows = [(i, f"three short words{i % 4}", "en", f"s{i % 2}", "") for i in range(20)] if kind == "failing" else []
+    df = spark.createDataFrame(rows, DOCS)
+    if kind == "parquet":
+        df.write.parquet(str(tmp_path / "none"))
+        df = spark.read.parquet(str(tmp_path / "none"))
+    report = quality_rules.quality_report(df)
+    assert [(r.base_failed, r.kept) for r in report.collect()] == [(True, False)] * len(rows)
+    kept = quality_rules.apply_rules(df)
+    assert kept.columns == df.columns and kept.count() == 0
 
 
 def test_url_cascade_is_exact(spark):
