@@ -19,7 +19,13 @@ def _spread(alias: str, keys: str) -> str:
 def quality_ctes(table: str = "documents") -> str:
     """CTEs that end in ``judged``: every measure and verdict of each row."""
     fields = [f"mid_{r}" for r in (*Q.RATIOS, *Q.SIZES)] + [f"half_{r}" for r in Q.RATIOS]
-    blend = lambda g, n, larger: ", ".join(f"coalesce(({n} * {g}.{c} + {Q.PRIOR} * {larger}{c}) / ({n} + {Q.PRIOR}), {larger}{c})" + f" AS {'l' if larger == 'e.' else 'o'}_{c}" for c in fields)
+    def blend(g: str, n: str, larger: str) -> str:
+        out = []
+        for c in fields:
+            held = f"greatest({larger}{c}, coalesce(abs({g}.mid_{c[5:]} - {larger}mid_{c[5:]}), 0))" if c.startswith("half_") else f"{larger}{c}"
+            out.append(f"coalesce(({n} * {g}.{c} + {Q.PRIOR} * {held}) / ({n} + {Q.PRIOR}), {held}) AS {'l' if larger == 'e.' else 'o'}_{c}")
+        return ", ".join(out)
+
     bad = []
     for r, (size, weight, laxest, both) in Q.RATIOS.items():
         mine = f"greatest({size}, 1)::DOUBLE"

@@ -148,8 +148,13 @@ def spreads(measured: DataFrame, prior: int = PRIOR) -> DataFrame:
         return df.select(*[F.col(k).alias(f"{tag}{k}") for k in keys], F.struct(F.col("n").alias("n"), *found).alias(tag))
 
     def blended(group: str, larger: str) -> Column:
-        n, fields = F.col(f"{group}.n"), [f"mid_{r}" for r in names] + [f"half_{r}" for r in RATIOS]
-        each = [F.coalesce((n * F.col(f"{group}.{f}") + prior * F.col(f"{larger}.{f}")) / (n + prior), F.col(f"{larger}.{f}")).alias(f) for f in fields]
+        n, each = F.col(f"{group}.n"), []
+        for f in [f"mid_{r}" for r in names] + [f"half_{r}" for r in RATIOS]:
+            own, prior_value = F.col(f"{group}.{f}"), F.col(f"{larger}.{f}")
+            if f.startswith("half_"):  # the larger group's rows lie as far from the group's median as the medians do
+                mid = f.replace("half_", "mid_")
+                prior_value = F.greatest(prior_value, F.coalesce(F.abs(F.col(f"{group}.{mid}") - F.col(f"{larger}.{mid}")), F.lit(0.0)))
+            each.append(F.coalesce((n * own + prior * prior_value) / (n + prior), prior_value).alias(f))
         return F.struct(*each)
 
     groups = measured.select("_q_lang", "_q_source").distinct()

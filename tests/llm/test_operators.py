@@ -410,10 +410,10 @@ def test_widths_follow_the_group_and_the_text(spark):
         return "\n".join(made + [made[k] for k in range(repeated)])
 
     rows = [(i, lined(i, 60, 0), "en", "books", "") for i in range(300)] + [(1000 + i, lined(i, 60, 2 + i % 9), "en", "lyrics", "") for i in range(300)]
-    rows += [(5000, lined(7, 60, 8), "en", "books", ""), (5001, lined(8, 60, 2), "en", "books", ""), (5002, lined(9, 4, 1), "en", "books", "")]
+    rows += [(5000, lined(7, 60, 16), "en", "books", ""), (5003, lined(7, 60, 16), "en", "lyrics", ""), (5001, lined(8, 60, 2), "en", "books", ""), (5002, lined(9, 4, 1), "en", "books", "")]
     report = {r.doc_id: r.kept for r in quality_rules.quality_report(spark.createDataFrame(rows, DOCS)).collect()}
     assert all(report[i] for i in report if i < 5000)
-    assert (report[5000], report[5001], report[5002]) == (False, True, True)
+    assert (report[5000], report[5001], report[5002], report[5003]) == (False, True, True, True)
 
 
 @pytest.mark.parametrize("kind", ["local", "parquet", "failing"])
