@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from factloom.llm import decontaminate as D
+from factloom.llm import hard_negatives as H
 from factloom.llm import jaccard_join as J
 from factloom.llm import quality_rules as Q
 from factloom.llm import url_cascade as U
@@ -121,4 +122,15 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit, c
 FROM docs d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN named m ON d.doc_id = m.doc_id LEFT JOIN longest x ON d.doc_id = x.doc_id"""
 
 
-ORACLE_SQL: dict[str, str] = {"op2_jaccard_join": _op2(), "op6_decontaminate": _op6(), "op8_url_cascade": _op8(), "op9_quality_rules": _OP9, "op10_chat_expand": _op10()}
+def _op12() -> str:
+    return f"""
+WITH clean AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor({H.SCALE} * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score FROM clean a JOIN clean b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+positives AS (SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= {H.POSITIVES}),
+found AS (SELECT p.anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id) AS rank, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+  FROM positives p JOIN scored n ON p.anchor_id = n.anchor_id AND NOT n.same AND {H.LOWER} * p.score <= 100 * n.score AND 100 * n.score <= {H.UPPER} * p.score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM found WHERE rank <= {H.NEGATIVES}"""
+
+
+ORACLE_SQL: dict[str, str] = {"op12_hard_negatives": _op12(), "op2_jaccard_join": _op2(), "op6_decontaminate": _op6(), "op8_url_cascade": _op8(), "op9_quality_rules": _OP9, "op10_chat_expand": _op10()}

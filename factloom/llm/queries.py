@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from factloom.llm import chat_expand, decontaminate, html_extract, jaccard_join, ngram_lm, piece_lattice, quality_rules, token_counts, token_files, url_cascade
+from factloom.llm import chat_expand, decontaminate, hard_negatives, html_extract, jaccard_join, ngram_lm, piece_lattice, quality_rules, token_counts, token_files, url_cascade, whitening
 from factloom.llm.oracles import ORACLE_SQL  # noqa: F401
 
 
@@ -64,6 +65,16 @@ def op10_chat_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_expand.digests(chat_expand.expand(turns.unionByName(extra)))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(_table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, moved)
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_jaccard_join": op2_jaccard_join,
@@ -75,4 +86,6 @@ QUERIES = {
     "op8_url_cascade": op8_url_cascade,
     "op9_quality_rules": op9_quality_rules,
     "op10_chat_expand": op10_chat_expand,
+    "op11_whitening": op11_whitening,
+    "op12_hard_negatives": op12_hard_negatives,
 }
