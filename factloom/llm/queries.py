@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import chat_expand, decontaminate, hard_negatives, html_extract, jaccard_join, ngram_lm, piece_lattice, quality_rules, token_counts, token_files, url_cascade, whitening
+from factloom.llm import chat_expand, decontaminate, hard_negatives, html_extract, jaccard_join, ngram_lm, piece_lattice, pivot_dedup, quality_rules, token_counts, token_files, url_cascade, whitening
 from factloom.llm.oracles import ORACLE_SQL  # noqa: F401
 
 
@@ -75,6 +75,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, moved)
 
 
+def op13_pivot_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_dedup.link(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_jaccard_join": op2_jaccard_join,
@@ -88,4 +92,5 @@ QUERIES = {
     "op10_chat_expand": op10_chat_expand,
     "op11_whitening": op11_whitening,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_pivot_dedup": op13_pivot_dedup,
 }
