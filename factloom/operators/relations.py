@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.text import bind, clauses, quoted, sentences, strip, whole_word, word_positions
+from factloom.sources.staging import staged
 
 # Patterns that make a claim, matched in any case.
 STAT = r"(?i)(\d+)\s+(points?|rebounds?|boards?|assists?|steals?|blocks?)\b"
@@ -242,21 +243,19 @@ def positional_bias(outputs: DataFrame, found: DataFrame, facts: DataFrame) -> D
 def positional_report(outputs: DataFrame, found: DataFrame, facts: DataFrame, n_boot: int = 10_000, seed: int = 13) -> DataFrame:
     """One row: decided games by the side that won, games with a wrong winner claim, the teams that wrong claims name,
     both rates, and their difference with an interval from resampling the sides independently."""
-    from factloom.operators.stats import independent_diff
+    from factloom.operators import stats
 
     decided = facts.filter("NOT tie").join(outputs.select(F.col("id").alias("ex_id")), "ex_id").withColumn("first", F.col("winner") == F.col("team0"))
     wrong = found.filter("type = 'winner' AND NOT correct").groupBy(F.col("id").alias("ex_id")).agg(F.collect_list("claimed").alias("named"))
-    rows = decided.join(wrong, "ex_id", "left").withColumn("err", F.col("named").isNotNull())
     names = lambda a, b: F.size(F.filter(F.coalesce("named", F.array().cast("array<string>")), lambda c: c.contains(F.col(a)) & ~c.contains(F.col(b))))
+    rows = decided.join(wrong, "ex_id", "left").withColumn("err", F.col("named").isNotNull().cast("int"))
+    rows = staged(rows.select("ex_id", "first", "err", names("team0", "team1").alias("says_first"), names("team1", "team0").alias("says_second")), "sides")
     count = lambda when: F.count_if(when)
-    r = rows.agg(
-        count(F.col("first")).alias("n_first"), count(~F.col("first")).alias("n_second"), count(F.col("first") & F.col("err")).alias("err_first"), count(~F.col("first") & F.col("err")).alias("err_second"),
-        F.coalesce(F.sum(names("team0", "team1")), F.lit(0)).alias("named_first"), F.coalesce(F.sum(names("team1", "team0")), F.lit(0)).alias("named_second"),
-    ).first()
-    rate = lambda k, n: k / n if n else None
-    first, second, diff = rate(r.err_first, r.n_first), rate(r.err_second, r.n_second), (None, None, None)
-    if r.n_first and r.n_second:
-        ones = lambda k, n: [1] * k + [0] * (n - k)
-        diff = independent_diff(ones(r.err_first, r.n_first), ones(r.err_second, r.n_second), n_boot, seed)
-    schema = "n_first long, n_second long, err_first long, err_second long, named_first long, named_second long, rate_first double, rate_second double, diff double, lo double, hi double"
-    return found.sparkSession.createDataFrame([(*r, first, second, *diff)], schema)
+    err, first = F.col("err") == 1, F.col("first")
+    counts = rows.agg(
+        count(first).alias("n_first"), count(~first).alias("n_second"), count(first & err).alias("err_first"), count(~first & err).alias("err_second"),
+        F.coalesce(F.sum("says_first"), F.lit(0)).alias("named_first"), F.coalesce(F.sum("says_second"), F.lit(0)).alias("named_second"),
+    )
+    counts = counts.withColumn("rate_first", F.try_divide("err_first", "n_first")).withColumn("rate_second", F.try_divide("err_second", "n_second"))
+    items = stats.numbered(rows, "ex_id")
+    return counts.join(stats.independent_bounds(items, stats.Draws(n_boot, seed), stats.Metric("err", "mean", ("err",), False), "first", True, False))

@@ -1,18 +1,21 @@
-"""Comparing runs: bootstrap intervals, paired differences, folds, ranks, selection.
+"""Comparing runs: bootstrap intervals, paired and independent differences, folds, ranks, selection.
 
-Every statistic here is a function of weighted sums over items, so a bootstrap is one weighted aggregation: the
-(replicate, item) weights are joined to the items once for all metrics and runs. Weights come from numpy's generator on
-the driver (``numpy_weights``: a matrix of the number of replicates times the number of items, whose size is checked)
-or from an expression that any SQL engine can repeat (``lcg_weights``).
+Every statistic here is a function of weighted sums over items. ``Draws`` derives an item's weights of all replicates from a
+hash of its number where the item is read, and a task adds them up for all replicates at once, so a bootstrap is one pass
+over the items that sends a row per replicate, run and task: nothing grows with items times replicates but the arithmetic.
+A table of weights (b, item, w) does in place of it where given draws are to be repeated: those of numpy's generator from the
+driver (``numpy_weights``, whose size is checked) or those of an expression (``lcg_weights``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -83,10 +86,41 @@ def check_items(items: DataFrame, metrics: Sequence[Metric], run: str = "run") -
         raise ValueError(f"columns of different lengths: {short} have no value for some items")
 
 
+#: Modulus of the hash, and below which of its values an item's weight is 0, at most 1, and so on: Poisson with mean 1.
+_MOD = 2_147_483_647
+POISSON = tuple(int(_MOD * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(10))
+#: Replicates and items that are weighted at a time.
+_REPLICATES, _ITEMS = 256, 4096
+
+
+@dataclass(frozen=True)
+class Draws:
+    """Replicates of a Poisson bootstrap: how often replicate b holds an item follows from (seed, item, b) alone.
+
+    Items hold numbers from 0 that stand for the same thing in every run, so runs are resampled together; samples with items of
+    their own are resampled independently. As sizes of replicates vary, it serves statistics that are ratios of sums.
+    """
+
+    n_boot: int = 10_000
+    seed: int = 13
+
+    def weights(self, item: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """(items, replicates) of weights."""
+        key = _mixed((item.astype(np.int64) * 40_692 + self.seed * 1_000_003 + 1) % _MOD)
+        u = _mixed((key[:, None] + (b.astype(np.int64) + 1) * 1_566_083) % _MOD)
+        return np.searchsorted(np.array(POISSON), u, "right")
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    for shift, factor in ((15, 48_271), (13, 69_621), (16, 39_373)):
+        x = (x ^ (x >> shift)) * factor % _MOD
+    return x
+
+
 def numpy_weights(spark: SparkSession, n: int, n_boot: int = 10_000, seed: int = 13) -> DataFrame:
     """(b, item, w): how often replicate b draws item 0..n-1, as numpy's default generator draws them row by row."""
     if n * n_boot > MAX_WEIGHTS:
-        raise ValueError("too many weights for the driver; use lcg_weights")
+        raise ValueError("too many weights for the driver; use Draws")
     rng = np.random.default_rng(seed)
     frames = []
     for start in range(0, n_boot, 1000):
@@ -110,21 +144,63 @@ def numbered(items: DataFrame, id: str = "id") -> DataFrame:
     return items.join(positioned(items.select(id).distinct(), "item", id), id)
 
 
-def _sums(items: DataFrame, weights: DataFrame, metrics: Sequence[Metric], by: Sequence[str]) -> DataFrame:
-    joined = items.join(weights, "item")
-    named = {m.name: [f"{m.name}_{k}" for k in range(len(m.terms()))] for m in metrics}
-    aggs = [F.sum(term * F.col("w")).alias(c) for m in metrics for c, term in zip(named[m.name], m.terms(), strict=True)]
-    sums = joined.groupBy(*by, "b").agg(*aggs)
+def _valued(sums: DataFrame, metrics: Sequence[Metric], named: dict[str, list[str]], by: Sequence[str]) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(m.name).alias("metric"), m.value([F.col(c) for c in named[m.name]]).alias("value")) for m in metrics])
     return sums.select(*by, "b", F.explode(pairs).alias("p")).select(*by, "b", "p.*")
 
 
+def _sums(items: DataFrame, weights: DataFrame | Draws, metrics: Sequence[Metric], by: Sequence[str]) -> DataFrame:
+    named = {m.name: [f"{m.name}_{k}" for k in range(len(m.terms()))] for m in metrics}
+    if isinstance(weights, Draws):
+        return _valued(_drawn_sums(items, weights, metrics, named, by), metrics, named, by)
+    joined = items.join(weights, "item")
+    aggs = [F.sum(term * F.col("w")).alias(c) for m in metrics for c, term in zip(named[m.name], m.terms(), strict=True)]
+    return _valued(joined.groupBy(*by, "b").agg(*aggs), metrics, named, by)
+
+
+def _drawn_sums(items: DataFrame, draws: Draws, metrics: Sequence[Metric], named: dict[str, list[str]], by: Sequence[str]) -> DataFrame:
+    """(by, b, a sum per term): each task adds up its items for all replicates, then the tasks' sums are added up.
+
+    A replicate that holds no item of a group has sums of 0 there.
+    """
+    columns = [c for m in metrics for c in named[m.name]]
+    # Missing values count for nothing, as in a sum.
+    terms = [F.coalesce(t, F.lit(0.0)).alias(c) for m in metrics for c, t in zip(named[m.name], m.terms(), strict=True)]
+    group = F.to_json(F.struct(*by)).alias("group") if by else F.lit("").alias("group")
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        replicates = np.arange(draws.n_boot)
+        for batch in batches:
+            groups = batch.column("group").to_numpy(zero_copy_only=False)
+            values = np.stack([batch.column(c).to_numpy() for c in columns], axis=1)
+            item = batch.column("item").to_numpy()
+            for name in dict.fromkeys(groups):
+                total = held.setdefault(name, np.zeros((draws.n_boot, len(columns))))
+                at = np.flatnonzero(groups == name)
+                for i in range(0, len(at), _ITEMS):
+                    mine = at[i : i + _ITEMS]
+                    for k in range(0, draws.n_boot, _REPLICATES):
+                        b = replicates[k : k + _REPLICATES]
+                        total[b] += draws.weights(item[mine], b).T.astype(np.float64) @ values[mine]
+        for name, total in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * draws.n_boot), pa.array(replicates), *map(pa.array, total.T)], names=["group", "b", *columns])
+
+    schema = "group string, b long, " + ", ".join(f"`{c}` double" for c in columns)
+    sums = items.select(group, F.col("item").cast("long").alias("item"), *terms).mapInArrow(add, schema)
+    out = sums.groupBy("group", "b").agg(*[F.sum(c).alias(c) for c in columns])
+    kinds = ", ".join(f"`{c}` {t}" for c, t in items.select(*by).dtypes)
+    return out.select(F.from_json("group", kinds).alias("g"), "b", *columns).select("g.*", "b", *columns) if by else out.drop("group")
+
+
 def points(items: DataFrame, metrics: Sequence[Metric], by: Sequence[str] = ("run",)) -> DataFrame:
     """(by, metric, value) on all items."""
-    return _sums(items, items.select("item").distinct().withColumn("w", F.lit(1)).withColumn("b", F.lit(0)), metrics, by).drop("b")
+    named = {m.name: [f"{m.name}_{k}" for k in range(len(m.terms()))] for m in metrics}
+    aggs = [F.sum(term).alias(c) for m in metrics for c, term in zip(named[m.name], m.terms(), strict=True)]
+    return _valued(items.groupBy(*by).agg(*aggs).withColumn("b", F.lit(0)), metrics, named, by).drop("b")
 
 
-def bootstrap_ci(items: DataFrame, weights: DataFrame, metrics: Sequence[Metric], by: Sequence[str] = ("run",), alpha: float = 0.05) -> DataFrame:
+def bootstrap_ci(items: DataFrame, weights: DataFrame | Draws, metrics: Sequence[Metric], by: Sequence[str] = ("run",), alpha: float = 0.05) -> DataFrame:
     """(by, metric, point, lo, hi): percentile intervals; replicates without a denominator don't count."""
     draws = _sums(items, weights, metrics, by).filter("value IS NOT NULL AND NOT isnan(value)")
     q = lambda p: F.percentile("value", F.lit(p))
@@ -132,7 +208,7 @@ def bootstrap_ci(items: DataFrame, weights: DataFrame, metrics: Sequence[Metric]
     return points(items, metrics, by).withColumnRenamed("value", "point").join(bounds, [*by, "metric"])
 
 
-def paired_diff(items: DataFrame, weights: DataFrame, metrics: Sequence[Metric], run: str, against: str, alpha: float = 0.05) -> DataFrame:
+def paired_diff(items: DataFrame, weights: DataFrame | Draws, metrics: Sequence[Metric], run: str, against: str, alpha: float = 0.05) -> DataFrame:
     """(metric, diff, lo, hi) of run minus against, both resampled with the same weights."""
     pick = lambda df, keys: df.filter(F.col("run") == run).select(*keys, F.col("value").alias("a")).join(df.filter(F.col("run") == against).select(*keys, F.col("value").alias("z")), keys).select(*keys, (F.col("a") - F.col("z")).alias("d"))
     draws = pick(_sums(items, weights, metrics, ["run"]), ["b", "metric"]).filter("d IS NOT NULL AND NOT isnan(d)")
@@ -183,7 +259,7 @@ def rolling_rate(items: DataFrame, num: str, den: str, width: int = 75) -> DataF
 
 
 def independent_diff(a: Sequence[float], b: Sequence[float], n_boot: int = 10_000, seed: int = 13) -> tuple[float, float, float]:
-    """Difference of two means with bounds from separate resamples by Python's generator (sorted draws, no interpolation)."""
+    """Difference of two means of short samples with bounds from separate resamples by Python's generator (sorted draws, no interpolation)."""
     import random
 
     rng = random.Random(seed)
@@ -192,6 +268,23 @@ def independent_diff(a: Sequence[float], b: Sequence[float], n_boot: int = 10_00
     return mean(a) - mean(b), draws[int(0.025 * n_boot)], draws[int(0.975 * n_boot)]
 
 
+def independent_bounds(items: DataFrame, draws: Draws, metric: Metric, group: str, first: object, second: object, alpha: float = 0.05) -> DataFrame:
+    """One row (diff, lo, hi): the metric over the items of ``first`` minus that of ``second``, resampled independently.
+
+    ``item`` numbers the items of both samples together. Bounds are replicates by rank, without interpolation; those that
+    miss a sample don't count. Nulls where a sample is empty.
+    """
+    at = lambda df, value, name: df.filter(F.col(group) == value).select("b", F.col("value").alias(name))
+    sums = _sums(items.filter(F.col(group).isin(first, second)), draws, [metric], [group])
+    d = at(sums, first, "x").join(at(sums, second, "y"), "b").select((F.col("x") - F.col("y")).alias("d")).filter("d IS NOT NULL AND NOT isnan(d)")
+    ranked = F.array_sort(F.collect_list("d")).alias("d")  # as many as there are replicates, whatever the items
+    spot = lambda p: F.get("d", F.floor(p * F.size("d")).cast("int"))
+    bounds = d.agg(ranked).select(spot(F.lit(alpha / 2)).alias("lo"), spot(F.lit(1 - alpha / 2)).alias("hi"))
+    value = lambda v: F.max(F.when(F.col(group) == v, F.col("value")))
+    point = points(items, [metric], [group]).agg((value(first) - value(second)).alias("diff"))
+    return point.join(bounds)
+
+
 def common_ids(items: DataFrame) -> DataFrame:
     """Ids that every run has."""
     runs = items.select("run").distinct().count()

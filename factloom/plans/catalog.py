@@ -376,6 +376,18 @@ def paired_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(stats.paired_diff(items, stats.lcg_weights(spark, _n_items(items), REPLICATES), TWO_RUN_METRICS, "A", "B"))
 
 
+@query
+def bootstrap_counter_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals of both runs from 10,000 replicates whose weights each item derives for itself."""
+    return _rounded(stats.bootstrap_ci(_two_runs(spark, sf_dir), stats.Draws(REPLICATES), TWO_RUN_METRICS))
+
+
+@query
+def paired_counter_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differences of the runs, paired by item, with the same weights."""
+    return _rounded(stats.paired_diff(_two_runs(spark, sf_dir), stats.Draws(REPLICATES), TWO_RUN_METRICS, "A", "B"))
+
+
 @query
 def fold_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks of the runs in three folds."""
@@ -454,9 +466,9 @@ def item_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def positional_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Games with a wrong winner claim by side, and the teams that wrong claims name."""
+    """Games with a wrong winner claim by side, the teams that wrong claims name, and the difference with its bounds."""
     games = G.games(spark, sf_dir)
-    return _rounded(relations.positional_report(games.texts, _claims(games), facts.team_facts(games.cells), n_boot=100).drop("lo", "hi"))
+    return _rounded(relations.positional_report(games.texts, _claims(games), facts.team_facts(games.cells), n_boot=REPLICATES))
 
 
 @query

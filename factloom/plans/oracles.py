@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 _LETTERS = "translate(({})::VARCHAR, '0123456789', 'abcdefghij')"
 
 GAMES = f"""
@@ -190,11 +192,30 @@ def _values(frm: str, keys: str, w: str = "1") -> str:
 _DRAWS = _TWO + f""", n AS (SELECT max(item) + 1 AS n FROM items),
 w AS (SELECT b, ((b * 7919 + j * 104729 + (b * j) % 613) * 31 % 2147483647) % n AS item, count(*) AS w FROM (SELECT unnest(range(0, 10000)) AS b), (SELECT n, unnest(range(0, n)) AS j FROM n) GROUP BY ALL),
 draws AS ({_values('items JOIN w USING (item)', 'run, b', 'w')}), pts AS ({_values('items', 'run')})"""
+
+
+def counted(n: str, replicates: int = 10_000, seed: int = 13) -> str:
+    """A query of (item, b, w) with w > 0: the weights of a Poisson bootstrap over items 0 to n - 1, by hash."""
+    def mixed(frm: str, keys: str) -> str:
+        for shift, factor in ((15, 48_271), (13, 69_621), (16, 39_373)):
+            frm = f"(SELECT {keys}, xor(x, x >> {shift}) * {factor} % 2147483647 AS x FROM {frm})"
+        return frm
+
+    keyed = mixed(f"(SELECT item, (item * 40692 + {seed} * 1000003 + 1) % 2147483647 AS x FROM (SELECT unnest(range(0, {n})) AS item))", "item")
+    both = mixed(f"(SELECT item, b, (x + (b + 1) * 1566083) % 2147483647 AS x FROM {keyed}, (SELECT unnest(range(0, {replicates})) AS b))", "item, b")
+    bounds = [int(2147483647 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(10)]
+    return f"SELECT item, b, {' + '.join(f'(x >= {t})::INT' for t in bounds)} AS w FROM {both} WHERE x >= {bounds[0]}"
+
+
+_COUNTED = _TWO + f""", w AS ({counted('(SELECT max(item) + 1 FROM items)')}),
+draws AS ({_values('items JOIN w USING (item)', 'run, b', 'w')}), pts AS ({_values('items', 'run')})"""
 ORACLE_SQL["compare_runs"] = f"WITH {_TWO} SELECT run, metric, round(value, 9) AS value FROM ({_values('items', 'run')})"
 ORACLE_SQL["bootstrap_lcg_ci"] = f"WITH {_DRAWS} SELECT p.run, p.metric, round(any_value(p.value), 9) AS point, round(quantile_cont(d.value, 0.025), 9) AS lo, round(quantile_cont(d.value, 0.975), 9) AS hi FROM pts p JOIN draws d USING (run, metric) GROUP BY p.run, p.metric"
 ORACLE_SQL["paired_diff"] = f"""WITH {_DRAWS}, dd AS (SELECT a.metric, a.value - z.value AS d FROM draws a JOIN draws z ON a.metric = z.metric AND a.b = z.b AND a.run = 'A' AND z.run = 'B'),
   pp AS (SELECT a.metric, a.value - z.value AS diff FROM pts a JOIN pts z ON a.metric = z.metric AND a.run = 'A' AND z.run = 'B')
   SELECT metric, round(any_value(diff), 9) AS diff, round(quantile_cont(d, 0.025), 9) AS lo, round(quantile_cont(d, 0.975), 9) AS hi FROM pp JOIN dd USING (metric) GROUP BY metric"""
+ORACLE_SQL["bootstrap_counter_ci"] = ORACLE_SQL["bootstrap_lcg_ci"].replace(_DRAWS, _COUNTED)
+ORACLE_SQL["paired_counter_diff"] = ORACLE_SQL["paired_diff"].replace(_DRAWS, _COUNTED)
 ORACLE_SQL["fold_rank"] = f"WITH {_TWO}, v AS ({_values('(SELECT *, (item % 3)::INT AS fold FROM items)', 'run, fold')}) SELECT run, fold, metric, round(value, 9) AS value, row_number() OVER (PARTITION BY metric, fold ORDER BY value IS NULL, CASE WHEN metric = 'exact_mean' THEN -value ELSE value END, run)::INT AS rank FROM v"
 ORACLE_SQL["rolling_rate"] = f"""WITH {_TWO}, o AS (SELECT run, id, regexp_extract(id, '([0-9]+)$', 1)::BIGINT AS i, u, num_n FROM items),
   x AS (SELECT run, i, round(sum(u) OVER w / sum(num_n) OVER w, 9) AS rate, row_number() OVER (PARTITION BY run ORDER BY i, id) AS k FROM o WINDOW w AS (PARTITION BY run ORDER BY i, id ROWS 74 PRECEDING)) SELECT run, i, rate FROM x WHERE k >= 75"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.plans.oracles import _DRAWS, _LETTERS, CELLS, GAMES, NUMBERS, TEXTS, _bleu_items, _numbers, _sentences, _tokens
+from factloom.plans.oracles import _DRAWS, _LETTERS, CELLS, GAMES, NUMBERS, TEXTS, _bleu_items, _numbers, _sentences, _tokens, counted
 
 _WORDS = "regexp_extract_all(lower({}), '[a-z0-9]+')"
 
@@ -144,8 +144,12 @@ SQL["item_metrics"] = f"""WITH {NUMBERS}{CLAIMS.removeprefix(TEXTS)}, {_bleu_ite
 SQL["positional_counts"] = f"""WITH {CLAIMS}, bad AS (SELECT id, list(claimed) AS named FROM claims WHERE type = 'winner' AND NOT correct GROUP BY id),
   g AS (SELECT t.id, winner = team0 AS first_won, named IS NOT NULL AS err, len(list_filter(named, lambda x: contains(x, team0) AND NOT contains(x, team1))) AS f, len(list_filter(named, lambda x: contains(x, team1) AND NOT contains(x, team0))) AS s
     FROM texts t JOIN facts ON t.id = ex_id LEFT JOIN bad ON bad.id = t.id WHERE NOT tie),
-  c AS (SELECT count(*) FILTER (first_won) AS n_first, count(*) FILTER (NOT first_won) AS n_second, count(*) FILTER (first_won AND err) AS err_first, count(*) FILTER (NOT first_won AND err) AS err_second, coalesce(sum(f), 0)::BIGINT AS named_first, coalesce(sum(s), 0)::BIGINT AS named_second FROM g)
-  SELECT *, round(err_first / n_first, 9) AS rate_first, round(err_second / n_second, 9) AS rate_second, round(err_first / n_first - err_second / n_second, 9) AS diff FROM c"""
+  c AS (SELECT count(*) FILTER (first_won) AS n_first, count(*) FILTER (NOT first_won) AS n_second, count(*) FILTER (first_won AND err) AS err_first, count(*) FILTER (NOT first_won AND err) AS err_second, coalesce(sum(f), 0)::BIGINT AS named_first, coalesce(sum(s), 0)::BIGINT AS named_second FROM g),
+  numbered AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS item FROM g), w AS ({counted('(SELECT count(*) FROM g)')}),
+  d AS (SELECT sum(w * err::INT) FILTER (first_won) / sum(w) FILTER (first_won) - sum(w * err::INT) FILTER (NOT first_won) / sum(w) FILTER (NOT first_won) AS d FROM numbered JOIN w USING (item) GROUP BY b),
+  s AS (SELECT list_sort(list(d)) AS s FROM d WHERE d IS NOT NULL)
+  SELECT c.*, round(err_first / n_first, 9) AS rate_first, round(err_second / n_second, 9) AS rate_second, round(err_first / n_first - err_second / n_second, 9) AS diff,
+    round(s[floor(0.025 * len(s))::INT + 1], 9) AS lo, round(s[floor(0.975 * len(s))::INT + 1], 9) AS hi FROM c, s"""
 SQL["matched_outputs"] = f"WITH {TEXTS} SELECT id, length(output)::INT AS n_chars, (SELECT count(*) FROM texts WHERE yr % 2 = 0 AND pair >= 6) AS missing FROM texts WHERE yr % 2 = 0 AND pair < 6"
 SQL["uncertainty_run"] = "SELECT round(avg(embedding[1]::DOUBLE), 6) AS mean_seq_logprob, count(*) AS n_with_logprob FROM embeddings WHERE vec_id % 5 > 0"
 SQL["shown_values"] = "SELECT p_partkey, CASE WHEN p_partkey % 7 > 0 THEN format('{:.1f}%', 100 * p_size / 64) ELSE '–' END AS rate, CASE WHEN p_partkey % 7 > 0 THEN format('{:.3f}', p_size / 64) ELSE '–' END AS mean FROM part"

@@ -136,6 +136,37 @@ def test_bootstrap(spark):
     assert d == low == high == 1
 
 
+def test_draws_from_a_counter(spark):
+    """Weights are Poisson, the same however the items are dealt out, shared by the runs; intervals as wide as numpy's."""
+    w = stats.Draws(800).weights(np.arange(1500), np.arange(800))
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.01 and abs(np.corrcoef(w[:60]) - np.eye(60)).max() < 0.2
+    rng = np.random.default_rng(5)
+    u = rng.integers(0, 4, 300)
+    items = spark.createDataFrame([(r, i, int(u[i] + (r == "B")), 5) for r in "AB" for i in range(300)] + [("A", 300, None, 5), ("B", 300, None, 5)], "run string, item int, u long, n long")
+    metrics = (stats.Metric("rate", "ratio", ("u", "n"), False), stats.Metric("share", "positive", ("u",), False))
+    one, many = ({(r.run, r.metric): (r.point, r.lo, r.hi) for r in stats.bootstrap_ci(items.repartition(k), stats.Draws(800), metrics).collect()} for k in (1, 7))
+    assert one == many and len(one) == 4
+    theirs = np.percentile([u[rng.integers(0, 300, 300)].mean() / 5 for _ in range(800)], [2.5, 97.5])
+    low, high = (x * 301 / 300 for x in one["A", "rate"][1:])
+    assert abs((high - low) - (theirs[1] - theirs[0])) < 0.2 * (theirs[1] - theirs[0]) and one["A", "rate"][1] < one["A", "rate"][0] < one["A", "rate"][2]
+    diff = {r.metric: r for r in stats.paired_diff(items.filter("item < 300"), stats.Draws(800), metrics, "B", "A").collect()}["rate"]
+    assert all(math.isclose(diff[c], 0.2, abs_tol=1e-9) for c in ("diff", "lo", "hi"))
+    plan = stats.bootstrap_ci(items, stats.Draws(10), metrics)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1  # of points and bounds
+
+
+def test_independent_bounds(spark):
+    metric = stats.Metric("err", "mean", ("err",), False)
+    rows = [(i, i < 60, int(i % 3 == 0)) for i in range(100)]
+    items = spark.createDataFrame(rows, "item int, first boolean, err int")
+    r = stats.independent_bounds(items, stats.Draws(500), metric, "first", True, False).first()
+    a, b = ([e for _, f, e in rows if f == side] for side in (True, False))
+    d, low, high = stats.independent_diff(a, b, 500)
+    assert math.isclose(r["diff"], d) and abs(r.lo - low) < 0.06 and abs(r.hi - high) < 0.06
+    alone = stats.independent_bounds(items.filter("first"), stats.Draws(50), metric, "first", True, False).first()
+    assert tuple(alone) == (None, None, None)
+
+
 def test_missing_values_rank_last(spark):
     v = spark.createDataFrame([("a", "m", float("nan")), ("b", "m", 1.0), ("c", "m", 2.0)], "run string, metric string, value double")
     for up, want in ((True, ["c", "b", "a"]), (False, ["b", "c", "a"])):
