@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import hashlib
 import json
 import random
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.text import strip
 from factloom.sources.cells import from_strings
+from factloom.sources.ranges import csv_records, json_records
 from factloom.sources.staging import positioned
 
 # Columns of a player row in the order in which they are shown, and columns that aren't statistics.
@@ -37,10 +39,16 @@ def parse_mr(mr):
 
 def load_e2e(spark: SparkSession, path: str, split: str) -> DataFrame:
     """(id, pos, pairs, references) from a CSV with columns mr and ref in any case, one row per mr in first-seen order."""
-    raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8")
-    names = {c.replace("﻿", "").strip().lower(): c for c in raw.columns}
-    ref = F.col(f"`{names['ref']}`") if "ref" in names else F.lit(None).cast("string")
-    rows = raw.select(strip(F.col(f"`{names['mr']}`")).alias("mr"), strip(ref).alias("ref"), F.monotonically_increasing_id().alias("at")).filter("mr IS NOT NULL AND mr <> ''")
+    records = csv_records(spark, path)
+    order = F.struct("file", "start", "seq")
+    head = records.orderBy("file", "start", "seq").first()
+    names = [c.strip().lower() for c in next(csv.reader([head.text]))] if head else ["mr", "ref"]
+    if "mr" not in names:
+        raise ValueError(f"{path} has no column mr: {names}")
+    fields = F.from_csv("text", ", ".join(f"c{i} string" for i in range(len(names))), {"quote": '"', "escape": '"', "multiLine": "true"})
+    of = lambda name: F.col(f"v.c{names.index(name)}") if name in names else F.lit(None).cast("string")
+    raw = records.filter("start > 0 OR seq > 0").select(order.alias("at"), fields.alias("v"))
+    rows = raw.select(strip(of("mr")).alias("mr"), strip(of("ref")).alias("ref"), "at").filter("mr IS NOT NULL AND mr <> ''")
     said = F.when(F.col("ref") != "", F.struct("at", "ref"))
     groups = rows.groupBy("mr").agg(F.min("at").alias("first"), F.array_sort(F.collect_list(said)).alias("refs"))
     return positioned(groups, "pos", "first").select("pos", parse_mr(F.col("mr")).alias("pairs"), F.transform("refs", lambda r: r["ref"]).alias("references")).select(F.format_string(f"e2e-{split}-%04d", "pos").alias("id"), "pos", "pairs", "references")
@@ -54,7 +62,8 @@ def e2e_cells(examples: DataFrame) -> DataFrame:
 
 def load_rotowire(spark: SparkSession, path: str, split: str) -> DataFrame:
     """(id, pos, game, references) from a JSON array of games; summary tokens are joined by a space."""
-    raw = positioned(spark.read.schema(GAME).json(path, multiLine=True))
+    games = json_records(spark, path).select("file", "start", "seq", F.from_json("text", GAME).alias("g"))
+    raw = positioned(games, "pos", "file", "start", "seq").select("pos", "g.*")
     text = strip(F.array_join("summary", " "))
     return raw.select("pos", F.struct(*[c for c in raw.columns if c not in ("summary", "pos")]).alias("game"), F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array(text)).alias("references")).select(F.format_string(f"rotowire-{split}-%04d", "pos").alias("id"), "pos", "game", "references")
 
