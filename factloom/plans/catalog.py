@@ -13,7 +13,7 @@ from factloom.operators import align, claims, facts, features, numbers, overlap,
 from factloom.plans import oracles, text_oracles
 from factloom.sources import games as G
 from factloom.sources import loaders
-from factloom.sources.staging import staged
+from factloom.sources.staging import shared_folder, staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL | text_oracles.SQL
@@ -430,6 +430,50 @@ def meaning_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loaders.e2e_cells(parts.select("id", loaders.parse_mr(F.col("mr")).alias("pairs"))).drop("is_int", "str")
 
 
+def _as_arrays(batches):
+    """Lines of JSON objects as one array per partition."""
+    import pyarrow as pa
+
+    held = None
+    for batch in batches:
+        lines = batch.column(0).to_pylist()
+        if lines:
+            lines[0] = ("[" if held is None else ",") + lines[0]
+            lines[1:] = ["," + line for line in lines[1:]]
+            if held is not None:
+                yield held
+            held = pa.RecordBatch.from_arrays([pa.array(lines)], names=["value"])
+    if held is not None:
+        lines = held.column(0).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([*lines[:-1], lines[-1] + "]"])], names=["value"])
+
+
+@query
+def box_score_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw box scores written as files of JSON arrays, read again by byte ranges into cells."""
+    folder = shared_folder(spark, "box-scores")
+    games = G.raw_games(spark, sf_dir).orderBy("id")
+    game = F.to_json(F.struct("game.*", F.split(F.concat(F.lit('A "game" of } '), "id", F.lit(" \\ .")), " ").alias("summary")))
+    games.select(game.alias("value")).mapInArrow(_as_arrays, "value string").write.text(folder)
+    examples = loaders.load_rotowire(spark, folder, "test")
+    cells = loaders.rotowire_cells(examples).drop("is_int", "str")
+    said = examples.select(F.col("id").alias("ex_id"), F.col("references")[0].alias("reference"))
+    return cells.join(said, "ex_id")
+
+
+@query
+def meaning_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts written as quoted CSV with quotes and line feeds inside, read again by byte ranges, one row per meaning."""
+    folder = shared_folder(spark, "meanings")
+    name = F.concat(F.lit("name["), F.regexp_replace("p_name", " .*", ""), F.lit("], brand name["), "p_brand", F.lit("]"))
+    said = F.concat(F.lit('It is "'), "p_type", F.lit('",\nsize '), F.col("p_size").cast("string"), F.lit("."))
+    parts = G.table(spark, sf_dir, "part").orderBy("p_partkey").select(name.alias("MR"), F.when(F.col("p_partkey") % 4 > 0, said).alias("Ref"))
+    parts.write.csv(folder, header=True, quote='"', escape='"')
+    examples = loaders.load_e2e(spark, folder, "dev")
+    values = F.array_join(F.transform("pairs", lambda p: p["value"]), "|").alias("attributes")
+    return examples.select("id", "pos", values, F.size("references").cast("long").alias("n_references"), F.array_join("references", "|").alias("said"))
+
+
 @query
 def cell_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers, strings and gaps among raw strings made from events."""

@@ -130,6 +130,11 @@ SQL["box_score_cells"] = f"""WITH {GAMES}, p AS (SELECT ex_id, row_number() OVER
   SELECT {_CELL} FROM c WHERE col_name <> 'BLK' OR blocks > 0"""
 SQL["meaning_cells"] = f"""WITH c AS (SELECT 'part-' || p_partkey AS ex_id, 0 AS sec_idx, 'restaurant' AS sec_name, 0 AS row_idx, i AS col_idx, ['name', 'brand name', 'size'][i + 1] AS col_name, i = 0 AS is_key, i < 2 AS is_text, [p_name, p_brand, p_size::VARCHAR][i + 1] AS text FROM part, (SELECT unnest(range(3)) AS i))
   SELECT {_CELL} FROM c"""
+SQL["box_score_files"] = f"""WITH cells AS ({SQL["box_score_cells"]}), ids AS (SELECT ex_id, 'rotowire-test-' || printf('%04d', row_number() OVER (ORDER BY ex_id) - 1) AS id FROM (SELECT DISTINCT ex_id FROM cells))
+  SELECT id AS ex_id, c.* EXCLUDE (ex_id), 'A "game" of }} ' || c.ex_id || ' \\ .' AS reference FROM cells c JOIN ids i ON c.ex_id = i.ex_id"""
+SQL["meaning_files"] = """WITH m AS (SELECT p_partkey, regexp_replace(p_name, ' .*', '') || '|' || p_brand AS attributes, CASE WHEN p_partkey % 4 > 0 THEN 'It is "' || p_type || '",' || chr(10) || 'size ' || p_size || '.' END AS said FROM part),
+  g AS (SELECT attributes, min(p_partkey) AS first, count(said) AS n_references, coalesce(string_agg(said, '|' ORDER BY p_partkey), '') AS said FROM m GROUP BY attributes), o AS (SELECT *, (row_number() OVER (ORDER BY first) - 1)::INT AS pos FROM g)
+  SELECT 'e2e-dev-' || printf('%04d', pos) AS id, pos, attributes, n_references, said FROM o"""
 SQL["cell_kinds"] = """WITH r AS (SELECT event_id, event_id::VARCHAR AS n, event_type FROM events),
   v AS (SELECT event_id, unnest([{'pos': 0, 'num': n::DOUBLE, 'i': true, 't': n}, {'pos': 1, 'num': -(n::DOUBLE), 'i': true, 't': (-event_id)::VARCHAR}, {'pos': 2, 'num': ('10' || n)::DOUBLE, 'i': true, 't': '10' || n}, {'pos': 3, 'num': NULL, 'i': false, 't': NULL},
     {'pos': 4, 'num': (n || '.5')::DOUBLE, 'i': false, 't': n || '.5'}, {'pos': 5, 'num': NULL, 'i': false, 't': NULL}, {'pos': 6, 'num': ('.' || n || 'e2')::DOUBLE, 'i': false, 't': ('.' || n || 'e2')::DOUBLE::VARCHAR}, {'pos': 7, 'num': NULL, 'i': false, 't': NULL},
