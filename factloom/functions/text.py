@@ -96,16 +96,46 @@ def word_positions(text: Column, alias: Column) -> Column:
     return bind(F.split(text, whole_word(alias), -1), starts)
 
 
+#: Tokens per machine word of the bit-parallel recurrence; a sum of two words and a carry stays below 64 bits.
+LCS_BITS = 60
+_FULL = (1 << LCS_BITS) - 1
+
+
 def lcs_length(value: Column, text: Column) -> Column:
-    """Length of the longest common subsequence of two token arrays: a fold over the text, a row of the table at a time."""
-    row0 = F.array_repeat(F.lit(0), F.size(value) + 1)
+    """Length of the longest common subsequence of two token arrays, by the bit-parallel recurrence.
+
+    A bit per token of ``value`` stands for a step of the table's row: 0 where the length grows. A token c of the text
+    turns the row V into (V + (V & M)) | (V & ~M), M being where ``value`` has c; tokens that it hasn't change nothing. Beyond
+    ``LCS_BITS`` tokens the row takes several words, and the sum's carry runs through them.
+    """
+    one = F.lit(1).cast("bigint")
+
+    def where(tokens: Column, c: Column) -> Column:
+        bits = F.transform(tokens, lambda x, i: F.when(x == c, F.call_function("shiftleft", one, i)).otherwise(F.lit(0).cast("bigint")))
+        return F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b))
+
+    def kept(v: Column, total: Column, m: Column) -> Column:
+        return total.bitwiseAND(F.lit(_FULL)).bitwiseOR(v.bitwiseAND(F.bitwise_not(m)))
+
+    def one_word(said: Column) -> Column:
+        row = F.aggregate(said, F.lit(_FULL), lambda v, c: bind(where(value, c), lambda m: kept(v, v + v.bitwiseAND(m), m)))
+        return LCS_BITS - F.bit_count(row)
+
+    def many_words(said: Column) -> Column:
+        words = F.ceil(F.size(value) / LCS_BITS).cast("int")
+
+        def step(row: Column, c: Column) -> Column:
+            def word(acc: Column, w: Column) -> Column:
+                v, m = F.get(row, w), where(F.slice(value, w * LCS_BITS + 1, F.lit(LCS_BITS)), c)
+                total = v + v.bitwiseAND(m) + acc["carry"]
+                return F.struct(F.shiftright(total, LCS_BITS).alias("carry"), F.concat(acc["row"], F.array(kept(v, total, m))).alias("row"))
 
-    def step(row: Column, token: Column) -> Column:
-        def cell(acc: Column, j: Column) -> Column:
-            take = F.when(F.get(value, j) == token, F.get(row, j) + 1).otherwise(F.greatest(F.get(row, j + 1), F.element_at(acc, -1)))
-            return F.concat(acc, F.array(take))
+            begin = F.struct(F.lit(0).cast("bigint").alias("carry"), F.array().cast("array<bigint>").alias("row"))
+            return F.aggregate(F.sequence(F.lit(0), words - 1), begin, word, lambda acc: acc["row"])
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(value) - 1), F.array(F.lit(0)), cell)
+        row = F.aggregate(said, F.array_repeat(F.lit(_FULL), words), step)
+        return F.aggregate(row, F.lit(0), lambda a, v: a + LCS_BITS - F.bit_count(v))
 
-    folded = F.element_at(F.aggregate(text, row0, step), -1)
-    return F.when(F.size(value) == 0, F.lit(0)).when(F.size(value) == 1, F.array_contains(text, F.get(value, F.lit(0))).cast("int")).otherwise(folded)
+    said = F.filter(text, lambda c: F.array_contains(value, c))
+    found = F.when(F.size(value) <= LCS_BITS, bind(said, one_word)).otherwise(bind(said, many_words))
+    return F.when(F.size(value) == 0, F.lit(0)).when(F.size(value) == 1, F.array_contains(text, F.get(value, F.lit(0))).cast("int")).otherwise(found)

@@ -6,25 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.numeric import key6
-from factloom.functions.text import numbers, sentences, strip, whole_word
-from factloom.operators import facts, relations
+from factloom.functions.text import numbers, sentences, strip
+from factloom.operators import facts, phrases, relations
+from factloom.sources.staging import staged
 
 
 def _labels(cells: DataFrame, texts: DataFrame, context: DataFrame, *keys: str) -> DataFrame:
     """Cells joined to texts (ex_id, keys, reference) with ``label``."""
-    low = F.lower("reference")
-    aliases = context.select("ex_id", F.concat(F.transform("team_aliases", lambda a: F.struct(a["alias"].alias("alias"), a["team"].alias("name"))), F.transform("player_aliases", lambda a: F.struct(a["alias"].alias("alias"), a["player"].alias("name")))).alias("aliases"))
-    found = texts.join(aliases, "ex_id", "left")
-    # A player alias inside a longer one is not a mention of its own; team aliases stand for themselves.
-    mentions = relations._mentions(low)
-    with_ctx = found.join(context.select("ex_id", "player_aliases", "team_aliases"), "ex_id", "left")
-    teams = F.transform(F.filter("team_aliases", lambda a: F.regexp_like(low, whole_word(a["alias"]))), lambda a: a["team"])
-    players = F.transform(mentions, lambda m: m["player"])
-    names = F.coalesce(F.array_union(teams, players), F.array().cast("array<string>"))
-    ready = with_ctx.select("ex_id", *keys, "reference", names.alias("names"), F.transform(numbers(F.col("reference")), key6).alias("nums"))
-    joined = cells.join(ready, "ex_id")
+    at = ["ex_id", *keys]
+    teams = context.select("ex_id", F.explode("team_aliases").alias("a")).select("ex_id", F.col("a.alias").alias("phrase"), F.col("a.team").alias("team"))
+    players = context.select("ex_id", F.explode("player_aliases").alias("a")).select("ex_id", F.col("a.alias").alias("phrase"), F.col("a.player").alias("player"))
     value = strip(F.lower("text"))
-    label = F.when(F.col("kind") == 1, F.array_contains("nums", key6(F.col("num")))).when(F.col("kind") == 2, (F.col("is_key") & F.array_contains("names", F.col("text"))) | ((value != "") & F.regexp_like(F.lower("reference"), whole_word(value))))
+    values = cells.filter("kind = 2").select("ex_id", value.alias("phrase")).filter("phrase <> ''")
+    said = staged(phrases.occurrences(texts.select(*at, F.lower("reference").alias("text")), teams.drop("team").union(players.drop("player")).union(values).distinct(), "ex_id", at), "said")
+    # A player alias inside a longer one is not a mention of its own; team aliases stand for themselves.
+    spots = said.join(players, ["ex_id", "phrase"]).groupBy(*at, "phrase", "player").agg(phrases.apart(F.array_sort(F.collect_list("start")), F.length(F.first("phrase"))).alias("starts"))
+    mentions = spots.select(*at, F.explode("starts").alias("start"), (-F.length("phrase")).alias("neglen"), "player").groupBy(*at).agg(F.collect_list(F.struct("start", "neglen", "player")).alias("every"))
+    named = mentions.select(*at, F.explode(F.transform(relations.mentions_apart(F.col("every")), lambda m: m["player"])).alias("name"))
+    names = named.union(said.join(teams, ["ex_id", "phrase"]).select(*at, F.col("team").alias("name"))).groupBy(*at).agg(F.collect_set("name").alias("names"))
+    ready = texts.select(*at, "reference", F.transform(numbers(F.col("reference")), key6).alias("nums")).join(names, at, "left")
+    hits = said.select(*at, F.col("phrase").alias("value"), F.lit(True).alias("hit")).distinct()
+    joined = cells.join(ready, "ex_id").withColumn("value", value).join(hits, [*at, "value"], "left")
+    label = F.when(F.col("kind") == 1, F.array_contains("nums", key6(F.col("num")))).when(F.col("kind") == 2, (F.col("is_key") & F.coalesce(F.array_contains("names", F.col("text")), F.lit(False))) | F.coalesce("hit", F.lit(False)))
     return joined.withColumn("label", F.coalesce(label, F.lit(False)))
 
 

@@ -97,7 +97,11 @@ def winner_claims(rows: DataFrame) -> DataFrame:
 
 def _mentions(text: Column) -> Column:
     """Non-overlapping player mentions (start, neglen, player) of a lower-cased text, the longer one first."""
-    every = F.flatten(F.transform("player_aliases", lambda a: F.transform(word_positions(text, a["alias"]), lambda p: F.struct(p.alias("start"), (-F.length(a["alias"])).alias("neglen"), a["player"].alias("player")))))
+    return mentions_apart(F.flatten(F.transform("player_aliases", lambda a: F.transform(word_positions(text, a["alias"]), lambda p: F.struct(p.alias("start"), (-F.length(a["alias"])).alias("neglen"), a["player"].alias("player"))))))
+
+
+def mentions_apart(every: Column) -> Column:
+    """Of mentions (start, neglen, player), those that no earlier, or longer and as early, one overlaps."""
     kind = "array<struct<start:int,neglen:int,player:string>>"
     kept = F.aggregate(
         F.array_sort(every.cast(kind)),

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.numeric import fixed
@@ -204,14 +204,14 @@ def decomposition(found: Battery, weights: DataFrame) -> DataFrame:
 
 def rolling(found: Battery, width: int = 75) -> DataFrame:
     """(run, x, rate): wrong relational claims in percent over a centred window of items in the order of their ids."""
-    rates = stats.rolling_rate(found.items, "rel_n_wrong", "rel_n_claims", width)
-    at = F.row_number().over(Window.partitionBy("run").orderBy("i")) - 1 + width / 2
-    return rates.select("run", at.alias("x"), (100 * F.col("rate")).alias("rate"))
+    rates = stats.rolling_places(found.items, "rel_n_wrong", "rel_n_claims", width)
+    return rates.select("run", (F.col("place") - (width - 1) + width / 2).alias("x"), (100 * F.col("rate")).alias("rate"))
 
 
 def distribution(found: Battery, column: str = "parent_f1") -> DataFrame:
     """(run, id, value, mean): every item's value and its run's mean."""
-    return found.items.select("run", "id", F.col(column).alias("value"), F.avg(column).over(Window.partitionBy("run")).alias("mean"))
+    means = found.items.groupBy("run").agg(F.avg(column).alias("mean"))
+    return found.items.select("run", "id", F.col(column).alias("value")).join(means, "run").select("run", "id", "value", "mean")
 
 
 # -- smaller reports

@@ -249,13 +249,32 @@ def select_best(values: DataFrame, metrics: Sequence[Metric], order: Sequence[st
     return wide.orderBy(*keys, "run").limit(1)
 
 
+#: Rows of a block of a rolling window; a wider window has blocks of its own width.
+ROLLING_BLOCK = 1024
+
+
+def rolling_places(items: DataFrame, num: str, den: str, width: int) -> DataFrame:
+    """(run, i, rate, place): ``rolling_rate`` with the 0-based place of each full window's last item in its run.
+
+    Rows get their places from a sort that stays dealt out, and are windowed in blocks: each block also holds the last
+    ``width - 1`` rows of the one before, so no task needs a whole run.
+    """
+    at = F.regexp_extract("id", r"(\d+)$", 1).cast("bigint")
+    rows = positioned(items.select("run", at.alias("i"), "id", F.col(num).alias("num_"), F.col(den).alias("den_")), "all_", "run", "i", "id")
+    first = rows.groupBy("run").agg(F.min("all_").alias("first_"))
+    block = max(ROLLING_BLOCK, width)
+    rows = rows.join(first, "run").withColumn("place", F.col("all_") - F.col("first_")).withColumn("own_", F.floor(F.col("place") / block))
+    # The last rows of a block are the halo of the next one.
+    into = F.when(F.col("place") % block > block - width, F.array("own_", F.col("own_") + 1)).otherwise(F.array("own_"))
+    dealt = rows.withColumn("block_", F.explode(into))
+    last = Window.partitionBy("run", "block_").orderBy("place").rowsBetween(-(width - 1), 0)
+    rate = F.try_divide(F.sum("num_").over(last), F.sum("den_").over(last))
+    return dealt.withColumn("rate", rate).filter((F.col("block_") == F.col("own_")) & (F.col("place") >= width - 1)).select("run", "i", "rate", "place")
+
+
 def rolling_rate(items: DataFrame, num: str, den: str, width: int = 75) -> DataFrame:
     """(run, i, rate): ratio of sums over the last ``width`` items by the integer that ends an id; full windows only."""
-    at = F.regexp_extract("id", r"(\d+)$", 1).cast("bigint")
-    order = Window.partitionBy("run").orderBy("i", "id")
-    last = order.rowsBetween(-(width - 1), 0)
-    out = items.withColumn("i", at).select("run", "i", F.try_divide(F.sum(num).over(last), F.sum(den).over(last)).alias("rate"), F.row_number().over(order).alias("k"))
-    return out.filter(F.col("k") >= width).drop("k")
+    return rolling_places(items, num, den, width).drop("place")
 
 
 def independent_diff(a: Sequence[float], b: Sequence[float], n_boot: int = 10_000, seed: int = 13) -> tuple[float, float, float]:

@@ -235,3 +235,42 @@ def test_decimals_round_as_the_binary_value_does(spark):
     got = df.select(*[fixed(F.col("v"), d).alias(f"d{d}") for d in (1, 3, 6)], percent(F.col("v")).alias("p")).collect()
     for v, r in zip(values, got, strict=True):
         assert tuple(r) == (f"{v:.1f}", f"{v:.3f}", f"{v:.6f}", f"{100 * v:.1f}%"), v
+
+
+def brute_lcs(x, y):
+    row = [0] * (len(x) + 1)
+    for t in y:
+        last = row
+        row = [0]
+        for j, v in enumerate(x):
+            row.append(last[j] + 1 if v == t else max(last[j + 1], row[j]))
+    return row[-1]
+
+
+def test_longest_common_subsequences_of_any_length(spark):
+    """One and several machine words, at and beside their border."""
+    rng = np.random.default_rng(11)
+    pairs = [([str(t) for t in rng.integers(0, k, m)], [str(t) for t in rng.integers(0, k, n)]) for m in (0, 1, 2, 12, 59, 60, 61, 119, 120, 121, 200) for n, k in ((0, 3), (40, 3), (300, 25))]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, v array<string>, t array<string>")
+    got = {r.i: r.n for r in df.select("i", T.lcs_length(F.col("v"), F.col("t")).alias("n")).collect()}
+    assert got == {i: brute_lcs(*p) for i, p in enumerate(pairs)}
+
+
+def test_phrases_are_found_as_a_search_for_whole_words_finds_them(spark):
+    import re
+
+    from factloom.operators import phrases
+
+    rng = np.random.default_rng(12)
+    words = ["st.", "o'neal", "a", "b-b", "los", "Los", "é", "漢字", "\U0001f600", "x_1", "7", "'76ers", "&", "a.b", "  ", "\t", "."]
+    make = lambda n: "".join(words[j] + (" " if rng.random() < 0.7 else "") for j in rng.integers(0, len(words), n))
+    texts = [(f"g{i % 3}", i, make(60)) for i in range(12)] + [("g0", 90, ""), ("none", 91, "a a")]
+    said = {(f"g{i % 3}", make(int(rng.integers(1, 4))).strip()) for i in range(200)} | {("g0", ""), ("g0", "a"), ("g1", "a"), ("g0", "nowhere")}
+    word = r"[^\W]"
+    want = {(g, i, p, m.start()) for g, i, t in texts for h, p in said if g == h and p for m in re.finditer(f"(?=(?<!{word}){re.escape(p)}(?!{word}))", t)}
+    df = spark.createDataFrame(texts, "ex_id string, s int, text string")
+    ph = spark.createDataFrame(sorted(said), "ex_id string, phrase string")
+    got = {tuple(r) for r in phrases.occurrences(df, ph, "ex_id", ["ex_id", "s"]).collect()}
+    assert got == want and len(got) > 100
+    starts = spark.createDataFrame([([0, 2, 3, 6, 7],)], "s array<int>").select(phrases.apart(F.col("s"), F.lit(3)).alias("s")).first().s
+    assert starts == [0, 3, 6]

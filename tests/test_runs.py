@@ -155,6 +155,21 @@ def test_draws_from_a_counter(spark):
     assert plan.count("Join") == 1  # of points and bounds
 
 
+def test_rolling_rates_in_blocks(spark, monkeypatch):
+    """Blocks shorter and longer than runs, a window wider than a block, ids out of order and repeated."""
+    rng = np.random.default_rng(6)
+    rows = [(r, f"{r}-{i}", int(rng.integers(5)), int(rng.integers(1, 9))) for r, n in (("A", 61), ("B", 7), ("C", 3)) for i in rng.permutation(n)] + [("A", "x-5", 1, 0)]
+    items = spark.createDataFrame(rows, "run string, id string, u long, n long").repartition(3)
+    for block, width in ((4, 3), (10, 7), (1024, 7), (4, 11)):
+        monkeypatch.setattr(stats, "ROLLING_BLOCK", block)
+        want = []
+        for run in "ABC":
+            mine = sorted((int(i.split("-")[1]), i, u, n) for r, i, u, n in rows if r == run)
+            want += [(run, mine[k][0], sum(m[2] for m in mine[k - width + 1 : k + 1]) / sum(m[3] for m in mine[k - width + 1 : k + 1])) for k in range(width - 1, len(mine))]
+        got = sorted(tuple(r) for r in stats.rolling_rate(items, "u", "n", width).collect())
+        assert [g[:2] for g in got] == [w[:2] for w in sorted(want)] and np.allclose([g[2] for g in got], [w[2] for w in sorted(want)])
+
+
 def test_independent_bounds(spark):
     metric = stats.Metric("err", "mean", ("err",), False)
     rows = [(i, i < 60, int(i % 3 == 0)) for i in range(100)]
