@@ -8,7 +8,6 @@ JSON lines), ``metrics.json`` and ``metrics_per_item.jsonl`` (as well). A config
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 from factloom.operators import claims as C
 from factloom.operators import facts, generate, overlap, prompts, relations, report, runs, serialise
 from factloom.operators import numbers as N
-from factloom.sources import loaders
+from factloom.sources import files, loaders
 from factloom.sources.staging import staged
 
 GENERATIONS, METRICS, PER_ITEM = "generations.jsonl", "metrics.json", "metrics_per_item.jsonl"
@@ -32,7 +31,7 @@ class Dataset(NamedTuple):
 
 
 def run_folder(config: dict, results: str) -> str:
-    return os.path.join(results, loaders.run_name(config))
+    return files.join(results, loaders.run_name(config))
 
 
 def load_dataset(spark: SparkSession, config: dict, data: str) -> Dataset:
@@ -43,9 +42,9 @@ def load_dataset(spark: SparkSession, config: dict, data: str) -> Dataset:
 def run_generation(spark: SparkSession, config: dict, data: str, results: str, make: Callable[[], generate.Backend]) -> str:
     """Generate what isn't there yet; returns the run's folder."""
     folder, found = run_folder(config, results), load_dataset(spark, config, data)
-    report.write_meta(config, folder)
-    path = os.path.join(folder, GENERATIONS)
-    todo = runs.todo(found.examples.select("id"), loaders.load_generations(spark, path)) if os.path.exists(path) else found.examples.select("id")
+    report.write_meta(config, folder, spark)
+    path = files.join(folder, GENERATIONS)
+    todo = runs.todo(found.examples.select("id"), loaders.load_generations(spark, path)) if files.exists(spark, path) else found.examples.select("id")
     texts = serialise.get_serialiser(config.get("serialisation", "markdown"))(found.cells.join(todo.withColumnRenamed("id", "ex_id"), "ex_id", "left_semi"))
     raw = generate.generate(prompts.messages(texts, config["prompt"]), make).withColumn("output", F.trim("output"))
     final = prompts.final_texts(raw, config["prompt"]).join(raw.select("id", F.round("seq_logprob", 4).alias("seq_logprob")), "id")
@@ -89,19 +88,18 @@ def evaluate(outputs: DataFrame, found: Dataset, parent: bool = False, scorer: C
 def run_evaluation(spark: SparkSession, config: dict, data: str, results: str, parent: bool = False, scorer: Callable[[DataFrame], DataFrame] | None = None) -> dict:
     """Evaluate a run and write its metrics; returns them."""
     folder = run_folder(config, results)
-    path = os.path.join(folder, GENERATIONS)
-    if not os.path.exists(path):
+    path = files.join(folder, GENERATIONS)
+    if not files.exists(spark, path):
         raise FileNotFoundError(f"no generations at {path}")
     metrics, records = evaluate(loaders.load_generations(spark, path).dropDuplicates(["id"]), load_dataset(spark, config, data), parent, scorer)
-    records.write.mode("overwrite").json(os.path.join(folder, PER_ITEM))
-    with open(os.path.join(folder, METRICS), "w", encoding="utf-8") as f:
-        json.dump(metrics, f, indent=2)
+    records.write.mode("overwrite").json(files.join(folder, PER_ITEM))
+    files.write_text(spark, files.join(folder, METRICS), json.dumps(metrics, indent=2))
     return metrics
 
 
 def _records(spark: SparkSession, folder: str) -> DataFrame:
-    path = os.path.join(folder, PER_ITEM)
-    if not os.path.exists(path):
+    path = files.join(folder, PER_ITEM)
+    if not files.exists(spark, path):
         raise FileNotFoundError(f"no {PER_ITEM} in {folder}: the run isn't evaluated yet")
     return spark.read.json(path)
 
@@ -109,7 +107,7 @@ def _records(spark: SparkSession, folder: str) -> DataFrame:
 def show(spark: SparkSession, config: dict, data: str, results: str, most: int = 10) -> list[str]:
     """The lines of the first items of an evaluated run."""
     folder = run_folder(config, results)
-    outputs = loaders.load_generations(spark, os.path.join(folder, GENERATIONS)).dropDuplicates(["id"])
+    outputs = loaders.load_generations(spark, files.join(folder, GENERATIONS)).dropDuplicates(["id"])
     found = load_dataset(spark, config, data)
     rows = report.item_report(_records(spark, folder), outputs, found.examples, most).orderBy("id").collect()
     return [line for r in rows for line in ("=" * 78, *r.lines)] + ["=" * 78, f"Shown {len(rows)} of {outputs.count()} generated items"]
@@ -119,12 +117,9 @@ def compare(configs: Sequence[dict], results: str) -> list[str]:
     """The table of runs, columns padded to their widest cell."""
     found = []
     for config in configs:
-        path = os.path.join(run_folder(config, results), METRICS)
-        metrics = None
-        if os.path.exists(path):
-            with open(path, encoding="utf-8") as f:
-                metrics = json.load(f)
-        found.append((config, metrics))
+        path = files.join(run_folder(config, results), METRICS)
+        spark = SparkSession.active()
+        found.append((config, json.loads(files.read_text(spark, path)) if files.exists(spark, path) else None))
     rows = report.run_comparison(found)
     widths = [max(len(r[k]) for r in rows) for k in range(len(rows[0]))]
     lines = ["  ".join(c.ljust(w) for c, w in zip(r, widths, strict=True)).rstrip() for r in rows]
@@ -133,7 +128,7 @@ def compare(configs: Sequence[dict], results: str) -> list[str]:
 
 def bias(spark: SparkSession, config: dict, data: str, results: str) -> dict:
     """Wrong winner claims of a run by whether the first-listed team won."""
-    outputs = loaders.load_generations(spark, os.path.join(run_folder(config, results), GENERATIONS)).dropDuplicates(["id"])
+    outputs = loaders.load_generations(spark, files.join(run_folder(config, results), GENERATIONS)).dropDuplicates(["id"])
     found = load_dataset(spark, config, data)
     texts = staged(outputs.select("id", "output").join(found.examples.select("id"), "id"), "outputs")
     return relations.positional_report(texts, relations.claims(texts, facts.context(found.cells)), facts.team_facts(found.cells)).first().asDict()
@@ -144,7 +139,7 @@ def write_report(spark: SparkSession, configs: Sequence[dict], results: str, out
     labels, frames = [], []
     for config in configs:
         folder, label = run_folder(config, results), runs.run_label(config)
-        outputs = loaders.load_generations(spark, os.path.join(folder, GENERATIONS)).dropDuplicates(["id"])
+        outputs = loaders.load_generations(spark, files.join(folder, GENERATIONS)).dropDuplicates(["id"])
         labels.append(label)
         frames.append(report.flatten(_records(spark, folder), outputs).withColumn("run", F.lit(label)))
     # Only columns that every run has are compared.
@@ -153,10 +148,8 @@ def write_report(spark: SparkSession, configs: Sequence[dict], results: str, out
     for f in frames[1:]:
         items = items.unionByName(f.select(*common))
     found = report.battery(items, labels, n_boot, n_folds, seed)
-    os.makedirs(out, exist_ok=True)
     for name, text in (("summary.csv", report.summary_csv(found)), ("summary.md", report.summary_md(found))):
-        with open(os.path.join(out, name), "w", encoding="utf-8", newline="") as f:
-            f.write(text)
+        files.write_text(spark, files.join(out, name), text)
     return found
 
 

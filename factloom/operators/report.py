@@ -13,11 +13,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions.numeric import fixed
 from factloom.operators import overlap, stats
+from factloom.sources import files, loaders
 from factloom.sources.staging import staged
 
 
@@ -274,23 +275,17 @@ def set_seed(seed: int) -> None:
     np.random.seed(seed)
 
 
-def write_meta(config: dict, folder: str) -> None:
+def write_meta(config: dict, folder: str, spark: SparkSession | None = None) -> None:
     """A run's ``meta.json``: its configuration and that one's hash."""
-    import os
+    document = {"config": config, "config_hash": loaders.config_hash(config)}
+    files.write_text(spark or SparkSession.active(), files.join(folder, "meta.json"), json.dumps(document, indent=2))
 
-    from factloom.sources.loaders import config_hash
 
-    os.makedirs(folder, exist_ok=True)
-    with open(os.path.join(folder, "meta.json"), "w", encoding="utf-8") as f:
-        json.dump({"config": config, "config_hash": config_hash(config)}, f, indent=2)
-
-
-def rewrite_log(path: str, step: int) -> int:
+def rewrite_log(path: str, step: int, spark: SparkSession | None = None) -> int:
     """Drop the lines of a training log past the step that it resumes from; returns how many went."""
-    with open(path, encoding="utf-8") as f:
-        rows = [line for line in f if line.strip()]
+    spark = spark or SparkSession.active()
+    rows = [line for line in files.read_text(spark, path).split("\n") if line.strip()]
     kept = [line for line in rows if json.loads(line)["step"] <= step]
     if len(kept) < len(rows):
-        with open(path, "w", encoding="utf-8") as f:
-            f.writelines(line if line.endswith("\n") else line + "\n" for line in kept)
+        files.write_text(spark, path, "".join(line + "\n" for line in kept))
     return len(rows) - len(kept)

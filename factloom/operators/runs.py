@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.numeric import fixed, fixed3, percent
+from factloom.sources import files
+from factloom.sources.loaders import GENERATION
+from factloom.sources.sink import Sink
 
 
 def match_outputs(outputs: DataFrame, examples: DataFrame) -> tuple[DataFrame, int]:
@@ -21,13 +24,9 @@ def todo(examples: DataFrame, done: DataFrame) -> DataFrame:
     return examples.join(done.select("id").distinct(), "id", "left_anti")
 
 
-def append_generations(new: DataFrame, path: str) -> None:
-    """Append generations that aren't in the sink yet, as JSON lines; running it twice adds nothing."""
-    spark = new.sparkSession
-    there = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = there.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(there)
-    seen = spark.read.schema("id string").json(path) if exists else spark.createDataFrame([], "id string")
-    new.dropDuplicates(["id"]).join(seen.select("id").distinct(), "id", "left_anti").write.mode("append").json(path)
+def append_generations(new: DataFrame, path: str, batch: str | None = None) -> int:
+    """Publish generations that aren't in the sink yet; returns how many. Running it twice, or half, adds nothing twice."""
+    return Sink(new.sparkSession, path, GENERATION).append(new, batch)
 
 
 def item_metrics(outputs: DataFrame, numbers: DataFrame, relations: DataFrame, claims: DataFrame | None = None, parent: DataFrame | None = None, bleu: DataFrame | None = None) -> DataFrame:
@@ -92,8 +91,7 @@ def run_label(config: dict) -> str:
 
 def write_metrics(aggregates: DataFrame, path: str) -> None:
     """A one-row aggregate as a JSON document."""
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(aggregates.first().asDict(recursive=True), f, indent=2)
+    files.write_text(aggregates.sparkSession, path, json.dumps(aggregates.first().asDict(recursive=True), indent=2))
 
 
 def truncate_log(log: DataFrame, step: int) -> DataFrame:

@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions.text import strip
+from factloom.sources import files
 from factloom.sources.cells import from_strings
 from factloom.sources.ranges import csv_records, json_records
+from factloom.sources.sink import LOG, Sink
 from factloom.sources.staging import positioned
 
 # Columns of a player row in the order in which they are shown, and columns that aren't statistics.
@@ -121,7 +123,9 @@ GENERATION = "id string, output string, seq_logprob double, raw_output string"
 
 
 def load_generations(spark: SparkSession, path: str) -> DataFrame:
-    """Generated texts from JSON lines; blank lines are skipped."""
+    """Generated texts from a sink's published batches, or from plain JSON lines; blank lines are skipped."""
+    if files.exists(spark, files.join(path, LOG)):
+        return Sink(spark, path, GENERATION).read().filter("id IS NOT NULL")
     return spark.read.schema(GENERATION).json(path).filter("id IS NOT NULL")
 
 

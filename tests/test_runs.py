@@ -189,6 +189,46 @@ def test_missing_values_rank_last(spark):
         assert [r.run for r in got] == want
 
 
+def test_a_batch_that_fails_half_way_adds_nothing(spark, tmp_path):
+    """The second task of the first attempt fails after the first has written; then the batch is retried, and repeated."""
+    from factloom.sources.sink import Sink
+
+    path, flag = str(tmp_path / "out"), tmp_path / "failed"
+    @F.udf("string")
+    def say(i):
+        if i == 17 and not flag.exists():
+            flag.write_text("")
+            raise RuntimeError("lost")
+        return f"text {i}"
+
+    rows = spark.range(40).select(F.concat(F.lit("g"), F.col("id").cast("string")).alias("id"), say("id").alias("output"))
+    sink = Sink(spark, path, loaders.GENERATION)
+    with pytest.raises(Exception, match="lost"):
+        sink.append(rows, "batch-1")
+    assert sink.entries() == [] and sink.read().count() == 0
+    assert [sink.append(rows, "batch-1") for _ in range(3)] == [40, 0, 0]
+    assert sink.append(rows.limit(5).unionByName(spark.createDataFrame([("new", "x"), ("new", "y")], "id string, output string")), "batch-2") == 1
+    assert [e["rows"] for e in sink.entries()] == [40, 1] and loaders.load_generations(spark, path).count() == 41
+
+
+def test_writers_that_meet_keep_keys_unique(spark, tmp_path, monkeypatch):
+    from factloom.sources.sink import Sink
+
+    path = str(tmp_path / "out")
+    mine, other = Sink(spark, path, loaders.GENERATION), Sink(spark, path, loaders.GENERATION)
+    publish = mine._publish
+
+    def late(number, entry):
+        monkeypatch.setattr(mine, "_publish", publish)
+        other.append(spark.createDataFrame([("a", "theirs"), ("b", "theirs")], "id string, output string"), "theirs")
+        return publish(number, entry)
+
+    monkeypatch.setattr(mine, "_publish", late)
+    assert mine.append(spark.createDataFrame([("b", "mine"), ("c", "mine")], "id string, output string"), "mine") == 1
+    assert sorted((r.id, r.output) for r in mine.read().collect()) == [("a", "theirs"), ("b", "theirs"), ("c", "mine")]
+    assert len(list((tmp_path / "out" / "data").iterdir())) == 2
+
+
 def test_reports(spark):
     ci = spark.createDataFrame([("m", "A", 0.5, 0.4, 0.6)], "metric string, run string, point double, lo double, hi double")
     assert runs.summary_lines(ci).first().line == "| m | A | 0.5000 [0.4000, 0.6000] |"
