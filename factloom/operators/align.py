@@ -31,19 +31,19 @@ def _labels(cells: DataFrame, texts: DataFrame, context: DataFrame, *keys: str)
     return joined.withColumn("label", F.coalesce(label, F.lit(False)))
 
 
-def alignment_labels(cells: DataFrame, references: DataFrame) -> DataFrame:
-    """(ex_id, sec_idx, row_idx, col_idx, label): whether a reference (ex_id, reference) mentions each cell."""
-    return _labels(cells, references, facts.context(cells)).select("ex_id", "sec_idx", "row_idx", "col_idx", "label")
-
-
-def filter_references(cells: DataFrame, references: DataFrame) -> DataFrame:
-    """(ex_id, reference) of the sentences that mention a cell and make no wrong claim; empty if none is left."""
-    context = facts.context(cells)
-    parts = references.select("ex_id", F.posexplode(sentences(F.col("reference"))).alias("s", "reference"))
-    mentioned = _labels(cells, parts, context, "s").groupBy("ex_id", "s").agg(F.bool_or("label").alias("any"), F.first("reference").alias("sentence"))
-    as_outputs = parts.select(F.concat_ws("\x1f", "ex_id", "s").alias("id"), "ex_id", F.col("reference").alias("output"))
-    rows = as_outputs.select("id", F.lit(0).alias("pos"), F.col("output").alias("sentence"), F.col("ex_id").alias("c_id")).join(context, F.col("c_id") == F.col("ex_id")).drop("c_id")
+def alignment_labels(cells: DataFrame, references: DataFrame, *keys: str) -> DataFrame:
+    """(ex_id, keys, sec_idx, row_idx, col_idx, label): whether a reference (ex_id, keys, reference) mentions each cell."""
+    return _labels(cells, references, facts.context(cells), *keys).select("ex_id", *keys, "sec_idx", "row_idx", "col_idx", "label")
+
+
+def filter_references(cells: DataFrame, references: DataFrame, *keys: str) -> DataFrame:
+    """(ex_id, keys, reference) of the sentences that mention a cell and make no wrong claim; empty if none is left."""
+    context, at = facts.context(cells), ["ex_id", *keys]
+    parts = references.select(*at, F.posexplode(sentences(F.col("reference"))).alias("s", "reference"))
+    mentioned = _labels(cells, parts, context, *keys, "s").groupBy(*at, "s").agg(F.bool_or("label").alias("any"), F.first("reference").alias("sentence"))
+    key = F.concat_ws("\x1f", *at, "s")
+    rows = parts.select(key.alias("id"), F.lit(0).alias("pos"), F.col("reference").alias("sentence"), F.col("ex_id").alias("c_id")).join(context, F.col("c_id") == F.col("ex_id")).drop("c_id")
     wrong = relations.winner_claims(rows).select("id", "claim.correct").unionByName(relations.player_claims(rows).select("id", "claim.correct")).filter("NOT correct").select("id").distinct()
-    kept = mentioned.filter("any").withColumn("id", F.concat_ws("\x1f", "ex_id", "s")).join(wrong, "id", "left_anti")
-    out = kept.groupBy("ex_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", "sentence"))), lambda x: x["sentence"]), " ").alias("reference"))
-    return references.select("ex_id").join(out, "ex_id", "left").select("ex_id", F.coalesce("reference", F.lit("")).alias("reference"))
+    kept = mentioned.filter("any").withColumn("id", key).join(wrong, "id", "left_anti")
+    out = kept.groupBy(*at).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", "sentence"))), lambda x: x["sentence"]), " ").alias("reference"))
+    return references.select(*at).join(out, at, "left").select(*at, F.coalesce("reference", F.lit("")).alias("reference"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import numeric as V
 from factloom.functions import text as T
-from factloom.operators import align, claims, facts, features, numbers, overlap, prompts, relations, report, runs, serialise, stats
+from factloom.operators import align, claims, dataset, facts, features, numbers, overlap, prompts, relations, report, runs, serialise, stats
 from factloom.plans import oracles, text_oracles
 from factloom.sources import games as G
 from factloom.sources import loaders
@@ -557,6 +557,18 @@ def collated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", *[F.array_join(c, ",").alias(c) for c in ("input_ids", "labels", "attention", "soft_pos")])
 
 
+@query
+def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training rows of all games with their texts as references, filtered, cut at thirty ids and packed; an id per token."""
+    games = G.games(spark, sf_dir)
+    examples = games.texts.select(F.col("id").alias("ex_id"), F.array("output").alias("references"))
+    ids = lambda text: F.transform(T.tokens(text), lambda t: F.length(t) + 10)
+    prompt = dataset.split_prompt([1, 5, 9, 9, 7], [9, 9])
+    rows = dataset.pack(staged(dataset.training_rows(examples, games.cells, ids, prompt, 2, "augmentation", True, 1, 30), "rows"), 4000)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.select("ex_id", "ref", F.size("ref_ids").alias("n_ref_ids"), total("ref_ids").alias("ref_sum"), F.size("table_ids").alias("n_table_ids"), F.size("aux_labels").alias("n_cells"), total("aux_labels").alias("n_mentioned"), "block", "batch")
+
+
 @query
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON documents read and written again as one nested record each."""

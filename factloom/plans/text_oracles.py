@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.plans.oracles import _DRAWS, _LETTERS, CELLS, GAMES, NUMBERS, TEXTS, _bleu_items, _numbers, _sentences, _tokens, counted
+from factloom.plans.oracles import _DRAWS, _LETTERS, CELLS, ORACLE_SQL, GAMES, NUMBERS, TEXTS, _bleu_items, _numbers, _sentences, _tokens, counted
 
 _WORDS = "regexp_extract_all(lower({}), '[a-z0-9]+')"
 
@@ -166,3 +166,13 @@ SQL["collated_rows"] = """WITH r AS (SELECT vec_id, vec_id // 10 AS batch, list_
   SELECT vec_id, array_to_string(ids || list_transform(range(pad), lambda i: 0), ',') AS input_ids, array_to_string(list_transform(range(given), lambda i: -100) || r || list_transform(range(pad), lambda i: -100), ',') AS labels,
     array_to_string(list_transform(range(len(ids)), lambda i: 1) || list_transform(range(pad), lambda i: 0), ',') AS attention, array_to_string([len(p), len(p) + 1, len(p) + 2], ',') AS soft_pos FROM w"""
 SQL["json_props"] = """SELECT event_id, (props->>'$.k')::BIGINT AS k, '{"type":"' || event_type || '","inner":{"n":' || (props->>'$.k') || '}}' AS record FROM events"""
+
+_LOW = SQL["align_labels"].index("low AS (")
+_LOW_END = SQL["align_labels"].index("FROM texts)", _LOW) + len("FROM texts)")
+_KEPT_LABELS = SQL["align_labels"][:_LOW] + f"low AS (SELECT ex_id AS id, lower(reference) AS t, list_transform({_numbers('reference')}, lambda v: round(v, 6)) AS ns FROM kept_refs)" + SQL["align_labels"][_LOW_END:]
+SQL["training_rows"] = f"""WITH kept_refs AS (SELECT * FROM ({SQL['filter_reference']}) WHERE reference <> ''), labels AS (SELECT ex_id, count(*)::INT AS n_cells, count(*) FILTER (label)::BIGINT AS n_mentioned FROM ({_KEPT_LABELS}) GROUP BY ex_id),
+  md AS (SELECT ex_id, len({_tokens('text')})::INT AS n_table_ids FROM ({ORACLE_SQL['md_serialise_game']})),
+  ids AS (SELECT ex_id, list_transform({_tokens('reference')}, lambda t: (length(t) + 10)::BIGINT) AS ids FROM kept_refs), cut AS (SELECT ex_id, CASE WHEN len(ids) > 30 THEN ids[:30] ELSE ids || [2] END AS ids FROM ids),
+  r AS (SELECT ex_id, 0 AS ref, len(ids)::INT AS n_ref_ids, list_sum(ids)::BIGINT AS ref_sum, n_table_ids, n_cells, n_mentioned FROM cut JOIN labels USING (ex_id) JOIN md USING (ex_id)),
+  p AS (SELECT *, (row_number() OVER (ORDER BY ex_id) - 1) // 1024 AS block FROM r)
+  SELECT *, (coalesce(sum(3 + n_ref_ids + n_table_ids) OVER (PARTITION BY block ORDER BY ex_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 4000)::BIGINT AS batch FROM p"""
