@@ -78,11 +78,11 @@ class Battery:
     fold_ranks: DataFrame
 
 
-def battery(items: DataFrame, labels: Sequence[str], n_boot: int = 10_000, n_folds: int = 0, seed: int = 13, weights: DataFrame | None = None) -> Battery:
+def battery(items: DataFrame, labels: Sequence[str], n_boot: int = 10_000, n_folds: int = 0, seed: int = 13, weights: DataFrame | stats.Draws | None = None) -> Battery:
     """Compare runs: items (run, id, metric columns), one row per run and item.
 
-    Only items of all runs count. n_folds: 0 takes 3 below 400 items, else 5. weights: (b, item, w); those of numpy's
-    generator if not given.
+    Only items of all runs count. n_folds: 0 takes 3 below 400 items, else 5. weights: (b, item, w), or draws that the items
+    derive; those of numpy's generator if not given, which is for items that fit the driver.
     """
     labels = list(labels)
     if len(set(labels)) != len(labels):
@@ -108,7 +108,7 @@ def battery(items: DataFrame, labels: Sequence[str], n_boot: int = 10_000, n_fol
             diffs = one if diffs is None else diffs.unionByName(one)
     if diffs is None:
         diffs = items.sparkSession.createDataFrame([], "rival string, metric string, diff double, lo double, hi double")
-    k = n_folds or (3 if n < 400 else 5)
+    k = n_folds or stats.n_folds(n)
     primary = [m for m in metrics if m.name == stats.SELECTION[0]]
     ranked = items.sparkSession.createDataFrame([], "run string, fold int, metric string, value double, rank int")
     if primary and n >= k:

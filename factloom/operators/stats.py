@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factloom.functions.text import bind
 from factloom.operators import overlap
 from factloom.sources.staging import positioned
 
@@ -111,8 +112,11 @@ class Draws:
         return np.searchsorted(np.array(POISSON), u, "right")
 
 
+_ROUNDS = ((15, 48_271), (13, 69_621), (16, 39_373))
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
-    for shift, factor in ((15, 48_271), (13, 69_621), (16, 39_373)):
+    for shift, factor in _ROUNDS:
         x = (x ^ (x >> shift)) * factor % _MOD
     return x
 
@@ -225,12 +229,33 @@ def fold_of(n: int, k: int, seed: int = 13) -> dict[int, int]:
     return {int(i): f for f, part in enumerate(parts) for i in part}
 
 
-def fold_points(items: DataFrame, folds: dict[int, int], metrics: Sequence[Metric]) -> DataFrame:
-    """(run, fold, metric, value); the folds of a run's items are a small table."""
-    table = items.sparkSession.createDataFrame(pd.DataFrame({"item": list(folds), "fold": list(folds.values())}).astype("int32"))
+def fold_points(items: DataFrame, folds: dict[int, int] | DataFrame, metrics: Sequence[Metric]) -> DataFrame:
+    """(run, fold, metric, value); folds: each item's, as a dict or a table."""
+    table = folds if isinstance(folds, DataFrame) else items.sparkSession.createDataFrame(pd.DataFrame({"item": list(folds), "fold": list(folds.values())}).astype("int32"))
     return points(items.join(table, "item"), metrics, ("run", "fold"))
 
 
+def hashed_folds(items: DataFrame, k: int, seed: int = 13) -> DataFrame:
+    """(item, fold): the items in the order of a hash of (seed, item), cut into k parts whose sizes differ by one at most."""
+    numbers = items.select("item").distinct()
+    n = numbers.count()
+    if not 2 <= k <= n:
+        raise ValueError("there must be at least two folds and no more than items")
+    key = (F.col("item").cast("long") * 40_692 + seed * 1_000_003 + 1) % _MOD
+    for shift, factor in _ROUNDS:
+        key = bind(key, lambda x: x.bitwiseXOR(F.shiftright(x, shift)) * factor % _MOD)  # noqa: B023
+    placed = positioned(numbers.withColumn("key_", key), "place_", "key_", "item")
+    size, longer = divmod(n, k)
+    at = F.col("place_")
+    fold = F.when(at < longer * (size + 1), F.floor(at / (size + 1))).otherwise(longer + F.floor((at - longer * (size + 1)) / size))
+    return placed.select("item", fold.cast("int").alias("fold"))
+
+
+def n_folds(items: int) -> int:
+    """Three folds below 400 items, else five."""
+    return 3 if items < 400 else 5
+
+
 def ranks(values: DataFrame, metrics: Sequence[Metric], by: Sequence[str] = ()) -> DataFrame:
     """``values`` with ``rank`` from 1 per metric (and by): the better value first, no value last, ties by run order."""
     better = F.lit(False)

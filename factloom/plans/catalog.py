@@ -182,6 +182,20 @@ def parent_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(overlap.parent_items(_pairs(games.texts), games.cells))
 
 
+@query
+def cooccurrence_entailment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How likely each game's table entails the word pairs of its text, by how often table tokens and words stand together."""
+    games = G.games(spark, sf_dir)
+    entries = overlap.table_entries(games.cells)
+    held = entries.select(F.col("ex_id").alias("id"), F.explode(F.concat("value", F.array(F.array_join("attr", "_")))).alias("b")).distinct()
+    words = games.texts.select("id", F.explode(F.array_distinct(T.tokens(F.col("reference")))).alias("x"))
+    alone = held.groupBy(F.col("b").alias("key")).agg(F.count(F.lit(1)).alias("count"))
+    pairs = held.join(words, "id").groupBy(F.concat_ws("|||", "b", "x").alias("key")).agg(F.count(F.lit(1)).alias("count"))
+    grams = games.texts.select("id", F.explode(T.ngrams(T.tokens(F.col("output")), 2)).alias("gram")).select("id", F.split("gram", "\x1f").alias("gram"))
+    found = overlap.cooccurrence_entailment(grams, games.cells, overlap.cooccurrence_ratios(staged(alone.union(pairs), "counts")))
+    return found.groupBy("id").agg(F.count(F.lit(1)).alias("n_grams"), F.round(F.avg("probability"), 6).alias("mean_probability"), F.count_if(F.col("probability") >= 0.999999).alias("n_certain"))
+
+
 @query
 def md_serialise_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X16 on single-row tables."""
@@ -396,6 +410,14 @@ def fold_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(stats.ranks(values, TWO_RUN_METRICS, ("fold",)))
 
 
+@query
+def fold_rank_permuted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks of the runs in three folds, or five from 400 items on, of the items in a permuted order."""
+    items = _two_runs(spark, sf_dir)
+    values = stats.fold_points(items, stats.hashed_folds(items, stats.n_folds(_n_items(items))), TWO_RUN_METRICS)
+    return _rounded(stats.ranks(values, TWO_RUN_METRICS, ("fold",)))
+
+
 @query
 def rolling_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rate over the last 75 items."""
@@ -492,6 +514,23 @@ def report_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(report.panels(found), 6)
 
 
+@query
+def report_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report on both runs over relational claims, numbers, BLEU, PARENT and log probabilities, with intervals."""
+    games = G.games(spark, sf_dir)
+    better = F.when(F.col("pair") % 2 == 1, F.col("reference")).otherwise(F.col("output"))
+    items = None
+    for run, output in (("A", F.col("output")), ("B", better)):
+        texts = staged(games.texts.withColumn("output", output), "texts")
+        parent = _rounded(overlap.parent_items(_pairs(texts), games.cells))
+        found = numbers.score_items(texts, games.cells)
+        rel = relations.score_items(texts, relations.claims(texts, facts.context(games.cells)))
+        records = report.item_records(texts, found, rel, parent=parent, bleu=overlap.bleu_items(_pairs(texts)))
+        flat = report.flatten(staged(records, "records"), texts.withColumn("seq_logprob", -(F.length("output") % 97) / 97)).withColumn("run", F.lit(run))
+        items = flat if items is None else items.unionByName(flat)
+    return _rounded(report.panels(report.battery(items, ["A", "B"], n_boot=REPLICATES, weights=stats.Draws(REPLICATES))), 6)
+
+
 @query
 def relations_item(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A5: relational claims of each text."""

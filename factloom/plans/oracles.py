@@ -194,15 +194,27 @@ w AS (SELECT b, ((b * 7919 + j * 104729 + (b * j) % 613) * 31 % 2147483647) % n
 draws AS ({_values('items JOIN w USING (item)', 'run, b', 'w')}), pts AS ({_values('items', 'run')})"""
 
 
+def _mixed(frm: str, keys: str) -> str:
+    for shift, factor in ((15, 48_271), (13, 69_621), (16, 39_373)):
+        frm = f"(SELECT {keys}, xor(x, x >> {shift}) * {factor} % 2147483647 AS x FROM {frm})"
+    return frm
+
+
+def _hashed(items: str, seed: int = 13) -> str:
+    return _mixed(f"(SELECT item, (item * 40692 + {seed} * 1000003 + 1) % 2147483647 AS x FROM {items})", "item")
+
+
+def permuted(sql: str) -> str:
+    """``fold_rank`` with folds of the items in hashed order, three or from 400 items on five, whose sizes differ by one at most."""
+    fold = "CASE WHEN spot < n % k * (n // k + 1) THEN spot // (n // k + 1) ELSE n % k + (spot - n % k * (n // k + 1)) // (n // k) END"
+    cut = f"SELECT item, ({fold})::INT AS fold FROM (SELECT item, row_number() OVER (ORDER BY x, item) - 1 AS spot, count(*) OVER () AS n, CASE WHEN count(*) OVER () < 400 THEN 3 ELSE 5 END AS k FROM {_hashed('(SELECT DISTINCT item FROM items)')})"
+    return sql.replace("(SELECT *, (item % 3)::INT AS fold FROM items)", f"(SELECT * FROM items JOIN ({cut}) USING (item))")
+
+
 def counted(n: str, replicates: int = 10_000, seed: int = 13) -> str:
     """A query of (item, b, w) with w > 0: the weights of a Poisson bootstrap over items 0 to n - 1, by hash."""
-    def mixed(frm: str, keys: str) -> str:
-        for shift, factor in ((15, 48_271), (13, 69_621), (16, 39_373)):
-            frm = f"(SELECT {keys}, xor(x, x >> {shift}) * {factor} % 2147483647 AS x FROM {frm})"
-        return frm
-
-    keyed = mixed(f"(SELECT item, (item * 40692 + {seed} * 1000003 + 1) % 2147483647 AS x FROM (SELECT unnest(range(0, {n})) AS item))", "item")
-    both = mixed(f"(SELECT item, b, (x + (b + 1) * 1566083) % 2147483647 AS x FROM {keyed}, (SELECT unnest(range(0, {replicates})) AS b))", "item, b")
+    keyed = _hashed(f"(SELECT unnest(range(0, {n})) AS item)", seed)
+    both = _mixed(f"(SELECT item, b, (x + (b + 1) * 1566083) % 2147483647 AS x FROM {keyed}, (SELECT unnest(range(0, {replicates})) AS b))", "item, b")
     bounds = [int(2147483647 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(10)]
     return f"SELECT item, b, {' + '.join(f'(x >= {t})::INT' for t in bounds)} AS w FROM {both} WHERE x >= {bounds[0]}"
 

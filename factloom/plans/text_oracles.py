@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.plans.oracles import _DRAWS, _LETTERS, CELLS, ORACLE_SQL, GAMES, NUMBERS, TEXTS, _bleu_items, _numbers, _sentences, _tokens, counted
+from factloom.plans.oracles import _DRAWS, _LETTERS, CELLS, ORACLE_SQL, GAMES, NUMBERS, TEXTS, _bleu_items, _numbers, _sentences, _tokens, counted, permuted
 
 _WORDS = "regexp_extract_all(lower({}), '[a-z0-9]+')"
 
@@ -176,3 +176,32 @@ SQL["training_rows"] = f"""WITH kept_refs AS (SELECT * FROM ({SQL['filter_refere
   r AS (SELECT ex_id, 0 AS ref, len(ids)::INT AS n_ref_ids, list_sum(ids)::BIGINT AS ref_sum, n_table_ids, n_cells, n_mentioned FROM cut JOIN labels USING (ex_id) JOIN md USING (ex_id)),
   p AS (SELECT *, (row_number() OVER (ORDER BY ex_id) - 1) // 1024 AS block FROM r)
   SELECT *, (coalesce(sum(3 + n_ref_ids + n_table_ids) OVER (PARTITION BY block ORDER BY ex_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 4000)::BIGINT AS batch FROM p"""
+
+_TEXTS_B = TEXTS.replace("texts AS (", "texts_a AS (") + ", texts AS (SELECT * REPLACE (CASE WHEN pair % 2 = 1 THEN reference ELSE output END AS output) FROM texts_a)"
+_ITEMS = f"""SELECT * FROM ({SQL['item_metrics']}) i JOIN (SELECT id, f1 AS parent_f1 FROM ({SQL['parent_items']})) USING (id) JOIN (WITH {TEXTS} SELECT id, -(length(output) % 97) / 97 AS seq_logprob FROM texts) USING (id)"""
+
+
+def _catalogue(frm: str, keys: str, w: str = "1") -> str:
+    m, t = ([f"sum({w} * bleu_{c}_{n})" for n in range(1, 5)] for c in ("match", "total"))
+    h, r = f"sum({w} * bleu_hyp_len)", f"sum({w} * bleu_ref_len)"
+    logs = " + ".join(f"ln({a} / {b})" for a, b in zip(m, t, strict=True))
+    bleu = f"CASE WHEN {' OR '.join(f'{a} = 0' for a in m)} THEN 0 ELSE 100 * CASE WHEN {h} > {r} THEN 1 ELSE exp(1 - {r} / {h}) END * exp(({logs}) / 4) END"
+    values = [f"sum({w} * rel_n_wrong) / sum({w} * rel_n_claims)", f"sum({w} * (rel_n_wrong > 0)::INT) / sum({w})", f"sum({w} * num_n_unsupported) / sum({w} * num_n_numbers)", f"sum({w} * parent_f1) / sum({w})", bleu, f"sum({w} * seq_logprob) / sum({w})"]
+    return f"SELECT {keys}, unnest(['rel_wrong', 'rel_items', 'num_unsupported', 'parent', 'bleu', 'seq_logprob']) AS metric, unnest([{', '.join(values)}]) AS value FROM {frm} GROUP BY {keys}"
+
+
+SQL["report_catalogue"] = f"""WITH items AS (SELECT *, dense_rank() OVER (ORDER BY id) - 1 AS item FROM (SELECT 'A' AS run, * FROM ({_ITEMS}) UNION ALL SELECT 'B', * FROM ({_ITEMS.replace(TEXTS, _TEXTS_B)}))),
+  w AS ({counted('(SELECT max(item) + 1 FROM items)')}), draws AS ({_catalogue('items JOIN w USING (item)', 'run, b', 'w')}), pts AS ({_catalogue('items', 'run')}),
+  info(metric, label, higher_better, scale) AS (VALUES ('rel_wrong', 'Wrong relational claims', false, 100), ('rel_items', 'Items with relational error', false, 100), ('num_unsupported', 'Unsupported numbers', false, 100), ('parent', 'PARENT F1', true, 1), ('bleu', 'BLEU', true, 1), ('seq_logprob', 'Seq-logprob', true, 1))
+  SELECT metric, label, run, round(any_value(p.value) * any_value(scale), 6) AS point, round(quantile_cont(d.value, 0.025) * any_value(scale), 6) AS lo, round(quantile_cont(d.value, 0.975) * any_value(scale), 6) AS hi, higher_better
+  FROM pts p JOIN draws d USING (run, metric) JOIN info USING (metric) GROUP BY metric, label, run, higher_better"""
+SQL["fold_rank_permuted"] = permuted(ORACLE_SQL["fold_rank"])
+_ATTR = f"array_to_string({_tokens("CASE WHEN n_sec_rows = 1 THEN col_name ELSE entity || ' ' || col_name END")}, '_')"
+SQL["cooccurrence_entailment"] = f"""WITH {TEXTS},
+  held AS (SELECT DISTINCT ex_id AS id, unnest(list_append({_tokens('text')}, {_ATTR})) AS b FROM full_cells WHERE text IS NOT NULL),
+  words AS (SELECT DISTINCT id, unnest({_tokens('reference')}) AS x FROM texts), alone AS (SELECT b, count(*) AS n FROM held GROUP BY b),
+  ratios AS (SELECT b, x, any_value(p.n) / any_value(a.n) AS p FROM (SELECT b, x, count(*) AS n FROM held JOIN words USING (id) GROUP BY ALL) p JOIN alone a USING (b) GROUP BY b, x),
+  toks AS (SELECT id, {_tokens('output')} AS t FROM texts), grams AS (SELECT DISTINCT id, t[i] AS x, t[i + 1] AS y FROM (SELECT id, t, unnest(range(1, len(t))) AS i FROM toks)),
+  best AS (SELECT id, x, max(p) AS p FROM held JOIN ratios USING (b) GROUP BY ALL), said AS (SELECT DISTINCT id, unnest(t) AS x FROM toks),
+  p AS (SELECT s.id, s.x, CASE WHEN h.b IS NOT NULL THEN 1 ELSE coalesce(p, 0) END AS p FROM said s LEFT JOIN held h ON s.id = h.id AND s.x = h.b LEFT JOIN best b ON s.id = b.id AND s.x = b.x)
+  SELECT id, count(*) AS n_grams, round(avg(sqrt(a.p * z.p)), 6) AS mean_probability, count(*) FILTER (sqrt(a.p * z.p) >= 0.999999) AS n_certain FROM grams g JOIN p a USING (id, x) JOIN p z ON g.id = z.id AND g.y = z.x GROUP BY id"""
