@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import numeric as V
 from factloom.functions import text as T
-from factloom.operators import align, claims, dataset, facts, features, numbers, overlap, prompts, relations, report, runs, serialise, stats
+from factloom.operators import align, claims, dataset, facts, features, numbers, overlap, prompts, relations, report, runs, serialise, stats, table_functions
 from factloom.plans import oracles, text_oracles
 from factloom.sources import games as G
 from factloom.sources import loaders
@@ -70,6 +70,13 @@ def claim_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_units"), F.sum(F.length("u")).alias("n_chars"))
 
 
+@query
+def claim_rows_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2.12, X6: the claim units of all documents by the table function, from SQL."""
+    table_functions.register(spark)
+    return spark.sql("SELECT d.doc_id, c.pos, length(c.unit) AS n_chars, md5(c.unit) AS digest FROM {docs} d, LATERAL claim_rows(d.text) c", docs=_docs(spark, sf_dir))
+
+
 @query
 def game_team_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Result of every game."""

@@ -91,6 +91,10 @@ ORACLE_SQL: dict[str, str] = {
     "doc_tokens_top": f"SELECT lang, token, n FROM (SELECT lang, token, count(*) AS n FROM (SELECT lang, unnest({_tokens('text')}) AS token FROM documents) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, token) <= 20",
     "claim_units": rf"""SELECT doc_id, count(*)::BIGINT AS n_units, sum(length(u))::BIGINT AS n_chars FROM (SELECT doc_id, trim(unnest(string_split(regexp_replace(regexp_replace(s, ';\s+|,\s+while\s+', chr(31), 'g'), ',\s+and\s+([A-Z])', chr(31) || '\1', 'g'), chr(31))), ' ,') AS u FROM (SELECT doc_id, unnest({_sentences('text')}) AS s FROM documents))
       WHERE u <> '' AND len(regexp_extract_all(u, '[A-Za-z]{{2,}}')) >= 3 GROUP BY doc_id""",
+    "claim_rows_sql": rf"""WITH s AS (SELECT doc_id, i, s[i] AS s FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, {_sentences('text')} AS s FROM documents))),
+      p AS (SELECT doc_id, i, string_split(regexp_replace(regexp_replace(s, ';\s+|,\s+while\s+', chr(31), 'g'), ',\s+and\s+([A-Z])', chr(31) || '\1', 'g'), chr(31)) AS u FROM s),
+      e AS (SELECT doc_id, i, k, trim(u[k], ' ,') AS u FROM (SELECT doc_id, i, u, unnest(range(1, len(u) + 1)) AS k FROM p))
+      SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1)::INT AS pos, length(u)::INT AS n_chars, md5(u) AS digest FROM e WHERE u <> '' AND len(regexp_extract_all(u, '[A-Za-z]{{2,}}')) >= 3""",
     "game_team_facts": f"WITH {GAMES} SELECT ex_id, team0, team1, pts0::DOUBLE AS pts0, pts1::DOUBLE AS pts1, tie, winner, loser, margin::DOUBLE AS margin FROM facts",
     "game_leaders": f"""WITH {GAMES}, s AS (SELECT ex_id, player, lower(city) AS city, unnest([{{'stat': 'PTS', 'v': pts}}, {{'stat': 'REB', 'v': reb}}, {{'stat': 'AST', 'v': ast}}], recursive := true) FROM players),
       scoped AS (SELECT ex_id, player, city AS scope, stat, v FROM s UNION ALL SELECT ex_id, player, '*', stat, v FROM s)

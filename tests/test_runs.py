@@ -155,6 +155,16 @@ def test_draws_from_a_counter(spark):
     assert plan.count("Join") == 1  # of points and bounds
 
 
+def test_folds_of_a_hashed_order(spark):
+    items = spark.range(43).select(F.col("id").cast("int").alias("item")).repartition(5)
+    fold = {r.item: r.fold for r in stats.hashed_folds(items, 5).collect()}
+    assert sorted(np.bincount(list(fold.values()))) == [8, 8, 9, 9, 9] and sorted(fold) == list(range(43))
+    assert fold == {r.item: r.fold for r in stats.hashed_folds(items.coalesce(1), 5).collect()} and fold != {r.item: r.fold for r in stats.hashed_folds(items, 5, 14).collect()}
+    assert [fold[i] for i in range(43)] != sorted(fold.values()) and [stats.n_folds(n) for n in (399, 400)] == [3, 5]
+    with pytest.raises(ValueError):
+        stats.hashed_folds(items.limit(1), 2)
+
+
 def test_rolling_rates_in_blocks(spark, monkeypatch):
     """Blocks shorter and longer than runs, a window wider than a block, ids out of order and repeated."""
     rng = np.random.default_rng(6)
@@ -417,3 +427,42 @@ def test_a_run_from_the_command_line(spark, tmp_path, capsys):
     assert "4 paired items; selected: plain" in run("report", "--out", out, "--n-boot", "50")
     with open(f"{out}/summary.md", encoding="utf-8") as f:
         assert "| BLEU ↑ |" in f.read()
+
+
+def test_claim_rows_from_sql(spark):
+    """The table function gives the units that the columns give, for plain and odd texts."""
+    from factloom.functions import text as T
+    from factloom.operators import table_functions
+
+    texts = ["The A beat the B 3 to 2; the C lost, while the D won it. And so, and The end came near!", "", None, "no.", " \u00a0 One two three.\u2003Four five six, and Seven eight nine? \"Ten eleven twelve.\" ", "é à ü words here now; ,x y z, and Then some more words,"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    table_functions.register(spark)
+    got = sorted((r.id, r.pos, r.unit) for r in spark.sql("SELECT d.id, c.pos, c.unit FROM {df} d, LATERAL claim_rows(d.text) c", df=df).collect())
+    want = [(r.id, r.pos, r.unit) for r in df.select("id", F.posexplode(T.claim_units(F.col("text"))).alias("pos", "unit")).orderBy("id", "pos").collect()]
+    assert got == want and len(got) > 5
+
+
+def test_training_rows(spark):
+    from factloom.operators import dataset
+
+    assert dataset.split_prompt([1, 9, 9, 2], [9, 9]) == ([1], [2])
+    with pytest.raises(ValueError):
+        dataset.split_prompt([1, 2], [9])
+    with pytest.raises(ValueError):
+        dataset.training_rows(None, None, None, ((), ()), 2, "other")
+    cells = spark.createDataFrame([("g", 0, "teams", r, c, n, c == 0, t, k, v, t, 2) for r, row in enumerate([("A B", "10"), ("C D", "7")]) for c, (n, t) in enumerate(zip(("TEAM", "TEAM-PTS"), row)) for k, v in [(2, None) if c == 0 else (1, float(t))]],
+        "ex_id string, sec_idx int, sec_name string, row_idx int, col_idx int, col_name string, is_key boolean, text string, kind int, num double, str string, n_sec_rows int")
+    cells = cells.withColumn("entity", F.when(F.col("row_idx") == 0, "A B").otherwise("C D")).withColumn("is_int", F.lit(True))
+    examples = spark.createDataFrame([("g", ["The A B defeated the C D 10 to 7. Nothing here.", "The C D defeated the A B 10 to 7.", "third"])], "ex_id string, references array<string>")
+    ids = lambda t: F.transform(F.split(t, " "), lambda w: F.length(w))
+    rows = dataset.training_rows(examples, cells, ids, ([1], [2]), 99, "replacement", True, 2, 20)
+    got = rows.collect()
+    assert [(r.ex_id, r.ref, r.aux_labels, r.ref_ids[-1], r.table_ids, r.prefix, r.suffix) for r in got] == [("g", 0, [1, 1, 1, 1], 99, [], [1], [2])]
+    assert dataset.n_dropped(examples, rows, 2) == 1
+    cut = dataset.training_rows(examples, cells, ids, ([1], [2]), 99, "augmentation", False, 3, 3).orderBy("ref").collect()
+    assert [len(r.ref_ids) for r in cut] == [3, 3, 2] and cut[2].ref_ids == [5, 99] and all(len(r.table_ids) > 3 for r in cut) and cut[2].aux_labels == [0, 0, 0, 0]
+    many = spark.createDataFrame([(f"e{i:03d}", 0, [1], [0] * 5, [2], [7] * (i % 4 + 1)) for i in range(30)], "ex_id string, ref int, prefix array<int>, table_ids array<int>, suffix array<int>, ref_ids array<int>")
+    batches = {}
+    for r in dataset.pack(many, 40).collect():
+        batches.setdefault((r.block, r.batch), []).append(7 + len(r.ref_ids))
+    assert sum(map(len, batches.values())) == 30 and all(sum(b) - b[-1] < 40 + 11 for b in batches.values()) and len(batches) == 7  # 283 ids, 274 of them before the last row
