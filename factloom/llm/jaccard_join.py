@@ -32,8 +32,9 @@ from factloom.llm.common import bounded, doc_chunks, drop_staged, stage, string_
 from factloom.llm.wordhash import ALNUM, Words, mix, scan, shingles
 
 NGRAM = 5
-#: A link is a similarity of at least this, as a fraction.
+#: A link is a similarity of at least this, as a fraction, unless a call gives another.
 THRESHOLD = (4, 5)
+#: Hashes of a band, and the share of pairs at the threshold that share a band: the number of bands follows.
 ROWS, RECALL = 4, 0.99999
 BLOCK, BLOCK_NGRAMS = 512, 1 << 20
 MOST_COMPONENT = 8192
@@ -46,9 +47,6 @@ def bands_for(threshold: float, rows: int, recall: float) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
 
 
-BANDS = bands_for(THRESHOLD[0] / THRESHOLD[1], ROWS, RECALL)
-
-
 def ngrams(words: Words, k: int = NGRAM) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints of the n-grams of each row, one row after another, and n + 1 offsets."""
     n = np.diff(words.rows)
@@ -86,15 +84,20 @@ def band_hashes(grams: np.ndarray, offsets: np.ndarray, bands: int, rows: int) -
     return out
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        buf, offsets = string_bytes(batch.column(1))
-        for i, j in doc_chunks(offsets, _CHUNK):
-            words = scan(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], ALNUM)
-            grams, at = ngrams(words)
-            bands = band_hashes(grams, at, BANDS, ROWS)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(fingerprints(words), pa.binary()), pa.array(np.diff(at)), lists], names=["id", "fp", "n", "bands"])
+def _signer(bands: int, rows: int):
+    """A function for ``mapInArrow`` from (id, text) to (id, fp, n, bands)."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offsets = string_bytes(batch.column(1))
+            for i, j in doc_chunks(offsets, _CHUNK):
+                words = scan(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], ALNUM)
+                grams, at = ngrams(words)
+                hashes = band_hashes(grams, at, bands, rows)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * bands), pa.array(hashes.view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(fingerprints(words), pa.binary()), pa.array(np.diff(at)), lists], names=["id", "fp", "n", "bands"])
+
+    return sign
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +110,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(fingerprints(words), pa.binary()), pa.array(sets, pa.binary())], names=["fp", "grams"])
 
 
-def linked(sets: list[np.ndarray], threshold: tuple[int, int] = THRESHOLD) -> np.ndarray:
+def linked(sets: list[np.ndarray], threshold: tuple[int, int]) -> np.ndarray:
     """Which pairs of sets (of distinct values) reach the threshold, as a symmetric boolean matrix."""
     g, sizes = len(sets), np.array([len(s) for s in sets], np.float64)
     values, back, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -130,14 +133,14 @@ def linked(sets: list[np.ndarray], threshold: tuple[int, int] = THRESHOLD) -> np
     return out
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], threshold: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     """Rows of a group come one after another; returns (fp, links, root) for each class with a link."""
     done: list[tuple[bytes, int, bytes]] = []
 
     def close(key, rows) -> None:
         if len(rows) < 2:
             return
-        yes = linked([np.frombuffer(r[3], np.uint64) for r in rows])
+        yes = linked([np.frombuffer(r[3], np.uint64) for r in rows], threshold)
         if key[1] != key[2]:
             side = np.array([r[0] for r in rows])
             yes &= side[:, None] != side[None, :]
@@ -219,18 +222,23 @@ def _blocks_of(count, weight):
     return F.ceil(F.greatest(count / BLOCK, weight / BLOCK_NGRAMS)).cast("int")
 
 
-def classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: tuple[int, int] = THRESHOLD, rows: int = ROWS, recall: float = RECALL) -> DataFrame:
     """Per row of ``docs``: id, fp, whether it has words, n_copies and n_links (other documents of the same sequence,
-    and at or over the threshold), and the id and fp of its group's representative: the smallest id, then fp."""
+    and at or over the threshold), and the id and fp of its group's representative: the smallest id, then fp.
+
+    threshold: a fraction (numerator, denominator). Pairs at it share one of the bands, of ``rows`` hashes each, with
+    probability ``recall``; those above it with more.
+    """
+    bands = bands_for(threshold[0] / threshold[1], rows, recall)
     picked = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    signed = stage(picked.mapInArrow(trimmed(_sign), "id long, fp binary, n long, bands array<long>"), "signatures")
+    signed = stage(picked.mapInArrow(trimmed(_signer(bands, rows)), "id long, fp binary, n long, bands array<long>"), "signatures")
     n = signed.count()
     own = stage(signed.filter("n > 0").groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes", rows=n)
 
     put = own.select("fp", "n", F.explode("bands").alias("bucket"))
     buckets = put.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"), F.bit_xor(F.xxhash64("fp")).alias("x")).filter("m > 1")
     kept = stage(buckets.groupBy("m", "w", "x").agg(F.min("bucket").alias("bucket")), "buckets", rows=n)
-    members = stage(put.join(bounded(kept.select("bucket", "m", "w"), 64), "bucket"), "members", rows=n * BANDS)
+    members = stage(put.join(bounded(kept.select("bucket", "m", "w"), 64), "bucket"), "members", rows=n * bands)
     comps = stage(_candidate_components(members, n).join(own.select("fp", "n"), "fp"), "candidates", rows=n)
     sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("cm"), F.sum("n").alias("cw"))
     buckets_of = members.groupBy("fp").agg(F.collect_list(F.struct("bucket", "m", "w")).alias("in"))
@@ -251,7 +259,7 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
     ready = candidates.join(sets, "fp").select("fp", "copies", "grams", F.when(small, empty).otherwise(kept_bands).alias("buckets"), F.explode(groups).alias("g"))
     ready = ready.select("fp", "copies", "grams", "buckets", F.col("g.key").alias("key"), own_block(F.col("g.nb")).alias("side"), F.explode(F.sequence(F.lit(0), F.col("g.nb") - 1)).alias("other"))
     ready = ready.select("key", F.least("side", "other").alias("a"), F.greatest("side", "other").alias("b"), "side", "fp", "copies", "grams", "buckets")
-    found = stage(ready.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(trimmed(_verify), "fp binary, links long, root binary"), "links", rows=n)
+    found = stage(ready.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(trimmed(lambda b: _verify(b, threshold)), "fp binary, links long, root binary"), "links", rows=n)
 
     counts = found.groupBy("fp").agg(F.sum("links").alias("links"))
     labels = minimum_labels(found.filter("fp <> root").select("fp", "root"), "fp", "root", n).withColumnRenamed("node", "fp")
@@ -272,14 +280,14 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
     )
 
 
-def join_report(docs: DataFrame, **columns: str) -> DataFrame:
-    """One row per document: doc_id, class_id, n_links and, of those, n_copies with the same words."""
-    return classes(docs, **columns).select(F.col("id").alias("doc_id"), "class_id", "n_links", "n_copies")
+def join_report(docs: DataFrame, **options) -> DataFrame:
+    """One row per document: doc_id, class_id, n_links and, of those, n_copies with the same words; options as of ``classes``."""
+    return classes(docs, **options).select(F.col("id").alias("doc_id"), "class_id", "n_links", "n_copies")
 
 
-def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """One row of each group, that of the smallest id, with all columns; rows without words all stay."""
-    judged = stage(classes(docs, id, text), "groups")
+    judged = stage(classes(docs, id, text, threshold), "groups")
     n = judged.count()
     stays = ~F.col("has_words") | (F.col("id").eqNullSafe(F.col("class_id")) & (F.col("fp") == F.col("class_fp")))
     per_id = stage(judged.groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.count_if(stays).alias("kept")), "ids", rows=n)

@@ -111,6 +111,20 @@ def test_large_groups_of_near_copies_lose_no_link(spark, monkeypatch):
         assert {r.class_id for r in got.values()} == {0}
 
 
+@pytest.mark.parametrize("threshold", [(4, 5), (3, 5), (2, 5)])
+def test_links_at_other_thresholds(spark, threshold):
+    """Copies changed ever more: at each threshold just the pairs at or over it link, those on its border included."""
+    base = [f"w{i}" for i in range(64)]
+    texts = [" ".join(w if (i % (60 // k)) or k == 1 else f"x{k}{i}" for i, w in enumerate(base)) for k in range(1, 9)]
+    texts += [" ".join(f"w{i}" for i in range(a, a + 24)) for a in (100, 102, 105, 110)]  # 20 five-word windows, 2, 5 and 10 of them moved
+    words = [t.split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in words]
+    num, den = threshold
+    want = {i: sum(j != i and den * len(a & b) >= num * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)}
+    df = spark.createDataFrame([(i, t, "en", "s", "") for i, t in enumerate(texts)], DOCS)
+    assert {r.doc_id: r.n_links for r in jaccard_join.join_report(df, threshold=threshold).collect()} == want and sum(want.values()) > 2
+
+
 PIECES = "piece_bpe_32k.model"
 #: Each operator over an empty table, by name.
 ON_NOTHING = {
