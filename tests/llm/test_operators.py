@@ -122,7 +122,8 @@ def test_links_at_other_thresholds(spark, threshold):
     num, den = threshold
     want = {i: sum(j != i and den * len(a & b) >= num * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)}
     df = spark.createDataFrame([(i, t, "en", "s", "") for i, t in enumerate(texts)], DOCS)
-    assert {r.doc_id: r.n_links for r in jaccard_join.join_report(df, threshold=threshold).collect()} == want and sum(want.values()) > 2
+    assert {r.doc_id: r.n_links for r in jaccard_join.join_report(df, threshold=threshold).collect()} == want
+    assert sum(want.values()) >= 2
 
 
 PIECES = "piece_bpe_32k.model"
