@@ -16,8 +16,9 @@ Smoothing is interpolated absolute discounting: p(w|c) = max(n(cw) - D, 0) / n(c
 (n(w) + 1) / (N + V + 1). A document begins in the context of an end token.
 
 A worker keeps the last ``OPEN_SHARDS`` shards open: their low bits and probabilities stay in the mapped file, where each
-bucket begins (half a byte per n-gram) in memory. A context node and a word together take 64 bits at most; a model beyond
-that raises an error.
+bucket begins (half a byte per n-gram) in memory. Contexts and words are compared as pairs; packed into 64 bits is only what
+stands in one shard or one chunk, whose contexts are numbered from 0 there (shards are smaller where words need many bits), so
+a model's size bounds no key.
 
 Defined results: null texts count as empty and are one end token; a null id counts as an empty text when documents are
 held out; repeated rows count and are scored one by one; with nothing to train on every word is unknown; an empty
@@ -67,11 +68,12 @@ def tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Level(NamedTuple):
-    """The shards of one order: their folder, the first key of each, the number of its first node (and how many nodes
-    there are), and the contexts that lie in several shards with what they leave."""
+    """The shards of one order: their folder, the first key of each (a fingerprint, or a context and a word), the number of its
+    first node (and how many nodes there are), and the contexts that lie in several shards with what they leave."""
 
     folder: str
     cuts: np.ndarray
+    cut_words: np.ndarray
     bases: np.ndarray
     split: np.ndarray
     left: np.ndarray
@@ -81,11 +83,12 @@ class Level(NamedTuple):
 
 
 class Model(NamedTuple):
-    """words: the level of fingerprints; total: tokens; levels: those of orders from 2 on."""
+    """words: the level of fingerprints; total: tokens; levels: those of orders from 2 on; word_bits: the least for a word number."""
 
     words: Level
     total: int
     levels: list[Level]
+    word_bits: int = 0
 
     @property
     def distinct(self) -> int:
@@ -94,7 +97,7 @@ class Model(NamedTuple):
     @property
     def bits(self) -> int:
         """Bits of a word number; the number after the last stands for an unknown word."""
-        return self.distinct.bit_length()
+        return max(self.word_bits, self.distinct.bit_length())
 
 
 @lru_cache(maxsize=OPEN_SHARDS)
@@ -104,17 +107,41 @@ def _open(uri: str) -> dict:
     return {k: v for k, v in arrays.items() if "." not in k} | {k: ef.EliasFano.load(arrays, k) for k in names}
 
 
-def _shards(level: Level, keys: np.ndarray, cuts: np.ndarray) -> Iterator[tuple[int, slice]]:
-    """The shards that may hold some of the sorted keys, and the range of those keys."""
-    edges = np.concatenate([[0], np.searchsorted(keys, cuts[1:]), [len(keys)]])
+def _edges(keys: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Where the sorted keys are cut."""
+    return np.concatenate([[0], np.searchsorted(keys, cuts[1:]), [len(keys)]])
+
+
+def _pair_edges(context: np.ndarray, word: np.ndarray, cuts: np.ndarray, cut_words: np.ndarray) -> np.ndarray:
+    """Where the sorted pairs (context, word) are cut."""
+    edges, ends = np.searchsorted(context, cuts[1:]), np.searchsorted(context, cuts[1:], "right")
+    for k in np.flatnonzero((cut_words[1:] > 0) & (ends > edges)).tolist():
+        edges[k] += np.searchsorted(word[edges[k] : ends[k]], cut_words[k + 1])
+    return np.concatenate([[0], edges, [len(context)]])
+
+
+def _shards(level: Level, edges: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """The shards that may hold some of the keys that are cut so, and the range of those keys."""
     for k in np.flatnonzero((np.diff(edges) > 0) & (np.diff(level.bases) > 0)).tolist():
         yield k, slice(int(edges[k]), int(edges[k + 1]))
 
 
+def distinct_pairs(context: np.ndarray, word: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct (context, word) of a chunk, where each pair of the input stands among them, and how often."""
+    contexts, rank = np.unique(context, return_inverse=True)
+    words = None
+    if len(contexts).bit_length() + bits > 64:
+        words, word = np.unique(word, return_inverse=True)
+        bits = len(words).bit_length()
+    keys, back, counts = np.unique((rank.astype(np.uint64) << _U(bits)) | word.astype(np.uint64), return_inverse=True, return_counts=True)
+    found = keys & _U((1 << bits) - 1)
+    return contexts[keys >> _U(bits)], found if words is None else words[found].astype(np.uint64), back, counts
+
+
 def look_up_words(level: Level, keys: np.ndarray) -> np.ndarray:
     """Numbers of sorted fingerprints; -1: unknown."""
     ids = np.full(len(keys), -1, np.int64)
-    for k, at in _shards(level, keys, level.cuts):
+    for k, at in _shards(level, _edges(keys, level.cuts)):
         found = _open(level.uri(k))["keys"].find(keys[at] - level.cuts[k])
         ids[at] = np.where(found >= 0, found + level.bases[k], -1)
     return ids
@@ -123,20 +150,19 @@ def look_up_words(level: Level, keys: np.ndarray) -> np.ndarray:
 def word_counts(level: Level, ids: np.ndarray) -> np.ndarray:
     """How often the sorted word numbers occur; -1: never."""
     out = np.zeros(len(ids), np.int64)
-    for k, at in _shards(level, ids, level.bases[:-1]):
+    for k, at in _shards(level, _edges(ids, level.bases[:-1])):
         out[at] = np.where(ids[at] >= 0, _open(level.uri(k))["counts"][ids[at] - level.bases[k]], 0)
     return out
 
 
-def look_up_children(level: Level, bits: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(node or -1, discounted probability, what the context leaves) of sorted keys (context << bits | word)."""
-    nodes, p, left = np.full(len(keys), -1, np.int64), np.zeros(len(keys)), np.ones(len(keys))
-    for k, at in _shards(level, keys, level.cuts):
-        shard = _open(level.uri(k))
-        context = (keys[at] >> _U(bits)).astype(np.int64)
+def look_up_children(level: Level, contexts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(node or -1, discounted probability, what the context leaves) of sorted pairs (context, word)."""
+    nodes, p, left = np.full(len(words), -1, np.int64), np.zeros(len(words)), np.ones(len(words))
+    for k, at in _shards(level, _pair_edges(contexts, words, level.cuts, level.cut_words)):
+        shard, context = _open(level.uri(k)), contexts[at]
         new = np.concatenate([[True], context[1:] != context[:-1]])
         back = np.cumsum(new) - 1
-        parent = context[new] - int(level.cuts[k] >> _U(bits))
+        parent = context[new] - int(level.cuts[k])
         inside = parent < len(shard["left"])
         parent = np.where(inside, parent, 0)
         first, stop = (shard["pointers"].get(parent + d).astype(np.int64) for d in (0, 1))
@@ -147,7 +173,7 @@ def look_up_children(level: Level, bits: int, keys: np.ndarray) -> tuple[np.ndar
             there = np.minimum(np.searchsorted(level.split, context[new]), len(level.split) - 1)
             given = np.where(level.split[there] == context[new], level.left[there], given)
         left[at] = given[back]
-        found = shard["children"].find(base[back] + (keys[at] & _U((1 << bits) - 1)) + _U(1))
+        found = shard["children"].find(base[back] + words[at] + _U(1))
         right = np.flatnonzero((found >= first[back]) & (found < stop[back]))
         nodes[at.start + right] = found[right] + level.bases[k]
         p[at.start + right] = _LOGS[shard["p"][found[right]]]
@@ -227,17 +253,16 @@ class Walk:
         #: The node of each token's context at the order at hand; -1: unknown.
         self.context = np.concatenate([[end_id], words[:-1]])[: len(words)]
 
-    def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """(places, context << bits | word) of the tokens whose context is known."""
+    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places, contexts, words) of the tokens whose context is known."""
         at = np.flatnonzero(self.context >= 0)
-        word = np.where(self.words[at] >= 0, self.words[at], self.model.distinct)
-        return at, (self.context[at].astype(np.uint64) << _U(self.model.bits)) | word.astype(np.uint64)
+        return at, self.context[at], np.where(self.words[at] >= 0, self.words[at], self.model.distinct)
 
     def descend(self, order: int) -> Asked:
         """Asks the level of this order; contexts become those of the next one."""
-        at, keys = self.keys()
-        unique, back = np.unique(keys, return_inverse=True)
-        nodes, p, left = (x[back] for x in look_up_children(self.model.levels[order - 2], self.model.bits, unique))
+        at, context, word = self.keys()
+        contexts, words, back, _ = distinct_pairs(context, word, self.model.bits)
+        nodes, p, left = (x[back] for x in look_up_children(self.model.levels[order - 2], contexts, words))
         here = np.full(len(self.words), -1, np.int64)
         here[at] = nodes
         # A document's first token has no longer context.
@@ -252,17 +277,17 @@ _RUNS = "shard long, keys binary, counts binary"
 _BUILT = "shard long, n long, total long, at array<long>, pieces array<long>, of array<long>, split array<long>, types array<long>"
 
 
-def _runs(keys: np.ndarray, counts: np.ndarray, cuts: np.ndarray) -> pa.RecordBatch:
-    """Sorted keys and their counts, dealt out to the shards."""
-    edges = np.concatenate([[0], np.searchsorted(keys, cuts[1:]), [len(keys)]])
-    some = np.flatnonzero(np.diff(edges) > 0)
-    counts = counts.astype(np.uint32)
-    spans = [(int(k), slice(int(edges[k]), int(edges[k + 1]))) for k in some]
-    squeezed = [(_squeeze(np.diff(keys[s], prepend=cuts[k])), _squeeze(counts[s])) for k, s in spans]
-    columns = [pa.array(some, pa.int64()), pa.array([x for x, _ in squeezed], pa.binary()), pa.array([x for _, x in squeezed], pa.binary())]
+def _runs(spans: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """(shard, its sorted keys from 0 on, their counts) as rows."""
+    squeezed = [(_squeeze(np.diff(keys, prepend=_U(0))), _squeeze(counts.astype(np.uint32))) for _, keys, counts in spans]
+    columns = [pa.array([k for k, _, _ in spans], pa.int64()), pa.array([x for x, _ in squeezed], pa.binary()), pa.array([x for _, x in squeezed], pa.binary())]
     return pa.RecordBatch.from_arrays(columns, names=["shard", "keys", "counts"])
 
 
+def _spans(edges: np.ndarray) -> list[tuple[int, slice]]:
+    return [(k, slice(int(edges[k]), int(edges[k + 1]))) for k in np.flatnonzero(np.diff(edges) > 0).tolist()]
+
+
 def _cut(counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where nodes with these counts are cut as contexts of the next order: (places, pieces of that context, its count)."""
     before = (np.cumsum(counts) - counts) // most
@@ -275,27 +300,26 @@ def _word_shard(keys: np.ndarray, counts: np.ndarray, shard: int):
     return _named("keys", keys) | {"counts": counts}, [], []
 
 
-def _children_shard(cuts: np.ndarray, of_cut: np.ndarray, bits: int, discount: float):
-    """A function from (sorted keys less the shard's first one, counts, shard) to its arrays, the contexts that it shares
-    with other shards and their types."""
+def _children_shard(cuts: np.ndarray, cut_words: np.ndarray, of_cut: np.ndarray, bits: int, discount: float):
+    """A function from (sorted keys, contexts in them counted from the shard's first one, counts, shard) to its arrays, the
+    contexts that it shares with other shards and their types."""
 
     def build(keys: np.ndarray, counts: np.ndarray, shard: int):
-        begin, mask = cuts[shard], _U((1 << bits) - 1)
-        keys = keys + begin
-        context, word = keys >> _U(bits), keys & mask
+        begin = int(cuts[shard])
+        context, word = keys >> _U(bits), keys & _U((1 << bits) - 1)
         first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
         types = np.diff(np.append(first, len(keys)))
         of = np.add.reduceat(counts, first)
         owner = context[first]
         shared = []
-        if begin & mask and owner[0] == begin >> _U(bits):
+        if cut_words[shard] and owner[0] == 0:
             of[0] = of_cut[shard]
             shared.append(0)
-        if shard + 1 < len(cuts) and cuts[shard + 1] & mask and owner[-1] == cuts[shard + 1] >> _U(bits):
+        if shard + 1 < len(cuts) and cut_words[shard + 1] and int(owner[-1]) + begin == cuts[shard + 1]:
             of[-1] = of_cut[shard + 1]
             shared.append(len(owner) - 1)
         shared = sorted(set(shared))
-        parent = (owner - (begin >> _U(bits))).astype(np.int64)
+        parent = owner.astype(np.int64)
         sizes = np.zeros(int(parent[-1]) + 1, np.int64)
         sizes[parent] = types
         left = np.ones(len(sizes))
@@ -304,7 +328,7 @@ def _children_shard(cuts: np.ndarray, of_cut: np.ndarray, bits: int, discount: f
         base = np.concatenate([[_U(0)], np.cumsum(word[last] + _U(1))[:-1]]).astype(np.uint64)
         arrays = _named("pointers", np.concatenate([[0], np.cumsum(sizes)])) | _named("children", word + _U(1) + np.repeat(base, types))
         arrays |= {"p": _pack_log((counts - discount) / np.repeat(of, types)), "left": _pack_log(left)}
-        return arrays, owner[shared].astype(np.int64).tolist(), types[shared].tolist()
+        return arrays, (parent[shared] + begin).tolist(), types[shared].tolist()
 
     return build
 
@@ -346,7 +370,7 @@ def _build(runs: DataFrame, folder: str, build, most: int) -> list:
     return stage(runs.repartition("shard").sortWithinPartitions("shard").mapInArrow(write, _BUILT), "built").collect()
 
 
-def _level(folder: str, cuts: np.ndarray, counts: dict[int, int], rows: list, discount: float) -> Level:
+def _level(folder: str, cuts: np.ndarray, cut_words: np.ndarray, counts: dict[int, int], rows: list, discount: float) -> Level:
     """The level of the shards written. counts: of the contexts that lie in several shards."""
     sizes = np.zeros(len(cuts), np.int64)
     for r in rows:
@@ -357,23 +381,22 @@ def _level(folder: str, cuts: np.ndarray, counts: dict[int, int], rows: list, di
             types[c] = types.get(c, 0) + t
     split = np.array(sorted(types), np.int64)
     left = np.array([discount * types[c] / counts[c] for c in split.tolist()], np.float64)
-    return Level(folder, cuts, np.concatenate([[0], np.cumsum(sizes)]), split, left)
+    return Level(folder, cuts, cut_words, np.concatenate([[0], np.cumsum(sizes)]), split, left)
 
 
-def _next_cuts(rows: list, level: Level, distinct: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """First keys of the shards of the next order, and the count of the context that each one cuts in two (else 0)."""
+def _next_cuts(rows: list, level: Level, distinct: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First context and word of the shards of the next order, and the count of the context that each one cuts in two (else 0)."""
     rows = sorted(rows, key=lambda r: r.shard)
     empty = [np.zeros(0, np.int64)]
     nodes = np.concatenate(empty + [np.array(r.at, np.int64) + level.bases[r.shard] for r in rows])
     pieces, of = (np.concatenate(empty + [np.array(getattr(r, c), np.int64) for r in rows]) for c in ("pieces", "of"))
-    if int(level.bases[-1]).bit_length() + bits > 64:
-        raise OverflowError(f"{level.bases[-1]} contexts and {distinct} words take more than 64 bits together")
     piece = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     word = np.array([j * distinct // k for j, k in zip(piece.tolist(), np.repeat(pieces, pieces).tolist(), strict=True)], np.uint64)
-    cuts = (np.repeat(nodes, pieces).astype(np.uint64) << _U(bits)) | word
     of_cut = np.where(word > 0, np.repeat(of, pieces), 0)
-    cuts, first = np.unique(np.concatenate([[_U(0)], cuts]), return_index=True)
-    return cuts, np.concatenate([[0], of_cut])[first]
+    # Nodes ascend, and the pieces' words in each; a shard that would begin where the one before does is left out.
+    contexts, words, of_cut = (np.concatenate([[0], x]).astype(kind) for x, kind in ((np.repeat(nodes, pieces), np.int64), (word, np.uint64), (of_cut, np.int64)))
+    new = np.concatenate([[True], (contexts[1:] != contexts[:-1]) | (words[1:] != words[:-1])])
+    return contexts[new], words[new], of_cut[new]
 
 
 def _count_words(texts: DataFrame, folder: str, most: int) -> tuple[Level, int, list]:
@@ -384,17 +407,18 @@ def _count_words(texts: DataFrame, folder: str, most: int) -> tuple[Level, int,
         for batch in batches:
             buf, offsets = string_bytes(batch.column(0))
             for i, j in doc_chunks(offsets, _CHUNK):
-                yield _runs(*np.unique(tokens(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[0], return_counts=True), cuts)
+                keys, counts = np.unique(tokens(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[0], return_counts=True)
+                yield _runs([(k, keys[s] - cuts[k], counts[s]) for k, s in _spans(_edges(keys, cuts))])
 
     rows = _build(texts.mapInArrow(count, _RUNS), folder, _word_shard, most)
-    return _level(folder, cuts, {}, rows, 0.0), sum(r.total for r in rows), rows
+    return _level(folder, cuts, np.zeros(len(cuts), np.uint64), {}, rows, 0.0), sum(r.total for r in rows), rows
 
 
 def _end_id(model: Model) -> int:
     return int(look_up_words(model.words, np.array([END]))[0])
 
 
-def _count_ngrams(numbers: DataFrame, model: Model, order: int, cuts: np.ndarray) -> DataFrame:
+def _count_ngrams(numbers: DataFrame, model: Model, order: int, cuts: np.ndarray, cut_words: np.ndarray) -> DataFrame:
     """Runs of the n-grams of one order in the documents that are not held out."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -404,25 +428,29 @@ def _count_ngrams(numbers: DataFrame, model: Model, order: int, cuts: np.ndarray
                 walk = Walk(model, part.words[np.repeat(~part.held, part.sizes)], part.sizes[~part.held], end)
                 for lower in range(2, order):
                     walk.descend(lower)
-                yield _runs(*np.unique(walk.keys()[1], return_counts=True), cuts)
-                del walk
+                contexts, words, _, counts = distinct_pairs(*walk.keys()[1:], model.bits)
+                local = lambda k, s: ((contexts[s] - cuts[k]).astype(np.uint64) << _U(model.bits)) | words[s]  # noqa: B023, E731
+                yield _runs([(k, local(k, s), counts[s]) for k, s in _spans(_pair_edges(contexts, words, cuts, cut_words))])
+                del walk, contexts, words, counts
                 give_back()
 
     return numbers.mapInArrow(count, _RUNS)
 
 
-def _train(picked: DataFrame, order: int, discount: float, most: int) -> tuple[Model, DataFrame]:
+def _train(picked: DataFrame, order: int, discount: float, most: int, word_bits: int = 0) -> tuple[Model, DataFrame]:
     """The model of the rows (id, held, text) that aren't held out, and all rows as word numbers."""
     folder = shared_dir(picked.sparkSession, "lm")
     words, total, rows = _count_words(picked.filter("NOT held").select("text"), f"{folder}/1", most)
-    model = Model(words, total, [])
+    model = Model(words, total, [], word_bits)
+    # A shard has a context per occurrence at most; these and a word number go into 64 bits.
+    most = min(most, 1 << (63 - model.bits))
     numbers = stage(_as_numbers(picked, words), "numbers")
     level = words
     for k in range(2, order + 1):
-        cuts, of_cut = _next_cuts(rows, level, model.distinct, model.bits)
-        rows = _build(_count_ngrams(numbers, model, k, cuts), f"{folder}/{k}", _children_shard(cuts, of_cut, model.bits, discount), most)
-        contexts = {int(c >> _U(model.bits)): int(n) for c, n in zip(cuts, of_cut, strict=True) if n}
-        level = _level(f"{folder}/{k}", cuts, contexts, rows, discount)
+        cuts, cut_words, of_cut = _next_cuts(rows, level, model.distinct)
+        rows = _build(_count_ngrams(numbers, model, k, cuts, cut_words), f"{folder}/{k}", _children_shard(cuts, cut_words, of_cut, model.bits, discount), most)
+        contexts = {int(c): int(n) for c, n in zip(cuts, of_cut, strict=True) if n}
+        level = _level(f"{folder}/{k}", cuts, cut_words, contexts, rows, discount)
         model = model._replace(levels=[*model.levels, level])
     return model, numbers
 
@@ -472,7 +500,7 @@ def score(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text")
     return _scored(_as_numbers(_picked(docs, id, text), model.words), model)
 
 
-def train_and_score(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int = ORDER, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """Learn from the documents that aren't held out; score all."""
-    model, numbers = _train(_picked(docs, id, text), order, DISCOUNT, shard_tokens)
+def train_and_score(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int = ORDER, shard_tokens: int = SHARD_TOKENS, word_bits: int = 0) -> DataFrame:
+    """Learn from the documents that aren't held out; score all. word_bits: room for a vocabulary of that size."""
+    model, numbers = _train(_picked(docs, id, text), order, DISCOUNT, shard_tokens, word_bits)
     return _scored(numbers, model)
