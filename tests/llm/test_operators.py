@@ -446,6 +446,19 @@ def test_quality_rules_with_nothing_to_learn_from(spark, tmp_path, kind):
     assert kept.columns == df.columns and kept.count() == 0
 
 
+@pytest.mark.parametrize("most", [url_cascade.MOST_FILTER_BYTES, 1000])
+def test_a_long_list_takes_several_levels(spark, monkeypatch, most):
+    """100,000 hosts of which a list of 33,334 and as many absent ones holds a third; the same by filters and, beyond their bound, by join."""
+    monkeypatch.setattr(url_cascade, "MOST_FILTER_BYTES", most)
+    name = lambda n: F.concat(F.lit("h"), n.cast("string"), F.lit(".example.net"))
+    pages = spark.range(100_000).select(F.col("id").alias("page_id"), F.concat(F.lit("https://"), name(F.col("id")), F.lit("/x")).alias("url"))
+    listed = spark.range(0, 100_000, 3).select(name(F.col("id")).alias("host")).union(spark.range(200_000, 233_334).select(name(F.col("id")).alias("host")))
+    cascade = url_cascade.Cascade(pages.select(url_cascade.host_of(F.col("url")).alias("host")), listed)
+    assert (cascade.fits and len(cascade.levels) >= 3) if most > 1000 else not cascade.fits
+    judged = url_cascade.judge_urls(pages, listed, rules=())
+    assert judged.count() == 100_000 and judged.filter((F.col("verdict") == "block") != (F.col("page_id") % 3 == 0)).isEmpty()
+
+
 def test_url_cascade_is_exact(spark):
     hosts = [f"h{i}.example.net" for i in range(700)]
     urls = [(i, f"http://{h.upper()}/a?b#c") for i, h in enumerate(hosts)] + [(900, None), (901, "nothing"), (902, "http://x.org/es/1"), (903, "https://example.org/es/"), (904, "http://a.example.org/en/12?q"), (905, "://com/fr/"), (906, "http://b.com#/de/"), (907, "http://b.com/de/")]
