@@ -154,6 +154,13 @@ def relation_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _claims(G.games(spark, sf_dir))
 
 
+@query
+def turned_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V2, V3: claims of passive defeats, losses, two players in one clause; none of a pooled count."""
+    texts = staged(G.turned_texts(staged(G.players(spark, sf_dir), "players")), "texts")
+    return relations.claims(texts, facts.context(G.staged_cells(spark, sf_dir)))
+
+
 @query
 def premise_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V4: the fact line of every table row."""

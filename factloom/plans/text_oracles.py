@@ -205,3 +205,13 @@ SQL["cooccurrence_entailment"] = f"""WITH {TEXTS},
   best AS (SELECT id, x, max(p) AS p FROM held JOIN ratios USING (b) GROUP BY ALL), said AS (SELECT DISTINCT id, unnest(t) AS x FROM toks),
   p AS (SELECT s.id, s.x, CASE WHEN h.b IS NOT NULL THEN 1 ELSE coalesce(p, 0) END AS p FROM said s LEFT JOIN held h ON s.id = h.id AND s.x = h.b LEFT JOIN best b ON s.id = b.id AND s.x = b.x)
   SELECT id, count(*) AS n_grams, round(avg(sqrt(a.p * z.p)), 6) AS mean_probability, count(*) FILTER (sqrt(a.p * z.p) >= 0.999999) AS n_certain FROM grams g JOIN p a USING (id, x) JOIN p z ON g.id = z.id AND g.y = z.x GROUP BY id"""
+
+# Each sentence is split into its words again, and what it says is looked up.
+SQL["turned_claims"] = f"""WITH {TEXTS}, turned AS (SELECT p.ex_id AS id, 'The ' || CASE WHEN e = 0 THEN w ELSE l END || ' were defeated by the ' || CASE WHEN e = 0 THEN l ELSE w END || '.' AS s0, 'The ' || CASE WHEN e = 1 THEN w ELSE l END || ' lost to the ' || CASE WHEN e = 1 THEN l ELSE w END || ' at home.' AS s1,
+    top0 || ' had ' || (tp0 + (e = 2)::INT) || ' points and ' || top1 || ' grabbed ' || tr1 || ' rebounds.' AS s2 FROM parts p),
+  won AS (SELECT id, 0 AS pos, s0 AS sentence, regexp_extract(s0, ' were defeated by the (.+)\\.$', 1) AS claimed FROM turned UNION ALL SELECT id, 1, s1, regexp_extract(s1, ' lost to the (.+) at home\\.$', 1) FROM turned),
+  said AS (SELECT id, regexp_extract(s2, '^(.+) had ([0-9]+) points and (.+) grabbed ([0-9]+) rebounds\\.$', ['a', 'n', 'b', 'm']) AS x FROM turned),
+  each AS (SELECT id, 0 AS seg_no, x.a || ' had ' || x.n || ' points and' AS sentence, x.a AS player, x.n AS n, 'PTS' AS stat FROM said UNION ALL SELECT id, 1, x.b || ' grabbed ' || x.m || ' rebounds.', x.b, x.m, 'REB' FROM said),
+  v AS (SELECT e.*, CASE stat WHEN 'PTS' THEN r.pts ELSE r.reb END AS v FROM each e JOIN players r ON r.ex_id = e.id AND r.player = e.player)
+  SELECT id, pos::INT AS pos, 0 AS part, 0 AS clause_no, 0 AS seg_no, 0 AS k, 'winner' AS type, sentence, claimed, winner AS expected, claimed = winner AS correct FROM won JOIN facts ON id = ex_id WHERE NOT tie
+  UNION ALL SELECT id, 2, 1, 0, seg_no, 0, 'attribution', sentence, player || ' ' || n || ' ' || stat, player || ' ' || v || ' ' || stat, n = v::VARCHAR FROM v"""

@@ -122,11 +122,30 @@ def game_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts_of(staged(players(spark, sf_dir), "players"))
 
 
-def texts_of(p: DataFrame) -> DataFrame:
+def pairs_of(p: DataFrame) -> DataFrame:
+    """Two-team games side by side: teams, points, top scorers with their points and rebounds, and which error is planted."""
     top = p.groupBy("ex_id", "side").agg(F.min(F.struct((-F.col("pts")).alias("neg"), "player", "pts", "reb")).alias("t"))
     sides = teams(p).join(top, ["ex_id", "side"])
     one = lambda s: sides.filter(F.col("side") == s).select("ex_id", *[F.col(c).alias(f"{c}{s}") for c in ("team", "nick", "pts")], F.col("t.player").alias(f"top{s}"), F.col("t.pts").alias(f"tp{s}"), F.col("t.reb").alias(f"tr{s}"))
-    g = one(0).join(one(1), "ex_id").join(p.select("ex_id", "pair", "yr").distinct(), "ex_id").withColumn("e", ((F.col("pair") * 31 + F.col("yr")) % 4).cast("int"))
+    return one(0).join(one(1), "ex_id").join(p.select("ex_id", "pair", "yr").distinct(), "ex_id").withColumn("e", ((F.col("pair") * 31 + F.col("yr")) % 4).cast("int"))
+
+
+def turned_texts(p: DataFrame) -> DataFrame:
+    """(id, output): a passive defeat, a loss, two players in one clause and a pooled count, with an error in the sentence of number ``e``."""
+    won = F.col("pts0") >= F.col("pts1")
+    winner, loser = F.when(won, F.col("team0")).otherwise(F.col("team1")), F.when(won, F.col("team1")).otherwise(F.col("team0"))
+    side = lambda k, right, wrong: F.when(F.col("e") == k, wrong).otherwise(right)
+    text = F.concat(
+        F.lit("The "), side(0, loser, winner), F.lit(" were defeated by the "), side(0, winner, loser), F.lit(". "),
+        F.lit("The "), side(1, loser, winner), F.lit(" lost to the "), side(1, winner, loser), F.lit(" at home. "),
+        F.col("top0"), F.lit(" had "), F.col("tp0") + F.when(F.col("e") == 2, 1).otherwise(0), F.lit(" points and "), F.col("top1"), F.lit(" grabbed "), F.col("tr1"), F.lit(" rebounds. "),
+        F.col("top0"), F.lit(" and "), F.col("top1"), F.lit(" combined for "), F.col("tp0") + F.col("tp1"), F.lit(" points."),
+    )
+    return pairs_of(p).select(F.col("ex_id").alias("id"), text.alias("output"))
+
+
+def texts_of(p: DataFrame) -> DataFrame:
+    g = pairs_of(p)
     first = F.col("pts0") >= F.col("pts1")
     pick = lambda a, b: F.when(first, F.col(a)).otherwise(F.col(b))
     winner, loser, nick = pick("team0", "team1"), pick("team1", "team0"), pick("nick0", "nick1")
