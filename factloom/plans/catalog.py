@@ -196,6 +196,15 @@ def parent_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(overlap.parent_items(_pairs(games.texts), games.cells))
 
 
+@query
+def parent_two_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PARENT of each text with two references, of which the one with the better F counts."""
+    games = G.games(spark, sf_dir)
+    second = F.when(F.col("e") % 2 == 0, F.regexp_replace("output", "points|rebounds", "scores")).otherwise(F.concat("reference", F.lit(" Nothing else happened.")))
+    pairs = games.texts.select("id", "output", F.array("reference", second).alias("references"))
+    return _rounded(overlap.parent_items(pairs, games.cells))
+
+
 @query
 def cooccurrence_entailment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How likely each game's table entails the word pairs of its text, by how often table tokens and words stand together."""

@@ -215,3 +215,5 @@ SQL["turned_claims"] = f"""WITH {TEXTS}, turned AS (SELECT p.ex_id AS id, 'The '
   v AS (SELECT e.*, CASE stat WHEN 'PTS' THEN r.pts ELSE r.reb END AS v FROM each e JOIN players r ON r.ex_id = e.id AND r.player = e.player)
   SELECT id, pos::INT AS pos, 0 AS part, 0 AS clause_no, 0 AS seg_no, 0 AS k, 'winner' AS type, sentence, claimed, winner AS expected, claimed = winner AS correct FROM won JOIN facts ON id = ex_id WHERE NOT tie
   UNION ALL SELECT id, 2, 1, 0, seg_no, 0, 'attribution', sentence, player || ' ' || n || ' ' || stat, player || ' ' || v || ' ' || stat, n = v::VARCHAR FROM v"""
+_TEXTS_2 = TEXTS.replace("texts AS (", "texts_1 AS (") + ", texts AS (SELECT * REPLACE (CASE WHEN e % 2 = 0 THEN regexp_replace(output, 'points|rebounds', 'scores', 'g') ELSE reference || ' Nothing else happened.' END AS reference) FROM texts_1)"
+SQL["parent_two_references"] = f"""SELECT * FROM (SELECT * REPLACE (0 AS ref) FROM ({SQL['parent_items']}) UNION ALL SELECT * REPLACE (1 AS ref) FROM ({SQL['parent_items'].replace(TEXTS, _TEXTS_2)})) QUALIFY row_number() OVER (PARTITION BY id ORDER BY f1 DESC, ref) = 1"""
