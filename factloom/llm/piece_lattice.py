@@ -13,7 +13,8 @@ Units of more than ``unitmap.LONG_UNIT`` characters are resolved alone, by the s
 positions: a fold over their edges would take the square of their length. Characters without a piece become their
 UTF-8 bytes. Defined results: null and empty texts have no ids; repeated ids
 keep a row each; a null id stays null; an empty table gives an empty result; texts are whole whatever their length; other
-columns are not looked at; decoding gives back the text exactly.
+columns are not looked at; decoding gives back the text exactly, but for U+2581, which pieces write for a blank and which comes
+back as one.
 """
 
 from __future__ import annotations
