@@ -446,6 +446,43 @@ def test_quality_rules_with_nothing_to_learn_from(spark, tmp_path, kind):
     assert kept.columns == df.columns and kept.count() == 0
 
 
+def plain_pages(n_hosts: int = 12, n_pages: int = 25) -> list[tuple[int, str, str, list[str]]]:
+    """(page_id, url, html, blocks): hosts of plain divs, without article, main or telling names. Beside the article each page
+    holds two columns of paragraphs about other pages, which on a third of the pages are longer than the article."""
+    rng = np.random.default_rng(23)
+    names = [a + b for a in ("al", "be", "co", "du") for b in ("ro", "ni", "sa")]
+    rows = []
+    for h in range(n_hosts):
+        body, one, two = rng.permutation(names)[:3]
+        for k in range(n_pages):
+            short = k % 3 == 0
+            blocks = [f"Title {h} {k} " + text(1000 * h + k, 4)] + [text(5000 + 100 * h + 7 * k + j, 14) for j in range(2 if short else 9)]
+            other = [[text(9000 + 37 * h + 11 * k + j + 500 * c, 16) for j in range(4)] for c in range(2)]
+            ps = lambda ts: "".join(f"<p>{t}</p>" for t in ts)
+            article = f'<div class="{body}"><h1>{blocks[0]}</h1>{ps(blocks[1:])}</div>'
+            html = f'<html><body><div class="{one}">{ps(other[0])}</div><div class="page">{article}</div><div class="{two}">{ps(other[1])}</div></body></html>'
+            rows.append((h * n_pages + k, f"https://h{h}.example.net/{k}", html, blocks))
+    return rows
+
+
+def block_scores(rows, texts: dict[int, str]) -> tuple[float, float]:
+    """Precision and recall of blocks."""
+    right = got = want = 0
+    for i, _, _, blocks in rows:
+        found = texts[i].split("\n") if texts[i] else []
+        right, got, want = right + len(set(found) & set(blocks)), got + len(found), want + len(blocks)
+    return right / got, right / want
+
+
+def test_votes_find_articles_that_single_pages_miss(spark):
+    rows = plain_pages()
+    pages = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string").repartition(4)
+    voted = block_scores(rows, {r.page_id: r.text for r in html_extract.extract_pages(pages).collect()})
+    alone = block_scores(rows, {i: html_extract.extract(page, []) for i, _, page, _ in rows})
+    print(f"blocks with votes: precision {voted[0]:.3f}, recall {voted[1]:.3f}; without: {alone[0]:.3f}, {alone[1]:.3f}")
+    assert min(voted) > 0.99 and min(alone) < 0.9
+
+
 @pytest.mark.parametrize("most", [url_cascade.MOST_FILTER_BYTES, 1000])
 def test_a_long_list_takes_several_levels(spark, monkeypatch, most):
     """100,000 hosts of which a list of 33,334 and as many absent ones holds a third; the same by filters and, beyond their bound, by join."""
