@@ -62,6 +62,6 @@ def pack(rows: DataFrame, budget: int, order: Sequence[str] = ("ex_id", "ref"))
     Blocks of ``PACK_BLOCK`` rows are packed each for itself, so no task orders more than one.
     """
     size = F.size("prefix") + F.size("table_ids") + F.size("suffix") + F.size("ref_ids")
-    placed = positioned(rows, "place_", *order).withColumn("block", F.floor(F.col("place_") / PACK_BLOCK))
+    placed = positioned(rows, "place_", *order, kind="long").withColumn("block", F.floor(F.col("place_") / PACK_BLOCK))
     before = Window.partitionBy("block").orderBy("place_").rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn("batch", F.floor(F.coalesce(F.sum(size).over(before), F.lit(0)) / budget)).drop("place_")

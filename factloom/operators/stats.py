@@ -244,7 +244,7 @@ def hashed_folds(items: DataFrame, k: int, seed: int = 13) -> DataFrame:
     key = (F.col("item").cast("long") * 40_692 + seed * 1_000_003 + 1) % _MOD
     for shift, factor in _ROUNDS:
         key = bind(key, lambda x: x.bitwiseXOR(F.shiftright(x, shift)) * factor % _MOD)  # noqa: B023
-    placed = positioned(numbers.withColumn("key_", key), "place_", "key_", "item")
+    placed = positioned(numbers.withColumn("key_", key), "place_", "key_", "item", kind="long")
     size, longer = divmod(n, k)
     at = F.col("place_")
     fold = F.when(at < longer * (size + 1), F.floor(at / (size + 1))).otherwise(longer + F.floor((at - longer * (size + 1)) / size))
@@ -285,7 +285,7 @@ def rolling_places(items: DataFrame, num: str, den: str, width: int) -> DataFram
     ``width - 1`` rows of the one before, so no task needs a whole run.
     """
     at = F.regexp_extract("id", r"(\d+)$", 1).cast("bigint")
-    rows = positioned(items.select("run", at.alias("i"), "id", F.col(num).alias("num_"), F.col(den).alias("den_")), "all_", "run", "i", "id")
+    rows = positioned(items.select("run", at.alias("i"), "id", F.col(num).alias("num_"), F.col(den).alias("den_")), "all_", "run", "i", "id", kind="long")
     first = rows.groupBy("run").agg(F.min("all_").alias("first_"))
     block = max(ROLLING_BLOCK, width)
     rows = rows.join(first, "run").withColumn("place", F.col("all_") - F.col("first_")).withColumn("own_", F.floor(F.col("place") / block))

@@ -41,7 +41,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def positioned(df: DataFrame, name: str = "pos", *order: str) -> DataFrame:
+def positioned(df: DataFrame, name: str = "pos", *order: str, kind: str = "int") -> DataFrame:
     """``df`` with the place of each row from 0: in the order of the columns, or as the rows are read if none are given.
 
     Rows stay dealt out; only the number of rows of each partition is summed in one place.
@@ -52,4 +52,4 @@ def positioned(df: DataFrame, name: str = "pos", *order: str) -> DataFrame:
     counts = rows.groupBy("part_").agg(F.count(F.lit(1)).alias("n_"))
     before = counts.select(F.col("part_"), (F.sum("n_").over(Window.orderBy("part_")) - F.col("n_")).alias("before_"))
     place = F.col("before_") + F.col("at_").bitwiseAND(F.lit((1 << 33) - 1))
-    return rows.join(before, "part_").withColumn(name, place.cast("int")).drop("at_", "part_", "before_")
+    return rows.join(before, "part_").withColumn(name, place.cast(kind)).drop("at_", "part_", "before_")
