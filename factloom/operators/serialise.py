@@ -77,18 +77,25 @@ def _notables(rows: DataFrame) -> DataFrame:
 
 
 def _leaders(rows: DataFrame) -> DataFrame:
-    """(ex_id, side, city scope) lines of the leaders and of the next scorers of each team with players of its own."""
-    own = rows.filter("team IS NOT NULL").withColumn("scope", F.lower("city"))
-    player = F.struct("player", "PTS", "REB", "AST", "FGM", "FGA")
-    teams = own.groupBy("ex_id", "team", "side").agg(F.min_by("scope", "row_idx").alias("scope"), F.array_sort(F.collect_list(player)).alias("roster"))
-    scoped = rows.withColumn("scope", F.lower("city")).groupBy("ex_id", "scope").agg(F.array_sort(F.collect_list(player)).alias("all"))
-    t = teams.join(scoped, ["ex_id", "scope"])
-
-    def top(stat: str) -> Column:
-        best = F.array_max(F.transform("all", lambda p: p[stat]))
-        return F.filter("all", lambda p: p[stat] == best)
+    """(ex_id, side, city scope) lines of the leaders and of the next scorers of each team with players of its own.
 
-    t = t.select("*", *[top(s).alias(f"top_{s}") for s in ("PTS", "REB", "AST")])
+    Only players at a maximum, and the next scorers, are gathered: no array holds a team's roster.
+    """
+    rows = rows.withColumn("scope", F.lower("city"))
+    own = rows.filter("team IS NOT NULL")
+    player = F.struct("player", "PTS", "REB", "AST", "FGM", "FGA")
+    teams = own.groupBy("ex_id", "team", "side").agg(F.min_by("scope", "row_idx").alias("scope"))
+    stats = ("PTS", "REB", "AST")
+    best = rows.groupBy("ex_id", "scope").agg(*[F.max(s).alias(f"best_{s}") for s in stats])
+    at = {s: F.col(s) == F.col(f"best_{s}") for s in stats}
+    tops = rows.join(best, ["ex_id", "scope"]).filter(at["PTS"] | at["REB"] | at["AST"]).groupBy("ex_id", "scope").agg(*[F.array_sort(F.collect_list(F.when(at[s], player))).alias(f"top_{s}") for s in stats])
+    kind = "array<struct<player:string,PTS:double,REB:double,AST:double,FGM:double,FGA:double>>"
+    t = teams.join(tops, ["ex_id", "scope"], "left").select(*teams.columns, *[F.coalesce(f"top_{s}", F.array().cast(kind)).alias(f"top_{s}") for s in stats])
+    leading = t.select("ex_id", "team", "side", F.explode(F.array_distinct(F.transform("top_PTS", lambda p: p["player"]))).alias("player"))
+    rest = own.filter("PTS IS NOT NULL").join(leading, ["ex_id", "team", "side", "player"], "left_anti").select("ex_id", "team", "side", (-F.col("PTS")).alias("k"), "player")
+    place = F.row_number().over(Window.partitionBy("ex_id", "team", "side").orderBy("k", "player"))
+    ranked = rest.withColumn("place", place).filter(F.col("place") <= SECONDARY).groupBy("ex_id", "team", "side").agg(F.array_sort(F.collect_list(F.struct("k", "player"))).alias("ranked"))
+    t = t.join(ranked, ["ex_id", "team", "side"], "left")
     names = lambda a: F.transform(a, lambda p: p["player"])
     first = F.get("top_PTS", F.lit(0))
     one = F.concat(first["player"], F.lit(" with "), _count(first["PTS"], "point"), F.coalesce(F.concat(F.lit(" on "), _shooting(first)), F.lit("")))
@@ -102,8 +109,7 @@ def _leaders(rows: DataFrame) -> DataFrame:
         return F.when(F.size(got) > 0, F.concat(F.col("team"), F.lit(f" {label}: "), _listed(names(got)), F.lit(" with "), _count(F.get(got, F.lit(0))[stat], word), each, F.lit(".")))
 
     lines = F.array_join(F.array_compact(F.array(scorer, other("REB", "top rebounder", "rebound"), other("AST", "top assists", "assist"))), "\n")
-    rest = F.filter("roster", lambda p: p["PTS"].isNotNull() & ~F.array_contains(names(F.col("top_PTS")), p["player"]))
-    ranked = F.slice(F.array_sort(F.transform(rest, lambda p: F.struct((-p["PTS"]).alias("k"), p["player"].alias("player")))), 1, SECONDARY)
+    ranked = F.coalesce("ranked", F.array().cast("array<struct<k:double,player:string>>"))
     more = F.transform(ranked, lambda p: F.concat(p["player"], F.lit(" "), _count(-p["k"], "point")))
     secondary = F.when(F.size(ranked) > 0, F.concat(F.col("team"), F.lit(": "), F.array_join(more, "; "), F.lit(".")))
     return t.select("ex_id", "side", F.when(lines != "", lines).alias("leaders"), secondary.alias("secondary"))

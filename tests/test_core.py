@@ -187,6 +187,30 @@ def test_markdown_and_sheets(cells):
     )
 
 
+def test_sheets_compare_no_player_with_all_others(spark, cells, capsys):
+    serialise.to_factsheet(cells).explain()
+    plan = capsys.readouterr().out
+    assert "roster" not in plan and "array_max" not in plan
+    # 2000 players, two of them at the top, in a game of two teams.
+    columns = ["PLAYER_NAME", "TEAM_CITY", "PTS", "REB", "AST"]
+    rows = [[f"P{i:04d}", ("Toronto", "Philadelphia")[i % 2], 30 if i in (4, 8) else i % 19, None, None] for i in range(2000)]
+    big = from_nested(spark.createDataFrame([("g", table(("teams", TEAMS), ("players", (columns, rows))))], f"id string, table {TABLE}"))
+    sheet = serialise.to_factsheet(big).first().text
+    assert "Toronto Raptors top scorer: P0004 and P0008 with 30 points each." in sheet and "top rebounder" not in sheet
+    assert "Toronto Raptors: P0018 18 points; P0056 18 points." in sheet
+
+
+def test_a_context_for_texts_holds_only_the_players_that_they_may_name(spark, cells):
+    text = "The Raptors defeated the 76ers 122-95. Lowry led all scorers with 24 points. Hardaway Jr. added 12 rebounds."
+    texts = spark.createDataFrame([("g", text)], "ex_id string, text string")
+    part, whole = facts.context(cells, texts), facts.context(cells)
+    row = part.filter("ex_id = 'g'").first()
+    assert [p.player for p in row.players] == ["Kyle Lowry", "Tim Hardaway Jr."] and {a.alias for a in row.player_aliases} == {"lowry", "hardaway"}
+    outputs = texts.select(F.col("ex_id").alias("id"), F.col("text").alias("output"))
+    found = [sorted(map(tuple, relations.claims(outputs, c).collect())) for c in (part, whole)]
+    assert found[0] == found[1] and len(found[0]) > 3
+
+
 def test_a_sheet_passes_the_number_check(cells):
     sheets = serialise.to_factsheet(cells).select(F.col("ex_id").alias("id"), F.col("text").alias("output")).filter("id IN ('g', 'tie', 'r')")
     assert numbers.score_items(sheets, cells).filter(F.size("unsupported") > 0).count() == 0
