@@ -74,8 +74,15 @@ def melt(rows: DataFrame, id: str, row_idx: str, section: str, sec_idx: int, col
 
 
 def from_strings(raw: DataFrame) -> DataFrame:
-    """Cells of (ex_id, sec_idx, sec_name, row_idx, col_idx, col_name, is_key, value STRING), values parsed."""
-    return finish(raw.withColumn("p", parse_cell(F.col("value"))).select("ex_id", "sec_idx", "sec_name", "row_idx", "col_idx", "col_name", "is_key", "p.*"))
+    """Cells of (ex_id, sec_idx, sec_name, row_idx, col_idx, col_name, is_key, value STRING), values parsed; entity and n_sec_rows as of ``finish``."""
+    known = [c for c in ("entity", "n_sec_rows") if c in raw.columns]
+    return finish(raw.withColumn("p", parse_cell(F.col("value"))).select("ex_id", "sec_idx", "sec_name", "row_idx", "col_idx", "col_name", "is_key", *known, "p.*"))
+
+
+def entity_of(value):
+    """The entity of a row whose key cell is the raw string ``value``."""
+    cell = parse_cell(value)
+    return F.coalesce(_text(cell["kind"], cell["num"], cell["is_int"], cell["str"]), F.lit("None"))
 
 
 def sections(cells: DataFrame) -> DataFrame:

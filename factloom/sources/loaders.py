@@ -8,15 +8,15 @@ import json
 import random
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.text import strip
 from factloom.sources import files
-from factloom.sources.cells import from_strings
+from factloom.sources.cells import entity_of, from_strings
 from factloom.sources.ranges import csv_records, json_records
 from factloom.sources.sink import LOG, Sink
-from factloom.sources.staging import positioned
+from factloom.sources.staging import positioned, staged
 
 # Columns of a player row in the order in which they are shown, and columns that aren't statistics.
 PLAYER_ORDER = (
@@ -71,27 +71,36 @@ def load_rotowire(spark: SparkSession, path: str, split: str) -> DataFrame:
 
 
 def rotowire_cells(examples: DataFrame) -> DataFrame:
-    """Cells of the team and player sections; players without a statistic and columns without a value are left out."""
+    """Cells of the team and player sections; players without a statistic and columns without a value are left out.
+
+    A game's box score is taken apart into its values at once and put together by player, so the work is that of its cells.
+    """
     g = examples.select(F.col("id").alias("ex_id"), "game.*")
     line_keys = F.array_sort(F.array_except(F.array_distinct(F.concat(F.map_keys("home_line"), F.map_keys("vis_line"))), F.array(F.lit("TEAM-CITY"), F.lit("TEAM-NAME"))))
     t = g.select("ex_id", line_keys.alias("keys"), F.posexplode(F.array(F.struct(F.concat_ws(" ", "home_city", "home_name").alias("team"), F.col("home_line").alias("line")), F.struct(F.concat_ws(" ", "vis_city", "vis_name").alias("team"), F.col("vis_line").alias("line")))).alias("row_idx", "r"))
+    entity, n_rows = entity_of(F.col("r.team")).alias("entity"), F.lit(2).alias("n_sec_rows")
     values = F.concat(F.array(F.struct(F.lit("TEAM").alias("k"), F.col("r.team").alias("v"))), F.transform("keys", lambda k: F.struct(k.alias("k"), F.try_element_at(F.col("r.line"), k).alias("v"))))
-    teams = t.select("ex_id", "row_idx", F.posexplode(values).alias("col_idx", "x")).select("ex_id", F.lit(0).alias("sec_idx"), F.lit("teams").alias("sec_name"), "row_idx", "col_idx", F.col("x.k").alias("col_name"), (F.col("col_idx") == 0).alias("is_key"), F.col("x.v").alias("value"))
-    # The players' grid is made in the game's row: ids by number, shown columns first, then the others by name.
+    teams = t.select("ex_id", "row_idx", entity, n_rows, F.posexplode(values).alias("col_idx", "x"))
+    teams = teams.select("ex_id", F.lit(0).alias("sec_idx"), F.lit("teams").alias("sec_name"), "row_idx", "col_idx", F.col("x.k").alias("col_name"), (F.col("col_idx") == 0).alias("is_key"), F.col("x.v").alias("value"), "entity", "n_sec_rows")
+    # Players in the order of their numbers, shown columns first, then the others by name.
     box = F.col("box_score")
-    known = F.map_keys(box)
+    known = F.array_distinct(F.map_keys(box))
     order = F.array(*map(F.lit, PLAYER_ORDER))
     columns = F.concat(F.filter(order, lambda c: F.array_contains(known, c)), F.array_sort(F.array_except(known, F.concat(order, F.array(*map(F.lit, NAME_PARTS))))))
-    ids = F.transform(F.array_sort(F.transform(F.map_keys(F.try_element_at(box, F.lit("PLAYER_NAME"))), lambda p: F.struct(p.cast("int").alias("n"), p.alias("p")))), lambda x: x["p"])
-    p = g.select("ex_id", "box_score", columns.alias("columns"), ids.alias("ids"))
-    grid = F.transform("ids", lambda i: F.transform("columns", lambda c: F.try_element_at(F.try_element_at(box, c), i)))
     full = lambda v: ~F.coalesce(v, F.lit("")).isin("", "N/A")
-    plays = lambda row: F.exists(F.filter(row, lambda v, k: ~F.get("columns", k).isin(*IDENTITY)), full)
-    p = p.select("ex_id", "columns", F.filter(grid, plays).alias("rows"))
-    used = F.filter(F.sequence(F.lit(0), F.size("columns") - 1), lambda k: (F.get("columns", k) == "PLAYER_NAME") | F.exists("rows", lambda row: full(F.get(row, k))))
-    p = p.select("ex_id", "columns", used.alias("used"), F.posexplode("rows").alias("row_idx", "row"))
-    p = p.select("ex_id", "columns", "row_idx", "row", F.posexplode("used").alias("col_idx", "k")).withColumn("col_name", F.get("columns", F.col("k")))
-    players = p.select("ex_id", F.lit(1).alias("sec_idx"), F.lit("players").alias("sec_name"), "row_idx", "col_idx", "col_name", (F.col("col_name") == "PLAYER_NAME").alias("is_key"), F.get("row", F.col("k")).alias("value"))
+    parts = g.select("ex_id", F.explode(F.transform(known, lambda c: F.struct(c.alias("name"), F.try_element_at(box, c).alias("values")))).alias("c"))
+    parts = parts.filter(~F.col("c.name").isin(*NAME_PARTS)).select("ex_id", F.col("c.name").alias("name"), F.posexplode("c.values").alias("nth", "id", "value"))
+    statistic = ~F.col("name").isin(*IDENTITY) & full(F.col("value"))
+    rows = parts.groupBy("ex_id", "id").agg(F.array_sort(F.collect_list(F.struct("nth", "name", "value"))).alias("row"), F.bool_or(F.col("name") == "PLAYER_NAME").alias("named"), F.bool_or(statistic).alias("plays")).filter("named AND plays")
+    held = lambda name: F.get(F.filter("row", lambda x: x["name"] == name), F.lit(0))["value"]
+    place = F.row_number().over(Window.partitionBy("ex_id").orderBy(F.col("id").cast("int"), "id")) - 1
+    rows = staged(rows.select("ex_id", "id", "row", entity_of(held(F.lit("PLAYER_NAME"))).alias("entity"), place.alias("row_idx")), "players")
+    filled = rows.select("ex_id", F.explode("row").alias("x")).filter(full(F.col("x.value"))).groupBy("ex_id").agg(F.collect_set("x.name").alias("filled"))
+    counts = rows.groupBy("ex_id").agg(F.count(F.lit(1)).cast("int").alias("n_sec_rows")).join(filled, "ex_id")
+    used = F.filter("columns", lambda c: (c == "PLAYER_NAME") | F.array_contains("filled", c))
+    tables = g.select("ex_id", columns.alias("columns")).join(counts, "ex_id").select("ex_id", "n_sec_rows", used.alias("used"))
+    p = rows.join(tables, "ex_id").select("ex_id", "row_idx", "row", "entity", "n_sec_rows", F.posexplode("used").alias("col_idx", "col_name"))
+    players = p.select("ex_id", F.lit(1).alias("sec_idx"), F.lit("players").alias("sec_name"), "row_idx", "col_idx", "col_name", (F.col("col_name") == "PLAYER_NAME").alias("is_key"), held(F.col("col_name")).alias("value"), "entity", "n_sec_rows")
     return from_strings(teams.unionByName(players))
 
 

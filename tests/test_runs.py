@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 
 import numpy as np
 import pytest
@@ -57,6 +58,19 @@ def test_box_scores_show_all_columns_in_order(spark):
     assert [r.text for r in cells if r.col_name == "PLAYER_NAME"] == ["Nine", "Eleven"] and [r.text for r in cells if r.col_name == "TO"] == ["3", None]
 
 
+def test_box_scores_are_taken_apart_by_value(spark):
+    """No value is looked up among all players: a game of 3000 is read in its order within a minute."""
+    n, began = 3000, time.time()
+    box = {"PLAYER_NAME": {str(i): f"P{i}" for i in range(n)}, "PTS": {str(i): str(i) for i in range(n) if i % 3}, "MIN": {str(i): "N/A" for i in range(n)}}
+    examples = spark.createDataFrame([("g", ("X", "Home", "Y", "Vis", {"TEAM-PTS": "1"}, {"TEAM-PTS": "2"}, box))], f"id string, game struct<{loaders.GAME.replace(', summary array<string>', '')}>")
+    cells = loaders.rotowire_cells(examples)
+    found = cells.filter("sec_idx = 1").orderBy("row_idx", "col_idx").collect()
+    assert [(r.row_idx, r.col_name, r.text, r.entity, r.n_sec_rows) for r in found] == [
+        (k, c, v, f"P{i}", 2000) for k, i in enumerate(i for i in range(n) if i % 3) for c, v in (("PLAYER_NAME", f"P{i}"), ("PTS", str(i)))
+    ]
+    assert time.time() - began < 60
+
+
 def test_cells_are_parsed_as_numbers_are_written(spark):
     values = ["12", "-3", "+4", " 7 ", "1_000", "1__0", "_1", "1d", "1f", "2.50", ".5", "5.", "1e3", "1_0.5", "12345678901234567890", "007", "inf", "nan", "1e400", "1,000", "abc", "N/A", "", None, "0x10", "12345678.5", "0.0001234", "0.00001", "1e16", "-2e22"]
 
