@@ -11,11 +11,12 @@ from factloom.operators import facts, phrases, relations
 from factloom.sources.staging import staged
 
 
-def _labels(cells: DataFrame, texts: DataFrame, context: DataFrame, *keys: str) -> DataFrame:
+def _labels(cells: DataFrame, texts: DataFrame, *keys: str) -> DataFrame:
     """Cells joined to texts (ex_id, keys, reference) with ``label``."""
     at = ["ex_id", *keys]
-    teams = context.select("ex_id", F.explode("team_aliases").alias("a")).select("ex_id", F.col("a.alias").alias("phrase"), F.col("a.team").alias("team"))
-    players = context.select("ex_id", F.explode("player_aliases").alias("a")).select("ex_id", F.col("a.alias").alias("phrase"), F.col("a.player").alias("player"))
+    games = facts.team_facts(cells)
+    teams = facts.team_aliases(games).withColumnRenamed("alias", "phrase")
+    players = facts.player_aliases(facts.player_rows(cells)).join(games.select("ex_id"), "ex_id", "left_semi").withColumnRenamed("alias", "phrase")
     value = strip(F.lower("text"))
     values = cells.filter("kind = 2").select("ex_id", value.alias("phrase")).filter("phrase <> ''")
     said = staged(phrases.occurrences(texts.select(*at, F.lower("reference").alias("text")), teams.drop("team").union(players.drop("player")).union(values).distinct(), "ex_id", at), "said")
@@ -24,7 +25,7 @@ def _labels(cells: DataFrame, texts: DataFrame, context: DataFrame, *keys: str)
     mentions = spots.select(*at, F.explode("starts").alias("start"), (-F.length("phrase")).alias("neglen"), "player").groupBy(*at).agg(F.collect_list(F.struct("start", "neglen", "player")).alias("every"))
     named = mentions.select(*at, F.explode(F.transform(relations.mentions_apart(F.col("every")), lambda m: m["player"])).alias("name"))
     names = named.union(said.join(teams, ["ex_id", "phrase"]).select(*at, F.col("team").alias("name"))).groupBy(*at).agg(F.collect_set("name").alias("names"))
-    ready = texts.select(*at, "reference", F.transform(numbers(F.col("reference")), key6).alias("nums")).join(names, at, "left")
+    ready = staged(texts.select(*at, "reference", F.transform(numbers(F.col("reference")), key6).alias("nums")).join(names, at, "left"), "ready")
     hits = said.select(*at, F.col("phrase").alias("value"), F.lit(True).alias("hit")).distinct()
     joined = cells.join(ready, "ex_id").withColumn("value", value).join(hits, [*at, "value"], "left")
     label = F.when(F.col("kind") == 1, F.array_contains("nums", key6(F.col("num")))).when(F.col("kind") == 2, (F.col("is_key") & F.coalesce(F.array_contains("names", F.col("text")), F.lit(False))) | F.coalesce("hit", F.lit(False)))
@@ -33,14 +34,14 @@ def _labels(cells: DataFrame, texts: DataFrame, context: DataFrame, *keys: str)
 
 def alignment_labels(cells: DataFrame, references: DataFrame, *keys: str) -> DataFrame:
     """(ex_id, keys, sec_idx, row_idx, col_idx, label): whether a reference (ex_id, keys, reference) mentions each cell."""
-    return _labels(cells, references, facts.context(cells), *keys).select("ex_id", *keys, "sec_idx", "row_idx", "col_idx", "label")
+    return _labels(cells, references, *keys).select("ex_id", *keys, "sec_idx", "row_idx", "col_idx", "label")
 
 
 def filter_references(cells: DataFrame, references: DataFrame, *keys: str) -> DataFrame:
     """(ex_id, keys, reference) of the sentences that mention a cell and make no wrong claim; empty if none is left."""
-    context, at = facts.context(cells), ["ex_id", *keys]
+    context, at = facts.context(cells, references.select("ex_id", F.col("reference").alias("text"))), ["ex_id", *keys]
     parts = references.select(*at, F.posexplode(sentences(F.col("reference"))).alias("s", "reference"))
-    mentioned = _labels(cells, parts, context, *keys, "s").groupBy(*at, "s").agg(F.bool_or("label").alias("any"), F.first("reference").alias("sentence"))
+    mentioned = _labels(cells, parts, *keys, "s").groupBy(*at, "s").agg(F.bool_or("label").alias("any"), F.first("reference").alias("sentence"))
     key = F.concat_ws("\x1f", *at, "s")
     rows = parts.select(key.alias("id"), F.lit(0).alias("pos"), F.col("reference").alias("sentence"), F.col("ex_id").alias("c_id")).join(context, F.col("c_id") == F.col("ex_id")).drop("c_id")
     wrong = relations.winner_claims(rows).select("id", "claim.correct").unionByName(relations.player_claims(rows).select("id", "claim.correct")).filter("NOT correct").select("id").distinct()

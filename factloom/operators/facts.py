@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.text import surname
+from factloom.functions.text import surname, tokens
+from factloom.sources.staging import staged
 
 STATS = ("PTS", "REB", "AST", "STL", "BLK", "FGM", "FGA")
 LEADER_STATS = ("PTS", "REB", "AST")
@@ -100,14 +101,31 @@ def with_team(rows: DataFrame, facts: DataFrame) -> DataFrame:
     return rows.join(facts.select("ex_id", "team0", "team1"), "ex_id").withColumn("team", team).drop("team0", "team1")
 
 
-def context(cells: DataFrame) -> DataFrame:
-    """One row per game with all that a text is checked against: result, aliases, players and leaders as arrays."""
+def said_aliases(aliases: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of the aliases (ex_id, alias, ...), those all of whose tokens some text (ex_id, text) of their table holds."""
+    words = F.array_distinct(tokens(F.col("alias")))
+    seen = texts.select("ex_id", F.explode(tokens(F.col("text"))).alias("token")).distinct()
+    own = aliases.withColumn("words", words)
+    spread = own.select("ex_id", "alias", F.size("words").alias("n_words"), F.explode("words").alias("token")).join(seen, ["ex_id", "token"])
+    whole = spread.groupBy("ex_id", "alias", "n_words").agg(F.count(F.lit(1)).alias("n")).filter("n = n_words").select("ex_id", "alias")
+    return aliases.join(whole, ["ex_id", "alias"]).select(*aliases.columns).unionByName(own.filter(F.size("words") == 0).drop("words"))
+
+
+def context(cells: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """One row per game with all that a text is checked against: result, aliases, players and leaders as arrays.
+
+    texts: (ex_id, text), the only ones that are to be checked; players whom none of them may name are then left out, so that
+    rows don't grow with the tables.
+    """
     facts, rows = team_facts(cells), player_rows(cells)
-    placed = with_team(rows, facts)
+    placed, names = with_team(rows, facts), player_aliases(rows)
+    if texts is not None:
+        names = staged(said_aliases(names, texts), "aliases")
+        placed = placed.join(names.select("ex_id", "player").distinct(), ["ex_id", "player"], "left_semi")
     nest = lambda df, name, *cols: df.groupBy("ex_id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
     out = facts.join(nest(team_aliases(facts), "team_aliases", "alias", "team"), "ex_id")
     out = out.join(nest(placed, "players", "player", F.lower("city").alias("city"), "team", *STATS), "ex_id", "left")
-    out = out.join(nest(player_aliases(rows), "player_aliases", "alias", "player"), "ex_id", "left")
+    out = out.join(nest(names, "player_aliases", "alias", "player"), "ex_id", "left")
     out = out.join(nest(leaders(rows), "leaders", "scope", "stat", "players"), "ex_id", "left")
     empty = lambda c: F.coalesce(c, F.array().cast(out.schema[c].dataType)).alias(c)
     arrays = ("players", "player_aliases", "leaders")

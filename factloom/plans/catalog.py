@@ -138,8 +138,12 @@ def part_number_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.agg(F.count(F.lit(1)).alias("items"), F.count_if(n == 0).alias("fully_supported"), F.sum(n).alias("n_unsupported"))
 
 
+def _claims_of(texts: DataFrame, cells: DataFrame) -> DataFrame:
+    return relations.claims(texts, facts.context(cells, texts.select(F.col("id").alias("ex_id"), F.col("output").alias("text"))))
+
+
 def _claims(games: G.Games) -> DataFrame:
-    return relations.claims(games.texts, facts.context(games.cells))
+    return _claims_of(games.texts, games.cells)
 
 
 @query
@@ -158,7 +162,7 @@ def relation_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 def turned_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V2, V3: claims of passive defeats, losses, two players in one clause; none of a pooled count."""
     texts = staged(G.turned_texts(staged(G.players(spark, sf_dir), "players")), "texts")
-    return relations.claims(texts, facts.context(G.staged_cells(spark, sf_dir)))
+    return _claims_of(texts, G.staged_cells(spark, sf_dir))
 
 
 @query
@@ -547,7 +551,7 @@ def report_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
         texts = staged(games.texts.withColumn("output", output), "texts")
         parent = _rounded(overlap.parent_items(_pairs(texts), games.cells))
         found = numbers.score_items(texts, games.cells)
-        rel = relations.score_items(texts, relations.claims(texts, facts.context(games.cells)))
+        rel = relations.score_items(texts, _claims_of(texts, games.cells))
         records = report.item_records(texts, found, rel, parent=parent, bleu=overlap.bleu_items(_pairs(texts)))
         flat = report.flatten(staged(records, "records"), texts.withColumn("seq_logprob", -(F.length("output") % 97) / 97)).withColumn("run", F.lit(run))
         items = flat if items is None else items.unionByName(flat)
