@@ -1,8 +1,8 @@
 """Elias-Fano sequences and files of named arrays, read in place from memory-mapped bytes.
 
-A non-decreasing sequence is stored as packed low bits and a unary bit vector of the high parts. ``get`` reads the i-th
-value; ``find`` goes to the bucket of a value's high part and searches its low bits there. Both take whole arrays of
-queries.
+A non-decreasing sequence is stored as packed low bits and where the bucket of each high part begins, so a file is opened
+without a pass over it. ``get`` reads the i-th value; ``find`` goes to the bucket of a value's high part and searches its low
+bits there. Both take whole arrays of queries.
 """
 
 from __future__ import annotations
@@ -20,18 +20,12 @@ BUCKET = 8
 
 
 class EliasFano:
-    def __init__(self, n: int, shift: int, low: np.ndarray, high: np.ndarray) -> None:
-        """low: packed bytes with 8 spare ones, read in place; high: the high parts in unary, as 64-bit words.
-
-        The unary vector is turned into where each bucket begins, so a query takes no select.
-        """
+    def __init__(self, n: int, shift: int, low: np.ndarray, starts: np.ndarray) -> None:
+        """low: packed bytes with 8 spare ones; starts: how many values have a high part below each. Both are read in place."""
         self.n, self.shift = n, shift
         self.mask = _U((1 << shift) - 1)
         self.windows = np.ndarray((max(0, len(low) - 7),), "<u8", low, strides=(1,)) if shift else None
-        ends = np.flatnonzero(np.unpackbits(high.view(np.uint8), bitorder="little") == 0)
-        kind = np.uint32 if n < 1 << 32 else np.int64
-        #: How many values have a high part below each.
-        self.starts = np.concatenate([[0], ends - np.arange(len(ends))]).astype(kind)
+        self.starts = starts
 
     @staticmethod
     def encode(values: np.ndarray) -> dict[str, np.ndarray]:
@@ -45,16 +39,15 @@ class EliasFano:
             bits = ((part[:, None] >> np.arange(shift, dtype=np.uint64)) & _U(1)).astype(np.uint8)
             packed = np.packbits(bits.ravel(), bitorder="little")
             low[i * shift // 8 : i * shift // 8 + len(packed)] = packed
-        at = (values >> _U(shift)).astype(np.int64) + np.arange(n)
-        size = (int(at[-1]) // 64 + 2) if n else 1
-        bits = np.zeros(size * 64, np.uint8)
-        bits[at] = 1
-        return {"meta": np.array([n, shift], np.int64), "low": low, "high": np.packbits(bits, bitorder="little").view("<u8")}
+        # One bucket more than there are high parts: the empty one of all that lie beyond.
+        sizes = np.bincount((values >> _U(shift)).astype(np.int64), minlength=(top >> shift) + 2)
+        starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.uint32 if n < 1 << 32 else np.int64)
+        return {"meta": np.array([n, shift], np.int64), "low": low, "starts": starts}
 
     @staticmethod
     def load(arrays: dict[str, np.ndarray], name: str) -> EliasFano:
         n, shift = arrays[f"{name}.meta"].tolist()
-        return EliasFano(n, shift, *(arrays[f"{name}.{k}"] for k in ("low", "high")))
+        return EliasFano(n, shift, *(arrays[f"{name}.{k}"] for k in ("low", "starts")))
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.shift:

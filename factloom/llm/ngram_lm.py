@@ -15,8 +15,9 @@ context that is split leaves stands in the model.
 Smoothing is interpolated absolute discounting: p(w|c) = max(n(cw) - D, 0) / n(c) + left(c) p(w|shorter c), down to
 (n(w) + 1) / (N + V + 1). A document begins in the context of an end token.
 
-A worker keeps the last ``OPEN_SHARDS`` shards open: their low bits and probabilities stay in the mapped file, where each
-bucket begins (half a byte per n-gram) in memory. Contexts and words are compared as pairs; packed into 64 bits is only what
+A worker keeps the last ``OPEN_SHARDS`` shards open; all that they hold stays in the mapped file, so one that was closed is
+opened again for little. ``GROUP_TOKENS`` tokens, of several chunks, ask a level together: each shard is visited once for all of
+them. Contexts and words are compared as pairs; packed into 64 bits is only what
 stands in one shard or one chunk, whose contexts are numbered from 0 there (shards are smaller where words need many bits), so
 a model's size bounds no key.
 
@@ -48,6 +49,8 @@ SHARD_TOKENS = 1_000_000
 OPEN_SHARDS = 512
 #: Bytes of text that are led through the trie at once.
 _CHUNK = 4 << 20
+#: Tokens of chunks that ask the shards together.
+GROUP_TOKENS = 3_000_000
 _U = np.uint64
 END = _U(0x5EED0E4D)
 _BIN = 2.0**12
@@ -120,10 +123,11 @@ def _pair_edges(context: np.ndarray, word: np.ndarray, cuts: np.ndarray, cut_wor
     return np.concatenate([[0], edges, [len(context)]])
 
 
-def _shards(level: Level, edges: np.ndarray) -> Iterator[tuple[int, slice]]:
-    """The shards that may hold some of the keys that are cut so, and the range of those keys."""
-    for k in np.flatnonzero((np.diff(edges) > 0) & (np.diff(level.bases) > 0)).tolist():
-        yield k, slice(int(edges[k]), int(edges[k + 1]))
+def _shards(level: Level, *edges: np.ndarray) -> Iterator[tuple[int, list[tuple[int, slice]]]]:
+    """The shards that may hold some of the keys of lists that are cut so, and the range of those keys in each list."""
+    sizes = np.diff(np.stack(edges), axis=1)
+    for k in np.flatnonzero((sizes > 0).any(axis=0) & (np.diff(level.bases) > 0)).tolist():
+        yield k, [(i, slice(int(edges[i][k]), int(edges[i][k + 1]))) for i in np.flatnonzero(sizes[:, k]).tolist()]
 
 
 def distinct_pairs(context: np.ndarray, word: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -141,7 +145,7 @@ def distinct_pairs(context: np.ndarray, word: np.ndarray, bits: int) -> tuple[np
 def look_up_words(level: Level, keys: np.ndarray) -> np.ndarray:
     """Numbers of sorted fingerprints; -1: unknown."""
     ids = np.full(len(keys), -1, np.int64)
-    for k, at in _shards(level, _edges(keys, level.cuts)):
+    for k, [(_, at)] in _shards(level, _edges(keys, level.cuts)):
         found = _open(level.uri(k))["keys"].find(keys[at] - level.cuts[k])
         ids[at] = np.where(found >= 0, found + level.bases[k], -1)
     return ids
@@ -150,16 +154,18 @@ def look_up_words(level: Level, keys: np.ndarray) -> np.ndarray:
 def word_counts(level: Level, ids: np.ndarray) -> np.ndarray:
     """How often the sorted word numbers occur; -1: never."""
     out = np.zeros(len(ids), np.int64)
-    for k, at in _shards(level, _edges(ids, level.bases[:-1])):
+    for k, [(_, at)] in _shards(level, _edges(ids, level.bases[:-1])):
         out[at] = np.where(ids[at] >= 0, _open(level.uri(k))["counts"][ids[at] - level.bases[k]], 0)
     return out
 
 
-def look_up_children(level: Level, contexts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(node or -1, discounted probability, what the context leaves) of sorted pairs (context, word)."""
-    nodes, p, left = np.full(len(words), -1, np.int64), np.zeros(len(words)), np.ones(len(words))
-    for k, at in _shards(level, _pair_edges(contexts, words, level.cuts, level.cut_words)):
-        shard, context = _open(level.uri(k)), contexts[at]
+def look_up_children(level: Level, asked: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(node or -1, discounted probability, what the context leaves) of each list of sorted pairs (contexts, words)."""
+    out = [(np.full(len(words), -1, np.int64), np.zeros(len(words)), np.ones(len(words))) for _, words in asked]
+    edges = [_pair_edges(contexts, words, level.cuts, level.cut_words) for contexts, words in asked]
+    for k, spans in _shards(level, *edges) if asked else ():
+        shard = _open(level.uri(k))
+        context, word = (np.concatenate([asked[i][c][at] for i, at in spans]) for c in (0, 1))
         new = np.concatenate([[True], context[1:] != context[:-1]])
         back = np.cumsum(new) - 1
         parent = context[new] - int(level.cuts[k])
@@ -172,12 +178,17 @@ def look_up_children(level: Level, contexts: np.ndarray, words: np.ndarray) -> t
         if len(level.split):
             there = np.minimum(np.searchsorted(level.split, context[new]), len(level.split) - 1)
             given = np.where(level.split[there] == context[new], level.left[there], given)
-        left[at] = given[back]
-        found = shard["children"].find(base[back] + words[at] + _U(1))
-        right = np.flatnonzero((found >= first[back]) & (found < stop[back]))
-        nodes[at.start + right] = found[right] + level.bases[k]
-        p[at.start + right] = _LOGS[shard["p"][found[right]]]
-    return nodes, p, left
+        found = shard["children"].find(base[back] + word + _U(1))
+        right = (found >= first[back]) & (found < stop[back])
+        found = np.where(right, found, 0)
+        values = np.where(right, found + level.bases[k], -1), np.where(right, _LOGS[shard["p"][found]], 0.0), given[back]
+        done = 0
+        for i, at in spans:
+            n = at.stop - at.start
+            for to, value in zip(out[i], values, strict=True):
+                to[at] = value[done : done + n]
+            done += n
+    return out
 
 
 def _squeeze(values: np.ndarray) -> bytes:
@@ -208,31 +219,60 @@ class Part(NamedTuple):
     words: np.ndarray
 
 
+def _groups(parts: Iterator, tokens_of) -> Iterator[list]:
+    """Lists of parts of ``GROUP_TOKENS`` tokens or a few more."""
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += tokens_of(part)
+        if n >= GROUP_TOKENS:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
+def _distinct(lists: list[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate(lists))
+
+
 def _as_numbers(docs: DataFrame, words: Level) -> DataFrame:
     """Rows of ``_IDS`` for the rows (id, held, text) of ``docs``."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             buf, offsets = string_bytes(batch.column(2))
             for i, j in doc_chunks(offsets, _CHUNK):
                 seen, rows = tokens(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 unique, back = np.unique(seen, return_inverse=True)
-                numbers = (look_up_words(words, unique) + 1).astype(np.uint32 if words.bases[-1] < (1 << 32) - 1 else np.uint64)[back]
-                one = lambda x: pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), x)  # noqa: B023, E731
-                columns = [one(batch.column(c).slice(i, j - i)) for c in (0, 1)] + [one(pa.array(np.diff(rows))), pa.array([_squeeze(numbers)], pa.binary())]
+                # Ids are copied, so that no batch of texts is held for them.
+                ids, held = (pa.concat_arrays([batch.column(c).slice(i, j - i)]).take(pa.array(np.arange(j - i))) for c in (0, 1))
+                yield ids, held, np.diff(rows), unique, back.astype(np.int32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = np.uint32 if words.bases[-1] < (1 << 32) - 1 else np.uint64
+        for group in _groups(chunks(batches), lambda c: len(c[4])):
+            every = _distinct([unique for *_, unique, _ in group])
+            known = (look_up_words(words, every) + 1).astype(kind)
+            for ids, held, sizes, unique, back in group:
+                numbers = known[np.searchsorted(every, unique)][back]
+                one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+                columns = [one(ids), one(held), one(pa.array(sizes)), pa.array([_squeeze(numbers)], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["ids", "held", "sizes", "words"])
-                del seen, unique, back, numbers, columns
-                give_back()
+                del numbers, columns
+            del group, every, known
+            give_back()
 
     return docs.mapInArrow(run, _IDS)
 
 
-def _parts(batch: pa.RecordBatch, words: Level) -> Iterator[Part]:
+def _parts(batches: Iterator[pa.RecordBatch], words: Level) -> Iterator[Part]:
     kind = np.uint32 if words.bases[-1] < (1 << 32) - 1 else np.uint64
-    for r in range(batch.num_rows):
-        ids, held, sizes = (batch.column(c).slice(r, 1).flatten() for c in range(3))
-        numbers = _unsqueeze(batch.column(3)[r].as_buffer(), kind).astype(np.int64) - 1
-        yield Part(ids, held.to_numpy(zero_copy_only=False).astype(bool), sizes.to_numpy(), numbers)
+    for batch in batches:
+        for r in range(batch.num_rows):
+            ids, held, sizes = (batch.column(c).slice(r, 1).flatten() for c in range(3))
+            numbers = _unsqueeze(batch.column(3)[r].as_buffer(), kind).astype(np.int64) - 1
+            yield Part(ids.take(pa.array(np.arange(len(ids)))), held.to_numpy(zero_copy_only=False).astype(bool), np.array(sizes.to_numpy()), numbers)
 
 
 class Asked(NamedTuple):
@@ -258,17 +298,35 @@ class Walk:
         at = np.flatnonzero(self.context >= 0)
         return at, self.context[at], np.where(self.words[at] >= 0, self.words[at], self.model.distinct)
 
-    def descend(self, order: int) -> Asked:
-        """Asks the level of this order; contexts become those of the next one."""
+    def ask(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct sorted pairs (contexts, words) that these tokens ask the level at hand."""
         at, context, word = self.keys()
         contexts, words, back, _ = distinct_pairs(context, word, self.model.bits)
-        nodes, p, left = (x[back] for x in look_up_children(self.model.levels[order - 2], contexts, words))
+        self._at, self._back = at.astype(_index(at, len(self.words))), back.astype(_index(back, len(words)))
+        return contexts, words
+
+    def take(self, answers: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Asked:
+        """What the level says of the pairs asked; contexts become those of the next one."""
+        nodes, p, left = (x[self._back] for x in answers)
         here = np.full(len(self.words), -1, np.int64)
-        here[at] = nodes
+        here[self._at] = nodes
         # A document's first token has no longer context.
         self.context = np.concatenate([[-1], here[:-1]])[: len(here)]
         self.context[self.first] = -1
-        return Asked(at, nodes, p, left)
+        return Asked(self._at, nodes, p, left)
+
+
+def _index(places: np.ndarray, n: int):
+    return np.int32 if n < 1 << 31 else places.dtype
+
+
+def descend(walks: list[Walk], order: int) -> Iterator[Asked]:
+    """Asks the level of this order for several walks at once; what it says of each."""
+    if walks:
+        answers = look_up_children(walks[0].model.levels[order - 2], [walk.ask() for walk in walks])
+        for k, walk in enumerate(walks):
+            yield walk.take(answers[k])
+            answers[k] = None
 
 
 # -- building a level
@@ -423,16 +481,19 @@ def _count_ngrams(numbers: DataFrame, model: Model, order: int, cuts: np.ndarray
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = _end_id(model)
-        for batch in batches:
-            for part in _parts(batch, model.words):
-                walk = Walk(model, part.words[np.repeat(~part.held, part.sizes)], part.sizes[~part.held], end)
-                for lower in range(2, order):
-                    walk.descend(lower)
+        for group in _groups(_parts(batches, model.words), lambda part: len(part.words)):
+            walks = [Walk(model, part.words[np.repeat(~part.held, part.sizes)], part.sizes[~part.held], end) for part in group]
+            del group
+            for lower in range(2, order):
+                for _ in descend(walks, lower):
+                    pass
+            for walk in walks:
                 contexts, words, _, counts = distinct_pairs(*walk.keys()[1:], model.bits)
                 local = lambda k, s: ((contexts[s] - cuts[k]).astype(np.uint64) << _U(model.bits)) | words[s]  # noqa: B023, E731
                 yield _runs([(k, local(k, s), counts[s]) for k, s in _spans(_pair_edges(contexts, words, cuts, cut_words))])
-                del walk, contexts, words, counts
-                give_back()
+                del contexts, words, counts
+            del walk, walks
+            give_back()
 
     return numbers.mapInArrow(count, _RUNS)
 
@@ -472,21 +533,25 @@ def _scored(numbers: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = _end_id(model)
-        for batch in batches:
-            for part in _parts(batch, model.words):
-                unique, back = np.unique(part.words, return_inverse=True)
-                base = (np.log10(word_counts(model.words, unique) + 1.0) - below)[back]
-                p, walk, asked = 10.0**base, Walk(model, part.words, part.sizes, end), None
-                for order in range(2, len(model.levels) + 2):
-                    asked = walk.descend(order)
+        for group in _groups(_parts(batches, model.words), lambda part: len(part.words)):
+            every = _distinct([part.words for part in group])
+            known = np.log10(word_counts(model.words, every) + 1.0) - below
+            bases = [known[np.searchsorted(every, part.words)] for part in group]
+            base_sums = [np.add.reduceat(base, np.cumsum(part.sizes) - part.sizes) for base, part in zip(bases, group, strict=True)]
+            ps = [10.0**base for base in bases]
+            del bases
+            walks = [Walk(model, part.words, part.sizes, end) for part in group]
+            for order in range(2, len(model.levels) + 2):
+                for p, asked in zip(ps, descend(walks, order), strict=True):
                     p[asked.at] = asked.p + asked.left * p[asked.at]
-                sums = [np.add.reduceat(x, walk.first) for x in (base, np.log10(p), (part.words >= 0).astype(np.int64))]
+            for part, p, base, walk in zip(group, ps, base_sums, walks, strict=True):
+                score, n_known = np.add.reduceat(np.log10(p), walk.first), np.add.reduceat((part.words >= 0).astype(np.int64), walk.first)
                 yield pa.RecordBatch.from_arrays(
-                    [part.ids, pa.array(part.held), pa.array(part.sizes), pa.array(sums[2]), pa.array(np.full(len(part.sizes), model.total, np.int64)), pa.array(sums[0]), pa.array(sums[1])],
+                    [part.ids, pa.array(part.held), pa.array(part.sizes), pa.array(n_known), pa.array(np.full(len(part.sizes), model.total, np.int64)), pa.array(base), pa.array(score)],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
-                del unique, back, base, p, walk, asked
-                give_back()
+            del group, walks, ps, part, p, walk
+            give_back()
 
     return numbers.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 

@@ -84,6 +84,28 @@ def brute_links(texts):
     return [{j for j, b in enumerate(sets) if j != i and a and b and 5 * len(a & b) >= 4 * len(a | b)} for i, a in enumerate(sets)]
 
 
+def test_shards_are_opened_in_place_and_once_for_several_chunks(spark, monkeypatch):
+    texts = spark.createDataFrame([(text(i, 60),) for i in range(60)], "text string")
+    model = ngram_lm.train(texts, shard_tokens=200)
+    level = model.levels[0]
+    rng = np.random.default_rng(3)
+    asked = []
+    for _ in range(5):
+        pairs = sorted(set(zip(rng.integers(0, model.distinct, 400).tolist(), rng.integers(0, model.distinct, 400).tolist(), strict=True)))
+        asked.append((np.array([c for c, _ in pairs]), np.array([w for _, w in pairs], np.uint64)))
+    alone = [ngram_lm.look_up_children(level, [a])[0] for a in asked]
+    opened, real = [], ngram_lm._open
+    monkeypatch.setattr(ngram_lm, "_open", lambda uri: opened.append(uri) or real(uri))
+    together = ngram_lm.look_up_children(level, asked)
+    assert len(opened) == len(set(opened)) > 5
+    assert any((nodes >= 0).any() for nodes, _, _ in together)
+    for one, other in zip(alone, together, strict=True):
+        assert all((x == y).all() for x, y in zip(one, other, strict=True))
+    arrays = elias_fano.load(level.uri(0))
+    shard = elias_fano.EliasFano.load(arrays, "children")
+    assert np.shares_memory(shard.starts, arrays["children.starts"])
+
+
 def test_jaccard_join(docs):
     got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_links) for r in jaccard_join.join_report(docs).collect())
     links = brute_links([t for _, t, *_ in corpus()])
