@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.common import bounded, doc_chunks, drop_staged, stage, string_bytes, trimmed
@@ -187,9 +187,12 @@ def _rows(done: list) -> pa.RecordBatch:
 def minimum_labels(edges: DataFrame, a: str, b: str, rows: int) -> DataFrame:
     """(node, label): the smallest node of each node's component, by min-label steps with pointer jumping.
 
-    Every step is a partial aggregation and two joins over staged tables; it ends when no label changes. rows: a bound
-    on the number of nodes.
+    Every step is a partial aggregation and two joins over staged tables; it ends when no label changes. Before, each node of
+    side ``a``, of which a few edges at most may go, is tied to the smallest at their ends, and those to each other: a node of
+    a large group brings one edge into the steps, however often it was linked. rows: a bound on the number of nodes.
     """
+    ends = stage(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).withColumn("low", F.min("v").over(Window.partitionBy("u"))), "ends", rows=rows)
+    edges = ends.select(F.col("u").alias(a), F.col("low").alias(b)).union(ends.filter("v <> low").select(F.col("v").alias(a), F.col("low").alias(b))).distinct()
     both = stage(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct(), "edges", rows=2 * rows)
     labels = held = stage(both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("label")), "labels", rows=rows)
     while True:
@@ -200,7 +203,7 @@ def minimum_labels(edges: DataFrame, a: str, b: str, rows: int) -> DataFrame:
         drop_staged(held)
         held, labels = jumped, jumped.select("u", "label")
         if jumped.filter(F.col("label") != F.col("was")).isEmpty():
-            drop_staged(both)
+            drop_staged(both, ends)
             return labels.select(F.col("u").alias("node"), "label")
 
 

@@ -116,6 +116,23 @@ def test_jaccard_join(docs):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [0, 3, 4, 5, 7, 8, 9, 10, 11]
 
 
+def test_a_node_of_many_edges_brings_one_into_the_steps(spark, monkeypatch):
+    sizes, stage = {}, jaccard_join.stage
+
+    def counted(df, label, **options):
+        out = stage(df, label, **options)
+        sizes[label] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stage", counted)
+    # 300 nodes that meet in 20 groups each, and a pair apart.
+    edges = [(100 + i, 1 + (i + k) % 40) for i in range(300) for k in range(20)] + [(9000, 8000)]
+    got = jaccard_join.minimum_labels(spark.createDataFrame(edges, "a long, b long"), "a", "b", 1000)
+    want = {n: 8000 if n >= 8000 else 1 for e in edges for n in e}
+    assert {r.node: r.label for r in got.collect()} == want
+    assert sizes["edges"] <= 2 * (300 + 2 * 40 * 20) and sizes["edges"] < len(edges)
+
+
 def test_large_groups_of_near_copies_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 4)
     base = text(9, 100).split()
