@@ -15,9 +15,9 @@ def key6(x: Column) -> Column:
     return F.round(x, 6)
 
 
-_DIGITS = r"\d+(?:_\d+)*"
-WHOLE_NUMBER = rf"(?s)^\s*[+-]?{_DIGITS}\s*$"
-REAL_NUMBER = rf"(?is)^\s*[+-]?(?:(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:e[+-]?{_DIGITS})?|inf|infinity|nan)\s*$"
+_DIGITS = r"\d++(?:_\d++)*+"
+#: A number cell; group 1 is the number without the white space around it. Possessive, so that no text is gone over twice.
+NUMBER_CELL = rf"(?i)^\s*+([+-]?(?:(?:{_DIGITS}(?:\.(?:{_DIGITS})?+)?+|\.{_DIGITS})(?:e[+-]?{_DIGITS})?+|infinity|inf|nan))\s*+$"
 
 
 def parse_cell(raw: Column) -> Column:
@@ -25,34 +25,49 @@ def parse_cell(raw: Column) -> Column:
 
     Digits may be grouped by underscores. An integer beyond 64 bits keeps its digits in ``str``.
     """
+    # Stands in what is computed of every row, so the pattern is matched once a row.
+    found = F.regexp_extract(raw, NUMBER_CELL, 1)
     none = raw.isNull() | raw.isin("N/A", "")
-    plain = F.replace(F.regexp_replace(raw, r"^\s+|\s+$", ""), F.lit("_"), F.lit(""))
-    whole = ~none & raw.rlike(WHOLE_NUMBER)
-    real = ~none & raw.rlike(REAL_NUMBER)
-    digits = F.regexp_replace(F.regexp_replace(plain, r"^\+", ""), r"^(-?)0+(?=\d)", "$1")
+    plain = F.replace(found, F.lit("_"), F.lit(""))
+    real = found != ""
+    whole = real
+    for other in ".eEnN":  # of 1.5, 1e5, inf and nan
+        whole = whole & ~found.contains(other)
+    # Compared as digits, since a cast that fails takes as long as a hundred that don't.
+    digits, negative = F.ltrim(plain, F.lit("+-0")), plain.startswith("-")
+    most = F.when(negative, str(2**63)).otherwise(str(2**63 - 1))
+    beyond = (F.length(digits) > 19) | ((F.length(digits) == 19) & (digits > most))
     return F.struct(
-        F.when(none, 0).when(real, 1).otherwise(2).alias("kind"),
+        F.when(real, 1).when(none, 0).otherwise(2).alias("kind"),
         F.when(real, plain.try_cast("double")).alias("num"),
         F.coalesce(whole, F.lit(False)).alias("is_int"),
-        F.when(~none & ~real, raw).when(whole & plain.try_cast("bigint").isNull(), digits).alias("str"),
+        F.when(~real & ~none, raw).when(whole & (F.length(found) > 18) & beyond, F.concat(F.when(negative, "-").otherwise(""), digits)).alias("str"),
     )
 
 
+def _with_power(raw: Column) -> Column:
+    """What ``real_text`` makes of a float below 0.001 or from 10^16, as the engine writes it."""
+
+    def shown(parts: Column) -> Column:
+        sign, digits, exponent = F.when(raw.startswith("-"), "-").otherwise(""), F.translate(parts[0], "-.", ""), parts[1].try_cast("int")
+        small = F.concat(sign, F.lit("0.000"), digits)
+        power = F.abs(exponent).cast("string")
+        power = F.when(F.length(power) < 2, F.lpad(power, 2, "0")).otherwise(power)
+        fraction = F.when(F.length(digits) > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2)))).otherwise("")
+        scientific = F.concat(sign, F.substr(digits, F.lit(1), F.lit(1)), fraction, F.when(exponent < 0, "e-").otherwise("e+"), power)
+        return F.when(exponent == -4, small).otherwise(scientific)
+
+    return bind(F.split(F.replace(raw, F.lit(".0E"), F.lit("E")), "E"), shown)
+
+
 def real_text(num: Column) -> Column:
     """A float as written: without an exponent from 0.0001 up to 10^16, else with one of two digits or more."""
-    raw = num.cast("string")
-    sign, lead, rest, power = (F.regexp_extract(raw, r"^(-?)(\d)\.(\d+)E(-?\d+)$", g) for g in range(1, 5))
-    exponent = power.try_cast("int")
-    fraction = F.when(rest == "0", "").otherwise(rest)
-    digits = F.concat(lead, fraction)
-    up = F.concat(F.rpad(F.substr(digits, F.lit(1), exponent + 1), 17, "0"), F.lit(""))
-    large = F.concat(sign, F.substr(up, F.lit(1), exponent + 1), F.lit("."), F.when(F.length(digits) > exponent + 1, F.substr(digits, exponent + 2)).otherwise("0"))
-    small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
-    shown = F.lpad(F.abs(exponent).cast("string"), 2, "0")
-    shown = F.when(F.abs(exponent) > 99, F.abs(exponent).cast("string")).otherwise(shown)
-    scientific = F.concat(sign, lead, F.when(fraction != "", F.concat(F.lit("."), fraction)).otherwise(""), F.when(exponent < 0, "e-").otherwise("e+"), shown)
-    special = F.when(F.isnan(num), "nan").when(raw == "Infinity", "inf").when(raw == "-Infinity", "-inf").otherwise(raw)
-    return F.when(power == "", special).when((exponent >= 7) & (exponent < 16), large).when(exponent == -4, small).otherwise(scientific)
+    size = F.abs(num)
+    # The engine writes these without an exponent, larger ones with one; a decimal of 12 places holds all digits of those below 10^16.
+    plain = (size >= 0.001) & (size < 1e7) | (num == 0)
+    large = F.when(num == F.floor(num), F.concat(num.cast("bigint").cast("string"), F.lit(".0"))).otherwise(F.rtrim(num.cast("decimal(28,12)").cast("string"), F.lit("0")))
+    special = F.when(F.isnan(num), "nan").when(num == float("inf"), "inf").when(num == float("-inf"), "-inf")
+    return F.when(plain, num.cast("string")).when((size >= 1e7) & (size < 1e16), large).when(num.isNotNull(), F.coalesce(special, bind(num.cast("string"), _with_power)))
 
 
 def number_text(num: Column, is_int: Column, digits: Column | None = None) -> Column:

@@ -85,6 +85,24 @@ def test_numeric_functions(spark):
         one(spark, lambda x: V.split_ids(x, F.array(F.lit(7))), [1], "array<int>")
 
 
+def test_cells_are_parsed_once(spark, capsys):
+    cells = spark.createDataFrame([("12",)], "raw string").withColumn("c", V.parse_cell(F.col("raw")))
+    cells.select("c.kind", V.number_text(F.col("c.num"), F.col("c.is_int"), F.col("c.str"))).explain("codegen")
+    # Of other patterns the generated code holds none: what they gave is taken from the parts of the number.
+    assert capsys.readouterr().out.count(".matcher(") == 1
+
+
+def test_odd_cells(spark):
+    parsed = [one(spark, V.parse_cell, x) for x in (" -1_0\n", "12\u2028", "1d", "1__0", "1,000", "+.5e1_0", "-inf", "-0009223372036854775808", "+9223372036854775808", "0" * 30, "1" + "_1" * 20_000, "7" * 20_000 + "x")]
+    assert [p.kind for p in parsed] == [1, 1, 2, 2, 2, 1, 1, 1, 1, 1, 1, 2]
+    assert [p.num for p in parsed[:2] + parsed[5:7]] == [-10.0, 12.0, 5e9, -math.inf]
+    assert [p.str for p in parsed[7:10]] == [None, "9223372036854775808", None] and parsed[10].str == "1" * 20_001
+    floats = (0.1, -12345678.5, 1e7, 123456789012345.6, -9999999999999998.0, 1e16, 1.5e-4, -2.5e-5, 1e300, -0.0, math.inf, -math.inf, math.nan)
+    # As an element of an array, as the loaders take it.
+    assert one(spark, lambda x: F.transform(x, V.real_text), floats, "array<double>") == [repr(x) for x in floats]
+    assert one(spark, V.real_text, 1.5e-4, "double") == "0.00015"
+
+
 def test_facts(cells):
     f = {r.ex_id: r for r in facts.team_facts(cells).collect()}
     assert set(f) == {"g", "tie"}
