@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.numeric import key6
 from factloom.functions.text import numbers
 
-#: Columns with more numeric cells derive nothing.
+#: Columns with more numeric cells derive nothing, unless ``score_items`` is told to take all.
 MAX_COLUMN_CELLS = 40
 
 
@@ -31,16 +31,37 @@ def derived_numbers(cells: DataFrame) -> DataFrame:
     return usable.select("ex_id", F.explode(F.array_distinct(_pairs(F.col("vs")))).alias("value")).distinct()
 
 
-def score_items(outputs: DataFrame, cells: DataFrame, allow_derived: bool = True) -> DataFrame:
+def derived_among(said: DataFrame, cells: DataFrame) -> DataFrame:
+    """(ex_id, value): of the numbers (ex_id, value), those that are a sum or difference of two cells of one column, however long.
+
+    What a number lacks to each distinct value of a column is looked up among the others, so the work grows with values times
+    numbers, not with pairs of cells. A number or cell that isn't finite derives nothing.
+    """
+    column = ["ex_id", "sec_idx", "col_idx"]
+    values = cells.filter((F.col("kind") == 1) & (F.abs("num") < float("inf"))).groupBy(*column, "num").agg(F.count(F.lit(1)).alias("n"))
+    # Twice what rounding to six decimals, and doubles of the column's size, put a value off: it is found in its bucket or one beside it.
+    values = values.withColumn("width", 1e-6 + F.max(F.abs("num")).over(Window.partitionBy(*column)) * 2.0**-48)
+    lacks = F.array(*[x / F.col("width") for x in (F.col("value") - F.col("num"), F.col("num") - F.col("value"))])
+    wanted = values.join(said, "ex_id").withColumn("at", F.explode(lacks)).filter(F.abs("at") < 2.0**52)
+    wanted = wanted.select(*column, "num", "n", "value", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.floor("at") + d)).alias("bucket"))
+    others = values.select(*column, F.col("num").alias("other"), F.floor(F.col("num") / F.col("width")).alias("bucket"))
+    made = (key6(F.col("num") + F.col("other")) == F.col("value")) | (key6(F.abs(F.col("num") - F.col("other"))) == F.col("value"))
+    two = (F.col("num") != F.col("other")) | (F.col("n") > 1)
+    return wanted.join(others, [*column, "bucket"]).filter(two & made).select("ex_id", "value").distinct()
+
+
+def score_items(outputs: DataFrame, cells: DataFrame, allow_derived: bool = True, long_columns: bool = False) -> DataFrame:
     """Per output (id, output): counts by tier, the unsupported numbers and the rates (null without numbers).
 
     The exact tier takes every table number divided by 100 too, so that a percent supports its fraction.
+    long_columns: columns of more than 40 numeric cells derive numbers too.
     """
     exact = table_numbers(cells).groupBy("ex_id").agg(F.collect_list("value").alias("x"))
     exact = exact.select("ex_id", F.array_union("x", F.transform("x", lambda v: key6(v / 100))).alias("exact"))
     out = outputs.select("id", numbers(F.col("output")).alias("found")).join(exact, F.col("id") == F.col("ex_id"), "left").drop("ex_id")
     if allow_derived:
-        derived = derived_numbers(cells).groupBy("ex_id").agg(F.collect_list("value").alias("derived"))
+        said = outputs.select(F.col("id").alias("ex_id"), F.explode(F.transform(numbers(F.col("output")), key6)).alias("value")).distinct()
+        derived = (derived_among(said, cells) if long_columns else derived_numbers(cells)).groupBy("ex_id").agg(F.collect_list("value").alias("derived"))
         out = out.join(derived, F.col("id") == F.col("ex_id"), "left").drop("ex_id")
     else:
         out = out.withColumn("derived", F.lit(None).cast("array<double>"))

@@ -144,8 +144,15 @@ SQL["report_panels"] = f"""WITH {_DRAWS} SELECT 'num_unsupported' AS metric, 'Un
   FROM pts p JOIN draws d USING (run, metric) WHERE metric = 'num_unsupported' GROUP BY p.run"""
 
 SQL["relations_item"] = f"WITH {CLAIMS} SELECT t.id, count(c.id) AS n_claims, count(*) FILTER (NOT correct) AS n_wrong FROM texts t LEFT JOIN claims c ON t.id = c.id GROUP BY t.id"
-SQL["item_metrics"] = f"""WITH {NUMBERS}{CLAIMS.removeprefix(TEXTS)}, {_bleu_items('output', 'reference')}, rel AS (SELECT t.id, count(c.id) AS n, count(*) FILTER (NOT correct) AS w FROM texts t LEFT JOIN claims c ON t.id = c.id GROUP BY t.id)
+
+
+def _item_metrics(numbers: str) -> str:
+    return f"""WITH {numbers}{CLAIMS.removeprefix(TEXTS)}, {_bleu_items('output', 'reference')}, rel AS (SELECT t.id, count(c.id) AS n, count(*) FILTER (NOT correct) AS w FROM texts t LEFT JOIN claims c ON t.id = c.id GROUP BY t.id)
   SELECT i.id, n_numbers AS num_n_numbers, n_unsupported AS num_n_unsupported, rel.n AS rel_n_claims, rel.w AS rel_n_wrong, bleu.* EXCLUDE (id) FROM items i JOIN rel USING (id) JOIN bleu USING (id)"""
+
+
+# Of the queries that count derived numbers, this one takes columns of any length.
+SQL["item_metrics"] = _item_metrics(NUMBERS.replace("HAVING count(*) BETWEEN 2 AND 40", "HAVING count(*) >= 2"))
 SQL["positional_counts"] = f"""WITH {CLAIMS}, bad AS (SELECT id, list(claimed) AS named FROM claims WHERE type = 'winner' AND NOT correct GROUP BY id),
   g AS (SELECT t.id, winner = team0 AS first_won, named IS NOT NULL AS err, len(list_filter(named, lambda x: contains(x, team0) AND NOT contains(x, team1))) AS f, len(list_filter(named, lambda x: contains(x, team1) AND NOT contains(x, team0))) AS s
     FROM texts t JOIN facts ON t.id = ex_id LEFT JOIN bad ON bad.id = t.id WHERE NOT tie),
@@ -178,7 +185,7 @@ SQL["training_rows"] = f"""WITH kept_refs AS (SELECT * FROM ({SQL['filter_refere
   SELECT *, (coalesce(sum(3 + n_ref_ids + n_table_ids) OVER (PARTITION BY block ORDER BY ex_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 4000)::BIGINT AS batch FROM p"""
 
 _TEXTS_B = TEXTS.replace("texts AS (", "texts_a AS (") + ", texts AS (SELECT * REPLACE (CASE WHEN pair % 2 = 1 THEN reference ELSE output END AS output) FROM texts_a)"
-_ITEMS = f"""SELECT * FROM ({SQL['item_metrics']}) i JOIN (SELECT id, f1 AS parent_f1 FROM ({SQL['parent_items']})) USING (id) JOIN (WITH {TEXTS} SELECT id, -(length(output) % 97) / 97 AS seq_logprob FROM texts) USING (id)"""
+_ITEMS = f"""SELECT * FROM ({_item_metrics(NUMBERS)}) i JOIN (SELECT id, f1 AS parent_f1 FROM ({SQL['parent_items']})) USING (id) JOIN (WITH {TEXTS} SELECT id, -(length(output) % 97) / 97 AS seq_logprob FROM texts) USING (id)"""
 
 
 def _catalogue(frm: str, keys: str, w: str = "1") -> str:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import math
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pytest
@@ -126,6 +128,34 @@ def test_number_support(spark, cells):
     assert numbers.score_items(spark.createDataFrame(texts, "id string, output string"), cells, allow_derived=False).filter("id = 'g'").first().n_derived == 0
 
 
+def test_number_support_of_long_columns(spark):
+    """Sums and differences of columns beyond 40 cells, against all pairs; the values round, repeat, or are large."""
+    rng = np.random.default_rng(5)
+    columns = {
+        ("a", 0): [float(v) for v in rng.integers(100, 1000, 60)],
+        ("a", 1): [0.5, 0.5] + [7.0] * 50,
+        ("b", 0): [round(float(v), 7) for v in rng.normal(0, 3, 70)],
+        ("c", 0): [float(v) for v in rng.integers(10**14, 10**15, 50) / 8] + [5e-7, 1.5e-6],
+        ("d", 0): [1e308] * 41 + [math.inf, math.nan, -3.0, 4.0],
+        ("e", 0): [12.0],
+    }
+    rows = [(e, 1, c, 1, v, None) for (e, c), vs in columns.items() for v in vs]
+    cells = spark.createDataFrame(rows, "ex_id string, sec_idx int, col_idx int, kind int, num double, str string")
+    key = lambda x: float(Decimal(repr(x)).quantize(Decimal("0.000001"), ROUND_HALF_UP)) if math.isfinite(x) and abs(x) < 1e20 else x
+    made = {e: {key(z) for (f, _), vs in columns.items() if f == e for x, y in itertools.combinations(vs, 2) for z in (x + y, abs(x - y))} for e in "abcde"}
+    said = {e: sorted(v for v in made[e] if 0 <= v < 1e20)[:: max(1, len(made[e]) // 80)] for e in made}
+    said = {e: vs + [v + 1 for v in vs] + [14.0, 0.0, 1.0, 24.0, 99999.0] for e, vs in said.items()}
+    texts = [(e, " and ".join(f"{v:.12f}" for v in vs)) for e, vs in said.items()] + [("d", "9" * 400)]
+    want = sorted((e, v) for e, vs in said.items() for v in {key(v) for v in vs} if v in made[e])
+    outputs = spark.createDataFrame(texts, "id string, output string")
+    found = outputs.select(F.col("id").alias("ex_id"), F.explode(F.transform(T.numbers(F.col("output")), V.key6)).alias("value")).distinct()
+    assert sorted(map(tuple, numbers.derived_among(found, cells).collect())) == want
+    assert ("a", 14.0) in want and ("a", 0.0) in want and ("d", 1.0) in want and ("e", 24.0) not in want
+    one = spark.createDataFrame([("a", "14 and 99999")], "id string, output string")
+    got = [numbers.score_items(one, cells, long_columns=on).first() for on in (False, True)]
+    assert [(r.n_derived, r.unsupported) for r in got] == [(0, [14.0, 99999.0]), (1, [99999.0])]
+
+
 @pytest.mark.parametrize(
     "text, want",
     [
